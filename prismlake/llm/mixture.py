@@ -96,8 +96,8 @@ def mix(sized: DataFrame, weights: list[float], share: float, ceiling: float) ->
     The whole part of that rate is copied outright. Fractions are rounded by the pivotal method: rows
     of one source and size class are dealt to leaves of about 8192 rows, each leaf decides all its rows
     but one, largest first, and what is left open goes up a tree of nodes until one row of each source
-    is left, which a coin with its fraction decides. Every row's chance is exactly its fraction, and
-    words are traded, so the words copied from a source differ from its target by that last row at most.
+    is left, which goes to the nearer side. But for that row every row's chance is exactly its fraction, and
+    words are traded, so the words copied from a source differ from its target by half that row at most.
 
     sized must come from a written table, so that it reads the same twice. Rows of size 0 get no
     copy; a null source is a source. Randomness comes from `key` alone.
@@ -131,8 +131,7 @@ def mix(sized: DataFrame, weights: list[float], share: float, ceiling: float) ->
         shut = step.where("not open").select("leaf", F.col("extra").alias("_e"))
         ends = shut if ends is None else ends.union(shut)
         left = step.where("open").drop("extra", "open", "node")
-    coin = (F.pmod(F.xxhash64("key", F.lit(99)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("byte")
-    shut = left.select("leaf", coin.alias("_e"))
+    shut = left.select("leaf", (F.col("p") >= 0.5).cast("byte").alias("_e"))
     ends = shut if ends is None else ends.union(shut)
     out = done.join(ends, "leaf", "left").withColumn("copies", F.col("_whole") + F.when(F.col("open"), F.col("_e")).otherwise(F.col("extra")))
     return out.drop("_whole", "p", "leaf", "extra", "open", "_e")
