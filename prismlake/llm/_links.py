@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from prismlake.llm._shared import components, materialize
 
 #: Buckets up to so many members and bytes are solved in one task; larger ones by rounds of pivots.
-SMALL, SMALL_BYTES = 64, 16 << 20
+SMALL, SMALL_BYTES = 512, 32 << 20
 #: Pivots that one round compares the rest of a bucket with.
-PIVOTS = 16
+PIVOTS = 64
 
 #: Makes a function that compares one payload with several and returns similarities; 1 - similarity must be a metric.
 Compare = Callable[[], Callable[[bytes, list[bytes]], np.ndarray]]
@@ -90,14 +90,19 @@ def links(members: DataFrame, blobs: DataFrame, compare: Compare, least: float)
         found.append(d.where(F.col("s") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         edge = d.where((F.col("s") < least) & (F.col("d") <= 2 * reach + 1e-9))
         near = edge.groupBy("bucket").agg(F.min("d").alias("m"))
-        border.append(edge.select("bucket", "pivot", "node"))
-        within.append(d.where(F.col("s") >= least).join(near, "bucket").where(F.col("d") >= F.col("m") - reach - 1e-9).select("bucket", "pivot", "node"))
-        beyond = d.where(F.col("s") < least).select("bucket", "node")
-        size = beyond.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rest = materialize(beyond.join(size, "bucket"), "beyond")
-        found.append(materialize(solve(rest.where(F.col("n") <= SMALL)), "links"))
-        active = rest.where(F.col("n") > SMALL).select("bucket", "node")
-    if border:
+        ball = d.where(F.col("s") >= least).join(near, "bucket").where(F.col("d") >= F.col("m") - reach - 1e-9)
+        # what lies beyond the pivot's reach is a bucket of its own, and so is its border
+        kind = lambda df, k: df.select(F.col("bucket").alias("was"), "pivot", F.xxhash64("bucket", "pivot", F.lit(k)).alias("bucket"), "node", F.lit(k).alias("kind"))
+        parts = materialize(kind(d.where(F.col("s") < least), 0).union(kind(edge, 1)).union(kind(ball, 2)).withColumn("bucket", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.xxhash64("was", "pivot", F.lit(1)))), "parts")
+        held = parts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        # without a node within reach a border needs no look
+        parts = materialize(parts.join(held, "bucket"), "parts")
+        found.append(materialize(solve(parts.where(F.col("n") <= SMALL)), "links"))
+        many = parts.where(F.col("n") > SMALL)
+        border.append(many.where("kind = 1").select("bucket", "pivot", "node"))
+        within.append(many.where("kind = 2").select("bucket", "pivot", "node"))
+        active = many.where("kind = 0").select("bucket", "node")
+    if border and _all(border).take(1):
         found = _borders(found, border, within, blobs, compare, least)
     return materialize(_all(found), "links")
 
@@ -110,19 +115,18 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _borders(found: list[DataFrame], border: list[DataFrame], within: list[DataFrame], blobs: DataFrame, compare: Compare, least: float) -> list[DataFrame]:
-    edge = materialize(_all(border), "border")
-    ball = materialize(_all(within), "within")
+    edge, ball = materialize(_all(border), "border"), materialize(_all(within), "within")
     while edge.take(1):
-        root = components(_all(found))
+        found = [materialize(_all(found), "links")]
+        root = components(found[0])
         of = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-        open_ = of(of(edge, "node"), "pivot").where("node_root <> pivot_root")
-        turn = F.row_number().over(W.partitionBy("bucket", "pivot").orderBy("node"))
-        now = materialize(open_.select("bucket", "pivot", "node"), "open")
+        # a border node that other links have joined to the pivot needs no look
+        now = materialize(of(of(edge, "node"), "pivot").where("node_root <> pivot_root").select("bucket", "pivot", "node"), "open")
+        turn = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
         ask = materialize(now.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).drop("turn"), "asked")
         if not ask.take(1):
             break
-        key = F.xxhash64("bucket", "pivot").alias("bucket")
-        d = _against(ball.select(key, "node"), ask.select(key, F.col("node").alias("pivot")), blobs, compare)
+        d = _against(ball.select("bucket", "node"), ask.select("bucket", F.col("node").alias("pivot")), blobs, compare)
         found.append(d.where(F.col("s") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         edge = now.join(ask, ["bucket", "pivot", "node"], "left_anti")
     return found

@@ -6,22 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import decontam, mixture, near_dedup, sharding, toxicity
+from prismlake.llm import ann, decontam, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity
 from prismlake.llm._shared import table
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op1_vp_tree(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.op2_pivotal_mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.op3_quote_links(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_toxicity_knn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5_bayes_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op6_fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op7_icws_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op8_licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_bin_packing(table(spark, sf_dir, "documents"))
 
