@@ -7,17 +7,35 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from prismlake.llm._shared import components, materialize
 
 #: Buckets up to so many members and bytes are solved in one task; larger ones by rounds of pivots.
 SMALL, SMALL_BYTES = 512, 32 << 20
-#: Pivots that one round compares the rest of a bucket with.
-PIVOTS = 64
 
-#: Makes a function that compares one payload with several and returns similarities; 1 - similarity must be a metric.
-Compare = Callable[[], Callable[[bytes, list[bytes]], np.ndarray]]
+#: Takes payloads and makes a function that compares the i-th with all; 1 - similarity must be a metric.
+Compare = Callable[[list[bytes]], Callable[[int], np.ndarray]]
+#: Gives (bucket, node, bytes) in many finer bands for a table (node, blob).
+Finer = Callable[[DataFrame], DataFrame]
+
+
+def overlaps(tokens: list[np.ndarray], weights: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """Weighted Jaccard similarity of the i-th set of sorted distinct tokens with each: shared weight (the lesser) over all weight (the greater)."""
+    every, w = np.concatenate(tokens), np.concatenate(weights)
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    total = np.bincount(owner, w, len(tokens))
+
+    def match(i: int) -> np.ndarray:
+        own, v = tokens[i], weights[i]
+        if not len(own):
+            return np.zeros(len(tokens))
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        hit = np.flatnonzero(own[at] == every)
+        low = np.bincount(owner[hit], np.minimum(v[at[hit]], w[hit]), len(tokens))
+        return low / np.maximum(total[i] + total - low, 1e-300)
+
+    return match
 
 
 def _solve(compare: Compare, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -25,17 +43,16 @@ def _solve(compare: Compare, least: float) -> Callable[[pd.DataFrame], pd.DataFr
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        nodes, blobs, match = pdf["node"].tolist(), pdf["blob"].tolist(), compare()
-        group, links = list(range(len(nodes))), []
-        for i in range(len(nodes)):
-            rest = [j for j in range(i + 1, len(nodes)) if group[j] != group[i]]
-            if not rest:
+        nodes, match = pdf["node"].to_numpy(), compare(pdf["blob"].tolist())
+        group, links = np.arange(len(nodes)), []
+        for i in range(len(nodes) - 1):
+            if (group[i + 1 :] == group[i]).all():
                 continue
-            for j, s in zip(rest, match(blobs[i], [blobs[j] for j in rest]).tolist(), strict=True):
-                if s >= least and group[j] != group[i]:
+            near = np.flatnonzero(match(i) >= least)
+            for j in near[near > i].tolist():
+                if group[j] != group[i]:
                     links.append((nodes[i], nodes[j]))
-                    old = group[j]
-                    group = [group[i] if g == old else g for g in group]
+                    group[group == group[j]] = group[i]
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return solve
@@ -43,11 +60,8 @@ def _solve(compare: Compare, least: float) -> Callable[[pd.DataFrame], pd.DataFr
 
 def _measured(compare: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = compare()
         for b in batches:
-            pivots, s = b.column("pivot_blob").to_pylist(), []
-            for own, other in zip(b.column("blob").to_pylist(), pivots, strict=True):
-                s.append(float(match(other, [own])[0]))
+            s = [float(compare([other, own])(0)[1]) for own, other in zip(b.column("blob").to_pylist(), b.column("pivot_blob").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", "node", "pivot")), pa.array(s, pa.float64())], names=["bucket", "node", "pivot", "s"])
 
     return run
@@ -58,32 +72,45 @@ def _against(rows: DataFrame, pivots: DataFrame, blobs: DataFrame, compare: Comp
 
     Hot buckets are skewed joins of rows with pivots, which adaptive execution splits by rows.
     """
-    left = rows.join(blobs, "node")
+    left = rows.join(blobs.hint("merge"), "node")
     right = pivots.join(blobs.select(F.col("node").alias("pivot"), F.col("blob").alias("pivot_blob")), "pivot")
     both = left.join(right.hint("merge"), "bucket").where("node <> pivot").select("bucket", "node", "pivot", "blob", "pivot_blob")
     return materialize(both.mapInArrow(_measured(compare), "bucket long, node long, pivot long, s double"), "measured")
 
 
-def links(members: DataFrame, blobs: DataFrame, compare: Compare, least: float) -> DataFrame:
+def _bucketed(members: DataFrame) -> DataFrame:
+    """(bucket, node, small) of members (bucket, node, bytes): buckets of one node are left out, buckets of equal members are taken once."""
+    fingerprint = [F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("bytes").cast("long")).alias("b")]
+    kept = members.groupBy("bucket").agg(*fingerprint).where("n > 1").groupBy("n", "lo", "hi", "x", "b").agg(F.min("bucket").alias("bucket"))
+    kept = kept.select("bucket", ((F.col("n") <= SMALL) & (F.col("b") <= SMALL_BYTES)).alias("small"))
+    return materialize(members.select("bucket", "node").join(kept.hint("merge"), "bucket"), "members")
+
+
+def links(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], compare: Compare, finer: Finer, least: float) -> DataFrame:
     """Links (a, b) that connect nodes as all pairs with similarity >= least that share a bucket would.
 
-    members: (bucket long, node long, bytes int), each pair once; blobs: (node long, blob binary), both
-    from written tables. Buckets of one node are left out and buckets of equal members are taken once.
+    members: (bucket long, node long, bytes long), each pair once, from a written table; payloads gives
+    (node, blob) for a table of nodes. Buckets of equal members are taken once.
 
-    Small buckets are solved in one task each. In a large bucket every round takes the least node
-    as pivot and measures the others against it: those within reach are linked; those beyond
-    stay for the next round. Since 1 - similarity is a metric, a node within reach can only be similar
-    to one at most twice as far off, and such border nodes are measured afterwards, as pivots, against the
-    nodes within reach, unless other links have joined both by then. No pair is lost, and no bucket
-    is ever held by one task.
+    Small buckets are solved in one task each. Nodes of large buckets are dealt anew by `finer` bands, of
+    more rows each and so many more that a similar pair meets as surely as before, while nodes which
+    only share common parts are told apart. In a bucket that is large even so, every round takes the least
+    node as pivot and measures the others against it: those within reach are linked; those beyond go on.
+    Since 1 - similarity is a metric, a node within reach can only be similar to one at most twice as far
+    off; such border nodes are measured afterwards, as pivots, against the nodes within reach, unless other
+    links have joined both by then. No pair that shares a bucket is lost, and no large bucket is ever held by one task.
     """
     reach = 1 - least
-    fingerprint = [F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("bytes").cast("long")).alias("b")]
-    kept = members.groupBy("bucket").agg(*fingerprint).where("n > 1").groupBy("n", "lo", "hi", "x", "b").agg(F.min("bucket").alias("bucket"))
-    rows = materialize(members.select("bucket", "node").join(kept.select("bucket", ((F.col("n") <= SMALL) & (F.col("b") <= SMALL_BYTES)).alias("small")), "bucket"), "members")
-    solve = lambda r: r.select("bucket", "node").join(blobs, "node").groupBy("bucket").applyInPandas(_solve(compare, least), "a long, b long")
-    found = [materialize(solve(rows.where("small")), "links")]
-    active, border, within = rows.where("not small").select("bucket", "node"), [], []
+    rows = _bucketed(members)
+    blobs = materialize(payloads(rows.select("node").distinct()), "blobs")
+    sizes = blobs.select("node", F.length("blob").cast("long").alias("bytes"))
+    solve = lambda r: materialize(r.select("bucket", "node").join(blobs.hint("merge"), "node").groupBy("bucket").applyInPandas(_solve(compare, least), "a long, b long"), "links")
+    found, border, within = [solve(rows.where("small"))], [], []
+    active = rows.where("not small").select("node").distinct()
+    if active.take(1):
+        again = _bucketed(materialize(finer(active.join(blobs.hint("merge"), "node")), "finer"))
+        found.append(solve(again.where("small")))
+        active = again.where("not small").select("bucket", "node")
     while active.take(1):
         pivots = active.groupBy("bucket").agg(F.min("node").alias("pivot"))
         d = _against(active, pivots, blobs, compare).withColumn("d", 1 - F.col("s"))
@@ -92,19 +119,19 @@ def links(members: DataFrame, blobs: DataFrame, compare: Compare, least: float)
         near = edge.groupBy("bucket").agg(F.min("d").alias("m"))
         ball = d.where(F.col("s") >= least).join(near, "bucket").where(F.col("d") >= F.col("m") - reach - 1e-9)
         # what lies beyond the pivot's reach is a bucket of its own, and so is its border
-        kind = lambda df, k: df.select(F.col("bucket").alias("was"), "pivot", F.xxhash64("bucket", "pivot", F.lit(k)).alias("bucket"), "node", F.lit(k).alias("kind"))
-        parts = materialize(kind(d.where(F.col("s") < least), 0).union(kind(edge, 1)).union(kind(ball, 2)).withColumn("bucket", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.xxhash64("was", "pivot", F.lit(1)))), "parts")
-        held = parts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        # without a node within reach a border needs no look
-        parts = materialize(parts.join(held, "bucket"), "parts")
-        found.append(materialize(solve(parts.where(F.col("n") <= SMALL)), "links"))
-        many = parts.where(F.col("n") > SMALL)
+        kind = lambda df, k: df.select(F.col("bucket") if k == 0 else F.xxhash64("bucket", "pivot", F.lit(1)).alias("bucket"), "pivot", "node", F.lit(k).alias("kind"))
+        parts = kind(d.where(F.col("s") < least), 0).union(kind(edge, 1)).union(kind(ball, 2))
+        parts = materialize(parts.join(sizes.hint("merge"), "node"), "parts")
+        held = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("kind").alias("k")).where("n > 1 AND k <> 1")
+        parts = materialize(parts.join(held.select("bucket", ((F.col("n") <= SMALL) & (F.col("b") <= SMALL_BYTES)).alias("small")), "bucket"), "parts")
+        found.append(solve(parts.where("small")))
+        many = parts.where("not small")
         border.append(many.where("kind = 1").select("bucket", "pivot", "node"))
         within.append(many.where("kind = 2").select("bucket", "pivot", "node"))
         active = many.where("kind = 0").select("bucket", "node")
     if border and _all(border).take(1):
         found = _borders(found, border, within, blobs, compare, least)
-    return materialize(_all(found), "links")
+    return _all(found)
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -115,18 +142,32 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _borders(found: list[DataFrame], border: list[DataFrame], within: list[DataFrame], blobs: DataFrame, compare: Compare, least: float) -> list[DataFrame]:
-    edge, ball = materialize(_all(border), "border"), materialize(_all(within), "within")
-    while edge.take(1):
-        found = [materialize(_all(found), "links")]
-        root = components(found[0])
-        of = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-        # a border node that other links have joined to the pivot needs no look
-        now = materialize(of(of(edge, "node"), "pivot").where("node_root <> pivot_root").select("bucket", "pivot", "node"), "open")
-        turn = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        ask = materialize(now.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).drop("turn"), "asked")
-        if not ask.take(1):
-            break
-        d = _against(ball.select("bucket", "node"), ask.select("bucket", F.col("node").alias("pivot")), blobs, compare)
-        found.append(d.where(F.col("s") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        edge = now.join(ask, ["bucket", "pivot", "node"], "left_anti")
-    return found
+    """found and links between border nodes and nodes within reach of the pivots that they stand off from.
+
+    Nodes within reach of a pivot are one component already, so each border node of another one needs
+    one link to it at most. Both sides are gathered by the pivot's component, over all buckets, and met in
+    blocks of at most SMALL by SMALL nodes, each in one task.
+    """
+    found = [materialize(_all(found), "links")]
+    root = components(found[0])
+    of = root.select(F.col("node").alias("pivot"), F.col("root").alias("key")).hint("merge")
+    own = root.select("node", F.col("root").alias("own")).hint("merge")
+    edge = materialize(_all(border).join(of, "pivot").join(own, "node", "left").where("own IS NULL OR own <> key").select("key", "node", "pivot", "bucket"), "border")
+    ball = _all(within).join(edge.select("bucket", "pivot").distinct(), ["bucket", "pivot"], "left_semi").join(of, "pivot")
+    sides = materialize(edge.select("key", "node", F.lit(0).alias("side")).distinct().union(ball.select("key", "node", F.lit(1).alias("side")).distinct()), "sides")
+    n = sides.groupBy("key").agg(*[F.ceil(F.count_if(F.col("side") == k) / SMALL).cast("int").alias(f"b{k}") for k in (0, 1)]).where("b0 > 0 AND b1 > 0")
+    mine = lambda k: F.pmod(F.xxhash64("node"), F.col(f"b{k}")).cast("int")
+    every = lambda k: F.sequence(F.lit(0), F.col(f"b{k}") - 1)
+    rows = sides.join(n, "key")
+    rows = rows.withColumn("i", F.explode(F.when(F.col("side") == 0, F.array(mine(0))).otherwise(every(0)))).withColumn("j", F.explode(F.when(F.col("side") == 1, F.array(mine(1))).otherwise(every(1))))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "node"], ignore_index=True)
+        nodes, many, match, out = pdf["node"].to_numpy(), int((pdf["side"] == 0).sum()), compare(pdf["blob"].tolist()), []
+        for i in range(many if many < len(nodes) else 0):
+            near = np.flatnonzero(match(i)[many:] >= least)
+            out += [(nodes[i], nodes[many + near[0]])] if len(near) else []
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    met = rows.select("key", "i", "j", "side", "node").join(blobs.hint("merge"), "node").groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    return [*found, materialize(met, "links")]

@@ -142,23 +142,20 @@ def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, root): root is the least node of its component.
 
-    Alternating large-star and small-star steps over tables in the shared folder. Nodes without an
-    edge to another node are absent. Hub nodes only ever meet their own minimum, which is combined
-    before the shuffle; joins on a hub are left to adaptive skew handling.
+    Alternating large-star and small-star steps over tables in the shared folder, until every node hangs
+    on a root. Nodes without an edge to another node are absent. Hub nodes only ever meet their own
+    minimum, which is combined before the shuffle; joins on a hub are left to adaptive skew handling.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     while True:
-        seen = e.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-        if seen["n"] == 0 or (seen["n"], seen["x"]) == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark = (seen["n"], seen["x"])
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("c"), F.lit(0).alias("p")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("c"), F.lit(1).alias("p")))
+        if not ends.groupBy("x").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 OR (c > 0 AND p > 0)").take(1):
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large = materialize(large, "large")
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        small = large.join(least.hint("merge"), "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")

@@ -9,11 +9,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._links import links
+from prismlake.llm._links import links, overlaps
 from prismlake.llm._shared import components, materialize, mixed, utf8_rows
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.997.
 BANDS, ROWS = 8, 3
+#: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
+FINER = (24, 6)
 #: Bytes of one shingle of a normalised line; five fit into 40 bits exactly.
 WIDTH = 5
 #: Bytes handled at once.
@@ -42,8 +44,8 @@ def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value[keep[:n]], sizes - WIDTH + 1
 
 
-def _factors(bands: int, rows: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1)
+def _factors(bands: int, rows: int, level: int = 0) -> np.ndarray:
+    return np.random.default_rng([7, level]).integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.ndarray:
@@ -62,20 +64,36 @@ def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
-def jaccard():
+def jaccard(lines: list[bytes]):
     """Compare normalised lines by the exact Jaccard similarity of their shingle sets."""
+    own = tokens()
+    return overlaps(*zip(*map(own, lines), strict=True))
 
-    def match(one: bytes, others: list[bytes]) -> np.ndarray:
-        a = np.unique(shingles([one])[0])
-        out = np.zeros(len(others))
-        for i, x in enumerate(others):
-            b = np.unique(shingles([x])[0])
-            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-            same = int((a[at] == b).sum())
-            out[i] = same / (len(a) + len(b) - same)
-        return out
 
-    return match
+def tokens():
+    """The shingles of a line, all of one weight."""
+
+    def own(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+        t = np.unique(shingles([line])[0])
+        return t, np.ones(len(t))
+
+    return own
+
+
+def finer_bands(df: DataFrame) -> DataFrame:
+    """(bucket, node, bytes) of (node, blob) in FINER bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, rows = FINER
+        odd = _factors(bands, rows, 1)
+        for b in batches:
+            nodes, blobs = b.column("node").to_numpy(), b.column("blob").to_pylist()
+            for a in range(0, len(nodes), 256):
+                keys = buckets(blobs[a : a + 256], bands, rows, odd)
+                size = [len(x) for x in blobs[a : a + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[a : a + 256], bands)), pa.array(np.repeat(size, bands))], names=["bucket", "node", "bytes"])
+
+    return df.select("node", "blob").mapInArrow(run, "bucket long, node long, bytes long")
 
 
 def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -126,16 +144,16 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: i
     """
     every = materialize(lines(docs, bands, rows), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line", "uid"))
-    texts = every.where("key IS NOT NULL").groupBy("key").agg(first.alias("f"), F.count("*").alias("n"))
+    each = [first.alias("f"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes")]
+    texts = every.where("key IS NOT NULL").withColumn("bytes", F.length("norm").cast("long")).groupBy("key").agg(*each)
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    heads = texts.select("node", F.col("f.uid").alias("uid"), F.col("f.line").alias("line"))
-    members = materialize(every.select("uid", "line", "bands").join(heads, ["uid", "line"]).select("node", F.explode("bands").alias("bucket")), "bands")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(members.join(crowded, "bucket", "left_semi").distinct(), "candidates")
-    wanted = members.select("node").distinct().join(heads, "node")
-    blobs = materialize(every.select("uid", "line", F.col("norm").alias("blob")).join(wanted, ["uid", "line"]).select("node", "blob"), "blobs")
-    sized = materialize(members.join(blobs.select("node", F.length("blob").alias("bytes")), "node"), "sized")
-    root = components(links(sized, blobs, jaccard, least))
+    members = texts.select(F.explode("bands").alias("bucket"), "node", "bytes")
+
+    def payloads(nodes: DataFrame) -> DataFrame:
+        wanted = texts.select("node", F.col("f.uid").alias("uid"), F.col("f.line").alias("line")).join(nodes.hint("merge"), "node", "left_semi")
+        return every.select("uid", "line", F.col("norm").alias("blob")).join(wanted.hint("merge"), ["uid", "line"]).select("node", "blob")
+
+    root = components(links(members, payloads, jaccard, finer_bands, least))
     grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("f").alias("k"), F.sum("n").alias("n"))
     of = materialize(grouped.select("key", "root").join(kept.where("n > 1"), "root").select("key", "k"), "kept")

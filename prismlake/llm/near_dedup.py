@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._links import links
+from prismlake.llm._links import links, overlaps
 from prismlake.llm._shared import WordHash, components, materialize, mixed, shingle_hashes, utf8_rows, word_hashes
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.998.
 BANDS, ROWS = 12, 4
+#: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
+FINER = (24, 6)
 #: Document frequencies are counted for so many buckets of shingle hashes, whatever the corpus.
 BUCKETS = 1 << 20
 #: Entries of each table of random variates; a shingle and a sample number choose an entry.
@@ -71,9 +72,9 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return out, docs.count()
 
 
-def _variates(samples: int) -> tuple[np.ndarray, ...]:
+def _variates(samples: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """For the samples: an odd factor that chooses entries, and in tables gamma(2, 1) r, its inverse, ln of gamma(2, 1) c and uniform b."""
-    g = np.random.default_rng(20240229)
+    g = np.random.default_rng([20240229, level])
     odd = g.integers(1, 1 << 32, samples, np.uint64).astype(np.uint32) | np.uint32(1)
     r = g.gamma(2.0, 1.0, (samples, VARIATES)).astype(np.float32)
     return odd, r, 1 / r, np.log(g.gamma(2.0, 1.0, (samples, VARIATES))).astype(np.float32), g.random((samples, VARIATES), np.float32)
@@ -116,41 +117,78 @@ def banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def weighted_jaccard(idf) -> Callable:
-    """Compare sorted 32-bit shingles with repeats: sum of lesser weights over sum of greater ones, a weight being tf * idf."""
+def weighted_tokens(idf) -> Callable:
+    """Distinct shingles of a payload (sorted 32-bit hashes with repeats) and their weights, tf * idf."""
 
     def make():
         table = idf.value
-        cache: dict[int, tuple] = {}
-
-        def own(blob: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-            key = xxhash.xxh64_intdigest(blob)
-            if key not in cache:
-                if len(cache) > 256:
-                    cache.clear()
-                h, tf = np.unique(np.frombuffer(blob, np.uint32), return_counts=True)
-                w = tf * table[h & np.uint32(BUCKETS - 1)]
-                cache[key] = (h, w, float(w.sum()))
-            return cache[key]
-
-        def match(one: bytes, others: list[bytes]) -> np.ndarray:
-            h, w, total = own(one)
-            out = np.zeros(len(others))
-            for i, x in enumerate(others):
-                g, v, sum_ = own(x)
-                if not len(h) or not len(g):
-                    continue
-                at = np.minimum(np.searchsorted(h, g), len(h) - 1)
-                same = h[at] == g
-                low = float(np.minimum(w[at[same]], v[same]).sum())
-                out[i] = low / (total + sum_ - low)
-            return out
-
-        return match
+
+        def own(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+            h, tf = np.unique(np.frombuffer(blob, np.uint32), return_counts=True)
+            return h, tf * table[h & np.uint32(BUCKETS - 1)].astype(float)
+
+        return own
 
     return make
 
 
+def weighted_jaccard(idf) -> Callable:
+    def compare(blobs: list[bytes]):
+        own = weighted_tokens(idf)()
+        return overlaps(*zip(*map(own, blobs), strict=True))
+
+    return compare
+
+
+def finer_bands(idf) -> Callable:
+    """(bucket, node, bytes) of (node, blob) in FINER bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, rows = FINER
+        tables, own = _variates(bands * rows, 1), weighted_tokens(idf)()
+        for b in batches:
+            nodes, blobs = b.column("node").to_numpy(), b.column("blob").to_pylist()
+            for a in range(0, len(nodes), 64):
+                part = [own(x) for x in blobs[a : a + 64]]
+                keys = banded(signatures(np.concatenate([h for h, _ in part]), np.concatenate([w for _, w in part]), np.array([len(h) for h, _ in part]), tables), bands, rows)
+                size = [len(x) for x in blobs[a : a + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[a : a + 64], bands)), pa.array(np.repeat(size, bands))], names=["bucket", "node", "bytes"])
+
+    return lambda df: df.select("node", "blob").mapInArrow(run, "bucket long, node long, bytes long")
+
+
+def _payloads(docs: DataFrame, wanted: DataFrame, width: int, twice: bool) -> DataFrame:
+    """(node, blob): the sorted shingles, with repeats, of the texts in wanted (node, md5, doc_id), from a second look at docs.
+
+    A bitmap of fixed size (2 MB) tells nearly all other texts apart before they are shingled; the
+    join decides. However full the bitmap gets, the result is the same. twice: rows may be equal in
+    doc_id and text; they give the same payload.
+    """
+    bits = 1 << 24
+    h = F.xxhash64("md5", "doc_id")
+    at = F.pmod(h, F.lit(bits))
+    packed = wanted.select((at / 64).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    mask = np.zeros(bits // 64, np.uint64)
+    mask[packed.column("i").to_numpy()] = packed.column("b").to_numpy().view(np.uint64)
+    shared = wanted.sparkSession.sparkContext.broadcast(mask)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for b in batches:
+            at = b.column("at").to_numpy()
+            some = b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for first, s, tf, per in _shingles(some, known, width):
+                ends = np.cumsum(per)
+                blobs = [np.repeat(s[e - n : e], tf[e - n : e]).tobytes() for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
+                rest = some.slice(first, len(per))
+                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("md5"), pa.array(blobs, pa.binary())], names=["doc_id", "md5", "blob"])
+
+    own = docs.where("md5 IS NOT NULL").select("doc_id", "md5", at.alias("at"), "text").mapInArrow(build, "doc_id long, md5 string, blob binary").alias("d")
+    match = (F.col("d.md5") == F.col("w.md5")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    found = own.join(wanted.alias("w").hint("merge"), match).select("node", "blob")
+    return found.dropDuplicates(["node"]) if twice else found
+
+
 def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, md5) of every row, and of every distinct text its class: (md5, class_id, head, class_size), both written.
 
@@ -176,26 +214,26 @@ def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = B
                 w = tf * table[s & np.uint32(BUCKETS - 1)]
                 keys = banded(signatures(s, w, per, tables), bands, rows) if len(has) else np.zeros((0, bands), np.int64)
                 lists: list[np.ndarray | None] = [None] * len(per)
-                blobs: list[bytes | None] = [None] * len(per)
-                ends = np.cumsum(per)
                 for j, i in enumerate(has.tolist()):
                     lists[i] = keys[j]
-                    blobs[i] = np.repeat(s[ends[i] - per[i] : ends[i]], tf[ends[i] - per[i] : ends[i]]).tobytes()
+                size = np.diff(np.concatenate([[0], np.cumsum(tf)])[np.concatenate([[0], np.cumsum(per)])]) * 4
                 rest = b.slice(first, len(per))
-                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("uid", "doc_id", "md5")), pa.array(lists, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["uid", "doc_id", "md5", "bands", "blob"])
+                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("uid", "doc_id", "md5")), pa.array(lists, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["uid", "doc_id", "md5", "bands", "bytes"])
 
-    own = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), "text")
-    signed = materialize(own.mapInArrow(sign, "uid long, doc_id long, md5 string, bands array<long>, blob binary"), "signed")
+    md5 = F.md5(F.col("text").cast("binary")).alias("md5")
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", md5, "text")
+    signed = materialize(own.mapInArrow(sign, "uid long, doc_id long, md5 string, bands array<long>, bytes long"), "signed")
     # one node for each distinct text: the least uid of its rows
-    texts = materialize(signed.where("md5 IS NOT NULL").groupBy("md5").agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts")
-    heads = texts.select("node")
-    members = materialize(signed.select(F.col("uid").alias("node"), "bands").join(heads, "node", "left_semi").select("node", F.explode("bands").alias("bucket")), "bands")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(members.join(crowded, "bucket", "left_semi").distinct(), "candidates")
-    blobs = signed.select(F.col("uid").alias("node"), "blob").join(members.select("node").distinct(), "node", "left_semi")
-    blobs = materialize(blobs, "blobs")
-    sized = materialize(members.join(blobs.select("node", F.length("blob").alias("bytes")), "node"), "sized")
-    root = components(links(sized, blobs, weighted_jaccard(idf), least))
+    each = [F.min("uid").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes")]
+    texts = materialize(signed.where("md5 IS NOT NULL").groupBy("md5").agg(*each), "texts")
+    members = texts.select(F.explode("bands").alias("bucket"), "node", "bytes")
+    twice = bool(signed.where("md5 IS NOT NULL").groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").take(1))
+
+    def payloads(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "md5", "doc_id"), "wanted")
+        return _payloads(docs.select("doc_id", md5, "text"), wanted, width, twice)
+
+    root = components(links(members, payloads, weighted_jaccard(idf), finer_bands(idf), least))
     grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("md5").alias("head")))
     heads = grouped.groupBy("root").agg(first.alias("f"), F.sum("n").alias("class_size"))
