@@ -133,7 +133,7 @@ def test_vector_search_zero_vectors_threshold_and_ties(spark):
 
 
 def test_typos_one_edit_only(spark):
-    rows = spark.createDataFrame([(1, "a house there"), (2, "a hose there"), (3, "a hosue there"), (4, "HOUSES"), (5, None), (6, "")], "file_id long, text string")
+    rows = spark.createDataFrame([(1, "a house there"), (2, "a hous there"), (3, "a hosue there"), (4, "HOUSES"), (5, None), (6, "")], "file_id long, text string")
     assert sorted(r["file_id"] for r in search.typo_hits(rows, "house cat").collect()) == [1, 2, 4]
     assert search.typo_hits(rows, "cat").count() == 0
     assert search.query_terms("ﬁne  a-b_c!") == ["fine", "ab_c"]
