@@ -133,7 +133,7 @@ def licensed(files: DataFrame, path: Column, text: str = "text", least: float =
     """
     found = materialize(scan(files, path, text, least), "notices")
     dirs = found.where("is_file AND path IS NOT NULL").select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "licence", "cosine")
-    best = F.max_by("licence", F.struct("cosine", F.col("licence")))
+    best = F.min_by("licence", F.struct((-F.round("cosine", 9)).alias("c"), "licence"))
     dirs = materialize(dirs.groupBy("dir").agg(best.alias("dir_licence")), "directories")
     bare = found.where("licence IS NULL AND path IS NOT NULL")
     parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")

@@ -244,11 +244,13 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
     kept, terms = fit(docs, labels, examples=examples)
     drop = ("ids", "tf", "score", "predicted", "evidence", "_row")
     names = [c for c in docs.columns if c not in drop]
-    counted = term_counts(docs.select(*names), terms, keep_text=keep_text)
-    if not keep_text:  # small: written once, read for frequencies and for scores
-        counted = materialize(counted, "terms")
-    df = {r["i"]: r["n"] for r in counted.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
-    n = counted.count()
+    counted = seen = term_counts(docs.select(*names), terms, keep_text=keep_text)
+    if keep_text:  # texts aren't written for this: they are looked at twice
+        seen = term_counts(docs.select("doc_id", "text"), terms)
+    else:  # small: written once, read for frequencies and for scores
+        counted = seen = materialize(counted, "terms")
+    df = {r["i"]: r["n"] for r in seen.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
+    n = docs.count()
     idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
     rows = term_counts(kept, terms).orderBy("doc_id").collect()  # at most `examples` short lists
     model = Model(terms, idf, [(r["doc_id"], np.array(r["ids"], np.int64), np.array(r["tf"], float), r["toxic"]) for r in rows], k)

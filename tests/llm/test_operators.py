@@ -363,7 +363,7 @@ def test_near_duplicates_odd_rows(spark):
 
 def test_licences_and_inheritance(spark):
     mit = licences.TEMPLATES["MIT"][2]
-    rows = [(1, "r/LICENSE", mit), (2, "r/src/a.c", "int main"), (3, "r/sub/COPYING", "Licensed under the Apache License, Version 2.0."), (4, "r/sub/deep/er/b.c", "x"), (5, "r/sub/c.c", "code\nmore code here\nReleased under the MIT License."), (6, "q/d.c", "nothing"), (7, None, "x"), (8, "r/e.c", None), (9, "r/src/f.c", "This is free of charge and the public may publish it.")]
+    rows = [(1, "r/LICENSE", mit), (2, "r/src/a.c", "int main"), (3, "r/sub/COPYING", "Licensed under the Apache License, Version 2.0."), (4, "r/sub/deep/er/b.c", "x"), (5, "r/sub/c.c", "code\nmore code here of several words\nReleased under the MIT License."), (6, "q/d.c", "nothing"), (7, None, "x"), (8, "r/e.c", None), (9, "r/src/f.c", "This is free of charge and the public may publish it.")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     got = {r["doc_id"]: (r["licence"], r["how"]) for r in licences.licensed(df, F.col("path")).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 5: ("MIT", "own"), 6: (None, None), 7: (None, None), 8: ("MIT", "inherited"), 9: ("MIT", "inherited")}
