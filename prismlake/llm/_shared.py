@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, blanks the rest.
 WORD_BYTES = bytes(
@@ -139,6 +139,21 @@ def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     return cut.withColumn(name, (F.col("_at") + pairs[F.col("_part")]).cast("long")).drop("_part", "_at")
 
 
+def bitmap(hashes: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """A table (i, word) of at most bits / 64 rows with a bit set for each hash `h`: a filter of fixed size for `in_bitmap`."""
+    at = F.pmod(F.col("h"), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+    return materialize(hashes.select((at / 64).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("word")), "bitmap")
+
+
+def in_bitmap(df: DataFrame, h: Column, packed: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows of df whose hash may be among those of the bitmap: all that are, and others as the bitmap fills."""
+    at = F.pmod(h, F.lit(bits))
+    rows = df.withColumn("_at", at).withColumn("i", (F.col("_at") / 64).cast("int"))
+    hit = rows.join(F.broadcast(packed), "i")  # at most 262,144 rows, whatever the input
+    return hit.where(F.call_function("shiftright", "word", (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, root): root is the least node of its component.
 

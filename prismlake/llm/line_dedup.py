@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from prismlake.llm._links import links, overlaps
-from prismlake.llm._shared import components, materialize, mixed, utf8_rows
+from prismlake.llm._shared import bitmap, components, in_bitmap, materialize, mixed, utf8_rows
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.997.
 BANDS, ROWS = 8, 3
@@ -96,21 +96,22 @@ def finer_bands(df: DataFrame) -> DataFrame:
     return df.select("node", "blob").mapInArrow(run, "bucket long, node long, bytes long")
 
 
+def _digest(norm: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(norm)
+
+
 def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every line of every text: (uid, doc_id, line, key, norm, bands); key and what follows are null for blank lines."""
+    """Every line of every text: (uid, doc_id, line, key, bands, bytes); key and what follows are null for blank lines."""
+    kinds = {"uid": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "key": pa.binary(), "bands": pa.list_(pa.int64()), "bytes": pa.int64()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _factors(bands, rows)
-        names = ["uid", "doc_id", "line", "key", "norm", "bands"]
 
         def out(held: list[tuple]) -> pa.RecordBatch:
             full = [h[3] for h in held if h[3]]
             own = iter(buckets(full, bands, rows, odd)) if full else iter(())
-            keys = [xxhash.xxh3_128_digest(h[3]) if h[3] else None for h in held]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int32()), pa.array(keys, pa.binary()), pa.array([h[3] or None for h in held], pa.binary()), pa.array([next(own) if h[3] else None for h in held], pa.list_(pa.int64()))],
-                names=names,
-            )
+            columns = [[h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [_digest(h[3]) if h[3] else None for h in held], [next(own) if h[3] else None for h in held], [len(h[3]) for h in held]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
         for b in batches:
             held, size = [], 0
@@ -128,7 +129,34 @@ def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 yield out(held)
 
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return own.mapInArrow(split, "uid long, doc_id long, line int, key binary, norm binary, bands array<long>")
+    return own.mapInArrow(split, "uid long, doc_id long, line int, key binary, bands array<long>, bytes long")
+
+
+def _payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, blob): normalised lines of wanted (node, key), from a second look at docs.
+
+    A bitmap of fixed size tells nearly all other lines apart, a task gives a line once as far as it remembers,
+    and the join and a grouping decide; however full the bitmap gets, the result is the same.
+    """
+    mask = bitmap(wanted.select(F.xxhash64("key").alias("h")))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            keys, norms = [], []
+            for t in utf8_rows(b.column("text")):
+                for line in t.split(b"\n") if t else ():
+                    if (norm := normal(line)) and (k := _digest(norm)) not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(k)
+                        keys.append(k)
+                        norms.append(norm)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(norms, pa.binary())], names=["key", "blob"])
+
+    found = in_bitmap(docs.select("text").mapInArrow(build, "key binary, blob binary"), F.xxhash64("key"), mask)
+    found = found.join(wanted.hint("merge"), "key").select("node", "blob")
+    return found.groupBy("node").agg(F.any_value("blob").alias("blob"))
 
 
 def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -144,15 +172,17 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: i
     """
     every = materialize(lines(docs, bands, rows), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line", "uid"))
-    each = [first.alias("f"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes")]
-    texts = every.where("key IS NOT NULL").withColumn("bytes", F.length("norm").cast("long")).groupBy("key").agg(*each)
+    texts = every.where("key IS NOT NULL").groupBy("key").agg(first.alias("f"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    members = texts.select(F.explode("bands").alias("bucket"), "node", "bytes")
 
     def payloads(nodes: DataFrame) -> DataFrame:
-        wanted = texts.select("node", F.col("f.uid").alias("uid"), F.col("f.line").alias("line")).join(nodes.hint("merge"), "node", "left_semi")
-        return every.select("uid", "line", F.col("norm").alias("blob")).join(wanted.hint("merge"), ["uid", "line"]).select("node", "blob")
+        wanted = materialize(texts.select("node", "key").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
+        return _payloads(docs, wanted)
 
+    members = texts.select(F.explode("bands").alias("bucket"), "node")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    members = materialize(members.join(crowded.hint("merge"), "bucket", "left_semi"), "candidates")
+    members = members.join(texts.select("node", "bytes").hint("merge"), "node")
     root = components(links(members, payloads, jaccard, finer_bands, least))
     grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("f").alias("k"), F.sum("n").alias("n"))
