@@ -62,7 +62,8 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS // parts, np.int64)
         for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.int32) if at else slice(None)] += np.frombuffer(n, np.int32)
+            if n:
+                total[np.frombuffer(at, np.int32) if at else slice(None)] += np.frombuffer(n, np.int32)
         return pd.DataFrame({"part": [key[0]], "n": [total.tobytes()]})
 
     some = docs.select("text").mapInArrow(count, "part long, at binary, n binary")
@@ -72,6 +73,16 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return out, docs.count()
 
 
+def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
+    """ln(1 + n / df), as far as df is above a third of all documents; below that all weigh 1.
+
+    A large family of near copies makes its own shingles frequent. Were they to weigh less for that, its
+    members' few own words would outweigh what they share, so only what more documents have
+    than any such family may hold weighs less.
+    """
+    return (np.minimum(np.log1p(max(n, 1) / np.maximum(df, 1)), np.log(4)) / np.log(4)).astype(np.float32)
+
+
 def _variates(samples: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """For the samples: an odd factor that chooses entries, and in tables gamma(2, 1) r, its inverse, ln of gamma(2, 1) c and uniform b."""
     g = np.random.default_rng([20240229, level])
@@ -118,14 +129,14 @@ def banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def weighted_tokens(idf) -> Callable:
-    """Distinct shingles of a payload (sorted 32-bit hashes with repeats) and their weights, tf * idf."""
+    """Distinct shingles of a payload (sorted 32-bit hashes with repeats) and their weights, (1 + ln tf) * idf."""
 
     def make():
         table = idf.value
 
         def own(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
             h, tf = np.unique(np.frombuffer(blob, np.uint32), return_counts=True)
-            return h, tf * table[h & np.uint32(BUCKETS - 1)].astype(float)
+            return h, (1 + np.log(tf)) * table[h & np.uint32(BUCKETS - 1)]
 
         return own
 
@@ -196,7 +207,8 @@ def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = B
     they meet in a band and their weighted Jaccard similarity is `least` or more, computed
     on all their shingles; classes are the connected components of links. Words are lower-cased runs
     of letters and digits; shingles are `width` words, or all words of a shorter text. The weight of a
-    shingle is its count times ln(N / df) + 1, df being counted over all documents in 2^20 hash buckets.
+    shingle is 1 + ln of its count, times its inverse document frequency (see `inverse_frequencies`), counted
+    over all documents in 2^20 hash buckets.
     class_id is the least doc_id of the class (null only if all its doc_ids are null), head the text that has it.
 
     Null texts are one class each to themselves by their doc_id; empty texts and texts without words
@@ -204,14 +216,14 @@ def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = B
     """
     spark = docs.sparkSession
     df, n = document_frequencies(docs, width)
-    idf = spark.sparkContext.broadcast((np.log(max(n, 1) / np.maximum(df, 1)) + 1).astype(np.float32))  # 4 MB
+    idf = spark.sparkContext.broadcast(inverse_frequencies(df, n))  # 4 MB
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, known, table = _variates(bands * rows), WordHash(), idf.value
         for b in batches:
             for first, s, tf, per in _shingles(b, known, width):
                 has = np.flatnonzero(per > 0)
-                w = tf * table[s & np.uint32(BUCKETS - 1)]
+                w = (1 + np.log(tf)) * table[s & np.uint32(BUCKETS - 1)]
                 keys = banded(signatures(s, w, per, tables), bands, rows) if len(has) else np.zeros((0, bands), np.int64)
                 lists: list[np.ndarray | None] = [None] * len(per)
                 for j, i in enumerate(has.tolist()):
