@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from prismlake.llm._links import links, overlaps
 from prismlake.llm._shared import bitmap, components, in_bitmap, materialize, mixed, utf8_rows
 
-#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.997.
-BANDS, ROWS = 8, 3
+#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.98, one of 0.85 with 0.995.
+#: Fewer rows would let most lines of one language meet by chance.
+BANDS, ROWS = 10, 5
 #: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
 FINER = (24, 6)
 #: Bytes of one shingle of a normalised line; five fit into 40 bits exactly.
