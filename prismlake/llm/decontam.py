@@ -52,15 +52,19 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols above 0, in which 0 ends every piece."""
+    """Backward search over a sequence of symbols above 0, in which 0 ends every piece.
+
+    Inside, every symbol is one more, and a single 0 ends the whole: repeats of a block then differ in where they end.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = SAMPLE):
-        n, self.n = len(text), len(text)
+        text = np.append(text + 1, 0)
+        self.n = len(text)
         order = suffix_order(text)
         bwt = text[order - 1]
-        self.bits = max(1, int(symbols).bit_length())
+        self.bits = int(symbols + 1).bit_length()
         self.tree = WaveletTree(bwt, self.bits)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 2))])
         kept = order % sample == 0
         self.kept_before = np.concatenate([[0], np.cumsum(kept)])
         self.kept, self.kept_at = kept, order[kept]
@@ -73,7 +77,7 @@ class FMIndex:
             step = alive[lengths[alive] >= phrases.shape[1] - j]
             if not len(step):
                 break
-            c = phrases[step, j]
+            c = phrases[step, j] + 1
             low[step] = self.below[c] + self.tree.rank(c, low[step])
             high[step] = self.below[c] + self.tree.rank(c, high[step])
             alive = alive[high[alive] > low[alive]]
@@ -91,11 +95,11 @@ class FMIndex:
             symbol, before = self.tree.get(at[todo])
             at[todo] = self.below[symbol] + before
             steps += 1
-        return out % self.n
+        return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of a circular text in order, by doubling the compared length."""
+    """Starts of the suffixes of a text in order, by doubling the compared length; its last symbol occurs nowhere else."""
     n = len(text)
     rank, width = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while True:
@@ -104,7 +108,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank[order] = new
         width *= 2
-        if new[-1] == n - 1 or width >= 2 * n:
+        if new[-1] == n - 1:
             return order
 
 

@@ -458,6 +458,28 @@ def test_fm_index_counts_and_locates():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+@pytest.mark.parametrize("size", [5, 13, 20])
+@pytest.mark.parametrize("copies", [2, 3, 8])
+def test_fm_index_of_equal_stretches(size, copies):
+    text = np.array([*range(1, size + 1), 0] * copies)
+    order = decontam.suffix_order(np.append(text + 1, 0))
+    assert order.tolist() == sorted(range(len(text) + 1), key=lambda i: [*(text[i:] + 1), 0])
+    index = decontam.FMIndex(text, size)
+    low, high = index.search(np.array([[2, 3, 4]]), np.array([3]))
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == [1 + i * (size + 1) for i in range(copies)]
+
+
+@pytest.mark.parametrize("size", [5, 13, 20])
+def test_copies_of_one_leak_are_all_found(spark, size):
+    leak = " ".join(f"w{i}" for i in range(size))
+    b = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    for copies in (2, 3, 8):
+        same = docs(spark, *[leak] * copies).coalesce(1)
+        assert [(r["n_hit"], r["n_items"]) for r in decontam.op10_fm_index(same, b).collect()] == [(size, 1)] * copies
+        inside = docs(spark, *[f"other {leak} words {i}" for i in range(copies)]).coalesce(1)
+        assert [(r["n_words"], r["n_hit"]) for r in decontam.op10_fm_index(inside, b).collect()] == [(size + 3, size)] * copies
+
+
 def test_decontamination_odd_rows(spark, monkeypatch):
     b = spark.createDataFrame([("q1", "Some TEXT"), ("q1", "two three"), ("q2", None), (None, "one"), ("q3", "  "), ("q4", "lang lang")], "item_id string, text string")
     rows = decontam.op10_fm_index(odd(spark), b).collect()
