@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._links import links, overlaps
+from prismlake.llm._links import links
 from prismlake.llm._shared import bitmap, components, in_bitmap, materialize, mixed, utf8_rows
 
-#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.98, one of 0.85 with 0.995.
+#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.9996.
 #: Fewer rows would let most lines of one language meet by chance.
-BANDS, ROWS = 10, 5
+BANDS, ROWS = 20, 5
+#: Bands whose buckets are counted at once.
+BANDS_AT_ONCE = 5
 #: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
 FINER = (24, 6)
 #: Bytes of one shingle of a normalised line; five fit into 40 bits exactly.
 WIDTH = 5
 #: Bytes handled at once.
 AT_ONCE = 1 << 16
+#: Cells of the incidence matrix that one product takes.
+CELLS = 1 << 22
 
 
 def normal(line: bytes) -> bytes:
@@ -67,18 +72,26 @@ def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.nd
 
 def jaccard(lines: list[bytes]):
     """Compare normalised lines by the exact Jaccard similarity of their shingle sets."""
-    own = tokens()
-    return overlaps(*zip(*map(own, lines), strict=True))
-
-
-def tokens():
-    """The shingles of a line, all of one weight."""
-
-    def own(line: bytes) -> tuple[np.ndarray, np.ndarray]:
-        t = np.unique(shingles([line])[0])
-        return t, np.ones(len(t))
-
-    return own
+    n = len(lines)
+    token, per = shingles(lines)
+    owner = np.repeat(np.arange(n, dtype=np.int32), per)
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])
+    first = fresh | np.concatenate([[True], owner[1:] != owner[:-1]])
+    term, owner = (np.cumsum(fresh) - 1)[first], owner[first]
+    total = np.bincount(owner, minlength=n)
+    shared = np.bincount(term)[term] > 1  # shingles of one line only add to its total
+    term, owner = np.unique(term[shared], return_inverse=True)[1], owner[shared]
+    both, width = np.zeros((n, n)), max(CELLS // n, 1)
+    for a in range(0, int(term[-1]) + 1 if len(term) else 0, width):
+        lo, hi = np.searchsorted(term, [a, a + width])
+        has = np.zeros((n, min(width, int(term[-1]) + 1 - a)), np.float32)
+        has[owner[lo:hi], term[lo:hi] - a] = 1
+        both += has @ has.T
+    np.fill_diagonal(both, total)
+    s = both / (total[:, None] + total - both)
+    return lambda i: s[i]
 
 
 def finer_bands(df: DataFrame) -> DataFrame:
@@ -102,15 +115,18 @@ def _digest(norm: bytes) -> bytes:
 
 
 def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every line of every text: (uid, doc_id, line, key, bands, bytes); key and what follows are null for blank lines."""
-    kinds = {"uid": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "key": pa.binary(), "bands": pa.list_(pa.int64()), "bytes": pa.int64()}
+    """Every line of every text: (uid, doc_id, line, key, bands, bytes); key and what follows are null for blank lines.
+
+    Of a bucket's hash 32 bits are kept in each band: others that meet so are told apart when they are compared.
+    """
+    kinds = {"uid": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "key": pa.binary(), "bands": pa.list_(pa.int32()), "bytes": pa.int64()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _factors(bands, rows)
 
         def out(held: list[tuple]) -> pa.RecordBatch:
             full = [h[3] for h in held if h[3]]
-            own = iter(buckets(full, bands, rows, odd)) if full else iter(())
+            own = iter((buckets(full, bands, rows, odd) >> 32).astype(np.int32)) if full else iter(())
             columns = [[h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [_digest(h[3]) if h[3] else None for h in held], [next(own) if h[3] else None for h in held], [len(h[3]) for h in held]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
@@ -130,7 +146,7 @@ def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 yield out(held)
 
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return own.mapInArrow(split, "uid long, doc_id long, line int, key binary, bands array<long>, bytes long")
+    return own.mapInArrow(split, "uid long, doc_id long, line int, key binary, bands array<int>, bytes long")
 
 
 def _payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -180,9 +196,13 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: i
         wanted = materialize(texts.select("node", "key").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
         return _payloads(docs, wanted)
 
-    members = texts.select(F.explode("bands").alias("bucket"), "node")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = materialize(members.join(crowded.hint("merge"), "bucket", "left_semi"), "candidates")
+    candidates = []
+    for at in range(0, bands, BANDS_AT_ONCE):  # one after another, so that memory holds few bands
+        some = texts.select(F.posexplode(F.slice("bands", at + 1, BANDS_AT_ONCE)).alias("band", "h"), "node")
+        some = some.select(((F.col("band") + at).cast("long") * (1 << 32) + F.col("h")).alias("bucket"), "node")
+        crowded = some.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+        candidates.append(materialize(some.join(crowded.hint("merge"), "bucket", "left_semi"), "candidates"))
+    members = reduce(DataFrame.union, candidates)
     members = members.join(texts.select("node", "bytes").hint("merge"), "node")
     root = components(links(members, payloads, jaccard, finer_bands, least))
     grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -301,6 +301,31 @@ def test_fuzzy_lines_equal_brute_force(spark, sf):
     assert all(r["keep"] == ((r["doc_id"], r["line"]) == (r["kept_doc_id"], r["kept_line"])) for r in rows)
 
 
+def test_lines_at_the_threshold_meet():
+    rnd, a, b = random.Random(11), [], []
+    while len(a) < 4000:
+        x = bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz ", k=90))
+        y = x[: rnd.randrange(71, 78)] + bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz ", k=4))
+        p, q = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
+        if 0.8 <= len(p & q) / len(p | q) <= 0.82:
+            a.append(x)
+            b.append(y)
+    odd_ = line_dedup._factors(line_dedup.BANDS, line_dedup.ROWS)
+    met = [(line_dedup.buckets(z, line_dedup.BANDS, line_dedup.ROWS, odd_)) for z in (a, b)]
+    assert ((met[0] == met[1]).any(axis=1)).mean() >= 0.998
+
+
+def test_line_similarity_is_exact(monkeypatch):
+    rnd = random.Random(12)
+    texts = [bytes(rnd.choices(b"ab", k=rnd.choice([1, 3, 5, 9, 40]))) for _ in range(60)]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    want = [[len(p & q) / len(p | q) for q in sets] for p in sets]
+    for cells in (1, 300, 1 << 22):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        match = line_dedup.jaccard(texts)
+        assert np.allclose([match(i) for i in range(60)], want, rtol=0, atol=1e-12)
+
+
 def test_lines_odd_rows(spark):
     rows = line_dedup.op6_fuzzy_lines(odd(spark)).collect()
     assert sum(r["keep"] for r in rows if r["doc_id"] == 1) == 2 and sum(r["keep"] for r in rows if r["doc_id"] == 6) == 2
