@@ -13,13 +13,20 @@ from prismlake.llm._shared import materialize
 
 _MARKS = re.compile(r"^(?:[ \t]*>)+")
 _INTRO = re.compile(r"^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$")
-#: Passages of fewer words are too common to tell where they come from.
+#: Passages of fewer words are too common to tell which conversation they come from.
 LEAST_WORDS = 3
 
 
 def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
     """A message's own text, and its quoted passages: (level, passage) of consecutive lines with as many quote marks."""
+    own, _, quoted = parts(text)
+    return own, quoted
+
+
+def parts(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
+    """As `passages`, with the own text also cut where quotes were removed."""
     own: list[str] = []
+    cuts: list[int] = []
     quoted: list[tuple[int, list[str]]] = []
     last = 0
     for line in text.split("\n"):
@@ -33,8 +40,17 @@ def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
             if own and not last and _INTRO.match(own[-1]):
                 own.pop()  # the line that says who is quoted
             quoted.append((level, [line[m.end() :]]))
+            cuts.append(len(own))
         last = level
-    return "\n".join(own).strip("\n"), [(k, "\n".join(x)) for k, x in quoted]
+    pieces = ["\n".join(own[a:b]) for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if a < b]
+    return "\n".join(own).strip("\n"), pieces, [(k, "\n".join(x)) for k, x in quoted]
+
+
+def grains(passage: str) -> set[str]:
+    """What a passage may be quoted by: itself, its paragraphs, lines and sentences, normalised."""
+    paragraphs = re.split(r"\n\s*\n", passage)
+    sentences = [x for p in paragraphs for x in re.split(r"(?<=[.!?])\s+", p)]
+    return {n for x in (passage, *paragraphs, *passage.split("\n"), *sentences) if (n := normal(x))}
 
 
 def normal(passage: str) -> str:
@@ -42,52 +58,60 @@ def normal(passage: str) -> str:
     return " ".join(re.findall(r"\w+", passage.lower()))
 
 
-def _hash(passage: str) -> bytes | None:
-    n = normal(passage)
-    return xxhash.xxh3_128_digest(n.encode("utf-8", "replace")) if n.count(" ") + 1 >= LEAST_WORDS else None
+def _hash(norm: str) -> bytes:
+    return xxhash.xxh3_128_digest(norm.encode("utf-8", "replace"))
+
+
+def _asked(quoted: str) -> list[dict]:
+    """The grains of a quoted passage; those of few words only if it has no others."""
+    whole = normal(quoted)
+    size = {n: n.count(" ") + 1 for n in grains(quoted)}
+    return [{"hash": _hash(n), "words": k} for n, k in sorted(size.items()) if k >= LEAST_WORDS or n == whole]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, quotes, said = [], [], []
         for t in b.column("text").to_pylist():
-            own, quoted = passages(t or "")
+            own, pieces, quoted = parts(t or "")
             text.append(None if t is None else own)
-            quotes.append([{"level": k, "hash": h} for k, q in quoted if (h := _hash(q))])
-            # a message may be quoted as a whole, by paragraph or by line
-            parts = {own, *re.split(r"\n\s*\n", own), *own.split("\n")}
-            said.append(sorted({h for p in parts if (h := _hash(p))}))
-        kinds = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))
+            quotes.append([{"level": k, "grains": g} for k, q in quoted if (g := _asked(q))])
+            said.append(sorted({_hash(n) for p in (own, *pieces) for n in grains(p)}))
+        kinds = pa.list_(pa.struct([("level", pa.int32()), ("grains", pa.list_(pa.struct([("hash", pa.binary()), ("words", pa.int32())])))]))
         yield pa.RecordBatch.from_arrays([*b.select(["conv_id", "turn", "role"]).columns, pa.array(text, pa.string()), pa.array(quotes, kinds), pa.array(said, pa.list_(pa.binary()))], names=["conv_id", "turn", "role", "text", "quotes", "said"])
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, parent_conv, parent_turn, thread_conv, depth, path, quotes, linked) of every message.
 
-    text is without quoted lines and the lines that announce them. Each quoted passage is normalised,
-    hashed and joined to the messages that say it, as a whole, in a paragraph or in a line: first to
-    the latest earlier turn of the same conversation, else to the first message with it in another
-    one. The message of the lowest quote level found is the parent (ties: the first quoted). path is
+    text is without quoted lines and the lines that announce them. Each quoted passage, its paragraphs,
+    lines and sentences are normalised, hashed and joined to the messages that say them as a whole, between
+    removed quotes, in a paragraph, a line or a sentence: first to the latest earlier turn of the same
+    conversation, else to the first message with it in an earlier one. The longest match of a passage
+    counts. The message of the lowest quote level found is the parent (ties: the first quoted). path is
     the chain of (conv_id, turn) from the thread's first message down, so sorting by thread_conv and path
     gives each thread in reply order; messages without a found quote are heads in their turn order.
 
-    Passages of under three words are not linked. Null texts stay null; messages with null conv_id or turn
+    Passages of under three words are linked as a whole within their conversation only. Null texts stay null; messages with null conv_id or turn
     are heads and never parents; repeated rows are rows of one message. Hot passages are counted and
     reduced to one candidate for each conversation before they are joined.
     """
-    rows = materialize(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").cast("string")).mapInArrow(_parsed, "conv_id long, turn long, role string, text string, quotes array<struct<level: int, hash: binary>>, said array<binary>"), "messages")
+    rows = materialize(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").cast("string")).mapInArrow(_parsed, "conv_id long, turn long, role string, text string, quotes array<struct<level: int, grains: array<struct<hash: binary, words: int>>>>, said array<binary>"), "messages")
     key = "conv_id IS NOT NULL AND turn IS NOT NULL"
-    asked = rows.where(key).where("size(quotes) > 0").select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
+    asked = rows.where(key).where("size(quotes) > 0").select("conv_id", "turn", F.posexplode("quotes").alias("at", "q"))
+    asked = asked.select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.explode("q.grains").alias("g")).select("conv_id", "turn", "at", "level", "g.hash", "g.words")
     asked = materialize(asked.distinct(), "quotes")
     said = rows.where(key).select("conv_id", "turn", F.explode("said").alias("hash"))
     said = materialize(said.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns")), "said")
-    near = asked.join(said, ["hash", "conv_id"]).select("conv_id", "turn", "at", "level", F.col("conv_id").alias("parent_conv"), F.array_max(F.filter("turns", lambda t: t < F.col("turn"))).alias("parent_turn")).where("parent_turn IS NOT NULL")
+    near = asked.join(said, ["hash", "conv_id"]).select(*asked.columns, F.col("conv_id").alias("parent_conv"), F.array_max(F.filter("turns", lambda t: t < F.col("turn"))).alias("parent_turn")).where("parent_turn IS NOT NULL")
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", F.array_min("turns").alias("turn"))).alias("o"))
-    rest = asked.join(near.select("conv_id", "turn", "at"), ["conv_id", "turn", "at"], "left_anti")
-    far = rest.join(first, "hash").where("o.conv_id <> conv_id").select("conv_id", "turn", "at", "level", F.col("o.conv_id").alias("parent_conv"), F.col("o.turn").alias("parent_turn"))
+    quote = ["conv_id", "turn", "at", "level"]
+    rest = asked.where(F.col("words") >= LEAST_WORDS).join(near.select(*quote, "hash"), [*quote, "hash"], "left_anti")
     # a message in an earlier conversation only, so that chains end
-    far = far.where("parent_conv < conv_id")
-    found = near.union(far)
+    far = rest.join(first, "hash").where("o.conv_id < conv_id").select(*asked.columns, F.col("o.conv_id").alias("parent_conv"), F.col("o.turn").alias("parent_turn"))
+    found = near.withColumn("far", F.lit(0)).union(far.withColumn("far", F.lit(1)))
+    longest = F.min(F.struct((-F.col("words")).alias("w"), "far", (-F.col("parent_turn")).alias("t"), "parent_conv", "parent_turn")).alias("b")
+    found = found.groupBy(*quote).agg(longest).select(*quote, "b.parent_conv", "b.parent_turn")
     parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "at", "parent_conv", "parent_turn")).alias("p"), F.count("*").alias("linked"))
     parents = materialize(parents.select("conv_id", "turn", F.col("p.parent_conv").alias("parent_conv"), F.col("p.parent_turn").alias("parent_turn"), "linked"), "parents")
     # chains up to the head, doubled in each round

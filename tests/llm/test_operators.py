@@ -166,6 +166,27 @@ def test_quotes_link_and_order(spark):
     assert [(r["conv_id"], r["turn"]) for r in one] == [(1, 0), (1, 2), (1, 3), (1, 1), (2, 0)]
 
 
+def test_partial_and_inline_quotes_link(spark):
+    five = "The first line stands here.\nA second line follows it.\nThe third line is in the middle\nand runs on to a fourth.\nHere the fifth line ends."
+    three = "Alpha beta gamma\ndelta epsilon.\n\nZeta eta theta\niota kappa.\n\nLambda mu nu\nxi omicron."
+    rows = [
+        (1, 0, "user", five), (1, 1, "user", three),
+        (1, 2, "user", "> A second line follows it.\n> The third line is in the middle\ntwo lines of a paragraph"),
+        (1, 3, "user", "> Alpha beta gamma\n> delta epsilon.\n>\n> Zeta eta\n> theta iota kappa.\ntwo paragraphs of three"),
+        (1, 4, "user", "> A second line follows it.\n> Here the fifth line ends.\nmy answer comes first\n> Lambda mu nu\n> xi omicron.\nthen there is more\nof the same kind"),
+        (1, 5, "user", "> then there is more of the same kind\nto a message that was answered inline itself"),
+        (1, 6, "user", "Certainly not"), (1, 7, "user", "> Certainly not\nshort, but of this conversation"),
+        (1, 8, "user", "One sentence here. Another sentence there! A third one."), (1, 9, "user", "> Another sentence there!\none sentence"),
+        (1, 10, "user", "> no one ever said this\n> Certainly not\nlines of few words don't link a longer passage"),
+        (2, 0, "user", "> Certainly not\nshort, and of no conversation"), (2, 1, "user", "A second line follows it."),
+        (2, 2, "user", "> A second line follows it.\n> The third line is in the middle\n> and runs on to a fourth.\n> Here the fifth line ends.\nlonger elsewhere"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quoting.op3_quote_links(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    up = {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items() if r["parent_conv"] is not None}
+    assert up == {(1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 0), (1, 5): (1, 4), (1, 7): (1, 6), (1, 9): (1, 8), (2, 2): (1, 0)}
+    assert (got[1, 4]["quotes"], got[1, 4]["linked"]) == (2, 2) and got[1, 4]["text"] == "my answer comes first\nthen there is more\nof the same kind"
+
+
 def test_conversations_without_quotes_stay(spark, sf):
     c = table(spark, sf, "conversations")
     got = quoting.op3_quote_links(c)
