@@ -12,22 +12,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prismlake.llm._shared import materialize, utf8_rows, words
 
-# Notices as licensors publish them, by SPDX identifier.
+# Notices as licensors publish them and titles of licence texts, by SPDX identifier.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "The person who associated a work with this deed has dedicated the work to the public domain"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Licences whose text holds another one's whole text and more.
+HOLDS = {"BSD-3-Clause": "BSD-2-Clause"}
 #: Cosine from which a passage is a notice, and share of a text's words from which the text is a licence file.
 LEAST, FILE_SHARE = 0.75, 0.5
 
@@ -73,7 +78,8 @@ class Templates:
     def notices(self, text: bytes, least: float) -> list[tuple[str, float, int, int]]:
         """(licence, cosine, first line, words) of each notice in a whole text.
 
-        Candidates are runs of lines whose words are mostly the templates'; a run is matched as a whole and line by line.
+        Candidates are runs of lines whose words are mostly the templates'; a run is matched as a whole, line by line
+        and in windows of consecutive lines of about a template's length. Of candidates that overlap the nearest counts.
         """
         out, run, start = [], [], 0
         lines = text.split(b"\n")
@@ -85,14 +91,41 @@ class Templates:
                 run.append(own)
                 continue
             if run:
-                found = [(start + i, x, *self.match(x)) for i, x in enumerate(run)]
-                if len(run) > 1:
-                    whole = [w for x in run for w in x]
-                    c, i = self.match(whole)
-                    if c >= least and c > max(f[2] for f in found):
-                        found = [(start, whole, c, i)]
-                out += [(self.names[i], c, at, len(x)) for at, x, c, i in found if c >= least]
+                found = []
+                for i, j in self.windows(run, least):
+                    own = [w for x in run[i:j] for w in x]
+                    c, best = self.match(own)
+                    if c >= least:
+                        found.append((-round(c, 9), i - j, i, j, len(own), best, c))
+                taken = np.zeros(len(run), bool)
+                for _, _, i, j, n, best, c in sorted(found):
+                    if not taken[i:j].any():
+                        taken[i:j] = True
+                        out.append((self.names[best], c, start + i, n))
                 run = []
+        for more, less in HOLDS.items():
+            if any(f[0] == more for f in out):
+                out = [(more if f[0] == less else f[0], *f[1:]) for f in out]
+        return out
+
+    def windows(self, run: list[list[bytes]], least: float) -> set[tuple[int, int]]:
+        """Ranges of lines of a run to be matched: each line, the whole, and windows as long as templates that may be in it.
+
+        A template whose terms in the run weigh less than `least` of its length has no window that comes near it.
+        """
+        n = len(run)
+        out = {(i, i + 1) for i in range(n)} | {(0, n)}
+        if n < 3:
+            return out
+        weight = np.zeros(len(self.names))
+        for t in self.terms([w for x in run for w in x]):
+            for i, x in self.postings.get(t, ()):
+                weight[i] += x * x
+        ends = np.cumsum([len(x) for x in run])
+        for size in {self.size[i] for i in np.flatnonzero(weight >= least * least - 1e-9).tolist()}:
+            for i in range(n):
+                j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size))
+                out |= {(i, min(k, n)) for k in (j, j + 1, j + 2) if k > i}
         return out
 
 
@@ -109,7 +142,7 @@ def scan(files: DataFrame, path: Column, text: str = "text", least: float = LEAS
             rows = []
             for x in utf8_rows(b.column("text")):
                 found = t.notices(x, least) if x else []
-                best = max(found, key=lambda f: (f[1], -f[2]), default=None)
+                best = max(found, key=lambda f: (round(f[1], 9), -f[2]), default=None)
                 covered = sum(f[3] for f in found)
                 rows.append((best[0], min(best[1], 1.0), best[2], 2 * covered * 1.0 >= len(words(x))) if best else (None, None, None, False))
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.bool_())

@@ -416,6 +416,36 @@ def test_licences_and_inheritance(spark):
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 5: ("MIT", "own"), 6: (None, None), 7: (None, None), 8: ("MIT", "inherited"), 9: ("MIT", "inherited")}
 
 
+def licence_of(text):
+    found = licences.Templates().notices(text.encode(), licences.LEAST)
+    return max(found, key=lambda f: (round(f[1], 9), -f[2]))[0] if found else None
+
+
+@pytest.mark.parametrize("name", sorted(licences.TEMPLATES))
+@pytest.mark.parametrize("width", [40, 72])
+def test_wrapped_headers(name, width):
+    for text in licences.TEMPLATES[name]:
+        lines, line = [], ""
+        for w in text.split():
+            if line and len(line) + len(w) >= width:
+                lines.append(line)
+                line = ""
+            line = f"{line} {w}".strip()
+        body = "\n".join(f" * {x}" for x in [*lines, line])
+        assert licence_of(body) == name
+        assert licence_of(f"/* This file is part of the License of Example Software\n * under terms and conditions as published\n{body}\n * without any of the rights or copies of this work\n */\nint main") == name
+
+
+def test_standard_headers_of_like_licences():
+    grant = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    for name, title, version in (("AGPL-3.0", "Affero General Public License", "3"), ("LGPL-3.0", "Lesser General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2")):
+        assert licence_of(grant.format(title, version)) == name
+    assert licence_of("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007") == "LGPL-3.0"
+    two = "Copyright (c) 2020, A. Body\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n"
+    assert licence_of(two) == "BSD-2-Clause"
+    assert licence_of(two + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n") == "BSD-3-Clause"
+
+
 def test_licence_lines_of_documents(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     want = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
