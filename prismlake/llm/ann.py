@@ -84,6 +84,46 @@ class VPTree:
             visit(leaf, np.flatnonzero(~seen[:, leaf] & (low[:, leaf] * factor <= reach + 1e-9)))
         return found, far
 
+    def largest(self, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+        """For each query all points whose inner product may be among the k largest, ties and near ties of the k-th included.
+
+        Points lie on one sphere and queries are 0 in the last coordinate, so that the nearest point is the one of
+        largest inner product. Distances only leave out leaves, as in `nearest`, within what rounding can do to them.
+        """
+        low, n = self.bounds(queries), len(queries)
+        q2 = (queries**2).sum(1)
+        norms = np.sqrt((self.points[:, :-1] ** 2).sum(1))
+        sphere = float((self.points**2).sum(1).max(initial=0))
+        eps = np.finfo(np.float64).eps * 4 * (queries.shape[1] + 4)
+        best, held = np.full((n, k), -np.inf), []
+        slack = 2 * np.sqrt(eps * (q2 + sphere)) + 1e-9
+
+        def visit(leaf: int, who: np.ndarray) -> None:
+            own = self.order[slice(*self.parts[leaf])]
+            if not len(own) or not len(who):
+                return
+            s = queries[who] @ self.points[own].T
+            best[who] = np.partition(np.concatenate([best[who], s], 1), -k, 1)[:, -k:]
+            wide = eps * np.sqrt(q2[who])[:, None]
+            i, j = np.nonzero(s + wide * norms[own] >= best[who].min(1)[:, None] - wide * norms.max())
+            held.append((who[i], own[j], s[i, j]))
+
+        first = np.argsort(low, 1, kind="stable")[:, :2]
+        for turn in range(first.shape[1]):
+            for leaf in np.unique(first[:, turn]).tolist():
+                visit(leaf, np.flatnonzero(first[:, turn] == leaf))
+        seen = np.zeros(low.shape, bool)
+        np.put_along_axis(seen, first, True, 1)
+        for leaf in range(len(self.parts)):
+            reach = np.sqrt(np.maximum(q2 + sphere - 2 * best.min(1), 0))
+            visit(leaf, np.flatnonzero(~seen[:, leaf] & (low[:, leaf] * factor <= reach + slack)))
+        who, point, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        wide = eps * np.sqrt(q2)[who]
+        keep = s + wide * norms[point] >= best.min(1)[who] - wide * norms.max()
+        who, point = who[keep], point[keep]
+        order = np.argsort(who, kind="stable")
+        return np.split(point[order], np.searchsorted(who[order], np.arange(1, n)))
+
 
 def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - v) ** 2).sum(1))
@@ -122,9 +162,8 @@ def _search(k: int, factor: float):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(q), 512):
             some = q[a : a + 512]
-            found, _ = tree.nearest(np.hstack([some, np.zeros((len(some), 1))]), k + 4, factor)
-            for i, row in enumerate(found):
-                row = row[row >= 0]
+            # one more than asked for, since a query isn't its own neighbour
+            for i, row in enumerate(tree.largest(np.hstack([some, np.zeros((len(some), 1))]), k + 1, factor)):
                 mine = np.concatenate([ids[owners[first[p] : min(first[p] + k + 1, first[p + 1])]] for p in row.tolist()])
                 score = np.repeat((points[row] * some[i]).sum(1), np.minimum(first[row + 1] - first[row], k + 1))
                 keep = mine != qid[a + i]

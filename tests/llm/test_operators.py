@@ -54,6 +54,20 @@ def test_nearest_equal_brute_force_with_ties(spark):
     assert got == exact(np.arange(600), x, 20)
 
 
+@pytest.mark.parametrize("kind", ["binary", "huge"])
+def test_nearest_keeps_ties_and_bears_huge_norms(spark, kind):
+    g = np.random.default_rng(3)
+    if kind == "binary":  # many distinct vectors of equal score
+        x = (g.random((3000, 14)) < 0.5).astype(float)
+        x[:, 0] = 1
+    else:
+        x = g.normal(size=(3000, 8))
+        x[1] *= 1e9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.op1_vp_tree(df).collect())
+    assert got == exact(np.arange(3000), x, 20)
+
+
 def test_nearest_on_driver_table_and_relaxed_recall(spark, sf):
     e = table(spark, sf, "embeddings")
     rows = e.collect()
