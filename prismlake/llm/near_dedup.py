@@ -1,4 +1,4 @@
-"""Near-duplicate documents by consistent weighted sampling of TF-IDF word shingles."""
+"""Near-duplicate documents by consistent weighted sampling of word shingles, weighted by TF, and by IDF where it acts."""
 
 from __future__ import annotations
 
@@ -78,7 +78,7 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
 
     A large family of near copies makes its own shingles frequent. Were they to weigh less for that, its
     members' few own words would outweigh what they share, so only what more documents have
-    than any such family may hold weighs less.
+    than any such family may hold weighs less. For nearly all shingles of five words the weight is thus TF alone.
     """
     return (np.minimum(np.log1p(max(n, 1) / np.maximum(df, 1)), np.log(4)) / np.log(4)).astype(np.float32)
 

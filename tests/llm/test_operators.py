@@ -402,6 +402,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
 
 
+def test_near_duplicates_equal_plain_jaccard_of_planted_texts(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
+    texts, shared = [], fresh(60)
+    for _ in range(12):  # copies with a few changed words, some near enough and some not
+        base = fresh(100).split()
+        for n in (0, 1, 2, 6):
+            own = base[:]
+            for i in range(n):
+                own[5 + 15 * i] = fresh(1)
+            texts.append(" ".join(own))
+    texts += [f"{shared} {fresh(2)}" for _ in range(8)]  # mostly one shared passage
+    texts += [f"{shared} {fresh(60)}" for _ in range(8)]  # half of it
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.op7_icws_near_dedup(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) < len(texts) - 20
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     g = np.random.default_rng(2)
     s = np.arange(1, 201, dtype=np.uint32) * np.uint32(2654435761)
