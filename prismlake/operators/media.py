@@ -32,25 +32,46 @@ def capture_dates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("create_date_local", local).withColumn("create_date", epoch)
 
 
-def capture_type() -> Column:
-    """`screenshot`, `screen_recording`, `camera` or `unknown`, from scores of path, name and tags.
-
-    A camera's make and model, lens or exposure speak for a camera, as does a DCIM folder; names and folders
-    of screenshots or recordings speak against it, but a folder that names cameras too doesn't.
+# What speaks for a camera or a screen, and by how many points.
+RECORDING_NAMES = ("screen recording", "screenrecording", "screen recorder", "screenrecorder", "screen capture", "screencast")
+PHOTO_FORMATS = ("heic", "heif", "jpg", "jpeg", "dng", "raw")
+IMAGE_SIGNALS = ("camera_make", "camera_model", "lens_model", "focal_length", "focal_length_35mm", "aperture", "exposure_time", "iso", "flash")
+VIDEO_SIGNALS = ("camera_make", "camera_model", "device_model", "lens_model", "focal_length", "focal_length_35mm", "aperture", "latitude", "longitude", "flash")
+SOURCE, FORMAT, SOFTWARE, MIXED, CAMERA_SOURCE, PHOTO, TAGS = 5, 5, 5, 1, 2, 2, 4
+SHOT_SOFTWARE = r"screenshot|snipping tool"
+RECORD_SOFTWARE = r"screen recording|screen recorder|screenrecord"
+
+
+def capture_type(columns: list[str]) -> Column:
+    """`screenshot`, `screen_recording`, `camera` or `unknown` of rows with these columns; tags that aren't among them are unknown.
+
+    Path, format, software and tags give points for a screen and for a camera; more for the screen make a
+    screenshot or recording, else two for the camera make a camera. A folder for both camera and
+    screenshots is a weak sign only.
     """
-    path, name = F.lower(F.col("path")), F.lower(F.col("filename"))
-    folder = F.substr(path, F.lit(1), F.greatest(F.length(path) - F.length(name), F.lit(0)))
-    has = lambda c: F.col(c).isNotNull().cast("int")
-    camera = 3 * F.greatest(has("camera_make"), has("camera_model")) + 2 * has("lens_model") + F.greatest(has("iso"), has("aperture"), has("exposure_time")) + 2 * F.coalesce(path.rlike(r"\bdcim\b"), F.lit(False)).cast("int")
-    shot = 3 * name.rlike(r"screen[ _-]?shot|bildschirmfoto|schermafbeelding").cast("int") + 2 * (folder.rlike(r"screen[ _-]?shots?\b") & ~folder.rlike(r"camera")).cast("int")
-    record = 3 * name.rlike(r"screen[ _-]?record|rpreplay").cast("int") + 2 * folder.rlike(r"screen[ _-]?recordings?\b").cast("int")
-    video = F.col("file_type") == "video"
-    return F.when(video & (record > camera), "screen_recording").when(~video & (shot > camera), "screenshot").when(camera > 0, "camera").otherwise("unknown")
+    video, image = F.col("file_type") == "video", F.col("file_type") == "image"
+    place = F.coalesce(F.col("path"), F.lit(""))
+    source = F.regexp_replace(F.lower(F.concat(place, F.lit(" "), F.regexp_extract(place, r"([^/\\]*)$", 1))), r"[\\/_&-]+", " ")
+    says = lambda *terms: F.greatest(*[F.contains(source, F.lit(t)).cast("int") for t in terms], F.lit(0)) == 1
+    points = lambda n, c: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    of_screen = says(*RECORDING_NAMES) | (image & says("screenshot"))
+    mixed = source.rlike(r"\bcamera\s+(and\s+)?screenshots?\b")
+    end = extension(place)
+    screen = points(SOURCE, of_screen & ~mixed) + points(MIXED, of_screen & mixed) + points(FORMAT, image & (end == "png"))
+    camera = points(CAMERA_SOURCE, source.rlike(r"\b(dcim|camera)\b")) + points(PHOTO, image & end.isin(*PHOTO_FORMATS))
+    known = lambda names: sum(points(1, F.col(c).cast("string") != "") for c in names if c in columns) + F.lit(0)
+    tags = lambda names: F.when(known(names) >= 2, TAGS).otherwise(known(names))
+    camera = camera + F.when(video, tags(VIDEO_SIGNALS)).otherwise(tags(IMAGE_SIGNALS))
+    if "software" in columns:
+        by = F.lower("software")
+        screen = screen + points(SOFTWARE, F.when(video, by.rlike(RECORD_SOFTWARE)).otherwise(by.rlike(SHOT_SOFTWARE)))
+    kind = F.when(screen > camera, F.when(video, "screen_recording").otherwise("screenshot")).when(camera >= 2, "camera").otherwise("unknown")
+    return F.when(video | image, kind).otherwise("unknown")
 
 
 def reclassified(files: DataFrame) -> DataFrame:
     """files with capture_type anew."""
-    return files.withColumn("capture_type", capture_type())
+    return files.withColumn("capture_type", capture_type(files.columns))
 
 
 def capture_counts(files: DataFrame) -> DataFrame:
@@ -61,10 +82,11 @@ def capture_counts(files: DataFrame) -> DataFrame:
 def renumbered(files: DataFrame) -> DataFrame:
     """(id, media_id): numbers from 1 without gaps by capture time (unknown first), then id.
 
-    Rows are numbered within their day, after the rows of earlier days, so no task sorts them all.
+    Rows are numbered within their day, after the rows of earlier days, so no task sorts them all. Rows
+    without a time are cut by a million ids instead, before all days.
     """
     at = F.coalesce(F.col("create_date"), least2("created", "modified"))
-    rows = files.select("id", at.alias("at")).withColumn("day", F.coalesce(F.floor(F.col("at") / 86400), F.lit(-(1 << 40))))
+    rows = files.select("id", at.alias("at")).withColumn("day", F.coalesce(F.floor(F.col("at") / 86400), F.floor(F.col("id") / 1_000_000) - (1 << 50)))
     counts = rows.groupBy("day").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(W.partitionBy("day").orderBy(F.col("at").asc_nulls_first(), "id"))
@@ -123,6 +145,17 @@ def ocr_summary(words: DataFrame) -> DataFrame:
     return kept.groupBy("file_id").agg(F.array_join(ordered, "\n").alias("text"), F.avg("confidence").alias("mean_confidence"), F.count("*").alias("box_count"))
 
 
+def stale_thumbnails(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """Listed thumbnails (path) that no file refers to."""
+    return listing.join(files.where("thumbnail_path IS NOT NULL").select(F.col("thumbnail_path").alias("path")), "path", "left_anti")
+
+
+def face_is_usable(side: Column, quality: Column) -> Column:
+    """Whether a detected face is good enough for recognition."""
+    # fixed values
+    return F.coalesce((side >= 48) & (quality >= 0.2), F.lit(False))
+
+
 def missing_thumbnails(files: DataFrame) -> DataFrame:
     return files.where("thumbnail_path IS NULL OR thumbnail_path = ''").select("id", "path", "file_type")
 

@@ -111,3 +111,27 @@ def best_by_file(candidates: DataFrame, targets: DataFrame, least: float = 0.58,
     scored = candidates.crossJoin(t).groupBy("file_id", "face_id").agg(F.max(dot(F.col("embedding"), F.col("target"))).alias("score"))
     best = scored.groupBy("file_id").agg(F.max_by("face_id", F.struct("score", -F.col("face_id"))).alias("face_id"), F.max("score").alias("score"))
     return best.withColumn("suggested", (F.col("score") >= least) & F.lit(n >= min_targets))
+
+
+_BOX = ("box_left", "box_top", "box_width", "box_height")
+
+
+def faces_in_file(faces: DataFrame, assignments: DataFrame, file: int, person: int | None = None) -> DataFrame:
+    """(face_id, person_id, box) of a file's faces, best first."""
+    own = faces.where(F.col("file_id") == file).join(assignments, faces["id"] == assignments["face_id"])
+    own = own if person is None else own.where(F.col("person_id") == person)
+    return own.orderBy(F.desc("recognition_quality"), "face_id").select("face_id", "person_id", *_BOX)
+
+
+def faces_of_person(faces: DataFrame, assignments: DataFrame, files: DataFrame, person: int) -> DataFrame:
+    """(face_id, file_id, box, width, height) of a person's faces, best first, with the size of their images."""
+    own = faces.join(assignments.where(F.col("person_id") == person), faces["id"] == assignments["face_id"])
+    size = files.select(F.col("id").alias("file_id"), "width", "height")
+    return own.join(size, "file_id").orderBy(F.desc("recognition_quality"), "face_id").select("face_id", "file_id", *_BOX, "width", "height")
+
+
+def face_metrics(faces: DataFrame, assignments: DataFrame, file: int, person: int) -> DataFrame:
+    """(confidence, quality, box) of a person's best face in a file."""
+    own = faces.where(F.col("file_id") == file).join(assignments.where(F.col("person_id") == person), faces["id"] == assignments["face_id"])
+    best = own.orderBy(F.desc("recognition_quality"), F.desc("detector_confidence"), "face_id").limit(1)
+    return best.select(F.col("detector_confidence").alias("confidence"), F.col("recognition_quality").alias("quality"), *_BOX)

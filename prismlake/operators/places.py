@@ -9,25 +9,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prismlake.functions.columns import grid_cell, valid_coordinates
 
 
-def in_polygons(lon: pd.Series, lat: pd.Series, geometry: pd.Series) -> pd.Series:
-    """Whether each point lies in its multipolygon: polygons of rings, of which all but the first are holes (even-odd rule)."""
-    out = []
-    for x, y, polygons in zip(lon, lat, geometry, strict=True):
-        hit = False
-        for rings in polygons if polygons is not None else ():
-            inside = False
-            for ring in rings:
-                p = np.array([(q["lon"], q["lat"]) for q in ring], float)
-                if len(p) < 3:
-                    continue
-                a, b = p, np.roll(p, 1, axis=0)
-                cross = (a[:, 1] > y) != (b[:, 1] > y)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-                inside ^= bool(np.count_nonzero(cross & (x < at)) % 2)
-            hit |= inside
-        out.append(hit)
-    return pd.Series(out, dtype=bool)
+def _inside(x: np.ndarray, y: np.ndarray, polygons: list | None) -> np.ndarray:
+    """Which points lie in a multipolygon: polygons of rings, of which all but the first are holes (even-odd rule)."""
+    hit = np.zeros(len(x), bool)
+    for rings in polygons if polygons is not None else ():
+        inside = np.zeros(len(x), bool)
+        for ring in rings:
+            p = np.array([(q["lon"], q["lat"]) for q in ring], float)
+            if len(p) < 3:
+                continue
+            for (ax, ay), (bx, by) in zip(p, np.roll(p, 1, axis=0), strict=True):
+                if ay != by:
+                    inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        hit |= inside
+    return hit
+
+
+def in_polygons(lon: pd.Series, lat: pd.Series, locality: pd.Series, geometry: pd.Series) -> pd.Series:
+    """Whether each point lies in its locality's geometry; a batch decodes each geometry once and tests all its points together."""
+    x, y, keep = lon.to_numpy(float), lat.to_numpy(float), np.zeros(len(lon), bool)
+    for at in locality.groupby(locality).indices.values():
+        keep[at] = _inside(x[at], y[at], geometry.iloc[at[0]])
+    return pd.Series(keep)
 
 
 def candidates(points: DataFrame, cells: DataFrame, localities: DataFrame) -> DataFrame:
@@ -35,8 +38,7 @@ def candidates(points: DataFrame, cells: DataFrame, localities: DataFrame) -> Da
     lat, lon = F.col("latitude"), F.col("longitude")
     at = points.where(valid_coordinates()).withColumn("cell_id", grid_cell(lat, lon)).join(cells, "cell_id")
     box = at.join(localities, F.col("locality_id") == localities["id"]).where(lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")))
-    inside = F.pandas_udf(in_polygons, "boolean")
-    return box.where(inside(lon, lat, F.col("geometry"))).drop("geometry", "cell_id")
+    return box.where(F.pandas_udf(in_polygons, "boolean")(lon, lat, F.col("locality_id"), F.col("geometry"))).drop("geometry", "cell_id")
 
 
 def _named(c: str) -> Column:
@@ -94,13 +96,15 @@ def cells_of(localities: DataFrame) -> DataFrame:
     return localities.select(F.col("id").alias("locality_id"), F.explode(x).alias("x"), y.alias("ys")).select("locality_id", "x", F.explode("ys").alias("y")).select((F.col("y") * 3600 + F.col("x")).alias("cell_id"), "locality_id")
 
 
-def rollup(rows: DataFrame, keys: list[str], order: str = "count", min_count: int = 1) -> DataFrame:
+def rollup(rows: DataFrame, keys: list[str], order: str = "count", min_count: int = 1, ids: bool = False) -> DataFrame:
     """(keys, n, last_visit, last_thumbnail) of rows (keys, create_date, file_type, thumbnail_path), ordered by `count`, `last_visit` or `alphabetical`.
 
-    last_thumbnail is the newest image's thumbnail.
+    last_thumbnail is the newest image's thumbnail. With ids there is an array of each place's ids too, which is as long as
+    the place is large; `lookups` and semi-joins on the keys do without it.
     """
+    more = [F.array_sort(F.collect_list("id")).alias("ids")] if ids else []
     thumb = (F.col("file_type") == "image") & F.col("thumbnail_path").isNotNull()
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("create_date").alias("last_visit"), F.max_by(F.when(thumb, F.col("thumbnail_path")), F.when(thumb, F.struct(F.coalesce("create_date", F.lit(0)), "id"))).alias("last_thumbnail"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("create_date").alias("last_visit"), F.max_by(F.when(thumb, F.col("thumbnail_path")), F.when(thumb, F.struct(F.coalesce("create_date", F.lit(0)), "id"))).alias("last_thumbnail"), *more)
     out = out.where(F.col("n") >= min_count)
     by = {"count": [F.desc("n"), *keys], "last_visit": [F.col("last_visit").desc_nulls_last(), *keys], "alphabetical": [F.collate(F.col(keys[-1]), "UNICODE"), *keys]}
     return out.orderBy(*by[order])

@@ -61,21 +61,35 @@ def home_country(files: DataFrame) -> DataFrame:
     return files.where("country IS NOT NULL AND country <> ''").groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(1).select("country")
 
 
-def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "UTC") -> DataFrame:
+def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "UTC", run_seconds: int = 86400 * 30) -> DataFrame:
     """Trips abroad: sessions of files whose country string isn't home's, with enough files in few main countries.
 
     (trip_id, first_ts, last_ts, n, main_countries, title), latest first.
     """
     away = files.where("country IS NOT NULL AND country <> ''").join(F.broadcast(home_country(files)), "country", "left_anti")
-    timed = away.withColumn("ts", capture_ts(zone)).withColumn("epoch", to_epoch("ts"))
-    marked = gap_sessions(timed, "epoch", options.max_gap_days * 86400, "id")
-    all_ = marked.groupBy("session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
-    all_ = all_.where(F.col("n") >= options.min_items)
-    shares = marked.select("session", F.explode(F.array_distinct(countries())).alias("code")).groupBy("session", "code").agg(F.count("*").alias("c"))
-    shares = shares.join(all_, "session").withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= options.main_share)
+    timed = away.select("id", capture_ts(zone).alias("ts"), F.array_distinct(countries()).alias("codes")).withColumn("epoch", to_epoch("ts")).where("epoch IS NOT NULL")
+    gap = F.lit(options.max_gap_days * 86400)
+    # stretches without a gap within a run, with their counts by country: small, and the only thing that outlives one pass over files
+    own = W.partitionBy("run").orderBy("epoch", "id")
+    broken = F.coalesce((F.col("epoch") - F.lag("epoch").over(own)) > gap, F.lit(True))
+    rows = timed.withColumn("run", F.floor(F.col("epoch") / run_seconds)).withColumn("broken", broken.cast("int"))
+    rows = rows.withColumn("part", F.sum("broken").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    one = rows.select("run", "part", "ts", "epoch", F.explode(F.array_append("codes", F.lit("").cast("string"))).alias("code"))
+    per = one.groupBy("run", "part", "code").agg(F.count("*").alias("c"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("epoch").alias("a"), F.max("epoch").alias("b"))
+    every = F.col("code") == ""
+    pick = lambda c: F.max(F.when(every, F.col(c))).alias(c)
+    parts = per.groupBy("run", "part").agg(*map(pick, ("c", "first_ts", "last_ts", "a", "b")), F.collect_list(F.when(~every, F.struct("code", "c"))).alias("codes"))
+    order = W.orderBy("run", "part")  # stretches are at least a gap or a run apart
+    new = F.coalesce((F.col("a") - F.lag("b").over(order)) > gap, F.lit(True)).cast("int")
+    parts = parts.withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    over = W.partitionBy("session")
+    parts = parts.select("session", "codes", F.min("first_ts").over(over).alias("first_ts"), F.max("last_ts").over(over).alias("last_ts"), F.sum("c").over(over).alias("n"))
+    parts = parts.where(F.col("n") >= options.min_items)
+    ends = ["session", "first_ts", "last_ts", "n"]
+    shares = parts.select(*ends, F.explode("codes").alias("k")).groupBy(*ends, "k.code").agg(F.sum("k.c").alias("c"))
+    shares = shares.withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= options.main_share)
     main = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "code")))
-    mains = shares.groupBy("session").agg(F.transform(main, lambda x: x["code"]).alias("main_countries"), F.sum("share").alias("share"))
-    out = all_.join(mains.where(F.col("share") >= options.total_share), "session")
+    out = shares.groupBy(*ends).agg(F.transform(main, lambda x: x["code"]).alias("main_countries"), F.sum("share").alias("share")).where(F.col("share") >= options.total_share)
     label = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     title = F.concat(F.array_join("main_countries", " – "), F.lit(" "), F.year("first_ts").cast("string"))
     return out.select(F.concat_ws("-", label("first_ts"), label("last_ts")).alias("trip_id"), "first_ts", "last_ts", "n", "main_countries", title.alias("title")).orderBy(F.desc("first_ts"))
@@ -100,10 +114,25 @@ def visits(rows: DataFrame, places: Column, order: list[str], run: Column) -> Da
     return one.groupBy("place", "segment").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
 
 
-def merge_adjacent(segments: DataFrame, label: list[str], order: str) -> DataFrame:
-    """Neighbouring segments of equal label as one: (label, stretch, n, segments, last_visit)."""
-    place = F.row_number().over(W.orderBy(order)) - F.row_number().over(W.partitionBy(*label).orderBy(order))
-    return segments.withColumn("stretch", place).groupBy(*label, "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("segments"), F.max("last_visit").alias("last_visit"))
+def merge_adjacent(segments: DataFrame, label: list[str], order: str, run: Column | None = None) -> DataFrame:
+    """Neighbouring segments of equal label as one: (label, stretch, n, segments, last_visit).
+
+    run is a value that grows with the order and cuts segments into parts for the tasks; a part's numbers go on
+    from one row for each earlier part. Without it all segments are one part, which suits short lists.
+    """
+    rows = segments.withColumn("_run", run if run is not None else F.lit(0))
+
+    def numbered(keys: list[str]) -> tuple[Column, DataFrame]:
+        own = F.row_number().over(W.partitionBy(*keys, "_run").orderBy(order))
+        before = W.partitionBy(*keys) if keys else W.partitionBy()
+        counts = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_c"))
+        base = F.coalesce(F.sum("_c").over(before.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return own, counts.withColumn(f"_b{len(keys)}", base).drop("_c")
+
+    (a, all_), (b, same) = numbered([]), numbered(label)
+    rows = rows.withColumn("_a", a).withColumn("_b", b).join(all_, "_run").join(same, [*label, "_run"])
+    rows = rows.withColumn("stretch", (F.col("_a") + F.col("_b0") - F.col("_b") - F.col(f"_b{len(label)}")).cast("int"))
+    return rows.groupBy(*label, "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("segments"), F.max("last_visit").alias("last_visit"))
 
 
 def route_lines(files: DataFrame, max_altitude: float = 1500, max_km: float = 200, run: Column | None = None) -> DataFrame:

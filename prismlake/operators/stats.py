@@ -88,6 +88,19 @@ def year_range(files: DataFrame, zone: str = "UTC") -> DataFrame:
     return ends.where("a IS NOT NULL").select(F.explode(F.sequence("b", "a")).alias("year"))
 
 
+def age_range(files: DataFrame, birth: str, zone: str = "UTC") -> DataFrame:
+    """(age): every age from the first capture to the last. Files without a capture date don't count."""
+    day = F.coalesce(F.col("create_date_local"), F.when(F.col("create_date").isNotNull(), capture_ts(zone))).cast("date")
+    ends = files.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
+    return ends.select(F.explode(F.sequence(age_on(F.col("a"), birth), age_on(F.col("b"), birth))).alias("age"))
+
+
+def chart_order(values: DataFrame, numeric: bool = False) -> DataFrame:
+    """Rows (value, n) for a chart: in the order of numbers, or most first; `Unknown` is last."""
+    unknown = (F.col("value") == "Unknown").cast("int")
+    return values.orderBy(unknown, *([F.col("value").try_cast("double").asc_nulls_last()] if numeric else [F.desc("n")]), "value")
+
+
 def map_counts(files: DataFrame) -> DataFrame:
     """(country, n) over files with coordinates."""
     return by_country(files.where("latitude IS NOT NULL AND longitude IS NOT NULL"))
@@ -128,10 +141,15 @@ def milestones(files: DataFrame, steps: list[int] | None = None) -> DataFrame:
     starts = counts.withColumn("before", before)  # one row for 65,536 ids
     total = rows.count()
     wanted = spark.createDataFrame([(m,) for m in (steps or ladder(total)) if m <= total], "milestone long")
-    hit = starts.join(F.broadcast(wanted), (F.col("milestone") > F.col("before")) & (F.col("milestone") <= F.col("before") + F.col("n")))
+    # each step lies in the last block with fewer files before it: one sorted pass over blocks and steps
+    null = F.lit(None).cast("long")
+    both = starts.select(F.col("before").alias("at"), F.struct("block", "before").alias("s"), null.alias("milestone"))
+    both = both.union(wanted.select((F.col("milestone") - 1).alias("at"), F.struct(null.alias("block"), null.alias("before")).alias("s"), "milestone"))
+    last = F.last(F.when(F.col("milestone").isNull(), F.col("s")), True).over(W.orderBy("at", F.col("milestone").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    hit = both.withColumn("s", last).where("milestone IS NOT NULL").select("s.block", "s.before", "milestone")
     some = rows.withColumn("block", block).join(hit.select("block", "before").distinct(), "block")
     place = F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("media_id", "id"))
-    return some.withColumn("milestone", place).join(F.broadcast(wanted), "milestone").select("milestone", "id")
+    return some.select("block", "id", place.alias("milestone")).join(hit, ["block", "milestone"]).select("milestone", "id")
 
 
 def weekly(times: DataFrame, now: int) -> DataFrame:

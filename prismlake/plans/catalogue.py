@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from prismlake.functions import columns as C
-from prismlake.operators import clustering, curation, media, ordering, people, places, search, sessions, stats
+from prismlake.operators import clustering, curation, decisions, lookups, media, ordering, people, places, search, sessions, stats
 from prismlake.operators.filters import FilterSpec, Related, ViewOptions, apply_filters, tagged, without_flights
 from prismlake.plans import standins
 from prismlake.plans.standins import CODES, DATED, FILES, TAGS, TS
@@ -523,3 +523,144 @@ def memory_by_path(spark, d):
 @query("WITH RECURSIVE x AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS e, event_id FROM events), g AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY user_id ORDER BY e, event_id) <= 3600 THEN 0 ELSE 1 END AS f FROM x), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY e, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k")
 def session_window_batch(spark, d):
     return incremental.session_stream(table(spark, d, "events"), "ts", "1 hour", ["user_id"]).select("user_id", "n")
+
+
+# --- capture kinds, map, lookups, decisions ------------------------------------------------------
+
+_SHOTS = """
+SELECT id, file_type, {path} AS path, camera_make, camera_model, device_model, lens_model, focal_length, aperture, iso, latitude, longitude,
+  CASE WHEN id % 29 = 0 THEN 'Snipping Tool 2' WHEN id % 29 = 1 THEN 'My Screen Recorder' WHEN id % 29 = 2 THEN '' END AS software,
+  CASE WHEN id % 41 = 0 THEN 0 END AS flash
+FROM {table}
+"""
+_SHOT_PATH = "CASE id % 9 WHEN 0 THEN '/lib/DCIM/100/IMG_' WHEN 1 THEN '/lib/Camera & Screenshots/a' WHEN 2 THEN '/lib/camera_and_screenshot/b' WHEN 3 THEN '/x/ScreenCast' WHEN 4 THEN '/x/my-screenshot-' WHEN 5 THEN '/x/Screen_Recording ' WHEN 6 THEN '/cameras/dcims/c' ELSE '/y/photo' END || CAST(id AS STRING) || '.' || CASE WHEN id % 23 = 0 THEN 'JPEG' WHEN id % 31 = 0 THEN 'PNG' ELSE extension END"
+_SIGNALS = lambda names: "(" + " + ".join(f"CASE WHEN {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' THEN 1 ELSE 0 END" for c in names if c not in ("focal_length_35mm", "exposure_time")) + ")"
+_SHOT_SQL = f"""s AS ({_SHOTS.format(path=_SHOT_PATH.replace('AS STRING', 'AS VARCHAR'), table='files')}),
+u AS (SELECT *, regexp_replace(lower(path || ' ' || regexp_extract(path, '[^/]*$')), '[\\\\/_&-]+', ' ', 'g') AS src, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, CASE WHEN file_type = 'video' THEN {_SIGNALS(media.VIDEO_SIGNALS)} ELSE {_SIGNALS(media.IMAGE_SIGNALS)} END AS tags FROM s),
+v AS (SELECT *, {' OR '.join(f"contains(src, '{t}')" for t in media.RECORDING_NAMES)} OR (file_type = 'image' AND contains(src, 'screenshot')) AS of_screen, regexp_matches(src, '\\bcamera\\s+(and\\s+)?screenshots?\\b') AS mixed FROM u),
+x AS (SELECT id, file_type, CASE WHEN of_screen THEN CASE WHEN mixed THEN 1 ELSE 5 END ELSE 0 END + CASE WHEN file_type = 'image' AND ext = 'png' THEN 5 ELSE 0 END
+  + CASE WHEN file_type = 'image' AND (contains(lower(software), 'screenshot') OR contains(lower(software), 'snipping tool')) THEN 5 WHEN file_type = 'video' AND (contains(lower(software), 'screen recording') OR contains(lower(software), 'screen recorder') OR contains(lower(software), 'screenrecord')) THEN 5 ELSE 0 END AS screen,
+  CASE WHEN regexp_matches(src, '\\b(dcim|camera)\\b') THEN 2 ELSE 0 END + CASE WHEN file_type = 'image' AND ext IN ('heic', 'heif', 'jpg', 'jpeg', 'dng', 'raw') THEN 2 ELSE 0 END + CASE WHEN tags >= 2 THEN 4 ELSE tags END AS camera FROM v)"""
+
+
+@query(over_files("SELECT id, CASE WHEN screen > camera THEN CASE WHEN file_type = 'video' THEN 'screen_recording' ELSE 'screenshot' END WHEN camera >= 2 THEN 'camera' ELSE 'unknown' END AS capture_type FROM x", _SHOT_SQL))
+def capture_class(spark, d):
+    rows = spark.sql(_SHOTS.format(path=_SHOT_PATH, table="{files}"), files=standins.files(spark, d))
+    return media.reclassified(rows).select("id", "capture_type")
+
+
+@query(over_files(f"SELECT {YEAR} AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS n FROM t WHERE ts IS NOT NULL GROUP BY 1, 2"))
+def stats_per_month(spark, d):
+    return stats.by_month(standins.files(spark, d))
+
+
+@query(over_files("SELECT coalesce(file_type, 'Unknown') AS value, count(*) AS n FROM t GROUP BY 1"))
+def stats_by_type(spark, d):
+    return stats.by_value(standins.files(spark, d), "file_type")
+
+
+@query(over_files("SELECT CAST(unnest(range(a, b + 1)) AS INTEGER) AS age FROM (SELECT year(lo) - 1970 - CASE WHEN strftime(lo, '%m-%d') < '05-17' THEN 1 ELSE 0 END AS a, year(hi) - 1970 - CASE WHEN strftime(hi, '%m-%d') < '05-17' THEN 1 ELSE 0 END AS b FROM (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM t WHERE create_date IS NOT NULL OR create_date_local IS NOT NULL))"))
+def facet_ages(spark, d):
+    return stats.age_range(standins.files(spark, d), "1970-05-17")
+
+
+@query(f"SELECT e.vec_id AS file_id, round({_COS}, 6) AS score FROM embeddings e, {_LIT} q WHERE {_COS} >= 0.02 ORDER BY {_COS} DESC, e.vec_id LIMIT 50")
+def vector_topk(spark, d):
+    return search.vector_topk(table(spark, d, "embeddings").withColumnRenamed("vec_id", "file_id"), QUERY, 50, 0.02).select("file_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT n_regionkey AS region, n_name AS country, 'C' || CAST(c_custkey % 7 AS VARCHAR) AS city, count(*) AS n, CAST(max(c_custkey) AS BIGINT) AS last_visit, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3 HAVING count(*) >= 3")
+def place_rollup_city(spark, d):
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("country"), F.concat(F.lit("C"), (F.col("c_custkey") % 7).cast("string")).alias("city"), F.col("c_custkey").cast("bigint").alias("id"), F.col("c_custkey").cast("bigint").alias("create_date"), F.lit("image").alias("file_type"), none.alias("thumbnail_path"))
+    out = places.rollup(rows, ["region", "country", "city"], "last_visit", 3, ids=True)
+    return out.select("region", "country", "city", "n", "last_visit", F.array_join("ids", ",").alias("ids"))
+
+
+_MAP = "latitude IS NOT NULL AND longitude IS NOT NULL"
+
+
+@query(over_files(f"SELECT (SELECT count(*) FROM t WHERE {EXPLORER_SQL} AND {_MAP}) AS filtered, (SELECT count(*) FROM t WHERE {_MAP} AND folder_path NOT IN ('/lib/1-URGENT')) AS total").replace(f"WHERE {EXPLORER_SQL} AND", f"WHERE {EXPLORER_SQL} AND folder_path NOT IN ('/lib/1-URGENT') AND"))
+def map_shown_total(spark, d):
+    return lookups.map_shown(standins.files(spark, d), EXPLORER, ViewOptions(hidden_folders=("/lib/1-URGENT",)))
+
+
+@query(over_files(f"SELECT latitude AS lat, longitude AS lng, id AS item_id, filename, device_model AS device FROM t WHERE {EXPLORER_SQL} AND {_MAP}"))
+def map_points(spark, d):
+    return lookups.map_view(standins.files(spark, d), "cluster", EXPLORER).select("lat", "lng", "popup.item_id", "popup.filename", "popup.device")
+
+
+@query(over_files(f"SELECT u.c AS country, latitude, longitude FROM t, unnest({CODES}) AS u(c) WHERE {EXPLORER_SQL} AND {_MAP}"))
+def map_countries(spark, d):
+    return lookups.map_view(standins.files(spark, d), "countries", EXPLORER)
+
+
+@query(over_files("SELECT id, thumbnail_path FROM t WHERE file_type = 'video'"))
+def files_overview(spark, d):
+    return lookups.overview(standins.files(spark, d).where("file_type = 'video'"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS file_id, n_name AS country, CASE WHEN s_suppkey % 3 = 0 THEN 'E' || CAST(s_suppkey AS VARCHAR) WHEN s_suppkey % 3 = 1 THEN s_name ELSE 'City' END AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey < 100)")
+def locations_for_files(spark, d):
+    k, text = F.col("s_suppkey"), lambda c: F.lit(c).cast("string")
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(k.cast("bigint").alias("file_id"), F.col("n_name").alias("country"), text(None).alias("subdivision"), text("City").alias("city"), F.when(k % 3 == 1, F.col("s_name")).alias("local_name"), F.when(k % 3 == 0, F.concat(F.lit("E"), k.cast("string"))).otherwise("").alias("english_name"), text(None).alias("subtype"), F.lit(1).alias("admin_level"), F.lit(1.0).alias("area"))
+    ids = table(spark, d, "lineitem").where("l_orderkey < 100").select(F.col("l_suppkey").cast("bigint").alias("id"))
+    return lookups.located_files(rows, ids).select("file_id", "country", "city")
+
+
+_VISIT = "WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT, event_id) AS rn FROM events), i AS (SELECT *, rn - row_number() OVER (PARTITION BY event_type ORDER BY rn) AS g FROM e), s AS (SELECT event_type, g, row_number() OVER (PARTITION BY event_type ORDER BY min(rn)) AS segment FROM i GROUP BY 1, 2)"
+
+
+@query(_VISIT + " SELECT event_id AS id FROM i JOIN s USING (event_type, g) WHERE segment = 5 AND event_type = (SELECT min(event_type) FROM events)")
+def place_visit_selected(spark, d):
+    rows = standins.events(spark, d).select(F.col("event_id").alias("id"), "epoch", "event_type")
+    first = rows.agg(F.min("event_type")).first()[0]
+    return lookups.place_visit_files(rows, F.array("event_type"), 5, first, ["epoch", "id"], F.floor(F.col("epoch") / 86400))
+
+
+@query(over_files(f"SELECT 'custom' AS kind, '1' AS key, CAST(850000000 AS BIGINT) AS at UNION ALL SELECT 'year', CAST(y AS VARCHAR), CAST(epoch(make_date(y + 1, 1, 1)) AS BIGINT) - 1 FROM (SELECT DISTINCT year(ts) AS y FROM t WHERE ts IS NOT NULL) UNION ALL SELECT 'month', strftime(m, '%Y-%m'), CAST(epoch(CAST(m + INTERVAL 1 MONTH AS TIMESTAMP)) AS BIGINT) - 1 FROM (SELECT DISTINCT date_trunc('month', ts) AS m FROM t WHERE ts IS NOT NULL)"))
+def memory_cards(spark, d):
+    files = standins.files(spark, d)
+    custom = spark.range(1).select(F.lit(1).alias("id"), F.lit(850000000).alias("created"))
+    trips = spark.range(0).select(F.lit("t").alias("trip_id"), F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'").alias("last_ts"))
+    return lookups.memory_cards(custom, stats.by_year(files).select("year"), stats.by_month(files).select("year", "month"), trips)
+
+
+def _state(spark: SparkSession, d: str) -> decisions.State:
+    """Customers as faces, their nations as people; one nation has two groups, another has one of some faces, and three pairs are kept apart."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("face_id"), F.col("c_nationkey").cast("bigint").alias("person_id"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("bigint").alias("cover_face_id"), F.lit(False).alias("hidden"))
+    some = c.where("person_id = 3 OR person_id = 5 AND face_id % 2 = 0")
+    groups = spark.createDataFrame([(11, "three", None), (12, None, 77), (13, None, None)], "id long, name string, avatar_face_id long")
+    members = some.select(F.when(F.col("person_id") == 3, F.when(F.col("face_id") % 2 == 0, 11).otherwise(13)).otherwise(12).cast("bigint").alias("manual_person_id"), "face_id")
+    apart = spark.createDataFrame([(12, 40), (13, 41), (11, 13)], "left_manual_person_id long, right_manual_person_id long")
+    none = spark.createDataFrame([], "manual_person_id long")
+    return decisions.State(n, c.withColumn("assigned_by", F.lit("auto")), groups, members, none, apart)
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS face_id, CAST(CASE WHEN c_nationkey IN (3, 5, 9) THEN 9 ELSE c_nationkey END AS BIGINT) AS person_id, CASE WHEN c_nationkey IN (3, 5) THEN 'manual' ELSE 'auto' END AS assigned_by, CASE WHEN c_nationkey IN (3, 5, 9) THEN (SELECT CAST(min(CASE WHEN c_nationkey = 3 AND c_custkey % 2 = 0 THEN 11 WHEN c_nationkey = 5 AND c_custkey % 2 = 0 THEN 12 WHEN c_nationkey = 3 THEN 13 END) AS BIGINT) FROM customer) END AS manual_person_id FROM customer")
+def people_merged(spark, d):
+    state = decisions.merged(_state(spark, d), 9, 3, 5)
+    return state.assignments.join(state.members, "face_id", "left")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS face_id, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 5) THEN CAST(25 AS BIGINT) ELSE CAST(c_nationkey AS BIGINT) END AS person_id, CASE WHEN c_nationkey = 5 AND c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 5) THEN 'manual' ELSE 'auto' END AS assigned_by FROM customer")
+def face_separated(spark, d):
+    state = _state(spark, d)
+    face = state.assignments.where("person_id = 5").agg(F.min("face_id")).first()[0]
+    return decisions.separated(state, face, hide=True).assignments
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 13 AS BIGINT) AS manual_person_id, CAST(c_custkey AS BIGINT) AS face_id FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 12, c_custkey FROM customer WHERE c_nationkey = 5 AND c_custkey % 2 = 0")
+def person_split(spark, d):
+    return decisions.split(_state(spark, d), 3).members
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS face_id, CAST(o_custkey AS BIGINT) AS file_id, 4000 AS width FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 7")
+def person_faces(spark, d):
+    rows = table(spark, d, "orders")
+    faces = rows.select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_custkey").cast("bigint").alias("file_id"), F.col("o_totalprice").cast("double").alias("recognition_quality"), *[F.lit(0.5).alias(c) for c in ("box_left", "box_top", "box_width", "box_height")])
+    own = rows.select(F.col("o_orderkey").cast("bigint").alias("face_id"), (F.col("o_orderkey") % 50).cast("bigint").alias("person_id"))
+    files = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.lit(4000).alias("width"), F.lit(3000).alias("height"))
+    return people.faces_of_person(faces, own, files, 7).select("face_id", "file_id", "width")

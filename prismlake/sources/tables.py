@@ -34,11 +34,27 @@ def code_names(names: dict[str, str], code: Column) -> Column:
 
 
 def write_swapped(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table in one go, reading from the old one allowed: written beside it, then renamed."""
+    """Replace a Parquet table, reading from the old one allowed: written beside it, then both are renamed.
+
+    The old table is deleted only after the new one stands in its place; if a rename fails, the old one goes back and an
+    error is raised. A crash between the renames leaves the old table whole under `path.old`, from where the next call restores it.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
+    conf, fs_path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, now, old = (fs_path(path + x) for x in (".new", "", ".old"))
+    fs = now.getFileSystem(conf)
+    if fs.exists(old):
+        if fs.exists(now):
+            fs.delete(old, True)
+        elif not fs.rename(old, now):
+            raise OSError(f"can't restore {path}")
     df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    fs.rename(new, old)
+    had = fs.exists(now)
+    if had and not fs.rename(now, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, now):
+        if had:
+            fs.rename(old, now)
+        raise OSError(f"can't put the new table at {path}")
+    if had:
+        fs.delete(old, True)

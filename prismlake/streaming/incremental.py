@@ -29,20 +29,28 @@ def enriched(rows: DataFrame, done: DataFrame, enrich: Callable[[DataFrame], Dat
 
 
 def follow(spark: SparkSession, source: str, schema, enrich: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, done: Callable[[], DataFrame] | None = None, done_key: str = "file_id", key: str = "id") -> StreamingQuery:
-    """Enrich Parquet files that arrive in a folder and append the results; each file once, across restarts.
+    """Enrich Parquet files that arrive in a folder and add the results to a table; each file once, across restarts.
 
-    Runs over all that is there and stops; start it again to go on from the checkpoint. A row that an
-    earlier batch enriched (done) isn't enriched again.
+    Runs over all that is there and stops; start it again to go on from the checkpoint. Each batch is a
+    partition `batch=<id>` of the sink and replaces it, so a batch that is replayed after a crash isn't there twice. A
+    row that an earlier batch enriched (done) isn't enriched again.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         todo = df if done is None else df.join(done().select(F.col(done_key).alias(key)), key, "left_anti")
-        enrich(todo).write.mode("append").parquet(sink)
+        enrich(todo).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reworked(rows: DataFrame, done: DataFrame, enrich: Callable[[DataFrame], DataFrame], mode: str, key: str = "id", done_key: str = "file_id", mode_column: str = "mode") -> DataFrame:
+    """done for a mode: rows of that mode stay, all others are enriched anew, also those that were done in another mode."""
+    kept = done.where(F.col(mode_column) == mode)
+    fresh = enrich(rows.join(kept.select(F.col(done_key).alias(key)), key, "left_anti")).withColumn(mode_column, F.lit(mode))
+    return kept.unionByName(fresh, allowMissingColumns=True).select(*done.columns)
+
+
 def session_stream(events: DataFrame, time: str, gap: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """(keys, first, last, n): sessions of a stream or table by gap; events later than `late` are left out of a stream."""
     stream = events.withWatermark(time, late) if events.isStreaming else events

@@ -4,10 +4,11 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prismlake.functions import columns as C
-from prismlake.operators import clustering, curation, media, ordering, people, places, search, sessions, stats
+from prismlake.operators import clustering, curation, decisions, lookups, media, ordering, people, places, search, sessions, stats
 from prismlake.operators.filters import FilterSpec, ViewOptions, apply_filters, for_search, milestone_capture, person_query, place_search
 from prismlake.streaming import incremental
 
@@ -64,9 +65,15 @@ def test_aspect_and_file_names(spark):
 
 
 def test_capture_kinds(spark):
-    rows = [{"id": 1, "path": "/DCIM/x.jpg", "filename": "x.jpg"}, {"id": 2, "path": "/Screenshots/x.png", "filename": "x.png"}, {"id": 3, "path": "/Camera & Screenshots/x.png", "filename": "x.png"}, {"id": 4, "path": "/v/Screen Recording 1.mp4", "filename": "Screen Recording 1.mp4", "file_type": "video"}]
-    df = files(spark, *rows).withColumn("exposure_time", F.lit(None).cast("string"))
-    assert {r["id"]: r["capture_type"] for r in media.reclassified(df).collect()} == {1: "camera", 2: "screenshot", 3: "unknown", 4: "screen_recording"}
+    rows = [
+        {"id": 1, "path": "/DCIM/x.jpg"}, {"id": 2, "path": "/Screenshots/x.png"}, {"id": 3, "path": "/Camera & Screenshots/x.png"}, {"id": 4, "path": "/v/Screen Recording 1.mp4", "file_type": "video"},
+        {"id": 5, "path": "a.png"}, {"id": 6, "path": "screencast1.mp4", "file_type": "video"}, {"id": 7, "path": "b.jpg"}, {"id": 8, "path": "/Camera & Screenshots/x.jpg"}, {"id": 9, "path": "/x/y.gif"},
+        {"id": 10, "path": "/x/y.gif", "iso": 100, "aperture": 2.8}, {"id": 11, "path": "/x/y.pdf", "file_type": "other", "iso": 1, "aperture": 2.0}, {"id": 12, "path": "/x/y.png", "iso": 100, "aperture": 2.8, "lens_model": "L"},
+        {"id": 13, "path": "/dcim/y.png", "iso": 100, "aperture": 2.8}, {"id": 14, "path": None}, {"id": 15, "path": "/v.mp4", "file_type": "video", "latitude": 1.0, "longitude": 2.0}, {"id": 16, "path": "/shot.jpg"},
+    ]
+    df = files(spark, *rows).withColumn("exposure_time", F.lit(None).cast("string")).withColumn("software", F.when(F.col("id") == 16, "Snipping Tool").otherwise(""))
+    got = {r["id"]: r["capture_type"] for r in media.reclassified(df).collect()}
+    assert got == {1: "camera", 2: "screenshot", 3: "screenshot", 4: "screen_recording", 5: "screenshot", 6: "screen_recording", 7: "camera", 8: "camera", 9: "unknown", 10: "camera", 11: "unknown", 12: "screenshot", 13: "camera", 14: "unknown", 15: "camera", 16: "screenshot"}
 
 
 def test_gap_of_exactly_the_limit_goes_on(spark):
@@ -222,3 +229,87 @@ def test_empty_tables(spark):
 def place_search_hits(spark):
     df = spark.createDataFrame([("Málaga",), ("Oslo",), (None,)], "city string")
     return [r["city"] for r in df.where(place_search("malaga", ["city"])).collect()]
+
+
+def state(spark):
+    people_ = spark.createDataFrame([(1, "a", 10, False), (2, "b", 20, True), (3, "c", 30, False)], "id long, name string, cover_face_id long, hidden boolean")
+    assigned = spark.createDataFrame([(10, 1, "auto"), (11, 1, "auto"), (20, 2, "auto"), (21, 2, "auto"), (30, 3, "auto")], "face_id long, person_id long, assigned_by string")
+    groups = spark.createDataFrame([(1, None, None), (2, "two", 11)], "id long, name string, avatar_face_id long")
+    members = spark.createDataFrame([(1, 10), (2, 11)], "manual_person_id long, face_id long")
+    return decisions.State(people_, assigned, groups, members, spark.createDataFrame([], "manual_person_id long"), spark.createDataFrame([(1, 9)], "left_manual_person_id long, right_manual_person_id long"))
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_decisions_about_people(spark):
+    s, group = decisions.with_group(state(spark), 1)  # two groups become the first, which takes the other's name and picture
+    assert group == 1 and rows(s.groups) == [(1, "two", 11)] and rows(s.members) == [(1, 10), (1, 11)]
+    s = decisions.renamed(state(spark), 3, "  Carla ")
+    assert (3, "Carla", 30, False) in rows(s.people) and (3, "Carla", None) in rows(s.groups) and (3, 30) in rows(s.members)
+    with pytest.raises(ValueError):
+        decisions.renamed(s, 3, " " * 5)
+    with pytest.raises(ValueError):
+        decisions.renamed(s, 3, "x" * 129)
+    s = decisions.hidden(state(spark), 1, 3)
+    assert [r[3] for r in rows(s.people)] == [True, True, True] and rows(s.hidden_groups) == [(1,), (2,)]
+    s = decisions.unhidden(s, 1)
+    assert rows(s.hidden_groups) == [(2,)] and (1, "a", 10, False) in rows(s.people)
+    s = decisions.split(decisions.hidden(state(spark), 2), 2)
+    assert [m for m in rows(s.members) if m[1] >= 20] == [(4, 20), (5, 21)] and {(4,), (5,)} <= set(rows(s.hidden_groups))
+    with pytest.raises(ValueError):
+        decisions.split(state(spark), 3)
+    s = decisions.merged(state(spark), 2, 1, 3)
+    assert rows(s.people) == [(2, "b", 20, True)] and {r[1] for r in rows(s.assignments)} == {2} and {r[0] for r in rows(s.members)} == {1}
+    s = decisions.kept_apart(state(spark), 3, 2)
+    assert rows(s.exclusions) == [(1, 9), (3, 4)]
+    with pytest.raises(ValueError):
+        decisions.kept_apart(decisions.merged(state(spark), 2, 1), 2, 2)
+
+
+def test_decisions_about_faces(spark):
+    s = decisions.added_to(state(spark), 30, 1)
+    assert (30, 1, "manual") in rows(s.assignments) and (1, 30) in rows(s.members) and 3 not in [r[0] for r in rows(s.people)]
+    s = decisions.separated(state(spark), 11, hide=True)
+    assert (4, None, 11, True) in rows(s.people) and (11, 4, "manual") in rows(s.assignments) and (3, 11) in rows(s.members) and rows(s.hidden_groups) == [(3,)] and (2, "two", None) in rows(s.groups)
+    s = decisions.with_avatar(state(spark), 21, 2)
+    assert (2, "b", 21, True) in rows(s.people) and (3, None, 21) in rows(s.groups)
+    moved = decisions.replace(s, people=s.people.withColumn("cover_face_id", F.lit(None).cast("long")))
+    assert {r[0]: r[2] for r in rows(decisions.with_avatars(moved).people)} == {1: 11, 2: 21, 3: None}
+    faces = spark.createDataFrame([(1, 7), (2, 8)], "id long, file_id long")
+    scans = spark.createDataFrame([(7, "v1"), (8, "v1")], "file_id long, pipeline_version string")
+    f, c = decisions.replaced_faces(faces, scans, faces.limit(0), scans.where("file_id = 8"))
+    assert rows(f) == [(1, 7)] and rows(c) == [(7, "v1"), (8, "v1")]
+    assert [t.count() for t in decisions.rebuilt(faces, scans)] == [0, 0]
+
+
+def test_lookups(spark):
+    df = files(spark, {"id": 1, "media_id": 5, "thumbnail_path": "/t/1"}, {"id": 2, "media_id": 9, "thumbnail_path": None})
+    assert [r["id"] for r in lookups.overview(df).collect()] == [2, 1] and lookups.item(df, 2).count() == 1 and lookups.item(df, 3).count() == 0
+    e = spark.createDataFrame([(1, "v1", "completed"), (2, "v1", "failed")], "file_id long, pipeline_version string, status string")
+    assert [lookups.has_row(e, i).first()[0] for i in (1, 3)] == [True, False]
+    assert [lookups.processed(e, i, v).first()[0] for i, v in ((1, "v1"), (1, "v2"), (2, "v1"), (9, "v1"))] == [True, False, False, False]
+    assert rows(media.stale_thumbnails(spark.createDataFrame([("/t/1",), ("/t/2",)], "path string"), df)) == [("/t/2",)]
+    chart = spark.createDataFrame([("Unknown", 9), ("10", 1), ("9", 2), ("x", 3)], "value string, n int")
+    assert [r[0] for r in stats.chart_order(chart, True).collect()] == ["9", "10", "x", "Unknown"] and [r[0] for r in stats.chart_order(chart).collect()] == ["x", "9", "10", "Unknown"]
+
+
+def test_swapped_tables_survive_a_crash(spark, tmp_path):
+    from prismlake.sources.tables import write_swapped
+
+    path = f"file://{tmp_path}/t"
+    write_swapped(spark.range(3), path)
+    write_swapped(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path)
+    assert rows(spark.read.parquet(path)) == [(10,), (11,), (12,)]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if it had stopped between the renames
+    write_swapped(spark.range(1), path)
+    assert rows(spark.read.parquet(path)) == [(0,)] and not (tmp_path / "t.old").exists()
+
+
+def test_modes_are_worked_anew(spark):
+    from prismlake.streaming import incremental
+
+    df, done = spark.range(3), spark.createDataFrame([(0, "x", "smart"), (1, "y", "small")], "file_id long, place string, mode string")
+    out = incremental.reworked(df, done, lambda d: d.select(F.col("id").alias("file_id"), F.lit("new").alias("place")), "smart")
+    assert rows(out) == [(0, "x", "smart"), (1, "new", "smart"), (2, "new", "smart")]
