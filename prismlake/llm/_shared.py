@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, blanks the rest.
 WORD_BYTES = bytes(
@@ -17,7 +21,8 @@ WORD_BYTES = bytes(
 #: Long texts are split into words in pieces of about this many bytes.
 PIECE = 1 << 20
 
-_written: dict[str, list[str]] = {}
+_written: dict[tuple[str, str], list[str]] = {}
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,27 +30,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The cluster's shared folder; where none is set, the warehouse, or in local mode a folder for temporary files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local")
+        base = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/prismlake"
 
 
 def materialize(df: DataFrame, tag: str, swept: bool = True) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage. `sweep` deletes it unless told."""
+    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    `discard` deletes it, and `sweep` those of an owner (see `owned`) unless told otherwise.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if swept:
-        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        _written.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Work tables written inside belong to this owner."""
+    before = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "_work_path", None)
+        if path:
+            _delete(t.sparkSession, path)
+            for own in _written.values():
+                if path in own:
+                    own.remove(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete this application's work tables. Call it once everything that reads them is written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def sweep(spark: SparkSession, owner: str = "") -> None:
+    """Delete the work tables of an owner in this application. Call it once everything that reads them is written."""
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
+        _delete(spark, path)
 
 
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
@@ -139,19 +176,20 @@ def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     return cut.withColumn(name, (F.col("_at") + pairs[F.col("_part")]).cast("long")).drop("_part", "_at")
 
 
-def bitmap(hashes: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """A table (i, word) of at most bits / 64 rows with a bit set for each hash `h`: a filter of fixed size for `in_bitmap`."""
+def mask_of(hashes: DataFrame, bits: int = 1 << 24) -> Broadcast:
+    """A broadcast bitmap of fixed size (2 MB) with a bit set for each hash `h`; see `in_mask`."""
     at = F.pmod(F.col("h"), F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
-    return materialize(hashes.select((at / 64).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("word")), "bitmap")
+    packed = hashes.select((at / 64).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+    mask = np.zeros(bits // 64, np.uint64)
+    mask[packed.column("i").to_numpy()] = packed.column("b").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(mask)
 
 
-def in_bitmap(df: DataFrame, h: Column, packed: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """The rows of df whose hash may be among those of the bitmap: all that are, and others as the bitmap fills."""
-    at = F.pmod(h, F.lit(bits))
-    rows = df.withColumn("_at", at).withColumn("i", (F.col("_at") / 64).cast("int"))
-    hit = rows.join(F.broadcast(packed), "i")  # at most 262,144 rows, whatever the input
-    return hit.where(F.call_function("shiftright", "word", (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+def in_mask(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which hashes (long) may be among those of the bitmap: all that are, and others as the bitmap fills."""
+    at = h % (len(mask) * 64)
+    return (mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,6 +209,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")
+        discard(e)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
         e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Vectors of one shard and queries of one block, about; points of one leaf of a tree.
-SHARD, BLOCK, LEAF = 65_536, 16_384, 512
+#: Vectors of one shard and queries of one task, about; points of one leaf of a tree.
+SHARD, BLOCK, LEAF = 65_536, 262_144, 512
 #: Shards at least, so that a small table is searched by several tasks too.
 SHARDS = 8
 
@@ -129,48 +131,69 @@ def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - v) ** 2).sum(1))
 
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and vectors; of rows with the same id the one of least vector."""
-    ids = table.column("vec_id").to_numpy()
-    x = table.column("embedding").combine_chunks()
-    x = np.asarray(x.flatten(), np.float64).reshape(len(ids), -1)
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+class Shard:
+    """A tree of the vectors of one shard; of rows with the same id the one of least vector counts, equal vectors are one point."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.lexsort((*x.T[::-1], ids))
         ids, x = ids[order], x[order]
         new = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, x = ids[new], x[new]
-    return ids, x
+        self.ids, x = ids[new], x[new]
+        _, at, which = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        self.owners = np.argsort(which, kind="stable")  # the ids of a point, the least first
+        self.first = np.searchsorted(which[self.owners], np.arange(len(at) + 1))
+        self.points = x[at]
+        # a further coordinate makes the nearest point the one of largest inner product
+        square = (self.points**2).sum(1)
+        self.tree = VPTree(np.hstack([self.points, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]))
+
+    def nearest(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+        """[query ids, vec_ids, scores] of the k nearest of each query but itself."""
+        first, out = self.first, []
+        # one more than asked for, since a query isn't its own neighbour
+        for i, row in enumerate(self.tree.largest(np.hstack([q, np.zeros((len(q), 1))]), k + 1, factor)):
+            mine = np.concatenate([self.ids[self.owners[first[p] : min(first[p] + k + 1, first[p + 1])]] for p in row.tolist()])
+            # summed from the first component to the last
+            score = np.add.accumulate(self.points[row] * q[i], 1)[:, -1]
+            score = np.repeat(score, np.minimum(first[row + 1] - first[row], k + 1))
+            keep = mine != qid[i]
+            mine, score = mine[keep], score[keep]
+            best = np.lexsort((mine, -score))[:k]
+            out.append((np.full(len(best), qid[i]), mine[best], score[best]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def _search(k: int, factor: float):
+    """Over rows sorted by (dim, shard, block, asks): build a tree of a shard's vectors once, then answer its queries as they come."""
     names = ["query_id", "vec_id", "score"]
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-        (qid, q), (ids, x) = _rows(left), _rows(right)
-        # equal vectors are one point with several ids, the least first
-        _, at, which = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        owners = np.argsort(which, kind="stable")
-        first = np.searchsorted(which[owners], np.arange(len(at) + 1))
-        points = x[at]
-        # a further coordinate makes the nearest point the one of largest inner product
-        square = (points**2).sum(1)
-        tree = VPTree(np.hstack([points, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(q), 512):
-            some = q[a : a + 512]
-            # one more than asked for, since a query isn't its own neighbour
-            for i, row in enumerate(tree.largest(np.hstack([some, np.zeros((len(some), 1))]), k + 1, factor)):
-                mine = np.concatenate([ids[owners[first[p] : min(first[p] + k + 1, first[p + 1])]] for p in row.tolist()])
-                score = np.repeat((points[row] * some[i]).sum(1), np.minimum(first[row + 1] - first[row], k + 1))
-                keep = mine != qid[a + i]
-                mine, score = mine[keep], score[keep]
-                best = np.lexsort((mine, -score))[:k]
-                out.append((np.full(len(best), qid[a + i]), mine[best], score[best]))
-        return pa.table({n: np.concatenate(c) for n, c in zip(names, zip(*out, strict=True), strict=True)})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard, last = None, [], None, None
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in ("dim", "shard", "block", "asks")], 1).astype(np.int64)
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)], strict=True):
+                if hi <= lo:
+                    continue
+                *own, asks = where[lo].tolist()
+                part = b.slice(lo, hi - lo)
+                ids, x = part.column("vec_id").to_numpy(), part.column("embedding").flatten().to_numpy().reshape(hi - lo, own[0])
+                if own != key:
+                    key, held, shard, last = own, [], None, None
+                if not asks:
+                    held.append((ids, x))
+                    continue
+                if shard is None:
+                    if not held:
+                        continue
+                    shard, held = Shard(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+                # rows of equal id follow each other, the least vector first
+                new = np.concatenate([[ids[0] != last], ids[1:] != ids[:-1]])
+                last = ids[-1]
+                ids, x = ids[new], x[new]
+                for a in range(0, len(ids), 512):
+                    found = shard.nearest(ids[a : a + 512], x[a : a + 512], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
 
     return search
 
@@ -185,20 +208,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     """(query_id, rank, vec_id, score): the k vectors of largest inner product for each query, but for its own id.
 
     Vectors are dealt to shards by a hash of vec_id, each with a vantage-point tree of its own; queries
-    go to every shard in blocks of about 16,384, and the shards' lists are merged. `factor` relaxes the
+    go to every shard, and the shards' lists are merged. A task builds the tree of a shard once and answers
+    queries as they come, up to about BLOCK; more queries are more tasks for each shard. `factor` relaxes the
     pruning by the triangle inequality; 1 is exact search, which the query uses. Ties go to the smaller vec_id.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with null
     vec_id; vectors only meet vectors of their length. Of rows with equal vec_id the least vector counts.
+    An empty table gives no rows. Other columns are not read.
     """
-    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    q = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    own = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(*own)
+    q = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(*own)
     shards, blocks = max(SHARDS, -(-v.count() // SHARD)), max(1, -(-q.count() // BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", spread(shards))
-    key = [F.size("embedding").alias("dim"), "shard", "block"]
-    near = q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks)).withColumn("asks", F.lit(0))
+    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", spread(shards)).withColumn("asks", F.lit(1))
+    rows = v.unionByName(q).withColumn("dim", F.size("embedding")).select("dim", "shard", "block", "asks", "vec_id", "embedding")
+    key = ["dim", "shard", "block"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "asks", "vec_id", "embedding")
+    near = rows.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -58,4 +58,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
 
 
-ORACLE_SQL: dict[str, str] = {}
+_VECTORS = "v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0)"
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_vp_tree": f"""WITH {_VECTORS}, s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.x, q.x) AS score FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20""",
+    "op10_fm_index": f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT item, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT uid, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k)),
+o AS (SELECT uid, i, dw.k, item FROM dw JOIN p ON dw.k = p.k AND dw.phrase = p.phrase),
+h AS (SELECT uid, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT uid, unnest(range(i, i + k)) AS j FROM o) GROUP BY uid),
+f AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM o) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (uid) LEFT JOIN f USING (uid)""",
+}
