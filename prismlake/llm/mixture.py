@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prismlake.llm._shared import materialize, ranked, utf8_rows
 
@@ -137,26 +137,33 @@ def mix(sized: DataFrame, weights: list[float], share: float, ceiling: float) ->
     return out.drop("_whole", "p", "leaf", "extra", "open", "_e")
 
 
+def _key() -> Column:
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("null"))
+    return F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), part("text"), part("source"))
+
+
 def copies(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
     """(doc_id, source, key, size, source_size, target, copies) of every row of docs, size being its number of words.
 
-    key tells doc_id, text and source. A null text has size 0; a null source is the last source; rows
-    of equal key are rounded each by itself. Empty input gives no rows.
+    key tells doc_id, text and source, nulls too. A null text, an empty one or one of white space has size 0 and
+    gets no copy; a null source is the last source; rows of equal key are rounded each by itself.
+    Texts of any length are counted whole. Empty input gives no rows. Other columns are not read.
     """
-    key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text", "source")))
-    slim = docs.select("doc_id", "source", key.alias("key"), "text")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _key().alias("key"), "text")
     sized = materialize(slim.mapInArrow(word_counts, "doc_id long, source string, key string, size long"), "words")
-    return mix(sized, list(weights), share, ceiling)
+    return mix(sized, list(weights), share, ceiling).withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long")))
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as its copies say; rows that are equal in doc_id, text and source count as equal in all."""
-    taken = materialize(copies(docs, **how).groupBy("key").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n")).where("_c > 0"), "taken")
-    key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text", "source")))
-    rows = docs.withColumn("key", key).join(taken, "key")
-    if taken.where("_n > 1").take(1):
+    """docs with every row as often as its copies say; rows that are equal in doc_id, text and source count as equal in all.
+
+    Rows without words get no copy. Columns of any name are kept as they are.
+    """
+    taken = materialize(copies(docs, **how).groupBy("key").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).where("c > 0"), "taken")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"), _key().alias("key")).join(taken, "key")
+    if taken.where("n > 1").take(1):
         rows = rows.dropDuplicates(["key"])
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*docs.columns)
+    return rows.select("d", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).select("d.*")
 
 
 def op2_pivotal_mix(docs: DataFrame) -> DataFrame:
