@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prismlake.llm._shared import materialize
+from prismlake.llm._shared import discard, materialize
 
 _MARKS = re.compile(r"^(?:[ \t]*>)+")
 _INTRO = re.compile(r"^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$")
@@ -82,19 +82,21 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, parent_conv, parent_turn, thread_conv, depth, path, quotes, linked) of every message.
+    """(conv_id, turn, role, text, parent_conv, parent_turn, thread_conv, thread_turn, depth, quotes, linked) of every message.
 
     text is without quoted lines and the lines that announce them. Each quoted passage, its paragraphs,
     lines and sentences are normalised, hashed and joined to the messages that say them as a whole, between
     removed quotes, in a paragraph, a line or a sentence: first to the latest earlier turn of the same
     conversation, else to the first message with it in an earlier one. The longest match of a passage
-    counts. The message of the lowest quote level found is the parent (ties: the first quoted). path is
-    the chain of (conv_id, turn) from the thread's first message down, so sorting by thread_conv and path
-    gives each thread in reply order; messages without a found quote are heads in their turn order.
-
-    Passages of under three words are linked as a whole within their conversation only. Null texts stay null; messages with null conv_id or turn
-    are heads and never parents; repeated rows are rows of one message. Hot passages are counted and
-    reduced to one candidate for each conversation before they are joined.
+    counts. The message of the lowest quote level found is the parent (ties: the first quoted). thread_conv
+    and thread_turn are the head that the chain of parents ends with, depth the steps to it. What is
+    quoted comes before the quote, so sorting by thread_conv, thread_turn, conv_id and turn gives each thread in
+    reply order; messages without a found quote are heads.
+
+    Passages of under three words are linked as a whole within their conversation only. Null texts stay null, empty ones
+    say nothing; messages with null conv_id or turn are heads and never parents; repeated rows are rows of one message,
+    each with its links. Texts of any length are taken whole; an empty table gives no rows; other columns are not read.
+    Hot passages meet a conversation's asking messages by one sorted pass, and others by one candidate.
     """
     rows = materialize(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").cast("string")).mapInArrow(_parsed, "conv_id long, turn long, role string, text string, quotes array<struct<level: int, grains: array<struct<hash: binary, words: int>>>>, said array<binary>"), "messages")
     key = "conv_id IS NOT NULL AND turn IS NOT NULL"
@@ -102,9 +104,13 @@ def linked(messages: DataFrame) -> DataFrame:
     asked = asked.select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.explode("q.grains").alias("g")).select("conv_id", "turn", "at", "level", "g.hash", "g.words")
     asked = materialize(asked.distinct(), "quotes")
     said = rows.where(key).select("conv_id", "turn", F.explode("said").alias("hash"))
-    said = materialize(said.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns")), "said")
-    near = asked.join(said, ["hash", "conv_id"]).select(*asked.columns, F.col("conv_id").alias("parent_conv"), F.array_max(F.filter("turns", lambda t: t < F.col("turn"))).alias("parent_turn")).where("parent_turn IS NOT NULL")
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", F.array_min("turns").alias("turn"))).alias("o"))
+    said = materialize(said.join(asked.select("hash").distinct(), "hash", "left_semi").distinct(), "said")
+    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
+    # in each conversation the latest turn before the asking one that says the same
+    events = asked.withColumn("said", F.lit(None).cast("long")).unionByName(said.withColumn("said", F.col("turn")), allowMissingColumns=True)
+    earlier = W.partitionBy("hash", "conv_id").orderBy("turn", F.col("said").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    near = events.withColumn("parent_turn", F.last("said", True).over(earlier)).where("at IS NOT NULL AND parent_turn IS NOT NULL")
+    near = near.select(*asked.columns, F.col("conv_id").alias("parent_conv"), "parent_turn")
     quote = ["conv_id", "turn", "at", "level"]
     rest = asked.where(F.col("words") >= LEAST_WORDS).join(near.select(*quote, "hash"), [*quote, "hash"], "left_anti")
     # a message in an earlier conversation only, so that chains end
@@ -114,25 +120,26 @@ def linked(messages: DataFrame) -> DataFrame:
     found = found.groupBy(*quote).agg(longest).select(*quote, "b.parent_conv", "b.parent_turn")
     parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "at", "parent_conv", "parent_turn")).alias("p"), F.count("*").alias("linked"))
     parents = materialize(parents.select("conv_id", "turn", F.col("p.parent_conv").alias("parent_conv"), F.col("p.parent_turn").alias("parent_turn"), "linked"), "parents")
-    # chains up to the head, doubled in each round
-    step = F.struct(F.col("conv_id").alias("conv"), "turn")
-    chains = parents.select("conv_id", "turn", F.col("parent_conv").alias("up_conv"), F.col("parent_turn").alias("up_turn"), F.array(F.struct(F.col("parent_conv").alias("conv"), F.col("parent_turn").alias("turn"))).alias("above"))
-    chains = materialize(chains, "chains")
+    # steps up to the head, doubled in each round
+    chains = materialize(parents.select("conv_id", "turn", F.col("parent_conv").alias("up_conv"), F.col("parent_turn").alias("up_turn"), F.lit(1).alias("depth")), "chains")
     while True:
-        up = chains.select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("above").alias("more"), F.col("up_conv").alias("next_conv"), F.col("up_turn").alias("next_turn"))
+        up = chains.select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("next_conv"), F.col("up_turn").alias("next_turn"), F.col("depth").alias("more"))
         on = chains.join(up, ["up_conv", "up_turn"], "left")
-        new = on.select("conv_id", "turn", F.coalesce("next_conv", "up_conv").alias("up_conv"), F.coalesce("next_turn", "up_turn").alias("up_turn"), F.concat(F.coalesce("more", F.array().cast("array<struct<conv: bigint, turn: bigint>>")), "above").alias("above"), F.col("next_turn").isNotNull().alias("grew"))
+        new = on.select("conv_id", "turn", F.coalesce("next_conv", "up_conv").alias("up_conv"), F.coalesce("next_turn", "up_turn").alias("up_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("grew"))
         new = materialize(new, "chains")
+        discard(chains)
         chains = new.drop("grew")
+        chains._work_path = new._work_path
         if not new.where("grew").take(1):
             break
-    out = rows.join(parents, ["conv_id", "turn"], "left").join(chains.select("conv_id", "turn", "above"), ["conv_id", "turn"], "left")
-    path = F.concat(F.coalesce("above", F.array().cast("array<struct<conv: bigint, turn: bigint>>")), F.array(step))
-    return out.select("conv_id", "turn", "role", "text", "parent_conv", "parent_turn", F.coalesce(F.get("above", F.lit(0))["conv"], F.col("conv_id")).alias("thread_conv"), F.coalesce(F.size("above"), F.lit(0)).alias("depth"), path.alias("path"), F.size("quotes").alias("quotes"), F.coalesce("linked", F.lit(0)).cast("int").alias("linked"))
+    heads = chains.select("conv_id", "turn", F.col("up_conv").alias("head_conv"), F.col("up_turn").alias("head_turn"), "depth")
+    out = rows.join(parents, ["conv_id", "turn"], "left").join(heads, ["conv_id", "turn"], "left")
+    thread = [F.coalesce("head_conv", "conv_id").alias("thread_conv"), F.coalesce("head_turn", "turn").alias("thread_turn")]
+    return out.select("conv_id", "turn", "role", "text", "parent_conv", "parent_turn", *thread, F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("quotes"), F.coalesce("linked", F.lit(0)).cast("int").alias("linked"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """Messages formatted for chat training, to be sorted by thread_conv and path: each as <|role|>, its text and <|end|>."""
+    """Messages formatted for chat training, to be sorted by thread_conv, thread_turn, conv_id and turn: each as <|role|>, its text and <|end|>."""
     return linked(messages).withColumn("formatted", F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n")))
 
 
