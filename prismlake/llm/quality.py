@@ -94,8 +94,8 @@ def evidence(llr: np.ndarray) -> Column:
     return F.aggregate(F.transform("bins", lambda b, i: F.get(flat, i * BINS + b)), F.lit(0.0), lambda a, x: a + x)
 
 
-def _shrunk(groups: DataFrame, n: str, s: str, prior: Column, out: str) -> DataFrame:
-    """(s + m * prior) / (n + m): the weight m of the prior from the spread of the groups' rates, by moments.
+def _shrunk(groups: DataFrame, n: str, s: str, prior: Column, out: str) -> tuple[DataFrame, float]:
+    """groups with (s + m * prior) / (n + m), and m: the weight of the prior from the spread of the groups' rates, by moments.
 
     The less the rates of large groups differ beyond what chance makes of them, the more a group is drawn to the prior.
     """
@@ -106,7 +106,7 @@ def _shrunk(groups: DataFrame, n: str, s: str, prior: Column, out: str) -> DataF
     v = groups.where(F.col(n) > 0).agg(between.alias("b"), chance.alias("c"), typical.alias("t")).first()
     spread = max((v["b"] or 0.0) - (v["c"] or 0.0), 1e-6)
     m = float(min(max((v["t"] or 0.25) / spread - 1, 1.0), 1e6))
-    return groups.withColumn(out, (F.col(s) + m * p) / (F.col(n) + m))
+    return groups.withColumn(out, (F.col(s) + m * p) / (F.col(n) + m)), m
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, learnt_from: Column, threshold: float = 0.5) -> DataFrame:
@@ -120,7 +120,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, learnt
     score joins its path's rate, less its own share, with its evidence.
 
     Null and empty texts have bins of their own; null hosts and paths are groups; without labels of
-    both kinds the evidence is weak and all scores lie near the global rate. Repeated rows count each.
+    both kinds the evidence is weak and all scores lie near the global rate. Repeated rows count each. Texts of
+    any length are taken whole; equal rows get equal scores; an empty table gives no rows. Other columns are not read.
     """
     rows = materialize(described(docs, host, path), "described")
     llr, base, factor = learn_evidence(rows, labels, learnt_from)
@@ -131,15 +132,13 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, learnt
     rows = materialize(rows, "evidence")
     paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    hosts = _shrunk(materialize(hosts, "hosts"), "hn", "hs", F.lit(base), "host_rate")
+    hosts, _ = _shrunk(materialize(hosts, "hosts"), "hn", "hs", F.lit(base), "host_rate")
     same = lambda a, b, *c: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in c]
     both = paths.alias("p").join(hosts.alias("h"), same("p", "h", "host"), "left").select("p.*", "host_rate")
-    both = materialize(_shrunk(both, "n", "s", F.col("host_rate"), "path_rate"), "rates")
-    # the weight of the prior follows from rate = (s + m * prior) / (n + m)
-    m = F.when(F.abs(F.col("path_rate") - F.col("host_rate")) > 1e-12, (F.col("s") - F.col("n") * F.col("path_rate")) / (F.col("path_rate") - F.col("host_rate"))).otherwise(F.lit(1e6))
-    both = both.select("host", "path", "host_rate", "path_rate", "n", "s", m.alias("m"))
+    both, m = _shrunk(materialize(both, "paths"), "n", "s", F.col("host_rate"), "path_rate")
+    both = both.select("host", "path", "host_rate", "path_rate", "n", "s")
     out = rows.alias("r").join(both.alias("b"), same("r", "b", "host", "path"), "left")
-    rest = (F.col("s") - F.col("p") + F.col("m") * F.col("host_rate")) / (F.col("n") - 1 + F.col("m"))
+    rest = (F.col("s") - F.col("p") + m * F.col("host_rate")) / (F.col("n") - 1 + m)
     rest = F.least(F.greatest(rest, F.lit(1e-4)), F.lit(1 - 1e-4))
     z = logit(rest) + F.col("evidence")
     out = out.select("r.doc_id", "r.host", "r.path", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-z))).alias("score"))
