@@ -8,15 +8,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismlake.llm._shared import WORD_BYTES, utf8_rows, word_pieces, words
+from prismlake.llm._shared import WORD_BYTES, discard, materialize, utf8_rows, word_pieces, words
 
 #: Symbols of one shard's text; a shard ends with the document that fills it.
 SHARD_SYMBOLS = 1 << 18
 #: One text position in so many has its suffix position kept.
 SAMPLE = 16
-#: Phrases broadcast at once; more benchmark text is searched in further passes over the shards' text.
+#: Phrases broadcast at once, about; a larger benchmark is searched in further passes over the documents.
 PHRASES_AT_ONCE = 200_000
 
 
@@ -112,21 +112,32 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
 
 
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(phrase, items): every distinct window of the items, its words with a blank between, and the sorted ids of items that have it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, t in zip(b.column("item").to_pylist(), utf8_rows(b.column("text")), strict=True):
+                w = words(t)
+                for a in range(0, max(len(w) - window, 0) + 1 if w else 0, 8192):
+                    some = [b" ".join(w[i : i + window]) for i in range(a, min(a + 8192, max(len(w) - window, 0) + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([item] * len(some), pa.string())], names=["phrase", "item"])
+
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(cut, "phrase binary, item string").groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
 class Phrases:
-    """Distinct windows of benchmark items as rows of symbols, with the items that have each."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for i in range(max(len(w) - window, 0) + 1 if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
+    """Distinct phrases as right-aligned rows of symbols, with the items that have each."""
+
+    def __init__(self, found: list[tuple[bytes, list[str]]], window: int):
+        self.items = [x for _, x in found]
+        own = [p.split() for p, _ in found]
         self.symbol: dict[bytes, int] = {}
-        self.length = np.array([len(w) for w in found], np.int64)
-        self.least = int(self.length.min()) if found else 0
-        self.rows = np.zeros((len(found), window), np.int64)
-        for row, w in zip(self.rows, found, strict=True):
+        self.length = np.array([len(w) for w in own], np.int64)
+        self.least = int(self.length.min()) if own else 0
+        self.rows = np.zeros((len(own), window), np.int64)
+        for row, w in zip(self.rows, own, strict=True):
             row[window - len(w) :] = [self.symbol.setdefault(x, len(self.symbol) + 1) for x in w]
 
 
@@ -183,53 +194,63 @@ def merged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs, without `text` unless asked for, with n_words long, items array<string> (sorted) and spans array<struct<first, end>>, word numbers.
 
-    A phrase is `window` consecutive words of an item, or all words of a shorter item. Every task cuts
-    its documents into shards of about 2^18 symbols, builds an FM-index of each (suffixes by prefix
-    doubling, ranks by a wavelet tree over the transformed text, one suffix position in 16 kept) and
-    searches all phrases backwards at once; spans of a document that overlap or touch are merged.
-    Memory is bounded by a shard and its longest document. Phrases go to the tasks by broadcast, at
-    most 200,000 at once; a larger benchmark takes further passes over the documents.
+    A phrase is `window` consecutive words of an item, or all words of a shorter item; windows are cut and
+    made distinct in Spark. Every task cuts its documents into shards of about 2^18 symbols, builds an
+    FM-index of each (suffixes by prefix doubling, ranks by a wavelet tree over the transformed text,
+    one suffix position in 16 kept) and searches all phrases backwards at once; spans of a document that
+    overlap or touch are merged. Memory is bounded by a shard and its longest document, and by
+    200,000 phrases, which go to the tasks by broadcast: a larger benchmark is dealt to several passes over
+    the documents, each of which is written and adds its spans to what the ones before it found.
 
     Null texts have no words. Items that are null, or without words, have no phrase; an item_id given
-    twice counts once. Empty tables give empty or untouched results. Columns of docs named n_words,
-    items or spans are replaced.
+    twice counts once. Empty tables give empty or untouched results; equal rows get equal results. Columns
+    of docs named n_words, items or spans are replaced, others are kept.
     """
-    spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("n_words", "items", "spans") and (keep_text or c != text)]
-    item = F.col("item_id").cast("string")
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(item.alias("i"), "text").sort("i", "text").toLocalIterator()
-    blocks, some, size = [], [], 0
-    for r in rows:  # in blocks of bounded size, however large the benchmark is
-        some.append((r["i"], r["text"].encode("utf-8", "surrogatepass")))
-        size += len(r["text"]) // 2 + 1
-        if size >= 8 * PHRASES_AT_ONCE:
-            blocks, some, size = [*blocks, Phrases(some, window)], [], 0
-    blocks.append(Phrases(some, window))
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+    found = materialize(windows(benchmark, window), "phrases")
+    passes = max(1, -(-found.count() // PHRASES_AT_ONCE))
+    names = [c for c in docs.columns if c not in ("n_words", "items", "spans", text)]
+    rows = docs.select(*[docs[f"`{c}`"] for c in names], docs[f"`{text}`"])
+    for k in range(passes):
+        some = found if passes == 1 else found.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k)
+        block = Phrases([(bytes(r["phrase"]), list(r["items"])) for r in some.orderBy("phrase").toLocalIterator()], window)
+        last = k == passes - 1
+        before, rows = rows, _searched(rows, block, text, keep_text or not last, k > 0)
+        if not last:
+            rows = materialize(rows, "scanned")
+            discard(before)
+    order = [c for c in docs.columns if c in names or (keep_text and c == text)]
+    return rows.select(*[rows[f"`{c}`"] for c in order], "n_words", "items", "spans")
+
+
+def _searched(docs: DataFrame, block: Phrases, text: str, keep_text: bool, again: bool) -> DataFrame:
+    """docs with what the phrases of one block find in them, beside the items and spans of earlier passes."""
+    names = [c for c in docs.columns if c not in ("n_words", "items", "spans") and (keep_text or c != text)]
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most PHRASES_AT_ONCE phrases
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
         kept, held, symbols = [], [], 0
 
         def out() -> pa.RecordBatch:
-            spans, items = [[] for _ in held], [set() for _ in held]
-            for k, b in enumerate(shared):
-                p = b.value
-                for i, (start, length, phrase) in enumerate(_shard([h[1][k] for h in held], p)):
-                    spans[i].append((start, length))
-                    for x in np.unique(phrase).tolist():
-                        items[i].update(p.items[x])
-            both = [merged(np.concatenate([s for s, _ in x]), np.concatenate([n for _, n in x])) for x in spans]
-            pairs = [[{"first": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)] for s, e in both]
-            new = [pa.array([h[0] for h in held], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
+            items, pairs = [], []
+            for (start, length, phrase), h in zip(_shard([h[1] for h in held], p), held, strict=True):
+                own, spans = h[2], h[3]
+                items.append(sorted(own.union(*(p.items[x] for x in np.unique(phrase).tolist()))))
+                s, e = merged(np.concatenate([start, spans[:, 0]]), np.concatenate([length, spans[:, 1] - spans[:, 0]]))
+                pairs.append([{"first": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+            new = [pa.array([h[0] for h in held], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
             table = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays([*table.columns, *new], names=[*names, "n_words", "items", "spans"])
 
         for batch in batches:
             rest = batch.select(names)
             start = 0
+            items = batch.column("items").to_pylist() if again else [[]] * batch.num_rows
+            spans = batch.column("spans").to_pylist() if again else [[]] * batch.num_rows
             for i, t in enumerate(utf8_rows(batch.column(text))):
-                found = [_symbols(t or b"", b.value) for b in shared]
-                held.append((found[0][2], [f[:2] for f in found]))
-                symbols += sum(len(f[0]) for f in found)
+                s, where, n = _symbols(t or b"", p)
+                held.append((n, (s, where), set(items[i]), np.array([(x["first"], x["end"]) for x in spans[i]], np.int64).reshape(-1, 2)))
+                symbols += len(s)
                 if symbols >= SHARD_SYMBOLS or len(held) >= 20_000:
                     kept.append(rest.slice(start, i + 1 - start))
                     start = i + 1
@@ -240,8 +261,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "t
         if held:
             yield out()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*[F.col(f"`{n}`") for n in names], *([] if keep_text else [F.col(f"`{text}`")])).mapInArrow(find, f"{fields}, n_words long, items array<string>, spans array<struct<first: long, end: long>>")
+    new = T.StructType.fromDDL("n_words long, items array<string>, spans array<struct<first: long, end: long>>").fields
+    return docs.mapInArrow(find, T.StructType([*(docs.schema[n] for n in names), *new]))
 
 
 def contaminated(n_hit, n_words):
