@@ -1,7 +1,10 @@
-"""Faces to people, by leaders within independent groups of faces."""
+"""Faces to people, by leaders within components of similar faces."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -9,51 +12,119 @@ from pyspark.sql import DataFrame, functions as F
 # fixed values: when a face joins a person
 ALONE, BEST, SECOND, SUGGEST, KEPT = 0.70, 0.64, 0.54, 0.58, 6
 SCHEMA = "face_id long, leader long, score double, suggested long, suggested_score double"
+#: Faces of one block of the similarity join.
+BLOCK = 4096
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, which ends its lineage."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        local = context.master.startswith("local")
+        where = spark.conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir"))
+        context.setCheckpointDir(where)
+    return df.checkpoint()
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+def similar_pairs(faces: DataFrame, least: float = SUGGEST, block: int = BLOCK) -> DataFrame:
+    """(a, b, score) of faces (face_id, embedding) whose dot product, over the shorter length, is `least` or more, a < b.
+
+    An exact similarity join: faces are dealt to blocks by hash, and each pair of blocks is one matrix product in
+    one task, so a task holds two blocks at most. Work grows with the square of the faces, as all are compared.
+    """
+    rows = faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select("face_id", "embedding")
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int")
+    every = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = every.select("face_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side = pdf["face_id"].to_numpy(), pdf["own"].to_numpy()
+        x = np.zeros((len(pdf), max(map(len, pdf["embedding"]))))
+        for row, v in zip(x, pdf["embedding"], strict=True):
+            row[: len(v)] = v
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        s = x[left] @ x[right].T
+        p, q = np.nonzero(s >= least)
+        a, b = ids[left[p]], ids[right[q]]
+        keep = a < b if i == j else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[p, q][keep]})
+
+    return every.groupBy("i", "j").applyInPandas(meet, "a long, b long, score double")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges (a, b): each node with the least node that it hangs together with.
+
+    In each round a node takes the least root among its neighbours, and then that root's own; rounds are few,
+    since roots jump. Every round is written.
+    """
+    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    roots = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        up = new.select(F.col("node").alias("new"), F.col("new").alias("top"))
+        new = _cut(new.join(up, "new").select("node", "root", F.least("new", "top").alias("new")))
+        roots = new.select("node", F.col("new").alias("root"))
+        if not new.where("root <> new").take(1):
+            return roots
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Assign faces in order: must-link groups first, then by quality; each joins the accepted person of best score or opens one.
 
-    A person is known by its first six faces. A score is a dot product over the shorter length.
+    A person is known by its first six faces. A score is a dot product over the shorter length. Rows come
+    sorted by component and order, so only the people of one component are held.
     """
-    pdf = pdf.assign(free=pdf["group_id"].isna()).sort_values(["free", "quality", "face_id"], ascending=[True, False, True], ignore_index=True)
-    people: dict[int, list[np.ndarray]] = {}
-    groups: dict[float, int] = {}
-    out = []
-    for face, group, vector in zip(pdf["face_id"], pdf["group_id"], pdf["embedding"], strict=True):
-        v = np.asarray(vector, float)
-        if not np.isnan(group) and group in groups:
-            leader, score, near, near_score = groups[group], 1.0, None, None
-        else:
-            best, near, near_score = None, None, -1.0
-            for p, known in people.items() if np.isnan(group) else ():
-                s = sorted((float(k[: len(v)] @ v[: len(k)]) for k in known), reverse=True)
-                if s[0] > near_score:
-                    near, near_score = p, s[0]
-                if s[0] >= ALONE or (len(s) > 1 and s[0] >= BEST and s[1] >= SECOND):
-                    if best is None or s[0] > best[1]:
-                        best = (p, s[0])
-            leader, score = best if best else (int(face), 1.0)
-            if best or near_score < SUGGEST:
-                near, near_score = None, None
-            if not np.isnan(group):
-                groups[group] = leader
-        known = people.setdefault(leader, [])
-        if len(known) < KEPT:
-            known.append(v)
-        out.append((int(face), leader, score, near, near_score))
-    return pd.DataFrame(out, columns=["face_id", "leader", "score", "suggested", "suggested_score"]).astype({"suggested": "Int64", "suggested_score": "Float64"})
-
-
-def leaders(faces: DataFrame, block: str | None = None) -> DataFrame:
+    block, people, groups = None, {}, {}
+    for pdf in batches:
+        out = []
+        for own, face, group, vector in zip(pdf["block"], pdf["face_id"], pdf["group_id"], pdf["embedding"], strict=True):
+            if own != block:
+                block, people, groups = own, {}, {}
+            v = np.asarray(vector, float)
+            if not np.isnan(group) and group in groups:
+                leader, score, near, near_score = groups[group], 1.0, None, None
+            else:
+                best, near, near_score = None, None, -1.0
+                for p, known in people.items() if np.isnan(group) else ():
+                    s = sorted((float(k[: len(v)] @ v[: len(k)]) for k in known), reverse=True)
+                    if s[0] > near_score:
+                        near, near_score = p, s[0]
+                    if s[0] >= ALONE or (len(s) > 1 and s[0] >= BEST and s[1] >= SECOND):
+                        if best is None or s[0] > best[1]:
+                            best = (p, s[0])
+                leader, score = best if best else (int(face), 1.0)
+                if best or near_score < SUGGEST:
+                    near, near_score = None, None
+                if not np.isnan(group):
+                    groups[group] = leader
+            known = people.setdefault(leader, [])
+            if len(known) < KEPT:
+                known.append(v)
+            out.append((int(face), leader, score, near, near_score))
+        yield pd.DataFrame(out, columns=["face_id", "leader", "score", "suggested", "suggested_score"]).astype({"suggested": "Int64", "suggested_score": "Float64"})
+
+
+def leaders(faces: DataFrame) -> DataFrame:
     """(face_id, leader, score, suggested, suggested_score) of faces (face_id, quality, embedding, group_id).
 
-    The order decides who leads, so a fold over all faces of a block is one task; `block` names a column
-    that parts faces which are never compared (an owner, or a component of similar faces). Without one all
-    faces are one block, which only suits small collections. Faces with null vectors take no part.
+    The order decides who leads, but faces only matter to each other above the least score that is looked at.
+    So all pairs above it are found first, and each component of pairs and must-link groups is folded by
+    itself, with the result of one fold over all faces. A component is read as a sorted stream, of which a task
+    holds the people found so far, each by six faces. Faces with null vectors take no part.
     """
-    rows = faces.where("embedding IS NOT NULL").select("face_id", F.col("quality").cast("double").alias("quality"), "embedding", F.col("group_id").cast("double").alias("group_id"), (F.col(block) if block else F.lit(0)).alias("block"))
-    return rows.groupBy("block").applyInPandas(_fold, SCHEMA)
+    rows = faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("face_id").cast("long").alias("face_id"), F.col("quality").cast("double").alias("quality"), "embedding", F.col("group_id").cast("double").alias("group_id"))
+    grouped = rows.where("group_id IS NOT NULL").select("face_id", "group_id")
+    linked = grouped.join(grouped.groupBy("group_id").agg(F.min("face_id").alias("a")), "group_id").where("a <> face_id").select("a", F.col("face_id").alias("b"))
+    root = components(similar_pairs(rows).select("a", "b").union(linked))
+    rows = rows.join(root.select(F.col("node").alias("face_id"), "root"), "face_id", "left").withColumn("block", F.coalesce("root", "face_id"))
+    rows = rows.withColumn("free", F.col("group_id").isNull()).withColumn("group_id", F.coalesce("group_id", F.lit(float("nan"))))
+    order = ["block", "free", F.desc("quality"), "face_id"]
+    return rows.repartition("block").sortWithinPartitions(*order).select("block", "face_id", "group_id", "embedding").mapInPandas(_fold, SCHEMA)
 
 
 def representatives(assigned: DataFrame, faces: DataFrame, n: int = KEPT) -> DataFrame:

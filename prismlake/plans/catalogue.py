@@ -455,8 +455,8 @@ def cover_best(spark, d):
 @query(None)
 def cluster_leader(spark, d):
     e = table(spark, d, "embeddings")
-    rows = e.select(F.col("vec_id").alias("face_id"), (1.0 / (1 + F.col("vec_id"))).alias("quality"), "embedding", F.lit(None).cast("bigint").alias("group_id"), "label")
-    return clustering.leaders(rows, "label")
+    rows = e.select(F.col("vec_id").alias("face_id"), (1.0 / (1 + F.col("vec_id"))).alias("quality"), "embedding", F.lit(None).cast("bigint").alias("group_id"))
+    return clustering.leaders(rows)
 
 
 # --- curation, ingest, incremental --------------------------------------------------------------

@@ -176,6 +176,27 @@ def test_leaders_follow_thresholds_and_groups(spark):
     assert sorted(r["box_id"] for r in clustering.kept_boxes(boxes).collect()) == [1, 3]
 
 
+def test_leaders_by_component_equal_one_fold(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(clustering, "BLOCK", 40)
+    g = np.random.default_rng(4)
+    centre = g.normal(size=(12, 16))
+    x = centre[g.integers(0, 12, 260)] + g.normal(size=(260, 16)) * 0.55
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(i, float(g.integers(0, 50)), v.tolist(), int(g.integers(0, 8)) if g.random() < 0.1 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "face_id long, quality double, embedding array<double>, group_id long")
+    pdf = pd.DataFrame(data, columns=["face_id", "quality", "embedding", "group_id"]).assign(block=0, group_id=lambda d: d["group_id"].astype(float), free=lambda d: d["group_id"].isna())
+    pdf = pdf.sort_values(["free", "quality", "face_id"], ascending=[True, False, True], ignore_index=True)
+    want = {r.face_id: (r.leader, round(r.score, 9), None if pd.isna(r.suggested) else r.suggested) for r in next(clustering._fold(iter([pdf]))).itertuples()}
+    got = {r["face_id"]: (r["leader"], round(r["score"], 9), r["suggested"]) for r in clustering.leaders(df).collect()}
+    assert got == want and 5 < len({v[0] for v in want.values()}) < 200
+    s = x @ x.T
+    pairs = {(r["a"], r["b"]) for r in clustering.similar_pairs(df, block=40).collect()}
+    assert pairs == {(i, j) for i in range(260) for j in range(i + 1, 260) if s[i, j] >= clustering.SUGGEST}
+    assert clustering.leaders(df.limit(0)).count() == 0
+
+
 def test_tags_memories_and_removal(spark):
     tags = spark.createDataFrame([(1, "a", "[3,1]", 5), (2, "b", "[]", 6), (3, "c", None, 7)], "id long, name string, media_ids string, last_used long")
     one = lambda df, i: [r["media_ids"] for r in df.where(F.col("id") == i).collect()][0]
