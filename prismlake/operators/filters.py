@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -157,10 +158,17 @@ def path_prefix(prefix: str) -> Column:
     return F.lower(F.col("path")).startswith(prefix.lower())
 
 
+def _bases() -> tuple[str, str]:
+    """Lower-case Latin letters whose canonical decomposition begins with an ASCII letter, and those letters; then combining marks, which have none."""
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    pairs = [(x, d[0]) for x in letters if len(d := unicodedata.normalize("NFD", x)) > 1 and d[0].isascii()]
+    pairs.append(("ł", "l"))  # has no decomposition, but is searched for as l
+    return "".join(x for x, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(y for _, y in pairs)
+
+
 def folded(c: Column) -> Column:
-    """Lower case without the accents of Latin letters, for searches that ignore both."""
-    # fixed values: accented letters and their bases, in the same order
-    return F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz")
+    """Lower case without the accents of Latin letters and without combining marks, for searches that ignore both."""
+    return F.translate(F.lower(c), *_bases())
 
 
 def place_search(term: str, columns: Iterable[str]) -> Column:

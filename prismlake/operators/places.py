@@ -41,6 +41,13 @@ def candidates(points: DataFrame, cells: DataFrame, localities: DataFrame) -> Da
     return box.where(F.pandas_udf(in_polygons, "boolean")(lon, lat, F.col("locality_id"), F.col("geometry"))).drop("geometry", "cell_id")
 
 
+def countries_at(points: DataFrame, cells: DataFrame, localities: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, country): the codes of all countries that hold a point, sorted, with commas between; null where there is none."""
+    found = candidates(points, cells, localities.withColumnRenamed("country", "code")).where("trim(code) <> ''")
+    per = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.upper(F.trim("code")))), ", ").alias("country"))
+    return points.select(key).join(per, key, "left")
+
+
 def _named(c: str) -> Column:
     return F.col(c).isNotNull() & (F.trim(c) != "")
 

@@ -56,6 +56,45 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "len", F.explode("_w").alias("word")).groupBy(key, "word", "len").agg(F.count("*").alias("tf"))
 
 
+def lengths(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, len) of every row with a text, also of those without a word."""
+    return rows.where(F.col(text).isNotNull()).select(key, F.size(index_words(F.col(text))).alias("len"))
+
+
+def refreshed_index(old: DataFrame, fresh: DataFrame, gone: DataFrame | None, key: str) -> DataFrame:
+    """Stored postings or lengths with all rows of changed keys (fresh) replaced, and those of removed ones (gone: key) left out."""
+    changed = fresh.select(key).distinct() if gone is None else fresh.select(key).union(gone.select(key)).distinct()
+    return old.join(changed, key, "left_anti").select(*old.columns).unionByName(fresh)
+
+
+def bm25_stored(stored: DataFrame, sizes: DataFrame, query: str, key: str = "file_id") -> DataFrame:
+    """(key, score) as `bm25` gives them, from stored `postings` and `lengths`.
+
+    Only postings of words in a term's range are read, so a table sorted by word is pruned; no text is looked at.
+    """
+    from prismlake.operators.filters import folded
+
+    terms = [t for q in query_terms(query) for t in re.findall(r"[^\W_]+", q.lower())]
+    if not terms:
+        return stored.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+    begins = [F.startswith("word", folded(F.lit(t))) for t in terms]
+    some = begins[0]
+    for b in begins[1:]:
+        some = some | b
+    hit = stored.where(some).groupBy(key, "len").agg(*[F.sum(F.when(b, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, b in enumerate(begins)])
+    figures = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = hit.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    return _bm25_scores(hit.crossJoin(F.broadcast(figures.crossJoin(df))), key, len(terms))  # one row of figures
+
+
+def _bm25_scores(hit: DataFrame, key: str, terms: int) -> DataFrame:
+    score = F.lit(0.0)
+    for i in range(terms):
+        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
+        score = score - idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return hit.select(key, score.alias("score"))
+
+
 def bm25(rows: DataFrame, query: str, key: str = "file_id", text: str = "text") -> DataFrame:
     """(key, score) of rows with a word that begins like a term of the query; smaller (more negative) is better.
 
@@ -74,11 +113,7 @@ def bm25(rows: DataFrame, query: str, key: str = "file_id", text: str = "text")
     counted = words.select(key, F.size("_w").alias("len"), *tf)
     figures = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(figures))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
-        score = score - idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.select(key, score.alias("score"))
+    return _bm25_scores(hit, key, len(terms))
 
 
 def substring_hits(rows: DataFrame, query: str, key: str = "file_id", text: str = "text") -> DataFrame:

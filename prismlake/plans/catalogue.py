@@ -328,6 +328,12 @@ def _geocode(order: str) -> str:
     return over_files(f"SELECT id AS file_id, (SELECT l.id FROM loc l WHERE t.latitude + 0.05 BETWEEN -90 AND 90 AND t.longitude + 0.05 BETWEEN -180 AND 180 AND t.latitude + 0.05 BETWEEN min_lat AND max_lat AND t.longitude + 0.05 BETWEEN min_lon AND max_lon ORDER BY {order} LIMIT 1) AS locality_id FROM t", _LOCALITIES)
 
 
+@query(over_files("SELECT id AS file_id, (SELECT string_agg(DISTINCT 'C' || CAST(l.id % 3 AS VARCHAR), ', ' ORDER BY 'C' || CAST(l.id % 3 AS VARCHAR)) FROM loc l WHERE t.latitude + 0.05 BETWEEN -90 AND 90 AND t.longitude + 0.05 BETWEEN -180 AND 180 AND t.latitude + 0.05 BETWEEN min_lat AND max_lat AND t.longitude + 0.05 BETWEEN min_lon AND max_lon) AS country FROM t", _LOCALITIES))
+def geocode_countries(spark, d):
+    loc = _localities(spark, d).withColumn("country", F.concat(F.lit("c"), (F.col("id") % 3).cast("string")))
+    return places.countries_at(_points(spark, d), places.cells_of(loc), loc)
+
+
 @query(_geocode("area, l.id"))
 def geocode_smallest(spark, d):
     loc = _localities(spark, d)
@@ -378,6 +384,13 @@ def text_bm25_prefix(spark, d):
     return search.bm25(table(spark, d, "documents"), "License idiot", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_bm25(["license", "idiot"]) + " SELECT doc_id, round(score, 6) AS score FROM b")
+def text_bm25_stored(spark, d):
+    rows = table(spark, d, "documents")
+    stored, sizes = search.postings(rows, "doc_id", "text"), search.lengths(rows, "doc_id", "text")
+    return search.bm25_stored(stored, sizes, "License idiot", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'general public')")
 def text_substring(spark, d):
     return search.substring_hits(table(spark, d, "documents"), "General Public", "doc_id").select("doc_id")

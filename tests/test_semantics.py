@@ -334,3 +334,37 @@ def test_modes_are_worked_anew(spark):
     df, done = spark.range(3), spark.createDataFrame([(0, "x", "smart"), (1, "y", "small")], "file_id long, place string, mode string")
     out = incremental.reworked(df, done, lambda d: d.select(F.col("id").alias("file_id"), F.lit("new").alias("place")), "smart")
     assert rows(out) == [(0, "x", "smart"), (1, "new", "smart"), (2, "new", "smart")]
+
+
+def test_recognised_lines_and_regions(spark):
+    from prismlake.operators import recognition
+
+    df = spark.createDataFrame([(1, [0, 1, 1, 0, 1, 2, 2, 9], [0.9, 0.8, 0.7, 0.9, 0.6, 0.4, 0.9, 0.2]), (2, [0, 0], [0.5, 0.5]), (3, [], [])], "id int, c array<int>, s array<double>")
+    got = {r["id"]: (r["x"]["text"], round(r["x"]["confidence"], 9)) for r in df.select("id", recognition.ctc_text(F.col("c"), F.col("s"), ["a", "b"]).alias("x")).collect()}
+    assert got == {1: ("aab", 0.5), 2: ("", 0.0), 3: ("", 0.0)}
+    grid = np.zeros((20, 30))
+    grid[3:6, 4:9] = grid[12:16, 2:5] = 0.5
+    grid[12:16, 5] = 0.29  # below the threshold
+    grid[0:2, 20:29] = 1  # not high enough
+    grid[6, 9] = 0.9  # only touches by a corner
+    df = spark.createDataFrame([(7, 30, 20, grid.ravel().tolist(), 60, 40)], "file_id long, map_width int, map_height int, values array<double>, image_width int, image_height int")
+    assert [tuple(r) for r in recognition.text_regions(df).orderBy("place").collect()] == [(7, 0, 4, 2, 18, 14), (7, 1, 0, 20, 14, 16)]
+
+
+def test_stored_index_is_kept_in_step(spark):
+    old = spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, "four"), (4, "")], "file_id long, text string")
+    new = spark.createDataFrame([(2, "two two six"), (5, "Zwölf two")], "file_id long, text string")
+    gone = spark.createDataFrame([(3,)], "file_id long")
+    kept = old.where("file_id NOT IN (2, 3)").union(new)
+    p = search.refreshed_index(search.postings(old, "file_id", "text"), search.postings(new, "file_id", "text"), gone, "file_id")
+    n = search.refreshed_index(search.lengths(old, "file_id", "text"), search.lengths(new, "file_id", "text"), gone, "file_id")
+    for q in ("two", "zwolf tw", "one six", "none", ""):
+        want, got = ({r["file_id"]: round(r["score"], 9) for r in df.collect()} for df in (search.bm25(kept, q), search.bm25_stored(p, n, q)))
+        assert got == want and (q in ("none", "") or want)
+
+
+def test_accents_fold(spark):
+    from prismlake.operators.filters import folded
+
+    df = spark.createDataFrame([("Ếcole ÀÉÎõü ǍṢ Łódź e\u0301 ß",)], "t string")
+    assert df.select(folded(F.col("t"))).first()[0] == "ecole aeiou as lodz e ß"
