@@ -1,173 +1,293 @@
-"""From shared buckets to verified links, without comparing all pairs of a large bucket."""
+"""From shared buckets to connected classes by exact similarity, without comparing all pairs of a large bucket."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._shared import components, materialize
-
-#: Buckets up to so many members and bytes are solved in one task; larger ones by rounds of pivots.
-SMALL, SMALL_BYTES = 512, 32 << 20
-
-#: Takes payloads and makes a function that compares the i-th with all; 1 - similarity must be a metric.
-Compare = Callable[[list[bytes]], Callable[[int], np.ndarray]]
-#: Gives (bucket, node, bytes) in many finer bands for a table (node, blob).
-Finer = Callable[[DataFrame], DataFrame]
-
-
-def overlaps(tokens: list[np.ndarray], weights: list[np.ndarray]) -> Callable[[int], np.ndarray]:
-    """Weighted Jaccard similarity of the i-th set of sorted distinct tokens with each: shared weight (the lesser) over all weight (the greater)."""
-    every, w = np.concatenate(tokens), np.concatenate(weights)
-    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    total = np.bincount(owner, w, len(tokens))
+from prismlake.llm._shared import components, discard, materialize, mixed
+
+#: A bucket up to so many rows and bytes is solved at once; a larger one in blocks of about that size.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Entries of buckets that one task sorts at once, about.
+ENTRIES = 1 << 21
+#: Bits of the sketch by which unlike sets are told apart.
+BITS = 1024
+
+#: Sorted distinct tokens of a payload and their weights (None: all 1).
+Bag = tuple[np.ndarray, np.ndarray | None]
+Bags = Callable[[list[bytes]], list[Bag]]
+
+
+def similarity(a: Bag, b: Bag, least: float = 0.0) -> float:
+    """Weighted Jaccard similarity: shared weight (the lesser) over all weight (the greater); 0 if the totals rule out `least`."""
+    (s, v), (t, w) = a, b
+    p, q = (float(len(s)) if v is None else float(v.sum())), (float(len(t)) if w is None else float(w.sum()))
+    if not p or not q or min(p, q) < (least - 1e-9) * max(p, q):
+        return 0.0
+    if v is None or w is None:
+        both = np.concatenate([s, t])
+        both.sort()
+        low = float(np.count_nonzero(both[1:] == both[:-1]))
+    else:
+        at = np.searchsorted(t, s)
+        at[at == len(t)] = 0
+        hit = t[at] == s
+        low = float(np.minimum(v[hit], w[at[hit]]).sum())
+    return low / (p + q - low)
+
+
+def _sketch(bag: Bag) -> int:
+    """A bit for each token, by its hash: sets that differ in n bits differ in n tokens at least."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(bag[0] % np.uint64(BITS)).astype(np.int64)] = 1
+    return int.from_bytes(np.packbits(bits).tobytes(), "little")
+
+
+def _apart(a: Bag, x: int, b: Bag, y: int, least: float) -> bool:
+    """Whether sketches x and y of two sets rule out that they are similar by `least`."""
+    n = len(a[0]) + len(b[0])
+    return (x ^ y).bit_count() > n * (1 - least) / (1 + least) + 1e-9
+
+
+def overlaps(bags: list[Bag]) -> Callable[[int], np.ndarray]:
+    """Weighted Jaccard similarity of the i-th bag with each."""
+    term = np.unique(np.concatenate([t for t, _ in bags]), return_inverse=True)[1] if bags else np.zeros(0, np.int64)
+    w = np.concatenate([np.ones(len(t)) if v is None else v for t, v in bags]) if bags else np.zeros(0)
+    per = np.array([len(t) for t, _ in bags])
+    ends, owner = np.cumsum(per), np.repeat(np.arange(len(bags)), per)
+    total = np.bincount(owner, w, len(bags))
+    own = np.zeros(int(term.max()) + 1 if len(term) else 0)
 
     def match(i: int) -> np.ndarray:
-        own, v = tokens[i], weights[i]
-        if not len(own):
-            return np.zeros(len(tokens))
-        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-        hit = np.flatnonzero(own[at] == every)
-        low = np.bincount(owner[hit], np.minimum(v[at[hit]], w[hit]), len(tokens))
+        mine = slice(ends[i] - per[i], ends[i])
+        own[term[mine]] = w[mine]
+        low = np.bincount(owner, np.minimum(own[term], w), len(bags))
+        own[term[mine]] = 0
         return low / np.maximum(total[i] + total - low, 1e-300)
 
     return match
 
 
-def _solve(compare: Compare, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links that connect the members of one small bucket as all its similar pairs would."""
+def _met(members: DataFrame) -> DataFrame:
+    """(bucket, node) of members (node, buckets array<long>) that share a bucket with another.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        nodes, match = pdf["node"].to_numpy(), compare(pdf["blob"].tolist())
-        group, links = np.arange(len(nodes)), []
-        for i in range(len(nodes) - 1):
-            if (group[i + 1 :] == group[i]).all():
-                continue
-            near = np.flatnonzero(match(i) >= least)
-            for j in near[near > i].tolist():
-                if group[j] != group[i]:
-                    links.append((nodes[i], nodes[j]))
-                    group[group == group[j]] = group[i]
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    Entries are dealt to parts of about ENTRIES by a hash of the bucket, and travel as one block of bytes for each
+    batch and part, so the engine moves few rows. A part is sorted in memory; a bucket that grows hot
+    in it is given away at once, and whatever else comes for it, so no task holds a hot bucket as a whole.
+    """
+    total = members.agg(F.coalesce(F.sum(F.greatest(F.size("buckets"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-total // ENTRIES))
 
-    return solve
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
+        def out() -> pa.RecordBatch:
+            bucket, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            part = (mixed(bucket.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            own, start = np.unique(part[order], return_index=True)
+            cut = [*start.tolist(), len(order)]
+            blobs = [bucket[order[i:j]].tobytes() + node[order[i:j]].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
-def _measured(compare: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [float(compare([other, own])(0)[1]) for own, other in zip(b.column("blob").to_pylist(), b.column("pivot_blob").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", "node", "pivot")), pa.array(s, pa.float64())], names=["bucket", "node", "pivot", "s"])
-
-    return run
-
-
-def _against(rows: DataFrame, pivots: DataFrame, blobs: DataFrame, compare: Compare) -> DataFrame:
-    """Similarity of each (bucket, node) to each pivot of its bucket, written.
+            buckets = b.column("buckets")
+            per = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
+            held.append((buckets.flatten().to_numpy(), np.repeat(b.column("node").to_numpy(), per)))
+            n += len(held[-1][0])
+            if n >= 1 << 20:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n, hot = None, [], 0, np.zeros(0, np.int64)
+
+        def rows(bucket: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], names=["bucket", "node"])
+
+        def crowded(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            bucket, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            own, which, count = np.unique(bucket, return_inverse=True, return_counts=True)
+            known = np.isin(own, hot)
+            return bucket, node, ((count >= least) | known)[which]
 
-    Hot buckets are skewed joins of rows with pivots, which adaptive execution splits by rows.
-    """
-    left = rows.join(blobs.hint("merge"), "node")
-    right = pivots.join(blobs.select(F.col("node").alias("pivot"), F.col("blob").alias("pivot_blob")), "pivot")
-    both = left.join(right.hint("merge"), "bucket").where("node <> pivot").select("bucket", "node", "pivot", "blob", "pivot_blob")
-    return materialize(both.mapInArrow(_measured(compare), "bucket long, node long, pivot long, s double"), "measured")
+        for b in batches:
+            for key, entries in zip(b.column("part").to_pylist(), b.column("entries"), strict=True):
+                if key != part:
+                    if held:
+                        bucket, node, keep = crowded(2)
+                        yield rows(bucket[keep], node[keep])
+                    part, held, n, hot = key, [], 0, np.zeros(0, np.int64)
+                own = np.frombuffer(entries.as_buffer(), np.int64).reshape(2, -1)
+                held.append((own[0], own[1]))
+                n += len(own[0])
+                if n > 2 * ENTRIES:
+                    bucket, node, keep = crowded(ENTRIES // 64)
+                    hot = np.union1d(hot, bucket[keep])
+                    yield rows(bucket[keep], node[keep])
+                    held, n = [(bucket[~keep], node[~keep])], int((~keep).sum())
+        if held:
+            bucket, node, keep = crowded(2)
+            yield rows(bucket[keep], node[keep])
+
+    dealt = members.select("node", "buckets").mapInArrow(deal, "part int, entries binary")
+    sorted_ = dealt.repartitionById(parts, "part").sortWithinPartitions("part")
+    return materialize(sorted_.mapInArrow(meet, "bucket long, node long"), "met")
+
+
+def _verified(pairs: DataFrame, blobs: DataFrame, bags: Bags, least: float) -> DataFrame:
+    """The pairs (a, b) whose payloads are similar."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = bags(b.column("left").to_pylist()), bags(b.column("right").to_pylist())
+            near = np.array([not _ruled_out(x, y, least) and similarity(x, y, least) >= least for x, y in zip(left, right, strict=True)], bool)
+            yield b.select(["a", "b"]).filter(pa.array(near))
+
+    left = blobs.select(F.col("node").alias("a"), F.col("blob").alias("left")).hint("merge")
+    right = blobs.select(F.col("node").alias("b"), F.col("blob").alias("right")).hint("merge")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return materialize(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def _ruled_out(a: Bag, b: Bag, least: float) -> bool:
+    p, q = len(a[0]), len(b[0])
+    return a[1] is None and (min(p, q) < (least - 1e-9) * max(p, q) or _apart(a, _sketch(a), b, _sketch(b), least))
+
+
+def _solve(rows: list[tuple[int, int, Bag, bool]], least: float) -> list[tuple[int, int]]:
+    """Links between classes of one block that hold a similar pair: rows (node, root, bag, asks); one that asks meets all others."""
+    rows = sorted(rows, key=lambda r: (not r[3], r[0]))
+    roots = [r[1] for r in rows]
+    group, n, found = np.unique(roots, return_inverse=True)[1], len(rows), []
+    sets = rows[0][2][1] is None
+    sketches = [_sketch(r[2]) for r in rows] if sets else []
+    match = overlaps([r[2] for r in rows]) if n > 64 and not sets else None
+    for i, (_, root, bag, asks) in enumerate(rows):
+        if not asks:
+            break
+        other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        if not len(other):
+            continue
+        if match:
+            other = other[match(i)[other] >= least]
+        for j in other.tolist():
+            if group[j] == group[i] or sets and _apart(bag, sketches[i], rows[j][2], sketches[j], least):
+                continue
+            if match or similarity(bag, rows[j][2], least) >= least:
+                found.append((root, roots[j]))
+                group[group == group[j]] = group[i]
+    return found
 
-def _bucketed(members: DataFrame) -> DataFrame:
-    """(bucket, node, small) of members (bucket, node, bytes): buckets of one node are left out, buckets of equal members are taken once."""
-    fingerprint = [F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("bytes").cast("long")).alias("b")]
-    kept = members.groupBy("bucket").agg(*fingerprint).where("n > 1").groupBy("n", "lo", "hi", "x", "b").agg(F.min("bucket").alias("bucket"))
-    kept = kept.select("bucket", ((F.col("n") <= SMALL) & (F.col("b") <= SMALL_BYTES)).alias("small"))
-    return materialize(members.select("bucket", "node").join(kept.hint("merge"), "bucket"), "members")
 
+def _solved(rows: DataFrame, blobs: DataFrame, bags: Bags, least: float) -> DataFrame:
+    """Links (a, b) between classes, by blocks: rows (block, node, root, asks); a block goes to one task, many to each."""
 
-def links(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], compare: Compare, finer: Finer, least: float) -> DataFrame:
-    """Links (a, b) that connect nodes as all pairs with similarity >= least that share a bucket would.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, found = [], None, []
 
-    members: (bucket long, node long, bytes long), each pair once, from a written table; payloads gives
-    (node, blob) for a table of nodes. Buckets of equal members are taken once.
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    Small buckets are solved in one task each. Nodes of large buckets are dealt anew by `finer` bands, of
-    more rows each and so many more that a similar pair meets as surely as before, while nodes which
-    only share common parts are told apart. In a bucket that is large even so, every round takes the least
-    node as pivot and measures the others against it: those within reach are linked; those beyond go on.
-    Since 1 - similarity is a metric, a node within reach can only be similar to one at most twice as far
-    off; such border nodes are measured afterwards, as pivots, against the nodes within reach, unless other
-    links have joined both by then. No pair that shares a bucket is lost, and no large bucket is ever held by one task.
+        for b in batches:
+            node, place = np.unique(b.column("node").to_numpy(), return_index=True)
+            blobs = b.column("blob")
+            own = dict(zip(node.tolist(), bags([blobs[i].as_py() for i in place.tolist()]), strict=True))
+            for key, node, root, asks in zip(*(b.column(c).to_pylist() for c in ("block", "node", "root", "asks")), strict=True):
+                if key != block and held:
+                    found += _solve(held, least)
+                    held = []
+                block = key
+                held.append((node, root, own[node], asks))
+            yield out()
+            found = []
+        if held:
+            found += _solve(held, least)
+            yield out()
+
+    full = rows.join(blobs.hint("merge"), "node").repartition("block").sortWithinPartitions("block")
+    return materialize(full.select("block", "node", "root", "blob", "asks").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, node, root, asks) of large buckets (bucket, node, root, n, bytes, main): nodes outside the main class meet all nodes, in blocks.
+
+    Both sides are dealt to parts of about BLOCK nodes, and each part of the one meets each of the other.
     """
-    reach = 1 - least
-    rows = _bucketed(members)
+    rows = rows.withColumn("out", F.col("root") != F.col("main"))
+    outside = rows.where("out").groupBy("bucket").agg(F.count("*").alias("k"))
+    parts = lambda n, b: F.ceil(F.greatest(F.col(n) / F.lit(BLOCK / 2), F.col(b) / F.lit(BLOCK_BYTES / 2))).cast("int")
+    rows = rows.join(outside.hint("merge"), "bucket").withColumn("j", parts("n", "bytes")).withColumn("i", F.least(parts("k", "bytes"), F.col("k").cast("int")))
+    mine = lambda p: F.pmod(F.xxhash64("node"), F.col(p)).cast("int")
+    every = lambda p: F.sequence(F.lit(0), F.col(p) - 1)
+    asking = rows.where("out").select("bucket", "node", "root", mine("i").alias("x"), F.explode(every("j")).alias("y"), F.lit(True).alias("asks"))
+    others = rows.select("bucket", "node", "root", F.explode(every("i")).alias("x"), mine("j").alias("y"), F.lit(False).alias("asks"))
+    return asking.union(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "node", "root", "asks")
+
+
+def classes(members: Iterable[DataFrame], payloads: Callable[[DataFrame], DataFrame], bags: Bags, least: float) -> DataFrame:
+    """(node, root) of nodes in a class of several: connected as all pairs that share a bucket and are similar by `least` or more.
+
+    members: tables (node long, buckets array<long>) of disjoint sets of buckets, each node once; they are looked at
+    one after another. payloads gives (node, blob, total) for a table of nodes, total being the weight of all its tokens.
+
+    1. In each bucket all nodes are compared with one: the one whose buckets hold the most nodes, which is the
+       centre of a family of variants. The work is linear. Links so found give classes.
+    2. Buckets of one class are done, and so are pairs. What is left holds several classes, that may be
+       similar elsewhere: a bucket of up to BLOCK nodes is solved in one task, comparing only nodes
+       of different classes. In a larger one all nodes outside its main class meet all its nodes, in
+       blocks of bounded size. Buckets of equal members are taken once.
+
+    Every pair of a bucket is thus compared, or in one class already; size decides only where. Work is
+    quadratic in the nodes of one bucket only as far as they stay unlike each other.
+    """
+    met = [_met(m) for m in members]
+    rows = met[0]
+    for m in met[1:]:
+        rows = rows.union(m)
+    crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(rows.join(crowd.hint("merge"), "bucket"), "crowded")
+    discard(*met)
+    weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
+    centre = rows.join(weight.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("w", (-F.col("node")).alias("less"))).alias("c"))
+    centre = centre.select("bucket", (-F.col("c.less")).alias("centre"))
     blobs = materialize(payloads(rows.select("node").distinct()), "blobs")
     sizes = blobs.select("node", F.length("blob").cast("long").alias("bytes"))
-    solve = lambda r: materialize(r.select("bucket", "node").join(blobs.hint("merge"), "node").groupBy("bucket").applyInPandas(_solve(compare, least), "a long, b long"), "links")
-    found, border, within = [solve(rows.where("small"))], [], []
-    active = rows.where("not small").select("node").distinct()
-    if active.take(1):
-        again = _bucketed(materialize(finer(active.join(blobs.hint("merge"), "node")), "finer"))
-        found.append(solve(again.where("small")))
-        active = again.where("not small").select("bucket", "node")
-    while active.take(1):
-        pivots = active.groupBy("bucket").agg(F.min("node").alias("pivot"))
-        d = _against(active, pivots, blobs, compare).withColumn("d", 1 - F.col("s"))
-        found.append(d.where(F.col("s") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        edge = d.where((F.col("s") < least) & (F.col("d") <= 2 * reach + 1e-9))
-        near = edge.groupBy("bucket").agg(F.min("d").alias("m"))
-        ball = d.where(F.col("s") >= least).join(near, "bucket").where(F.col("d") >= F.col("m") - reach - 1e-9)
-        # what lies beyond the pivot's reach is a bucket of its own, and so is its border
-        kind = lambda df, k: df.select(F.col("bucket") if k == 0 else F.xxhash64("bucket", "pivot", F.lit(1)).alias("bucket"), "pivot", "node", F.lit(k).alias("kind"))
-        parts = kind(d.where(F.col("s") < least), 0).union(kind(edge, 1)).union(kind(ball, 2))
-        parts = materialize(parts.join(sizes.hint("merge"), "node"), "parts")
-        held = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("kind").alias("k")).where("n > 1 AND k <> 1")
-        parts = materialize(parts.join(held.select("bucket", ((F.col("n") <= SMALL) & (F.col("b") <= SMALL_BYTES)).alias("small")), "bucket"), "parts")
-        found.append(solve(parts.where("small")))
-        many = parts.where("not small")
-        border.append(many.where("kind = 1").select("bucket", "pivot", "node"))
-        within.append(many.where("kind = 2").select("bucket", "pivot", "node"))
-        active = many.where("kind = 0").select("bucket", "node")
-    if border and _all(border).take(1):
-        found = _borders(found, border, within, blobs, compare, least)
-    return _all(found)
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
-def _borders(found: list[DataFrame], border: list[DataFrame], within: list[DataFrame], blobs: DataFrame, compare: Compare, least: float) -> list[DataFrame]:
-    """found and links between border nodes and nodes within reach of the pivots that they stand off from.
-
-    Nodes within reach of a pivot are one component already, so each border node of another one needs
-    one link to it at most. Both sides are gathered by the pivot's component, over all buckets, and met in
-    blocks of at most SMALL by SMALL nodes, each in one task.
-    """
-    found = [materialize(_all(found), "links")]
-    root = components(found[0])
-    of = root.select(F.col("node").alias("pivot"), F.col("root").alias("key")).hint("merge")
-    own = root.select("node", F.col("root").alias("own")).hint("merge")
-    edge = materialize(_all(border).join(of, "pivot").join(own, "node", "left").where("own IS NULL OR own <> key").select("key", "node", "pivot", "bucket"), "border")
-    ball = _all(within).join(edge.select("bucket", "pivot").distinct(), ["bucket", "pivot"], "left_semi").join(of, "pivot")
-    sides = materialize(edge.select("key", "node", F.lit(0).alias("side")).distinct().union(ball.select("key", "node", F.lit(1).alias("side")).distinct()), "sides")
-    n = sides.groupBy("key").agg(*[F.ceil(F.count_if(F.col("side") == k) / SMALL).cast("int").alias(f"b{k}") for k in (0, 1)]).where("b0 > 0 AND b1 > 0")
-    mine = lambda k: F.pmod(F.xxhash64("node"), F.col(f"b{k}")).cast("int")
-    every = lambda k: F.sequence(F.lit(0), F.col(f"b{k}") - 1)
-    rows = sides.join(n, "key")
-    rows = rows.withColumn("i", F.explode(F.when(F.col("side") == 0, F.array(mine(0))).otherwise(every(0)))).withColumn("j", F.explode(F.when(F.col("side") == 1, F.array(mine(1))).otherwise(every(1))))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "node"], ignore_index=True)
-        nodes, many, match, out = pdf["node"].to_numpy(), int((pdf["side"] == 0).sum()), compare(pdf["blob"].tolist()), []
-        for i in range(many if many < len(nodes) else 0):
-            near = np.flatnonzero(match(i)[many:] >= least)
-            out += [(nodes[i], nodes[many + near[0]])] if len(near) else []
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    met = rows.select("key", "i", "j", "side", "node").join(blobs.hint("merge"), "node").groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
-    return [*found, materialize(met, "links")]
+    pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
+    pairs = rows.join(centre.hint("merge"), "bucket").where("node <> centre").select(*pair).distinct()
+    # totals too far apart rule out a pair before its payloads are moved
+    total = lambda c: blobs.select(F.col("node").alias(c), F.col("total").alias(f"t{c}")).hint("merge")
+    pairs = pairs.join(total("a"), "a").join(total("b"), "b").where(F.least("ta", "tb") >= (least - 1e-9) * F.greatest("ta", "tb")).select("a", "b")
+    near = _verified(pairs, blobs, bags, least)
+    root = materialize(components(near), "roots")
+    own = rows.select("bucket", "node").join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = materialize(own.join(sizes.hint("merge"), "node"), "own")
+    discard(near, rows)
+    stats = own.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).alias("y"),
+    )
+    several = stats.where("lo <> hi AND n > 2")
+    once = several.groupBy("n", "first", "x", "y").agg(F.min(F.struct("bucket", "bytes")).alias("k")).select("k.bucket", "n", "k.bytes")
+    once = materialize(once, "several")
+    left = own.select("bucket", "node", "root").join(once.hint("merge"), "bucket")
+    small = (F.col("n") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)
+    blocks = left.where(small).select(F.col("bucket").alias("block"), "node", "root", F.lit(True).alias("asks"))
+    if once.where(~small).take(1):
+        large = left.where(~small)
+        main = large.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
+        blocks = blocks.union(_blocks(large.join(main.hint("merge"), "bucket"), sizes))
+    more = _solved(blocks, blobs, bags, least)
+    if more.take(1):
+        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        alone = own.select("node", "root").distinct().join(joined.hint("merge"), "root", "left")
+        root = materialize(alone.select("node", F.coalesce("higher", "root").alias("root")), "roots")
+    discard(own, once, more, blobs)
+    return root

@@ -3,29 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._links import links
-from prismlake.llm._shared import bitmap, components, in_bitmap, materialize, mixed, utf8_rows
-
-#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.9996.
-#: Fewer rows would let most lines of one language meet by chance.
-BANDS, ROWS = 20, 5
-#: Bands whose buckets are counted at once.
-BANDS_AT_ONCE = 5
-#: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
-FINER = (24, 6)
-#: Bytes of one shingle of a normalised line; five fit into 40 bits exactly.
+from prismlake.llm._links import Bag, classes
+from prismlake.llm._shared import discard, in_mask, mask_of, materialize, mixed, utf8_rows
+
+#: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.9997.
+#: Fewer rows would let many lines of one language meet by chance.
+BANDS, ROWS = 27, 6
+#: Bands whose buckets are looked at at once.
+BANDS_AT_ONCE = 9
+#: Characters of one shingle of a normalised line.
 WIDTH = 5
 #: Bytes handled at once.
 AT_ONCE = 1 << 16
-#: Cells of the incidence matrix that one product takes.
-CELLS = 1 << 22
 
 
 def normal(line: bytes) -> bytes:
@@ -34,20 +29,27 @@ def normal(line: bytes) -> bytes:
 
 
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Five-byte shingles of lines one after another, as numbers, and how many each line has; a shorter line is one shingle."""
-    sizes = np.array([len(x) for x in lines])
-    pad = b"".join(x + b"\0" * (WIDTH - len(x)) if len(x) < WIDTH else x for x in lines)
-    sizes = np.maximum(sizes, WIDTH)
-    raw = np.frombuffer(pad, np.uint8).astype(np.uint64)
-    n = len(raw) - WIDTH + 1
+    """64-bit hashes of the five-character shingles of lines one after another, and how many each line has; a shorter line is one shingle."""
+    text = b"\n".join([*lines, b""]).decode("utf-8", "surrogateescape")
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, ends = len(point), np.flatnonzero(point == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes = ends - starts
     value = np.zeros(n, np.uint64)
-    for j in range(WIDTH):
-        value |= raw[j : j + n] << np.uint64(8 * j)
-    keep = np.ones(len(raw), bool)
-    ends = np.cumsum(sizes)
-    for j in range(1, WIDTH):
-        keep[ends - j] = False
-    return value[keep[:n]], sizes - WIDTH + 1
+    with np.errstate(over="ignore"):
+        for j in range(min(WIDTH, n)):
+            value[: n - j] += point[j:] * mixed(np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        keep = np.ones(n, bool)
+        for j in range(WIDTH):
+            keep[np.maximum(ends - j, starts)] = False  # windows that run over the line's end
+        full = sizes >= WIDTH
+        keep[starts[full]] = True
+        for i in np.flatnonzero(~full).tolist():
+            own = point[starts[i] : ends[i]]
+            value[starts[i]] = np.uint64(sizes[i]) + sum((p * mixed(np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)) for j, p in enumerate(own)), np.uint64(0))
+            keep[starts[i]] = True
+            keep[starts[i] + 1 : ends[i] + 1] = False
+    return mixed(value[keep]), np.where(full, sizes - WIDTH + 1, 1)
 
 
 def _factors(bands: int, rows: int, level: int = 0) -> np.ndarray:
@@ -59,121 +61,115 @@ def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.nd
     s, per = shingles(lines)
     h = (mixed(s) >> np.uint64(32)).astype(np.uint32)
     start = np.cumsum(per) - per
-    out = np.zeros((len(lines), bands), np.uint64)
+    least = np.empty((bands * rows, len(lines)), np.uint32)
+    turned = np.empty_like(h)
+    for k, factor in enumerate(odd):
+        np.multiply(h, factor, out=turned)
+        np.minimum.reduceat(turned, start, out=least[k])
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            key = np.full(len(lines), b + 1, np.uint64)
-            for r in range(rows):
-                least = np.minimum.reduceat(h * odd[b * rows + r], start)
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[:, b] = key
-    return out.view(np.int64)
-
-
-def jaccard(lines: list[bytes]):
-    """Compare normalised lines by the exact Jaccard similarity of their shingle sets."""
-    n = len(lines)
-    token, per = shingles(lines)
-    owner = np.repeat(np.arange(n, dtype=np.int32), per)
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    fresh = np.concatenate([[True], token[1:] != token[:-1]])
-    first = fresh | np.concatenate([[True], owner[1:] != owner[:-1]])
-    term, owner = (np.cumsum(fresh) - 1)[first], owner[first]
-    total = np.bincount(owner, minlength=n)
-    shared = np.bincount(term)[term] > 1  # shingles of one line only add to its total
-    term, owner = np.unique(term[shared], return_inverse=True)[1], owner[shared]
-    both, width = np.zeros((n, n)), max(CELLS // n, 1)
-    for a in range(0, int(term[-1]) + 1 if len(term) else 0, width):
-        lo, hi = np.searchsorted(term, [a, a + width])
-        has = np.zeros((n, min(width, int(term[-1]) + 1 - a)), np.float32)
-        has[owner[lo:hi], term[lo:hi] - a] = 1
-        both += has @ has.T
-    np.fill_diagonal(both, total)
-    s = both / (total[:, None] + total - both)
-    return lambda i: s[i]
-
-
-def finer_bands(df: DataFrame) -> DataFrame:
-    """(bucket, node, bytes) of (node, blob) in FINER bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, rows = FINER
-        odd = _factors(bands, rows, 1)
-        for b in batches:
-            nodes, blobs = b.column("node").to_numpy(), b.column("blob").to_pylist()
-            for a in range(0, len(nodes), 256):
-                keys = buckets(blobs[a : a + 256], bands, rows, odd)
-                size = [len(x) for x in blobs[a : a + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[a : a + 256], bands)), pa.array(np.repeat(size, bands))], names=["bucket", "node", "bytes"])
-
-    return df.select("node", "blob").mapInArrow(run, "bucket long, node long, bytes long")
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), 1)
+        for r in range(rows):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[r::rows])
+    return key.T.view(np.int64)
 
 
-def _digest(norm: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(norm)
+def bags(lines: list[bytes]) -> list[Bag]:
+    """The set of shingles of each normalised line."""
+    values, per = shingles(lines)
+    return [(np.unique(x), None) for x in np.split(values, np.cumsum(per)[:-1])] if lines else []
 
 
 def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every line of every text: (uid, doc_id, line, key, bands, bytes); key and what follows are null for blank lines.
+    """Every line of every text: (uid, doc_id, line, hi, lo, bands); hi and lo are a line's digest, and null for blank lines.
 
-    Of a bucket's hash 32 bits are kept in each band: others that meet so are told apart when they are compared.
+    bands is given once for each digest, as far as a task remembers. Of a bucket's hash 32 bits are kept in
+    each band: others that meet so are told apart when they are compared.
     """
-    kinds = {"uid": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "key": pa.binary(), "bands": pa.list_(pa.int32()), "bytes": pa.int64()}
+    names = ["uid", "doc_id", "line", "hi", "lo", "bands"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = _factors(bands, rows)
-
-        def out(held: list[tuple]) -> pa.RecordBatch:
-            full = [h[3] for h in held if h[3]]
-            own = iter((buckets(full, bands, rows, odd) >> 32).astype(np.int32)) if full else iter(())
-            columns = [[h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [_digest(h[3]) if h[3] else None for h in held], [next(own) if h[3] else None for h in held], [len(h[3]) for h in held]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+        odd, seen = _factors(bands, rows), set()
+
+        def out(place: list[tuple], norms: list[bytes]) -> pa.RecordBatch:
+            digests = [xxhash.xxh3_128_digest(x) for x in norms]
+            blank = np.array([not x for x in norms], bool)
+            key = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+            new = []
+            for i, (x, d) in enumerate(zip(norms, digests, strict=True)):
+                if x and d not in seen:
+                    seen.add(d)
+                    new.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            per = np.zeros(len(norms), bool)
+            per[new] = True
+            flat = (buckets([norms[i] for i in new], bands, rows, odd) >> 32).astype(np.int32).ravel() if new else np.zeros(0, np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(per) * bands]).astype(np.int32), mask=np.append(~per, False))
+            own = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            columns = [pa.array([p[k] for p in place], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(key[:, 0], mask=blank), pa.array(key[:, 1], mask=blank), own], names=names)
 
         for b in batches:
-            held, size = [], 0
+            place, norms, size = [], [], 0
             for uid, doc, t in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), utf8_rows(b.column("text")), strict=True):
                 if t is None:
                     continue
                 for i, line in enumerate(t.split(b"\n")):
                     norm = normal(line)
-                    held.append((uid, doc, i, norm))
-                    size += len(norm)
+                    place.append((uid, doc, i))
+                    norms.append(norm)
+                    size += len(norm) + 16
                     if size >= AT_ONCE:
-                        yield out(held)
-                        held, size = [], 0
-            if held:
-                yield out(held)
+                        yield out(place, norms)
+                        place, norms, size = [], [], 0
+            if place:
+                yield out(place, norms)
 
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return own.mapInArrow(split, "uid long, doc_id long, line int, key binary, bands array<int>, bytes long")
+    return own.mapInArrow(split, "uid long, doc_id long, line int, hi long, lo long, bands array<int>")
 
 
 def _payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, blob): normalised lines of wanted (node, key), from a second look at docs.
+    """(node, blob, total): normalised lines of wanted (node, hi, lo) and their numbers of shingles, from a second look at docs.
 
     A bitmap of fixed size tells nearly all other lines apart, a task gives a line once as far as it remembers,
     and the join and a grouping decide; however full the bitmap gets, the result is the same.
     """
-    mask = bitmap(wanted.select(F.xxhash64("key").alias("h")))
+    mask = mask_of(wanted.select(F.col("lo").alias("h")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+
+        def out(norms: list[bytes]) -> pa.RecordBatch:
+            digests = [xxhash.xxh3_128_digest(x) for x in norms]
+            key = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+            at = []
+            for i in np.flatnonzero(in_mask(key[:, 1], mask.value)).tolist():
+                if digests[i] not in seen:
+                    seen.add(digests[i])
+                    at.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            own = [norms[i] for i in at]
+            total = pa.array([float(len(x)) for x, _ in bags(own)], pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(key[at, 0]), pa.array(key[at, 1]), pa.array(own, pa.binary()), total], names=["hi", "lo", "blob", "total"])
+
         for b in batches:
-            keys, norms = [], []
+            norms, size = [], 0
             for t in utf8_rows(b.column("text")):
                 for line in t.split(b"\n") if t else ():
-                    if (norm := normal(line)) and (k := _digest(norm)) not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(k)
-                        keys.append(k)
+                    if norm := normal(line):
                         norms.append(norm)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(norms, pa.binary())], names=["key", "blob"])
+                        size += len(norm)
+                if size >= 16 * AT_ONCE:
+                    yield out(norms)
+                    norms, size = [], 0
+            if norms:
+                yield out(norms)
 
-    found = in_bitmap(docs.select("text").mapInArrow(build, "key binary, blob binary"), F.xxhash64("key"), mask)
-    found = found.join(wanted.hint("merge"), "key").select("node", "blob")
-    return found.groupBy("node").agg(F.any_value("blob").alias("blob"))
+    found = docs.select("text").mapInArrow(build, "hi long, lo long, blob binary, total double")
+    found = found.join(wanted.hint("merge"), ["hi", "lo"]).select("node", "blob", "total")
+    return found.groupBy("node").agg(F.any_value("blob").alias("blob"), F.any_value("total").alias("total"))
 
 
 def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -181,34 +177,33 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: i
 
     Lines are parts of texts between line feeds, numbered from 0, and compared in lower case (ASCII)
     with white space as single blanks. Lines equal in that form are one from the start; different ones
-    are linked if they meet in a band of MinHash values and the exact Jaccard similarity of their
-    five-byte shingles is `least` or more. Of each connected component the line of least
-    (doc_id, line) is kept, null doc_ids last; of rows equal in both, one row of the table.
+    are linked if they meet in a band of MinHash values and the Jaccard similarity of their sets of
+    five-character shingles (told apart by 64-bit hashes) is `least` or more. Of each connected component
+    the line of least (doc_id, line) is kept, null doc_ids last; of rows equal in both, one row of the table.
 
-    Blank lines are always kept and stand for themselves. A null text has no lines.
+    Blank lines are always kept and stand for themselves. A null text has no lines, an empty one has one
+    blank line; a line may be as long as its text. An empty table gives no rows. Other columns are not read.
     """
     every = materialize(lines(docs, bands, rows), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line", "uid"))
-    texts = every.where("key IS NOT NULL").groupBy("key").agg(first.alias("f"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes"))
+    texts = every.where("hi IS NOT NULL").groupBy("hi", "lo").agg(first.alias("f"), F.count("*").alias("n"), F.any_value("bands", F.lit(True)).alias("bands"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     def payloads(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(texts.select("node", "key").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
+        wanted = materialize(texts.select("node", "hi", "lo").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
         return _payloads(docs, wanted)
 
-    candidates = []
-    for at in range(0, bands, BANDS_AT_ONCE):  # one after another, so that memory holds few bands
-        some = texts.select(F.posexplode(F.slice("bands", at + 1, BANDS_AT_ONCE)).alias("band", "h"), "node")
-        some = some.select(((F.col("band") + at).cast("long") * (1 << 32) + F.col("h")).alias("bucket"), "node")
-        crowded = some.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        candidates.append(materialize(some.join(crowded.hint("merge"), "bucket", "left_semi"), "candidates"))
-    members = reduce(DataFrame.union, candidates)
-    members = members.join(texts.select("node", "bytes").hint("merge"), "node")
-    root = components(links(members, payloads, jaccard, finer_bands, least))
-    grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def members(at: int) -> DataFrame:
+        some = F.transform(F.slice("bands", at + 1, BANDS_AT_ONCE), lambda h, i: (i + at).cast("long") * (1 << 32) + h)
+        return texts.select("node", some.alias("buckets"))
+
+    # some bands after others, so that their rows needn't be on disk together
+    root = classes((members(at) for at in range(0, bands, BANDS_AT_ONCE)), payloads, bags, least)
+    grouped = texts.select("hi", "lo", "f", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("f").alias("k"), F.sum("n").alias("n"))
-    of = materialize(grouped.select("key", "root").join(kept.where("n > 1"), "root").select("key", "k"), "kept")
-    out = every.select("uid", "doc_id", "line", "key").join(of, "key", "left")
+    of = materialize(grouped.select("hi", "lo", "root").join(kept.where("n > 1"), "root").select("hi", "lo", "k"), "kept")
+    discard(texts)
+    out = every.select("uid", "doc_id", "line", "hi", "lo").join(of, ["hi", "lo"], "left")
     alone = F.col("k").isNull()
     return out.select(
         "uid", "doc_id", "line",
