@@ -1,94 +1,92 @@
-"""Near-duplicate documents by consistent weighted sampling of word shingles, weighted by TF, and by IDF where it acts."""
+"""Near-duplicate documents by consistent weighted sampling of word shingles, weighted by TF-IDF."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismlake.llm._links import links, overlaps
-from prismlake.llm._shared import WordHash, components, materialize, mixed, shingle_hashes, utf8_rows, word_hashes
+from prismlake.llm._links import Bag, classes as connected
+from prismlake.llm._shared import WordHash, discard, in_mask, mask_of, materialize, mixed, shingle_hashes, utf8_rows, word_hashes
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.998.
 BANDS, ROWS = 12, 4
-#: Bands of rows for members of crowded buckets: a pair of similarity 0.8 meets with probability 0.999.
-FINER = (24, 6)
-#: Document frequencies are counted for so many buckets of shingle hashes, whatever the corpus.
+#: Document frequencies of words are counted in so many hash buckets, whatever the corpus.
 BUCKETS = 1 << 20
-#: Entries of each table of random variates; a shingle and a sample number choose an entry.
+#: Entries of each table of random variates; a shingle and a sample number choose one entry for r, another one for c and b.
 VARIATES = 1 << 13
-#: Shingles handled at once.
+#: Words handled at once.
 AT_ONCE = 1 << 16
+#: Steps in which inverse document frequencies are told apart: of words, and of shingles.
+WORD_STEP, STEP = 64, 8
 
 
-def _shingles(batch: pa.RecordBatch, known: WordHash, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """In runs of rows: the first row, 32-bit shingles sorted within each row, how often each occurs, and how many each row has."""
+def _runs(batch: pa.RecordBatch, known: WordHash) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In runs of rows: the first row, the hashes of all words one after another, and how many words each row has."""
     hashes, first, n = [], 0, 0
     rows = list(utf8_rows(batch.column("text")))
     for i, t in enumerate(rows):
         hashes.append(word_hashes(t or b"", known))
         n += len(hashes[-1])
         if n >= AT_ONCE or i == len(rows) - 1:
-            sizes = np.array([len(h) for h in hashes])
-            s, per = shingle_hashes(np.concatenate(hashes), sizes, width)
-            key = np.sort(np.repeat(np.arange(len(per), dtype=np.uint64) << np.uint64(32), per) | (s >> np.uint64(32)))
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            tf = np.diff(np.concatenate([new, [len(key)]]))
-            key = key[new]
-            yield first, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), tf, np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(per))
+            yield first, np.concatenate(hashes), np.array([len(h) for h in hashes])
             hashes, first, n = [], i + 1, 0
 
 
-def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """Documents with a shingle in each of 2^20 hash buckets, over all documents, and how many documents there are.
-
-    Every task counts its own documents and gives what it counted in ranges of buckets; Spark sums them.
-    """
-    parts = 64
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents with a word in each of 2^20 hash buckets, over all documents, and how many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known = np.zeros(BUCKETS, np.int64), WordHash()
         for b in batches:
-            for _, s, _, _ in _shingles(b, known, width):
-                total += np.bincount(s & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-        for i, part in enumerate(np.split(total.astype(np.int32), parts)):
-            hit = np.flatnonzero(part).astype(np.int32)
-            dense = 3 * len(hit) > len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([b"" if dense else hit.tobytes()], pa.binary()), pa.array([(part if dense else part[hit]).tobytes()], pa.binary())], names=["part", "at", "n"])
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS // parts, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            if n:
-                total[np.frombuffer(at, np.int32) if at else slice(None)] += np.frombuffer(n, np.int32)
-        return pd.DataFrame({"part": [key[0]], "n": [total.tobytes()]})
-
-    some = docs.select("text").mapInArrow(count, "part long, at binary, n binary")
+            for _, h, sizes in _runs(b, known):
+                row = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(20), sizes)
+                key = np.unique(row | (h & np.uint64(BUCKETS - 1)))
+                total += np.bincount((key & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        hit = np.flatnonzero(total)
+        for a in range(0, len(hit), 1 << 16):
+            some = hit[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 rows
     out = np.zeros(BUCKETS, np.int64)
-    for r in some.groupBy("part").applyInPandas(add, "part long, n binary").toLocalIterator():  # 8 MB in all
-        out[r["part"] * (BUCKETS // parts) : (r["part"] + 1) * (BUCKETS // parts)] = np.frombuffer(r["n"], np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     return out, docs.count()
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + n / df), as far as df is above a third of all documents; below that all weigh 1.
+    """ln((n + 1) / (df + 1)) + 1 of each bucket of words, in steps of 1/64."""
+    return np.rint(WORD_STEP * (np.log((n + 1) / (np.minimum(df, n) + 1)) + 1)).astype(np.int64)
 
-    A large family of near copies makes its own shingles frequent. Were they to weigh less for that, its
-    members' few own words would outweigh what they share, so only what more documents have
-    than any such family may hold weighs less. For nearly all shingles of five words the weight is thus TF alone.
-    """
-    return (np.minimum(np.log1p(max(n, 1) / np.maximum(df, 1)), np.log(4)) / np.log(4)).astype(np.float32)
 
+def _shingles(batch: pa.RecordBatch, known: WordHash, width: int, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In runs of rows: the first row, 32-bit shingles sorted within each row, their idf in steps, how often each occurs, and how many each row has.
 
-def _variates(samples: int, level: int = 0) -> tuple[np.ndarray, ...]:
-    """For the samples: an odd factor that chooses entries, and in tables gamma(2, 1) r, its inverse, ln of gamma(2, 1) c and uniform b."""
-    g = np.random.default_rng([20240229, level])
-    odd = g.integers(1, 1 << 32, samples, np.uint64).astype(np.uint32) | np.uint32(1)
+    The idf of a shingle is the mean of its words', rounded to 1/8.
+    """
+    for first, h, sizes in _runs(batch, known):
+        s, per = shingle_hashes(h, sizes, width)
+        before = np.concatenate([[0], np.cumsum(idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])])
+        start = np.repeat(np.cumsum(sizes) - sizes, per) + np.arange(len(s)) - np.repeat(np.cumsum(per) - per, per)
+        long = np.minimum(np.repeat(sizes, per), width)
+        step = WORD_STEP // STEP
+        code = np.minimum(((before[start + long] - before[start]) // long + step // 2) // step, 255).astype(np.uint64)
+        key = np.sort(np.repeat(np.arange(len(per), dtype=np.uint64) << np.uint64(40), per) | (s >> np.uint64(32)) << np.uint64(8) | code)
+        both = key >> np.uint64(8)
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(key) else np.zeros(0, np.int64)
+        tf = np.diff(np.concatenate([new, [len(key)]]))
+        own = both[new]
+        yield first, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key[new] & np.uint64(255)).astype(np.uint8), tf, np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(per))
+
+
+def _variates(samples: int) -> tuple[np.ndarray, ...]:
+    """For the samples: two odd factors that choose entries, and in tables gamma(2, 1) r, its inverse, ln of gamma(2, 1) c and uniform b."""
+    g = np.random.default_rng([20240229, 0])
+    odd = g.integers(1, 1 << 32, (2, samples), np.uint64).astype(np.uint32) | np.uint32(1)
     r = g.gamma(2.0, 1.0, (samples, VARIATES)).astype(np.float32)
-    return odd, r, 1 / r, np.log(g.gamma(2.0, 1.0, (samples, VARIATES))).astype(np.float32), g.random((samples, VARIATES), np.float32)
+    return odd[0], odd[1], r, 1 / r, np.log(g.gamma(2.0, 1.0, (samples, VARIATES))).astype(np.float32), g.random((samples, VARIATES), np.float32)
 
 
 def signatures(s: np.ndarray, weight: np.ndarray, per: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -104,11 +102,12 @@ def signatures(s: np.ndarray, weight: np.ndarray, per: np.ndarray, tables: tuple
     log_w = np.log(weight).astype(np.float32)
     wide = s.astype(np.uint64)
     out = np.zeros((len(start), len(tables[0])), np.uint64)
-    for k, (odd, r, inverse, c, b) in enumerate(zip(*tables, strict=True)):
-        e = (s * odd >> np.uint32(32 - VARIATES.bit_length() + 1)).astype(np.int64)
-        rb = b[e]
+    shift = np.uint32(32 - VARIATES.bit_length() + 1)
+    for k, (odd, other, r, inverse, c, b) in enumerate(zip(*tables, strict=True)):
+        e, f = (s * odd >> shift).astype(np.int64), (s * other >> shift).astype(np.int64)
+        rb = b[f]
         t = np.floor(log_w * inverse[e] + rb)
-        value = c[e] - r[e] * (t + 1 - rb)
+        value = c[f] - r[e] * (t + 1 - rb)
         least = np.minimum.reduceat(value, start)
         hit = np.flatnonzero(value == least[row])
         first = hit[np.concatenate([[True], row[hit][1:] != row[hit][:-1]])]  # of equal values the least shingle
@@ -128,76 +127,48 @@ def banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def weighted_tokens(idf) -> Callable:
-    """Distinct shingles of a payload (sorted 32-bit hashes with repeats) and their weights, (1 + ln tf) * idf."""
-
-    def make():
-        table = idf.value
-
-        def own(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-            h, tf = np.unique(np.frombuffer(blob, np.uint32), return_counts=True)
-            return h, (1 + np.log(tf)) * table[h & np.uint32(BUCKETS - 1)]
-
-        return own
+def weights(tf: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (1 + np.log(tf)) * code / STEP
 
-    return make
 
+def _blob(s: np.ndarray, code: np.ndarray, tf: np.ndarray) -> bytes:
+    return np.uint32(len(s)).tobytes() + s.tobytes() + np.minimum(tf, 0xFFFFFFFF).astype(np.uint32).tobytes() * bool((tf > 1).any()) + code.tobytes()
 
-def weighted_jaccard(idf) -> Callable:
-    def compare(blobs: list[bytes]):
-        own = weighted_tokens(idf)()
-        return overlaps(*zip(*map(own, blobs), strict=True))
 
-    return compare
-
-
-def finer_bands(idf) -> Callable:
-    """(bucket, node, bytes) of (node, blob) in FINER bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, rows = FINER
-        tables, own = _variates(bands * rows, 1), weighted_tokens(idf)()
-        for b in batches:
-            nodes, blobs = b.column("node").to_numpy(), b.column("blob").to_pylist()
-            for a in range(0, len(nodes), 64):
-                part = [own(x) for x in blobs[a : a + 64]]
-                keys = banded(signatures(np.concatenate([h for h, _ in part]), np.concatenate([w for _, w in part]), np.array([len(h) for h, _ in part]), tables), bands, rows)
-                size = [len(x) for x in blobs[a : a + 64]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[a : a + 64], bands)), pa.array(np.repeat(size, bands))], names=["bucket", "node", "bytes"])
-
-    return lambda df: df.select("node", "blob").mapInArrow(run, "bucket long, node long, bytes long")
+def bags(blobs: list[bytes]) -> list[Bag]:
+    """Shingles and weights of payloads: their number, 32-bit hashes, counts (left out if all are 1) and idf in steps."""
+    out = []
+    for x in blobs:
+        n = int(np.frombuffer(x, np.uint32, 1)[0])
+        tf = np.frombuffer(x, np.uint32, n, 4 + 4 * n) if len(x) > 4 + 5 * n else np.ones(n)
+        out.append((np.frombuffer(x, np.uint32, n, 4), weights(tf, np.frombuffer(x, np.uint8, n, len(x) - n))))
+    return out
 
 
-def _payloads(docs: DataFrame, wanted: DataFrame, width: int, twice: bool) -> DataFrame:
-    """(node, blob): the sorted shingles, with repeats, of the texts in wanted (node, md5, doc_id), from a second look at docs.
+def _payloads(docs: DataFrame, wanted: DataFrame, width: int, idf) -> DataFrame:
+    """(node, blob, total): the weighted shingles of the texts in wanted (node, md5, doc_id), and all their weight, from a second look at docs.
 
-    A bitmap of fixed size (2 MB) tells nearly all other texts apart before they are shingled; the
-    join decides. However full the bitmap gets, the result is the same. twice: rows may be equal in
-    doc_id and text; they give the same payload.
+    A bitmap of fixed size (2 MB) tells nearly all other texts apart before they are shingled; the join
+    decides. However full the bitmap gets, the result is the same. Rows equal in doc_id and text give one payload.
     """
-    bits = 1 << 24
-    h = F.xxhash64("md5", "doc_id")
-    at = F.pmod(h, F.lit(bits))
-    packed = wanted.select((at / 64).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
-    mask = np.zeros(bits // 64, np.uint64)
-    mask[packed.column("i").to_numpy()] = packed.column("b").to_numpy().view(np.uint64)
-    shared = wanted.sparkSession.sparkContext.broadcast(mask)
+    h = F.xxhash64("md5", "doc_id").alias("h")
+    mask = mask_of(wanted.select(h))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            at = b.column("at").to_numpy()
-            some = b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            for first, s, tf, per in _shingles(some, known, width):
+            some = b.filter(pa.array(in_mask(b.column("h").to_numpy(), mask.value)))
+            for first, s, code, tf, per in _shingles(some, known, width, idf.value):
                 ends = np.cumsum(per)
-                blobs = [np.repeat(s[e - n : e], tf[e - n : e]).tobytes() for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
+                blobs = [_blob(s[e - n : e], code[e - n : e], tf[e - n : e]) for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
+                total = np.bincount(np.repeat(np.arange(len(per)), per), weights(tf, code), len(per))
                 rest = some.slice(first, len(per))
-                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("md5"), pa.array(blobs, pa.binary())], names=["doc_id", "md5", "blob"])
+                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("md5"), pa.array(blobs, pa.binary()), pa.array(total)], names=["doc_id", "md5", "blob", "total"])
 
-    own = docs.where("md5 IS NOT NULL").select("doc_id", "md5", at.alias("at"), "text").mapInArrow(build, "doc_id long, md5 string, blob binary").alias("d")
+    own = docs.where("md5 IS NOT NULL").select("doc_id", "md5", h, "text").mapInArrow(build, "doc_id long, md5 string, blob binary, total double").alias("d")
     match = (F.col("d.md5") == F.col("w.md5")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    found = own.join(wanted.alias("w").hint("merge"), match).select("node", "blob")
-    return found.dropDuplicates(["node"]) if twice else found
+    found = own.join(wanted.alias("w").hint("merge"), match).select("node", "blob", "total")
+    return found.groupBy("node").agg(F.any_value("blob").alias("blob"), F.any_value("total").alias("total"))
 
 
 def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -207,50 +178,52 @@ def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = B
     they meet in a band and their weighted Jaccard similarity is `least` or more, computed
     on all their shingles; classes are the connected components of links. Words are lower-cased runs
     of letters and digits; shingles are `width` words, or all words of a shorter text. The weight of a
-    shingle is 1 + ln of its count, times its inverse document frequency (see `inverse_frequencies`), counted
-    over all documents in 2^20 hash buckets.
+    shingle is 1 + ln of its count, times its inverse document frequency. That is the mean of its
+    words', ln((N + 1) / (df + 1)) + 1, with frequencies of all documents in 2^20 hash buckets: a
+    shingle's own frequency is little but the size of its family of copies, whose shared
+    text would then weigh less than its members' few own words.
     class_id is the least doc_id of the class (null only if all its doc_ids are null), head the text that has it.
 
     Null texts are one class each to themselves by their doc_id; empty texts and texts without words
-    match equal texts only. Rows with equal doc_id and text are rows of one class.
+    match equal texts only. Rows with equal doc_id and text are rows of one class. Texts of any length are
+    taken whole. An empty table gives no rows. Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    df, n = document_frequencies(docs, width)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(df, n))  # 4 MB
+    df, n = document_frequencies(docs)
+    idf = spark.sparkContext.broadcast(inverse_frequencies(df, n))  # 8 MB
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known, table = _variates(bands * rows), WordHash(), idf.value
+        tables, known = _variates(bands * rows), WordHash()
         for b in batches:
-            for first, s, tf, per in _shingles(b, known, width):
+            for first, s, code, tf, per in _shingles(b, known, width, idf.value):
                 has = np.flatnonzero(per > 0)
-                w = (1 + np.log(tf)) * table[s & np.uint32(BUCKETS - 1)]
-                keys = banded(signatures(s, w, per, tables), bands, rows) if len(has) else np.zeros((0, bands), np.int64)
-                lists: list[np.ndarray | None] = [None] * len(per)
+                keys = banded(signatures(s, weights(tf, code), per, tables), bands, rows) if len(has) else np.zeros((0, bands), np.int64)
+                own: list[np.ndarray | None] = [None] * len(per)
                 for j, i in enumerate(has.tolist()):
-                    lists[i] = keys[j]
-                size = np.diff(np.concatenate([[0], np.cumsum(tf)])[np.concatenate([[0], np.cumsum(per)])]) * 4
+                    own[i] = keys[j]
                 rest = b.slice(first, len(per))
-                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("uid", "doc_id", "md5")), pa.array(lists, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["uid", "doc_id", "md5", "bands", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("uid", "doc_id", "md5")), pa.array(own, pa.list_(pa.int64()))], names=["uid", "doc_id", "md5", "bands"])
 
     md5 = F.md5(F.col("text").cast("binary")).alias("md5")
-    own = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", md5, "text")
-    signed = materialize(own.mapInArrow(sign, "uid long, doc_id long, md5 string, bands array<long>, bytes long"), "signed")
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), md5, "text")
+    signed = materialize(own.mapInArrow(sign, "uid long, doc_id long, md5 string, bands array<long>"), "signed")
     # one node for each distinct text: the least uid of its rows
-    each = [F.min("uid").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bytes").alias("bytes")]
+    each = [F.min("uid").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")]
     texts = materialize(signed.where("md5 IS NOT NULL").groupBy("md5").agg(*each), "texts")
-    members = texts.select(F.explode("bands").alias("bucket"), "node", "bytes")
-    twice = bool(signed.where("md5 IS NOT NULL").groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").take(1))
+    members = texts.select("node", F.col("bands").alias("buckets"))
 
     def payloads(nodes: DataFrame) -> DataFrame:
         wanted = materialize(texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "md5", "doc_id"), "wanted")
-        return _payloads(docs.select("doc_id", md5, "text"), wanted, width, twice)
+        return _payloads(docs.select(F.col("doc_id").cast("long"), md5, "text"), wanted, width, idf)
 
-    root = components(links(members, payloads, weighted_jaccard(idf), finer_bands(idf), least))
+    root = connected([members], payloads, bags, least)
     grouped = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("md5").alias("head")))
     heads = grouped.groupBy("root").agg(first.alias("f"), F.sum("n").alias("class_size"))
     of = grouped.select("md5", "root").join(heads, "root").select("md5", F.col("f.doc_id").alias("class_id"), F.col("f.head").alias("head"), "class_size")
-    return signed.select("doc_id", "md5"), materialize(of, "classes")
+    of = materialize(of, "classes")
+    discard(texts, root)
+    return signed, of
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
@@ -263,16 +236,18 @@ def classes(docs: DataFrame, **how) -> DataFrame:
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates, all columns kept: of each class the document of least doc_id stays.
 
-    Of rows equal in doc_id and text one stays; rows with null text all stay.
+    Of rows equal in doc_id and text one stays; rows with null text all stay. Columns of any name are kept.
     """
     rows, of = _classes(docs, **how)
     keep = materialize(of.where("md5 = head").select(F.col("class_id").alias("_id"), F.col("md5").alias("_k")), "keep")
     twice = rows.groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1 AND md5 IS NOT NULL").take(1)
-    match = F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col("d._k") == F.col("k._k"))
-    found = docs.where("text IS NOT NULL").withColumn("_k", F.md5(F.col("text").cast("binary"))).alias("d").join(keep.alias("k"), match, "left_semi")
+    discard(rows, of)
+    match = F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._k") == F.col("k._k"))
+    every = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_d"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.col("text").cast("binary")).alias("_k"))
+    found = every.where("_k IS NOT NULL").alias("d").join(keep.alias("k"), match, "left_semi")
     if twice:
-        found = found.dropDuplicates(["doc_id", "_k"])
-    return found.drop("_k").union(docs.where("text IS NULL"))
+        found = found.dropDuplicates(["_id", "_k"])
+    return found.union(every.where("_k IS NULL")).select("_d.*")
 
 
 def op7_icws_near_dedup(docs: DataFrame) -> DataFrame:
