@@ -4,37 +4,30 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismlake.llm._shared import WordHash, materialize, shingle_hashes, utf8_rows, word_hashes, word_pieces
+from prismlake.llm._shared import discard, materialize, utf8_rows, word_pieces
 
 #: Labelled rows that are learnt from, at most: those of the least hashes.
-EXAMPLES = 24_576
-#: Terms of the vector space, at most, and examples in one block of a posting list.
-TERMS, BLOCK = 1024, 64
+EXAMPLES = 8_192
+#: Examples in one block of a posting list.
+BLOCK = 64
 NEIGHBOURS = 15
-#: Lengths in bytes of word beginnings that are terms beside whole words; they catch inflected forms.
+#: Texts that are searched together.
+GROUP = 64
+#: Lengths in bytes of word beginnings that may tell labels apart; they catch inflected forms.
 PREFIXES = (4, 5, 6, 7, 8)
+#: A term that tells labels apart weighs more: once, and so many times the logarithm of its odds.
+TELLING = 4.0
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) >= n)]
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the least hash of a text's five-word shingles, which near copies mostly share."""
-    known = WordHash()
-    for b in batches:
-        out = []
-        for t in utf8_rows(b.column("text")):
-            h = word_hashes(t or b"", known)
-            s, _ = shingle_hashes(h, np.array([len(h)]), 5)
-            out.append(int(s.min() >> np.uint64(1)) if len(s) else -1)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "sketch"])
+def beginnings(word: bytes) -> list[bytes]:
+    return [word[:n] + b"*" for n in PREFIXES if len(word) >= n]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,38 +36,49 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(utf8_rows(b.column("text")), b.column("toxic").to_pylist(), strict=True):
             own = {w for p in word_pieces(t or b"") for w in p}
-            seen[y].update({x for w in own for x in terms_of(w)})
+            seen[y].update({x for w in own for x in (w, *beginnings(w))})
     terms = [t for t in seen[0].keys() | seen[1].keys()]
     for i in range(0, len(terms), 50_000):
         some = terms[i : i + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array([c[t] for t in some], pa.int64()) for c in seen)], names=["term", "n0", "n1"])
 
 
-def learn_terms(examples: DataFrame, limit: int = TERMS) -> list[bytes]:
-    """The terms most tied to either label among the examples, at most `limit`.
+def learn_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The terms of the vector space and how much more each weighs: all words of the examples, and word beginnings that tell the labels apart.
 
-    A term counts if its odds differ at least fourfold between the labels and a likelihood-ratio test
-    finds that beyond doubt (G2 >= 25, at least 5 texts).
+    A term tells if its odds differ at least fourfold between the labels and a likelihood-ratio test
+    finds that beyond doubt (G2 >= 25, at least 5 texts); it weighs 1 + 4 |ln odds| times as much as others.
     """
     n0, n1 = (examples.where(F.col("toxic") == y).count() for y in (0, 1))
-    if not n0 or not n1:
-        return []
     c = examples.select("text", "toxic").mapInArrow(_counts, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), n0 + n1
+    a, b, n = F.col("a"), F.col("b"), max(n0 + n1, 1)
     odds = (b + 0.5) / (n1 + 1.0) / ((a + 0.5) / (n0 + 1.0))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     g2 = 2 * sum(part(o, e) for o, e in ((a, (a + b) * n0 / n), (b, (a + b) * n1 / n), (n0 - a, (n - a - b) * n0 / n), (n1 - b, (n - a - b) * n1 / n)))
-    best = c.where((a + b >= 5) & (a + b < n) & ((odds >= 4) | (odds <= 0.25))).withColumn("g", g2).where("g >= 25")
-    return [bytes(r["term"]) for r in best.orderBy(F.desc("g"), "term").limit(limit).select("term").collect()]
+    tells = (a + b >= 5) & (a + b < n) & ((odds >= 4) | (odds <= 0.25)) & (g2 >= 25) if n0 and n1 else F.lit(False)
+    c = c.select("term", F.when(tells, F.abs(F.log(odds))).otherwise(F.lit(0.0)).alias("o"))
+    found = c.where((F.col("o") > 0) | (F.substring("term", -1, 1) != F.lit(b"*"))).orderBy("term").toArrow()  # bounded by the examples
+    return found.column("term").to_pylist(), 1 + TELLING * found.column("o").to_numpy()
 
 
-def term_counts(docs: DataFrame, terms: list[bytes], text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs, without the text unless asked for, with `ids` and `tf`: how often each known term occurs in the whole text."""
-    names = [c for c in docs.columns if c not in ("ids", "tf") and (keep_text or c != text)]
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most TERMS
+class Terms:
+    """How often each term of a space occurs in texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {t: i for i, t in enumerate(shared.value)}
+    def __init__(self, terms: list[bytes]):
+        self.terms, self.known = terms, None
+
+    def __getstate__(self) -> dict:
+        return {"terms": b" ".join(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.terms, self.known = state["terms"].split(), None
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def _start(self) -> None:
+        at = {t: i for i, t in enumerate(self.terms)}
+        heads = {t[: PREFIXES[0]] for t in self.terms if t.endswith(b"*")}
         patterns: dict[tuple[int, ...], int] = {(): 0}
         lists: list[tuple[int, ...]] = [()]
 
@@ -82,118 +86,203 @@ def term_counts(docs: DataFrame, terms: list[bytes], text: str = "text", keep_te
             def __missing__(self, word: bytes) -> int:
                 if len(self) > 500_000:
                     self.clear()
-                own = tuple(at[t] for t in terms_of(word) if t in at)
+                more = beginnings(word) if word[: PREFIXES[0]] in heads else ()
+                own = tuple(at[t] for t in (word, *more) if t in at)
                 if own not in patterns:
                     patterns[own] = len(lists)
                     lists.append(own)
                 k = self[word] = patterns[own]
                 return k
 
-        known = Pattern()
+        self.lists, self.known = lists, Pattern()
+
+    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms of a whole text, ascending, and how often each occurs."""
+        if self.known is None:
+            self._start()
+        total: Counter[int] = Counter()
+        for piece in word_pieces(text):
+            k, n = np.unique(np.fromiter(map(self.known.__getitem__, piece), np.int32, len(piece)), return_counts=True)
+            for p, m in zip(k.tolist(), n.tolist(), strict=True):
+                for i in self.lists[p]:
+                    total[i] += m
+        ids = np.fromiter(total, np.int64, len(total))
+        tf = np.fromiter(total.values(), np.float64, len(total))
+        order = np.argsort(ids)
+        return ids[order], tf[order]
+
+
+def document_frequencies(docs: DataFrame, terms) -> np.ndarray:
+    """In how many texts each term occurs, over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = terms.value
+        total = np.zeros(len(space), np.int64)
         for b in batches:
-            ids, tf = [], []
-            for t in utf8_rows(b.column(text)):
-                total: Counter[int] = Counter()
-                for piece in word_pieces(t or b""):
-                    k = np.fromiter(map(known.__getitem__, piece), np.int32, len(piece))
-                    for p, n in enumerate(np.bincount(k[k > 0]).tolist()):
-                        if n:
-                            for i in lists[p]:
-                                total[i] += n
-                own = sorted(total.items())
-                ids.append([i for i, _ in own])
-                tf.append([n for _, n in own])
-            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(ids, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=[*names, "ids", "tf"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*[F.col(f"`{n}`") for n in names], *([] if keep_text else [F.col(f"`{text}`")])).mapInArrow(count, f"{fields}, ids array<int>, tf array<int>")
+            for t in utf8_rows(b.column("text")):
+                if t:
+                    total[space.count(t)[0]] += 1
+        hit = np.flatnonzero(total)
+        for a in range(0, len(hit), 1 << 16):
+            some = hit[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["i", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # one row for each term
+    out = np.zeros(len(terms.value), np.int64)
+    out[sums.column("i").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0], ..., end[0] - 1, start[1], ..."""
+    size = end - start
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 class BlockMaxIndex:
     """Inverted index of unit vectors with the largest weight of each term in each block of examples.
 
-    A query sums its terms' block maxima, visits blocks from the largest such bound down and stops
-    where the bound falls below the k-th best cosine found, so that its result is exact.
+    Terms that over a sixteenth of the examples have are kept as full rows, and a group of queries takes
+    their part of all cosines from one matrix product. A query adds the block maxima of its other terms to
+    the largest such part in each block, visits the blocks of the largest sums, and then all others whose sum isn't
+    below the k-th best cosine found. Bounds and candidates have a margin for single precision, and
+    candidates are scored again in double, so the result is exact.
     """
 
+    MARGIN, HEAVY = 2e-5, 16
+
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         # like examples stand together, which makes bounds tight
         order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist(), i))
-        self.order, self.n = np.array(order, np.int64), len(order)
-        self.blocks, self.block = -(-len(order) // block), block
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        key = term.astype(np.int64) * self.blocks + place // block
-        sort = np.argsort(key, kind="stable")
-        self.place, self.weight = (place % block)[sort], weight[sort]
-        self.start = np.searchsorted(key[sort], np.arange(terms * self.blocks + 1))
-        self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most.reshape(-1), key, weight)
+        self.order, self.n, self.block = np.array(order, np.int64), len(order), block
+        self.vectors, self.query = [vectors[i] for i in order], np.zeros(terms)
+        self.blocks = max(-(-len(order) // block), 1)
+        term = np.concatenate([v[0] for v in self.vectors]).astype(np.int64) if order else np.zeros(0, np.int64)
+        place = np.repeat(np.arange(len(order)), [len(v[0]) for v in self.vectors])
+        weight = np.concatenate([v[1] for v in self.vectors]) if order else np.zeros(0)
+        heavy = np.flatnonzero(np.bincount(term, minlength=terms) * self.HEAVY > max(self.n, self.HEAVY))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[heavy] = np.arange(len(heavy))
+        self.full = np.zeros((len(heavy), self.blocks * block), np.float32)
+        at = self.row[term] >= 0
+        self.full[self.row[term[at]], place[at]] = weight[at]
+        term, place, weight = term[~at], place[~at], weight[~at]
+        sort = np.argsort(term, kind="stable")  # by term, then by place
+        term, self.place, self.weight = term[sort], place[sort].astype(np.int32), weight[sort]
+        key = term * self.blocks + self.place // block
+        self.low = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.high = np.append(self.low[1:], len(key)) if len(key) else self.low
+        self.most = np.maximum.reduceat(self.weight, self.low) if len(key) else np.zeros(0)
+        self.of = key[self.low] % self.blocks
+        self.start = np.searchsorted(key[self.low] // self.blocks, np.arange(terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, and their cosines; ties go to the smaller example."""
-        bound = weights @ self.most[ids]
-        best_s, best_i, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+        return self.nearest_all([(ids, weights)], k, [without])[0]
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = np.zeros((len(queries), len(self.full)), np.float32)
+        for q, (ids, w) in zip(rows, queries, strict=True):
+            at = self.row[ids]
+            q[at[at >= 0]] = w[at >= 0]
+        parts = rows @ self.full
+        return [self._one(ids, w, part, k, out) for (ids, w), part, out in zip(queries, parts, without, strict=True)]
+
+    def _one(self, ids: np.ndarray, weights: np.ndarray, part: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        light = self.row[ids] < 0
+        start, end, w = self.start[ids[light]], self.start[ids[light] + 1], weights[light]
+        lists, mine = _spans(start, end), np.repeat(w, end - start)
+        of = self.of[lists]
+        bound = part.reshape(self.blocks, self.block).max(1) + np.bincount(of, mine * self.most[lists], self.blocks)
+        turn = np.argsort(-bound, kind="stable")
+        seen_at, seen_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for some in (turn[:3], turn[3:]):
+            some = some[(bound[some] > 0) & (bound[some] >= least - self.MARGIN)]
+            if not len(some):
                 break
-            score = np.zeros(self.block)
-            for t, w in zip((ids * self.blocks + b).tolist(), weights.tolist(), strict=True):
-                lo, hi = self.start[t], self.start[t + 1]
-                if hi > lo:
-                    score[self.place[lo:hi]] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(score > max(0.0, least - 1e-12))
-            if not len(hit):
-                continue
-            i = self.order[b * self.block + hit]
-            s = score[hit][i != without]
-            i = i[i != without]
-            best_s, best_i = np.concatenate([best_s, np.minimum(s, 1.0)]), np.concatenate([best_i, i])
-            if len(best_s) > k:
-                top = np.lexsort((best_i, -np.round(best_s, 9)))[:k]
-                best_s, best_i = best_s[top], best_i[top]
-            if len(best_s) == k:
-                least = best_s.min()
-        top = np.lexsort((best_i, -np.round(best_s, 9)))
-        return best_i[top], best_s[top]
-
-
-def _unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(tf)) * idf[ids]
-    n = math.sqrt(float(w @ w))
-    return w / n if n else w
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            own = np.flatnonzero(chosen[of])
+            low, high = self.low[lists[own]], self.high[lists[own]]
+            post = _spans(low, high)
+            score = np.bincount(self.place[post], np.repeat(mine[own], high - low) * self.weight[post], self.blocks * self.block)
+            at = (np.sort(some)[:, None] * self.block + np.arange(self.block)).ravel()
+            s = score[at] + part[at]
+            keep = (s > 0) & (s >= least - self.MARGIN)
+            seen_at, seen_s = np.concatenate([seen_at, at[keep]]), np.concatenate([seen_s, s[keep]])
+            if len(seen_s) > k:  # one more, since an example may be left out
+                least = np.partition(seen_s, -k - 1)[-k - 1]
+        seen_at = seen_at[seen_s >= least - self.MARGIN]
+        self.query[ids] = weights
+        i = self.order[seen_at]
+        s = np.array([min(float(v[1] @ self.query[v[0]]), 1.0) for v in (self.vectors[x] for x in seen_at.tolist())])
+        self.query[ids] = 0
+        keep = (i != without) & (s > 0) if len(i) else np.zeros(0, bool)
+        i, s = i[keep], s[keep]
+        top = np.lexsort((i, -np.round(s, 9)))[:k]
+        return i[top], s[top]
 
 
 class Model:
-    """Examples, their index, and how votes map to chances."""
-
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
-        self.terms, self.idf, self.k = terms, idf, k
-        full = [e for e in examples if len(e[1])]
-        bare = [e[3] for e in examples if not len(e[1])]
-        self.id = [e[0] for e in full]
-        self.label = np.array([e[3] for e in full], float)
-        vectors = [(e[1], _unit(e[1], e[2], idf)) for e in full]
-        self.index = BlockMaxIndex(vectors, max(len(terms), 1))
-        self.prior = (sum(e[3] for e in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
+    """Examples, their index, and how votes map to chances. Workers build the index from the examples' counts, which are small to send."""
+
+    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: Iterable[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
+        """examples: (doc_id, term numbers, counts, label)."""
+        self.terms, self.idf, self.k, self.built = Terms(terms), idf, k, None
+        full, bare = [], []
+        for doc_id, ids, tf, label in examples:
+            if len(ids):
+                full.append((doc_id, ids.astype(np.int32), tf.astype(np.int32), label))
+            else:
+                bare.append(label)
+        self.id, self.label = np.array([e[0] for e in full], np.int64), np.array([e[3] for e in full], float)
+        self.per = np.array([len(e[1]) for e in full], np.int64)
+        self.ids, self.tf = (np.concatenate([e[i] for e in full]) if full else np.zeros(0, np.int32) for i in (1, 2))
+        n, toxic = len(full) + len(bare), float(self.label.sum()) + sum(bare)
+        self.prior = (toxic + 0.5) / (n + 1) if n else 0.0
         self.none = (sum(bare) + 0.5) / (len(bare) + 1) if bare else self.prior / 2
-        votes = [self.vote(*self.index.nearest(i, w, k, without=n)) for n, (i, w) in enumerate(vectors)]
-        self.at, self.chance = _isotonic(np.array(votes), self.label)
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of toxic examples, each weighing by nearness; a neighbour without a common term stands for the prior."""
-        w, w0 = 1 / (1.05 - cosine), 1 / 1.05
-        return float((w @ self.label[near] + w0 * self.prior) / (w.sum() + w0))
-
-    def score(self, ids: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        if not len(ids) or not self.index.n:
-            return self.none, []
-        near, cosine = self.index.nearest(ids, _unit(ids, tf, self.idf), self.k)
-        if not len(near):
-            return self.none, []
-        p = float(np.interp(self.vote(near, cosine), self.at, self.chance))
-        return p, [(self.id[i], float(c), int(self.label[i])) for i, c in zip(near[:3].tolist(), cosine.tolist(), strict=False)]
+        self.at, self.chance = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"built": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self.built is None:
+            ends = np.cumsum(self.per)
+            spans = [slice(e - n, e) for e, n in zip(ends.tolist(), self.per.tolist(), strict=True)]
+            self.built = BlockMaxIndex([(self.ids[x].astype(np.int64), self.unit(self.ids[x], self.tf[x])) for x in spans], max(len(self.terms), 1))
+        return self.built
+
+    def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[ids]
+        n = math.sqrt(float(w @ w))
+        return w / n if n else w
+
+    def votes(self, texts: list[bytes], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each text the share of toxic examples among the nearest, each weighing by nearness, and these; the prior stands beside them.
+
+        without: doc_ids of examples that are left out. None if there is no neighbour.
+        """
+        counted = [self.terms.count(t) for t in texts]
+        out: list = [(None, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        some = [i for i, c in enumerate(counted) if len(c[0]) and len(self.id)]
+        for a in range(0, len(some), GROUP):
+            part = some[a : a + GROUP]
+            gone = [-1 if without is None else int((np.flatnonzero(self.id == without[i]).tolist() or [-1])[0]) for i in part]
+            found = self.index.nearest_all([(counted[i][0], self.unit(*counted[i])) for i in part], self.k, gone)
+            for i, (near, cosine) in zip(part, found, strict=True):
+                if len(near):
+                    w, w0 = 1 / (1.05 - cosine), 1 / 1.05
+                    out[i] = (float((w @ self.label[near] + w0 * self.prior) / (w.sum() + w0)), near, cosine)
+        return out
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        out = []
+        for vote, near, cosine in self.votes(texts):
+            p = self.none if vote is None else float(np.interp(vote, self.at, self.chance))
+            out.append((p, [(int(self.id[i]), float(c), int(self.label[i])) for i, c in zip(near[:3].tolist(), cosine.tolist(), strict=False)]))
+        return out
 
 
 def _isotonic(vote: np.ndarray, label: np.ndarray, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -216,64 +305,71 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, counted: DataFrame | None = None, examples: int = EXAMPLES) -> tuple[DataFrame, list[bytes]]:
-    """Deduplicated labelled examples (written) and the terms that they teach."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS):
+    """A broadcast model of at most `examples` labelled rows outside the held-out third; equal texts of one label once."""
+    spark = docs.sparkSession
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # bounded by the parameter
-    near = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(own), "doc_id")
-    near = near.mapInArrow(_sketch, "doc_id long, text string, toxic int, sketch long")
-    first = near.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("d"))
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id")
+    first = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("m"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("d"))
     kept = materialize(first.select("d.doc_id", "d.text", "toxic"), "examples")
-    return kept, learn_terms(kept)
+    terms, more = learn_terms(kept)
+    space = Terms(terms)
+    sent = spark.sparkContext.broadcast(space)
+    n, df = docs.count(), document_frequencies(docs, sent)
+    sent.unpersist()
+    idf = (np.log((n + 1) / (df + 1)) + 1) * more
+    model = Model(terms, idf, [(r["doc_id"], *space.count(r["text"].encode("utf-8", "surrogatepass")), r["toxic"]) for r in kept.orderBy("doc_id", "toxic").toLocalIterator()], k)
+    shared = spark.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [v[0] for v in shared.value.votes([t or b"" for t in utf8_rows(b.column("text"))], b.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column("toxic")], names=["vote", "toxic"])
+
+    # each example by the others; at most `examples` numbers
+    seen = kept.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(votes, "vote double, toxic int").where("vote IS NOT NULL").toArrow()
+    model.at, model.chance = _isotonic(seen.column("vote").to_numpy(), seen.column("toxic").to_numpy().astype(float))
+    discard(kept)
+    shared.unpersist()
+    return spark.sparkContext.broadcast(model)
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
     """docs, without the text unless asked for, with score, predicted and evidence.
 
-    At most `examples` labelled rows outside the held-out third are learnt from, near copies among
-    them once. Terms (whole words and word beginnings) that tell the labels apart span the vector
-    space; their document frequencies are counted over all documents; vectors are (1 + ln tf) * idf.
+    At most `examples` labelled rows outside the held-out third are learnt from. All their words span
+    the vector space, and beginnings of words that tell the labels apart; document frequencies are counted
+    over all documents, and vectors are (1 + ln tf) * idf, times more for terms that tell (see `learn_terms`).
     The k nearest examples by exact cosine vote by nearness, and a never-falling map fitted on
-    left-out examples turns votes into chances. evidence: up to three (doc_id, cosine, label).
+    left-out examples turns votes into chances. evidence: up to three (doc_id, cosine, label), ties to the smaller doc_id.
 
-    Null and empty texts, and texts without a term, get the rate of such examples. A document with
-    labels of both kinds in equal number isn't learnt from; without usable labels every score is 0.
-    Columns of docs named like the new ones are replaced.
+    Null and empty texts, and texts without a word of any example, get the rate of examples without words (half the
+    rate of all where there are none). Texts of any length are taken whole; equal texts get equal scores. A document with
+    labels of both kinds in equal number isn't learnt from; without usable labels every score is 0. An empty
+    table gives no rows. Columns of docs named score, predicted or evidence are replaced; others are kept.
     """
-    spark = docs.sparkSession
-    kept, terms = fit(docs, labels, examples=examples)
-    drop = ("ids", "tf", "score", "predicted", "evidence", "_row")
-    names = [c for c in docs.columns if c not in drop]
-    counted = seen = term_counts(docs.select(*names), terms, keep_text=keep_text)
-    if keep_text:  # texts aren't written for this: they are looked at twice
-        seen = term_counts(docs.select("doc_id", "text"), terms)
-    else:  # small: written once, read for frequencies and for scores
-        counted = seen = materialize(counted, "terms")
-    df = {r["i"]: r["n"] for r in seen.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
-    n = docs.count()
-    idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    rows = term_counts(kept, terms).orderBy("doc_id").collect()  # at most `examples` short lists
-    model = Model(terms, idf, [(r["doc_id"], np.array(r["ids"], np.int64), np.array(r["tf"], float), r["toxic"]) for r in rows], k)
-    shared = spark.sparkContext.broadcast(model)
+    shared = fit(docs, labels, examples, k)
+    names = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
     left = [c for c in names if keep_text or c != "text"]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        known: dict[bytes, tuple] = {}
         for b in batches:
-            found = []
-            for i, t in zip(b.column("ids").to_pylist(), b.column("tf").to_pylist(), strict=True):
-                key = (tuple(i), tuple(t))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = m.score(np.array(i, np.int64), np.array(t, float))
-                found.append(known[key])
+            texts = [t or b"" for t in utf8_rows(b.column("text"))]
+            keys = [xxhash.xxh3_128_digest(t) for t in texts]
+            if len(known) > 50_000:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            known |= zip(new, shared.value.scores(list(new.values())), strict=True)
+            found = [known[k] for k in keys]
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in found]
             new = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*b.select(left).columns, *new], names=[*left, "score", "predicted", "evidence"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in left)
-    return counted.mapInArrow(rate, f"{fields}, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    new_fields = T.StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>").fields
+    own = docs.select(*[F.col(f"`{n}`") for n in names])
+    return own.mapInArrow(rate, T.StructType([*(own.schema[n] for n in left), *new_fields]))
 
 
 def op4_toxicity_knn(docs: DataFrame, labels: DataFrame) -> DataFrame:
