@@ -18,8 +18,8 @@ EXAMPLES = 8_192
 #: Examples in one block of a posting list.
 BLOCK = 64
 NEIGHBOURS = 15
-#: Texts that are searched together.
-GROUP = 64
+#: Texts that are searched together, and words and texts that a task remembers.
+GROUP, REMEMBERED, RESULTS = 64, 150_000, 4_000
 #: Lengths in bytes of word beginnings that may tell labels apart; they catch inflected forms.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A term that tells labels apart weighs more: once, and so many times the logarithm of its odds.
@@ -77,39 +77,44 @@ class Terms:
         return len(self.terms)
 
     def _start(self) -> None:
-        at = {t: i for i, t in enumerate(self.terms)}
+        at = {t: i + 1 for i, t in enumerate(self.terms)}
         heads = {t[: PREFIXES[0]] for t in self.terms if t.endswith(b"*")}
-        patterns: dict[tuple[int, ...], int] = {(): 0}
-        lists: list[tuple[int, ...]] = [()]
+        lists: list[list[int]] = [[]]
+
+        class Known(dict):
+            """The number of a word's only term, 0 for none, or less for the place of a list of several."""
 
-        class Pattern(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) > 500_000:
-                    self.clear()
-                more = beginnings(word) if word[: PREFIXES[0]] in heads else ()
-                own = tuple(at[t] for t in (word, *more) if t in at)
-                if own not in patterns:
-                    patterns[own] = len(lists)
-                    lists.append(own)
-                k = self[word] = patterns[own]
+                k = at.get(word, 0)
+                more = [at[t] for t in beginnings(word) if t in at] if word[: PREFIXES[0]] in heads else ()
+                if more:
+                    lists.append([*([k] if k else ()), *more])
+                    k = 1 - len(lists)
+                self[word] = k
                 return k
 
-        self.lists, self.known = lists, Pattern()
+        self.lists, self.known = lists, Known()
 
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms of a whole text, ascending, and how often each occurs."""
         if self.known is None:
             self._start()
-        total: Counter[int] = Counter()
-        for piece in word_pieces(text):
-            k, n = np.unique(np.fromiter(map(self.known.__getitem__, piece), np.int32, len(piece)), return_counts=True)
-            for p, m in zip(k.tolist(), n.tolist(), strict=True):
-                for i in self.lists[p]:
-                    total[i] += m
-        ids = np.fromiter(total, np.int64, len(total))
-        tf = np.fromiter(total.values(), np.float64, len(total))
-        order = np.argsort(ids)
-        return ids[order], tf[order]
+        elif len(self.known) > REMEMBERED:
+            self.known.clear()
+            del self.lists[1:]
+        parts = [np.fromiter(map(self.known.__getitem__, p), np.int32, len(p)) for p in word_pieces(text)]
+        u, n = np.unique(np.concatenate(parts), return_counts=True)
+        several = np.searchsorted(u, 0)
+        total = Counter()
+        for p, m in zip(u[:several].tolist(), n[:several].tolist(), strict=True):
+            for i in self.lists[-p]:
+                total[i] += m
+        first = np.searchsorted(u, 1)
+        ids, tf = u[first:], n[first:]
+        if total:
+            ids, at = np.unique(np.concatenate([ids, np.fromiter(total, np.int32, len(total))]), return_inverse=True)
+            tf = np.bincount(at, np.concatenate([tf, np.fromiter(total.values(), np.int64, len(total))]))
+        return ids.astype(np.int64) - 1, tf.astype(np.float64)
 
 
 def document_frequencies(docs: DataFrame, terms) -> np.ndarray:
@@ -155,7 +160,7 @@ class BlockMaxIndex:
         # like examples stand together, which makes bounds tight
         order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist(), i))
         self.order, self.n, self.block = np.array(order, np.int64), len(order), block
-        self.vectors, self.query = [vectors[i] for i in order], np.zeros(terms)
+        self.vectors, self.query = [(vectors[i][0].astype(np.int32), vectors[i][1]) for i in order], np.zeros(terms)
         self.blocks = max(-(-len(order) // block), 1)
         term = np.concatenate([v[0] for v in self.vectors]).astype(np.int64) if order else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(order)), [len(v[0]) for v in self.vectors])
@@ -168,7 +173,7 @@ class BlockMaxIndex:
         self.full[self.row[term[at]], place[at]] = weight[at]
         term, place, weight = term[~at], place[~at], weight[~at]
         sort = np.argsort(term, kind="stable")  # by term, then by place
-        term, self.place, self.weight = term[sort], place[sort].astype(np.int32), weight[sort]
+        term, self.place, self.weight = term[sort], place[sort].astype(np.int32), weight[sort].astype(np.float32)
         key = term * self.blocks + self.place // block
         self.low = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.high = np.append(self.low[1:], len(key)) if len(key) else self.low
@@ -358,7 +363,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
         for b in batches:
             texts = [t or b"" for t in utf8_rows(b.column("text"))]
             keys = [xxhash.xxh3_128_digest(t) for t in texts]
-            if len(known) > 50_000:
+            if len(known) > RESULTS:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
             known |= zip(new, shared.value.scores(list(new.values())), strict=True)
