@@ -14,7 +14,7 @@ from prismlake.llm._shared import components, discard, materialize, mixed
 #: A bucket up to so many rows and bytes is solved at once; a larger one in blocks of about that size.
 BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Entries of buckets that one task sorts at once, about.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 #: Bits of the sketch by which unlike sets are told apart.
 BITS = 1024
 

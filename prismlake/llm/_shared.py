@@ -117,7 +117,7 @@ def word_pieces(text: bytes) -> Iterator[list[bytes]]:
 class WordHash(dict):
     """Word to a 64-bit hash, remembered for words met before."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
