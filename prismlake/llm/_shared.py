@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,16 @@ def sweep(spark: SparkSession, owner: str = "") -> None:
         _delete(spark, path)
 
 
+def finished(spark: SparkSession, owner: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, written; all work tables behind it are deleted."""
+    owner = f"{owner}-{uuid.uuid4().hex}"
+    try:
+        with owned(owner):
+            return materialize(make(), owner, swept=False)
+    finally:
+        sweep(spark, owner)
+
+
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column, without decoding them; None for null."""
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:

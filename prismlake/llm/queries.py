@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import ann, decontam, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity
+from prismlake.llm import ann, decontam, lexical, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity
 from prismlake.llm._shared import table
 
 
@@ -50,6 +50,10 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op10_fm_index(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.op11_block_max_wand(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -72,4 +76,9 @@ o AS (SELECT uid, i, dw.k, item FROM dw JOIN p ON dw.k = p.k AND dw.phrase = p.p
 h AS (SELECT uid, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT uid, unnest(range(i, i + k)) AS j FROM o) GROUP BY uid),
 f AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM o) GROUP BY uid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (uid) LEFT JOIN f USING (uid)""",
+    "op11_block_max_wand": f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS.format("text")} AS w FROM documents), n AS (SELECT *, len(w) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n), tf AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(w) AS term FROM n) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({_WORDS.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (SELECT item, item_id, uid, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN n USING (uid), g GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 20""",
 }
