@@ -38,16 +38,22 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/prismlake"
 
 
+def scratch(spark: SparkSession, tag: str, swept: bool = True) -> str:
+    """A new path in the shared folder, which `sweep` deletes unless told otherwise."""
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if swept:
+        _written.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str, swept: bool = True) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     `discard` deletes it, and `sweep` those of an owner (see `owned`) unless told otherwise.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag, swept)
     df.write.option("compression", "zstd").parquet(path)
-    if swept:
-        _written.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import ann, decontam, lexical, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity
+from prismlake.llm import ann, decontam, lexical, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity, warc
 from prismlake.llm._shared import table
 
 
@@ -54,6 +54,10 @@ def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.op11_block_max_wand(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op12_warc_captures(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -81,4 +85,8 @@ g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n), tf AS (SELECT
 q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({_WORDS.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
 s AS (SELECT item, item_id, uid, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN n USING (uid), g GROUP BY ALL),
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 20""",
+    "op12_warc_captures": """WITH p AS (SELECT row_number() OVER () AS uid, page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, uid) AS place, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST, uid) AS kept FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN kept END AS refers_to FROM d""",
 }
