@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm import ann, decontam, lexical, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity, warc
+from prismlake.llm import ann, decontam, lexical, licences, line_dedup, mixture, near_dedup, quality, quoting, repair, sharding, toxicity, warc
 from prismlake.llm._shared import table
 
 
@@ -58,6 +58,10 @@ def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op12_warc_captures(table(spark, sf_dir, "pages"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op13_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -89,4 +93,19 @@ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score D
 d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
 row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, uid) AS place, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST, uid) AS kept FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN kept END AS refers_to FROM d""",
+    "op13_repair": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE WHEN x = 1 THEN '' WHEN x = 2 THEN translate(text, '.!?', '') ELSE text END AS text, x FROM (SELECT *, xor(CAST(4294967295 AS BIGINT),
+list_reduce(flatten([[CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(k, ''), lambda y: [CAST(ascii(y) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))]), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)))) % 20 AS x FROM c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, dup) AS i FROM (SELECT conv_id, turn, role, text, unnest(CASE WHEN x = 3 THEN [0, 1] ELSE [0] END) AS dup FROM h WHERE x <> 0)),
+f AS (SELECT *, CASE WHEN rtrim(text, E' \t\n\x0b\x0c\r') = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r),
+t(s, r, d) AS (VALUES (0, 1, 1), (0, 2, 2), (1, 2, 2), (3, 2, 2), (2, 3, 3)), e(n, p) AS (VALUES (0, ''), (1, 'I'), (2, 'II')),
+mid AS (SELECT s.s, n, p, CASE WHEN n = 0 THEN s.s WHEN (s.s = 2) = (n = 1) THEN 3 ELSE 2 END AS z FROM (VALUES (0), (1), (2), (3)) AS s(s), e),
+m AS (SELECT s, z AS d, NULL AS r, false AS stays, 5 * n + 2 AS cost, p || 'D' AS l FROM mid UNION ALL SELECT mid.s, t.d, t.r, true, 5 * n, p || 'K' FROM mid JOIN t ON t.s = z UNION ALL SELECT mid.s, CASE WHEN z = 2 THEN 3 ELSE 2 END, NULL, true, 5 * n + 1, p || 'R' FROM mid),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {'cost': 0, 'audit': '', 'body': CAST(NULL AS VARCHAR)} AS b FROM c UNION ALL
+SELECT w.conv_id, w.i + 1, m.d, min({'cost': w.b.cost + m.cost + CASE WHEN stays AND fault = 3 THEN 5 ELSE 0 END, 'audit': w.b.audit || l, 'body': CASE WHEN l = 'D' THEN w.b.body ELSE concat_ws(E'\n', w.b.body, CASE WHEN l[1] = 'I' THEN CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END END, CASE WHEN l[2] = 'I' THEN CASE WHEN w.s = 2 THEN 'user:' ELSE 'assistant:' END END,
+CASE right(l, 1) WHEN 'K' THEN f.role || ':' || text WHEN 'R' THEN CASE WHEN m.d = 3 THEN 'assistant:' ELSE 'user:' END || text END) END}) FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN m ON m.s = w.s AND (m.r IS NULL OR m.r = f.r) AND (NOT stays OR fault NOT IN (1, 2)) GROUP BY w.conv_id, w.i, m.d),
+a AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT w.conv_id, min({'cost': b.cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': b.audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END, 'body': concat_ws(E'\n', b.body, CASE s WHEN 1 THEN E'user:\nassistant:' WHEN 2 THEN 'assistant:' END)}) AS b FROM w LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(n, 0) GROUP BY w.conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(coalesce(b.body, '')) AS repaired_sha256 FROM z LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
