@@ -2,57 +2,110 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from prismlake.sources.tables import shared_folder
 
 # fixed values: when a face joins a person
 ALONE, BEST, SECOND, SUGGEST, KEPT = 0.70, 0.64, 0.54, 0.58, 6
-SCHEMA = "face_id long, leader long, score double, suggested long, suggested_score double"
+SCHEMA = "face_id long, leader long, score double, suggested long, suggested_score double, place long"
 #: Faces of one block of the similarity join.
 BLOCK = 4096
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, which ends its lineage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        local = context.master.startswith("local")
-        where = spark.conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir"))
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def _matrix(vectors: pd.Series, width: int = 0) -> np.ndarray:
+    """Vectors as rows, filled up with zeros, so that a dot product is one over the shorter length."""
+    x = np.zeros((len(vectors), max([width, *map(len, vectors)])))
+    for row, v in zip(x, vectors, strict=True):
+        row[: len(v)] = v
+    return x
+
+
+def _met(rows: DataFrame, block: int, meet, schema: str, old: str | None = None) -> DataFrame:
+    """`meet` for each pair of blocks of rows (face_id, embedding), with columns own, i and j; of rows that are `old`, no pair of blocks meets.
+
+    Rows are dealt to blocks by hash. Each pair of blocks is one task, which holds two blocks.
+    """
+    is_old = F.col(old) if old else F.lit(False)
+    n = {r["old"]: max(1, -(-r["n"] // block)) for r in rows.groupBy(is_old.alias("old")).agg(F.count("*").alias("n")).collect()}  # two rows
+    new, known = n.get(False, 0), n.get(True, 0)
+    deal = lambda k, first: F.lit(first) + F.pmod(F.xxhash64("face_id"), F.lit(max(k, 1))).cast("int")
+    own = F.when(is_old, deal(known, new)).otherwise(deal(new, 0))
+    others = F.when(is_old, F.sequence(F.lit(0), F.lit(new - 1))) if new else F.array().cast("array<int>")
+    every = rows.withColumn("own", own).withColumn("other", F.explode(others.otherwise(F.sequence(F.lit(0), F.lit(max(new + known, 1) - 1))) if new else others))
+    every = every.select("face_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return every.groupBy("i", "j").applyInPandas(meet, schema)
+
+
 def similar_pairs(faces: DataFrame, least: float = SUGGEST, block: int = BLOCK) -> DataFrame:
     """(a, b, score) of faces (face_id, embedding) whose dot product, over the shorter length, is `least` or more, a < b.
 
-    An exact similarity join: faces are dealt to blocks by hash, and each pair of blocks is one matrix product in
-    one task, so a task holds two blocks at most. Work grows with the square of the faces, as all are compared.
+    An exact similarity join in blocks. Work grows with the square of the faces, as all are compared; so do the
+    pairs of many alike faces, for which `similar_links` gives what hangs together instead.
     """
-    rows = faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select("face_id", "embedding")
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int")
-    every = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    every = every.select("face_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, side = pdf["face_id"].to_numpy(), pdf["own"].to_numpy()
-        x = np.zeros((len(pdf), max(map(len, pdf["embedding"]))))
-        for row, v in zip(x, pdf["embedding"], strict=True):
-            row[: len(v)] = v
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        ids, side, i, j = pdf["face_id"].to_numpy(), pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        x, left, right = _matrix(pdf["embedding"]), np.flatnonzero(side == i), np.flatnonzero(side == j)
         s = x[left] @ x[right].T
         p, q = np.nonzero(s >= least)
         a, b = ids[left[p]], ids[right[q]]
         keep = a < b if i == j else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[p, q][keep]})
 
-    return every.groupBy("i", "j").applyInPandas(meet, "a long, b long, score double")
+    return _met(faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select("face_id", "embedding"), block, meet, "a long, b long, score double")
+
+
+def similar_links(faces: DataFrame, least: float = SUGGEST, block: int = BLOCK, old: str | None = None) -> DataFrame:
+    """(a, b): links of faces (face_id, embedding) that join exactly what pairs of dot product `least` or more join.
+
+    Each two blocks give a spanning forest of their pairs, fewer links than they have faces, so that a person with many faces gives
+    links in proportion to faces times blocks and not to pairs. Faces that are `old` (a boolean column) aren't compared with each other.
+    """
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side, i, j = pdf["face_id"].to_numpy(), pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        x, left, right = _matrix(pdf["embedding"]), np.flatnonzero(side == i), np.flatnonzero(side == j)
+        like = np.concatenate([x[left[a : a + 512]] @ x[right].T >= least for a in range(0, len(left), 512)]) if len(left) else np.zeros((0, len(right)), bool)
+        links = [np.zeros((2, 0), ids.dtype)]
+
+        def reach(front: np.ndarray, like: np.ndarray, seen: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+            free = np.flatnonzero(~seen)
+            s = like[np.ix_(front, free)]
+            hit = s.any(0) if len(front) else np.zeros(len(free), bool)
+            new = free[hit]
+            links.append(np.stack([ids[mine[front[s[:, hit].argmax(0)]]], ids[theirs[new]]]) if len(new) else links[0])
+            seen[new] = True
+            return new
+
+        # breadth first: a face is reached once, by the first face that it resembles
+        seen = np.zeros(len(left), bool)
+        other = seen if i == j else np.zeros(len(right), bool)
+        for root in np.flatnonzero(like.any(1)).tolist():
+            if seen[root]:
+                continue
+            seen[root], front = True, np.array([root])
+            while len(front):
+                front = reach(front, like, other, left, right)
+                if i != j:
+                    front = reach(front, like.T, seen, right, left)
+        a, b = np.concatenate(links, 1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    cols = ["face_id", "embedding"] + ([old] if old else [])
+    return _met(faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select(*cols), block, meet, "a long, b long", old)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,70 +114,127 @@ def components(edges: DataFrame) -> DataFrame:
     In each round a node takes the least root among its neighbours, and then that root's own; rounds are few,
     since roots jump. Every round is written.
     """
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         new = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
         up = new.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        new = _cut(new.join(up, "new").select("node", "root", F.least("new", "top").alias("new")))
+        new = cut(new.join(up, "new").select("node", "root", F.least("new", "top").alias("new")))
         roots = new.select("node", F.col("new").alias("root"))
         if not new.where("root <> new").take(1):
             return roots
 
 
+class _People:
+    """The people of a component: up to six known faces of each, and which of a person's places are taken."""
+
+    def __init__(self):
+        self.ids, self.groups, self.at = [], {}, {}
+        self.known, self.faces, self.taken = np.zeros((0, 0)), np.zeros((0, KEPT), np.int64), np.zeros((0, KEPT), bool)
+        self.hidden = np.zeros(0, bool)
+
+    def add(self, person: int, face: int, v: np.ndarray, hidden: bool = False) -> int | None:
+        """Let a face stand for a person, who may be new; its place among the person's faces, or None if all are taken. Hidden people are never matched."""
+        if person not in self.at:
+            self.at[person] = len(self.ids)
+            self.ids.append(person)
+            if len(self.ids) > len(self.faces):
+                more = max(16, len(self.faces))
+                self.known = np.concatenate([self.known, np.zeros((more * KEPT, self.known.shape[1]))])
+                self.faces, self.taken = (np.concatenate([x, np.zeros((more, KEPT), x.dtype)]) for x in (self.faces, self.taken))
+                self.hidden = np.concatenate([self.hidden, np.zeros(more, bool)])
+            self.hidden[self.at[person]] = hidden
+        if len(v) > self.known.shape[1]:
+            self.known = np.hstack([self.known, np.zeros((len(self.known), len(v) - self.known.shape[1]))])
+        i = self.at[person]
+        place = int(self.taken[i].sum())
+        if place == KEPT:
+            return None
+        self.known[i * KEPT + place, : len(v)], self.known[i * KEPT + place, len(v) :] = v, 0
+        self.faces[i, place], self.taken[i, place] = face, True
+        return place
+
+    def match(self, v: np.ndarray) -> tuple[tuple[int, float] | None, tuple[int, float] | None]:
+        """The accepted person of best score, and the closest known face, each with its score; persons that came first win ties."""
+        n = len(self.ids)
+        if not n:
+            return None, None
+        width = min(len(v), self.known.shape[1])
+        s = np.where(self.taken[:n] & ~self.hidden[:n, None], (self.known[: n * KEPT, :width] @ v[:width]).reshape(n, KEPT), -np.inf)
+        best, second = s.max(1), np.partition(s, KEPT - 2, 1)[:, KEPT - 2]
+        near = int(best.argmax())
+        if best[near] == -np.inf:
+            return None, None
+        closest = int(self.faces[near, int(s[near].argmax())]), float(best[near])
+        ok = (best >= ALONE) | ((best >= BEST) & (second >= SECOND))
+        if not ok.any():
+            return None, closest
+        p = int(np.where(ok, best, -np.inf).argmax())
+        return (self.ids[p], float(best[p])), closest
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Assign faces in order: must-link groups first, then by quality; each joins the accepted person of best score or opens one.
+    """Assign faces in order: each joins the accepted person of best score or opens one, whose id is its own.
 
-    A person is known by its first six faces. A score is a dot product over the shorter length. Rows come
+    Rows with a person are faces that stand for people already; must-link groups follow their first face. Rows come
     sorted by component and order, so only the people of one component are held.
     """
-    block, people, groups = None, {}, {}
+    block, people = None, _People()
     for pdf in batches:
         out = []
-        for own, face, group, vector in zip(pdf["block"], pdf["face_id"], pdf["group_id"], pdf["embedding"], strict=True):
+        for own, face, free, group, hidden, old, person, vector in zip(*[pdf[c] for c in ("block", "face_id", "free", "group_id", "hidden", "old", "person_id", "embedding")], strict=True):
             if own != block:
-                block, people, groups = own, {}, {}
-            v = np.asarray(vector, float)
-            if not np.isnan(group) and group in groups:
-                leader, score, near, near_score = groups[group], 1.0, None, None
+                block, people = own, _People()
+            v, face = np.asarray(vector, float), int(face)
+            if old:
+                people.add(int(person), face, v)
+                continue
+            near = near_score = None
+            if not free:
+                leader, score = people.groups.setdefault(group, face), 1.0
             else:
-                best, near, near_score = None, None, -1.0
-                for p, known in people.items() if np.isnan(group) else ():
-                    s = sorted((float(k[: len(v)] @ v[: len(k)]) for k in known), reverse=True)
-                    if s[0] > near_score:
-                        near, near_score = p, s[0]
-                    if s[0] >= ALONE or (len(s) > 1 and s[0] >= BEST and s[1] >= SECOND):
-                        if best is None or s[0] > best[1]:
-                            best = (p, s[0])
-                leader, score = best if best else (int(face), 1.0)
-                if best or near_score < SUGGEST:
-                    near, near_score = None, None
-                if not np.isnan(group):
-                    groups[group] = leader
-            known = people.setdefault(leader, [])
-            if len(known) < KEPT:
-                known.append(v)
-            out.append((int(face), leader, score, near, near_score))
-        yield pd.DataFrame(out, columns=["face_id", "leader", "score", "suggested", "suggested_score"]).astype({"suggested": "Int64", "suggested_score": "Float64"})
-
-
-def leaders(faces: DataFrame) -> DataFrame:
-    """(face_id, leader, score, suggested, suggested_score) of faces (face_id, quality, embedding, group_id).
-
-    The order decides who leads, but faces only matter to each other above the least score that is looked at.
-    So all pairs above it are found first, and each component of pairs and must-link groups is folded by
-    itself, with the result of one fold over all faces. A component is read as a sorted stream, of which a task
-    holds the people found so far, each by six faces. Faces with null vectors take no part.
+                best, closest = people.match(v)
+                leader, score = best or (face, 1.0)
+                if not best and closest and closest[1] >= SUGGEST:
+                    near, near_score = closest
+            out.append((face, leader, score, near, near_score, people.add(leader, face, v, bool(hidden))))
+        yield pd.DataFrame(out, columns=["face_id", "leader", "score", "suggested", "suggested_score", "place"]).astype({"suggested": "Int64", "suggested_score": "Float64", "place": "Int64"})
+
+
+def leaders(faces: DataFrame, known: DataFrame | None = None, ignored: DataFrame | None = None, hidden: DataFrame | None = None, order: list[Column] | None = None, block: int | None = None) -> DataFrame:
+    """(face_id, leader, score, suggested, suggested_score, place) of faces (face_id, quality, embedding, group_id).
+
+    Must-link groups come first, then faces by quality, or in another order given, face_id last; each joins the person whose known faces it
+    resembles enough or opens one, and the first six faces of a person become known, with `place` 0 to 5. A person is called by its
+    first face. A face that opens one, but comes near a known face, has that face as suggestion. With `known` (person_id, face_id, place, embedding) people are there already, and faces join
+    them; leave hidden people out of it, so that they don't grow. The people of `hidden` groups (group_id) don't either. Faces of `ignored` (face_id)
+    and faces with null vectors take no part, nor do known ones as new faces.
+
+    Faces only matter to each other above the least score that is looked at. So links above it are found first, and each
+    component of links, must-link groups and known faces of a person is folded by itself, with the result of one fold over
+    all faces. A component is read as a sorted stream, of which a task holds the people found so far, each by
+    six faces; components without a new face aren't read.
     """
-    rows = faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("face_id").cast("long").alias("face_id"), F.col("quality").cast("double").alias("quality"), "embedding", F.col("group_id").cast("double").alias("group_id"))
+    by = [c.alias(f"_order{i}") for i, c in enumerate(order or [-F.col("quality").cast("double")])]
+    rows = faces.where("face_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("face_id").cast("long").alias("face_id"), "embedding", F.col("group_id").cast("long").alias("group_id"), *by)
+    rows = rows if ignored is None else rows.join(ignored.select("face_id"), "face_id", "left_anti")
+    rows = rows.withColumn("hidden", F.lit(False)) if hidden is None else rows.join(hidden.select("group_id", F.lit(True).alias("hidden")).distinct(), "group_id", "left")
     grouped = rows.where("group_id IS NOT NULL").select("face_id", "group_id")
     linked = grouped.join(grouped.groupBy("group_id").agg(F.min("face_id").alias("a")), "group_id").where("a <> face_id").select("a", F.col("face_id").alias("b"))
-    root = components(similar_pairs(rows).select("a", "b").union(linked))
+    rows = rows.withColumns({"person_id": F.lit(None).cast("long"), "place": F.lit(None).cast("int"), "old": F.lit(False)})
+    if known is not None:
+        there = known.where("embedding IS NOT NULL").select(F.col("face_id").cast("long").alias("face_id"), F.col("person_id").cast("long").alias("person_id"), F.col("place").cast("int").alias("place"), "embedding", F.lit(True).alias("old"))
+        rows = rows.join(there.select("face_id"), "face_id", "left_anti").unionByName(there, allowMissingColumns=True)
+        linked = linked.union(there.join(there.groupBy("person_id").agg(F.min("face_id").alias("a")), "person_id").where("a <> face_id").select("a", F.col("face_id").alias("b")))
+    rows = cut(rows)
+    root = components(similar_links(rows, block=block or BLOCK, old=None if known is None else "old").union(linked))
     rows = rows.join(root.select(F.col("node").alias("face_id"), "root"), "face_id", "left").withColumn("block", F.coalesce("root", "face_id"))
-    rows = rows.withColumn("free", F.col("group_id").isNull()).withColumn("group_id", F.coalesce("group_id", F.lit(float("nan"))))
-    order = ["block", "free", F.desc("quality"), "face_id"]
-    return rows.repartition("block").sortWithinPartitions(*order).select("block", "face_id", "group_id", "embedding").mapInPandas(_fold, SCHEMA)
+    if known is not None:
+        rows = rows.join(rows.where("NOT old").select("block").distinct(), "block", "left_semi")
+    rows = rows.withColumns({"free": F.col("group_id").isNull(), "hidden": F.coalesce("hidden", F.lit(False)), "group_id": F.coalesce("group_id", F.lit(0)), "person_id": F.coalesce("person_id", F.lit(0))})
+    rows = rows.repartition("block").sortWithinPartitions("block", F.desc("old"), "person_id", "place", "free", *[f"_order{i}" for i in range(len(by))], "face_id")
+    return rows.select("block", "face_id", "free", "group_id", "hidden", "old", "person_id", "embedding").mapInPandas(_fold, SCHEMA)
 
 
 def representatives(assigned: DataFrame, faces: DataFrame, n: int = KEPT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -11,8 +12,9 @@ from prismlake.operators import clustering, curation, decisions, lookups, media,
 from prismlake.operators.filters import FilterSpec, Related, ViewOptions, apply_filters, tagged, without_flights
 from prismlake.plans import standins
 from prismlake.plans.standins import CODES, DATED, FILES, TAGS, TS
-from prismlake.sources.tables import table
-from prismlake.streaming import incremental
+from prismlake.sources.tables import shared_folder, table
+from prismlake.sources.tablesets import TableSet
+from prismlake.streaming import faces as faces_stream, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,11 +467,41 @@ def cover_best(spark, d):
     return people.covers(names, assigned, faces).select("id", "cover_face_id")
 
 
-@query(None)
+def _fold(order: str, group: str, n: str) -> str:
+    """Faces to people one after another in SQL; lists hold, for each face so far, its person, score, suggestion and place among known faces."""
+    return f"""WITH RECURSIVE {standins.FACES}, o AS (SELECT *, {group} AS g, row_number() OVER (ORDER BY {order}) AS i FROM faces WHERE {n}), s AS (SELECT b.i, a.i AS j, list_dot_product(a.x, b.x) AS s FROM o AS a JOIN o AS b ON a.i < b.i WHERE list_dot_product(a.x, b.x) >= 0.54),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS p, CAST([] AS DOUBLE[]) AS sc, CAST([] AS BIGINT[]) AS sug, CAST([] AS DOUBLE[]) AS ss, CAST([] AS BIGINT[]) AS pl UNION ALL
+SELECT c.i, list_append(p, who), list_append(sc, CASE WHEN c.g IS NULL AND hit IS NOT NULL THEN hit_score ELSE 1 END), list_append(sug, CASE WHEN c.g IS NULL AND hit IS NULL AND near_score >= 0.58 THEN near END), list_append(ss, CASE WHEN c.g IS NULL AND hit IS NULL AND near_score >= 0.58 THEN near_score END), list_append(pl, CASE WHEN have < 6 THEN have END)
+FROM (SELECT c.*, who, hit, hit_score, near, near_score, p, sc, sug, ss, pl, len(list_filter(p, lambda x: x = who)) AS have FROM
+(SELECT c.*, p, sc, sug, ss, pl, hit, hit_score, near, near_score, CASE WHEN c.g IS NOT NULL THEN coalesce((SELECT min(o.i) FROM o WHERE o.g = c.g), c.i) ELSE coalesce(hit, c.i) END AS who FROM
+(SELECT c.i, c.g, f.p, f.sc, f.sug, f.ss, f.pl FROM f JOIN o AS c ON c.i = f.i + 1) AS c
+LEFT JOIN (SELECT i, arg_max(person, {{'b': best, 'p': -person}}) FILTER (best >= 0.7 OR (best >= 0.64 AND second >= 0.54)) AS hit, max(best) FILTER (best >= 0.7 OR (best >= 0.64 AND second >= 0.54)) AS hit_score, arg_max(face, {{'b': best, 'p': -person}}) AS near, max(best) AS near_score FROM
+(SELECT s.i, f.p[s.j] AS person, max(s.s) AS best, list_sort(list(s.s), 'DESC')[2] AS second, arg_max(s.j, s.s) AS face FROM f JOIN s ON s.i = f.i + 1 WHERE f.pl[s.j] IS NOT NULL GROUP BY 1, 2) GROUP BY i) AS m ON m.i = c.i) AS c) AS c)
+SELECT o.face_id, l.face_id AS leader, round(sc, 9) AS score, n.face_id AS suggested, round(ss, 9) AS suggested_score, pl AS place FROM (SELECT unnest(p) AS p, unnest(sc) AS sc, unnest(sug) AS sug, unnest(ss) AS ss, unnest(pl) AS pl, unnest(range(1, len(p) + 1)) AS i FROM (SELECT * FROM f ORDER BY i DESC LIMIT 1)) AS r JOIN o USING (i) JOIN o AS l ON l.i = r.p LEFT JOIN o AS n ON n.i = r.sug"""
+
+
+@query(_fold("group_id IS NULL, quality DESC, face_id", "group_id", "face_id % 31 <> 0"))
 def cluster_leader(spark, d):
-    e = table(spark, d, "embeddings")
-    rows = e.select(F.col("vec_id").alias("face_id"), (1.0 / (1 + F.col("vec_id"))).alias("quality"), "embedding", F.lit(None).cast("bigint").alias("group_id"))
-    return clustering.leaders(rows)
+    faces = standins.faces(spark, d)
+    out = clustering.leaders(faces, ignored=faces.where("face_id % 31 = 0"))
+    return out.withColumns({c: F.round(c, 9) for c in ("score", "suggested_score")})
+
+
+@query(_fold("face_id", "NULL", "true").replace("SELECT o.face_id, l.face_id AS leader, round(sc, 9) AS score,", "SELECT o.face_id, l.face_id AS person_id, CASE WHEN l.face_id <> o.face_id THEN round(sc, 9) END AS score,"))
+def faces_in_batches(spark, d):
+    faces = standins.faces(spark, d)
+    tables = TableSet(spark, f"{shared_folder(spark)}/faces-{uuid.uuid4().hex}")
+    parts = faces.agg(F.min("face_id"), F.max("face_id")).first()
+    cut = [parts[0] + (parts[1] - parts[0]) * k // 3 for k in range(3)] if parts[0] is not None else []
+    for k, low in enumerate(cut):
+        some = faces.where((F.col("face_id") >= low) & (F.lit(k == 2) | (F.col("face_id") < (cut + [0])[k + 1])))
+        faces_stream.assign_batch(tables, some, k)
+    got = faces_stream.state(tables.latest())
+    both = got["assignments"].drop("assigned_by").join(got["representatives"].select("face_id", F.col("place").cast("bigint").alias("place")), "face_id", "left")
+    both = both.join(got["suggestions"].select("face_id", F.col("candidate_face_id").alias("suggested"), F.round("score", 9).alias("suggested_score")), "face_id", "left")
+    out = clustering.cut(both.withColumn("score", F.round("score", 9)))
+    tables.drop()
+    return out
 
 
 # --- curation, ingest, incremental --------------------------------------------------------------

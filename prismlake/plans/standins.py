@@ -73,3 +73,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.functions.columns import to_epoch
 
     return table(spark, sf_dir, "events").withColumn("epoch", to_epoch("ts"))
+
+
+#: Faces: each vector with its label as further coordinates, so that those of one label are alike; every 40th is in a must-link group.
+FACES = "faces AS (SELECT vec_id AS face_id, CAST((vec_id * 37) % 101 AS DOUBLE) / 101 AS quality, CASE WHEN vec_id % 40 = 0 THEN vec_id // 40 % 3 END AS group_id, list_concat(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(2)), list_transform(range(10), lambda i: CASE WHEN i = label THEN 1 / sqrt(2) ELSE 0 END)) AS x FROM embeddings)"
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    k, side = F.col("vec_id"), F.lit(1) / F.sqrt(F.lit(2.0))
+    own = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / F.sqrt(F.lit(2.0)))
+    label = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), side).otherwise(F.lit(0.0)))
+    return table(spark, sf_dir, "embeddings").select(k.alias("face_id"), ((k * 37) % 101 / 101.0).alias("quality"), F.when(k % 40 == 0, (k / 40).cast("bigint") % 3).alias("group_id"), F.concat(own, label).alias("embedding"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LISTING = "path string, modificationTime timestamp, length bigint"
@@ -11,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, the warehouse, or in local mode a folder for temporary files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.gettempdir()}/checkpoints" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return base.rstrip("/")
+
+
 def listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, modificationTime, length) of all files below a folder; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

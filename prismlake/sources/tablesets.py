@@ -123,3 +123,7 @@ class TableSet:
                     self._fs.delete(self._path(f"data/{name}/{run}"), True)
                     gone.append(f"{name}/{run}")
         return gone
+
+    def drop(self) -> None:
+        """Delete the whole set."""
+        self._fs.delete(self._path(""), True)

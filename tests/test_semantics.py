@@ -186,7 +186,7 @@ def test_leaders_by_component_equal_one_fold(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     data = [(i, float(g.integers(0, 50)), v.tolist(), int(g.integers(0, 8)) if g.random() < 0.1 else None) for i, v in enumerate(x)]
     df = spark.createDataFrame(data, "face_id long, quality double, embedding array<double>, group_id long")
-    pdf = pd.DataFrame(data, columns=["face_id", "quality", "embedding", "group_id"]).assign(block=0, group_id=lambda d: d["group_id"].astype(float), free=lambda d: d["group_id"].isna())
+    pdf = pd.DataFrame(data, columns=["face_id", "quality", "embedding", "group_id"]).assign(block=0, free=lambda d: d["group_id"].isna(), hidden=False, old=False, person_id=0)
     pdf = pdf.sort_values(["free", "quality", "face_id"], ascending=[True, False, True], ignore_index=True)
     want = {r.face_id: (r.leader, round(r.score, 9), None if pd.isna(r.suggested) else r.suggested) for r in next(clustering._fold(iter([pdf]))).itertuples()}
     got = {r["face_id"]: (r["leader"], round(r["score"], 9), r["suggested"]) for r in clustering.leaders(df).collect()}
