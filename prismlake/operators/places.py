@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from prismlake.functions import packed
 from prismlake.functions.columns import grid_cell, valid_coordinates
+from prismlake.functions.unicode import plain_name
 
 
 def _inside(x: np.ndarray, y: np.ndarray, polygons: list | None) -> np.ndarray:
@@ -33,12 +36,38 @@ def in_polygons(lon: pd.Series, lat: pd.Series, locality: pd.Series, geometry: p
     return pd.Series(keep)
 
 
+def in_packed(lon: pd.Series, lat: pd.Series, locality: pd.Series, geometry: pd.Series) -> pd.Series:
+    """`in_polygons` for packed geometries; of a batch's geometries each is unpacked once."""
+    first = list(locality.groupby(locality).indices.values())
+    found = packed.geometry_of(pa.array([geometry.iloc[at[0]] for at in first], pa.binary())).to_pylist()
+    x, y, keep = lon.to_numpy(float), lat.to_numpy(float), np.zeros(len(lon), bool)
+    for at, polygons in zip(first, found, strict=True):
+        keep[at] = _inside(x[at], y[at], polygons)
+    return pd.Series(keep)
+
+
+def unpacked_cells(grid: DataFrame) -> DataFrame:
+    """(cell_id, locality_id) of a grid table (cell_id, locality_ids), whose ids are packed; cells whose bytes are broken have none."""
+    return grid.select("cell_id", F.explode(packed.unpack_ids(F.col("locality_ids"))).alias("locality_id"))
+
+
+def packed_tables(cells: DataFrame, localities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grid and localities with packed ids and geometries, as a places database has them."""
+    grid = cells.groupBy("cell_id").agg(F.collect_set("locality_id").alias("ids")).select("cell_id", packed.pack_ids(F.col("ids")).alias("locality_ids"))
+    return grid, localities.withColumn("geometry", packed.pack_geometry(F.col("geometry")))
+
+
 def candidates(points: DataFrame, cells: DataFrame, localities: DataFrame) -> DataFrame:
-    """Points with every locality that holds them: equal grid cell, then bounding box, then polygon."""
+    """Points with every locality that holds them: equal grid cell, then bounding box, then polygon.
+
+    cells: (cell_id, locality_id), or (cell_id, locality_ids) packed; geometries may be packed, and are unpacked after the boxes.
+    """
+    cells = unpacked_cells(cells) if "locality_ids" in cells.columns else cells
     lat, lon = F.col("latitude"), F.col("longitude")
     at = points.where(valid_coordinates()).withColumn("cell_id", grid_cell(lat, lon)).join(cells, "cell_id")
     box = at.join(localities, F.col("locality_id") == localities["id"]).where(lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")))
-    return box.where(F.pandas_udf(in_polygons, "boolean")(lon, lat, F.col("locality_id"), F.col("geometry"))).drop("geometry", "cell_id")
+    inside = F.pandas_udf(in_packed if dict(localities.dtypes)["geometry"] == "binary" else in_polygons, "boolean")
+    return box.where(inside(lon, lat, F.col("locality_id"), F.col("geometry"))).drop("geometry", "cell_id")
 
 
 def countries_at(points: DataFrame, cells: DataFrame, localities: DataFrame, key: str = "file_id") -> DataFrame:
@@ -48,10 +77,6 @@ def countries_at(points: DataFrame, cells: DataFrame, localities: DataFrame, key
     return points.select(key).join(per, key, "left")
 
 
-def _named(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.trim(c) != "")
-
-
 def smallest() -> Column:
     """The locality of least area, the smaller id among equals."""
     return F.min_by(_place(), F.struct("area", "locality_id"))
@@ -61,38 +86,58 @@ def _place() -> Column:
     return F.struct("locality_id", F.col("l_country").alias("country"), F.col("region").alias("subdivision"), "local_name", "english_name", "subtype", "admin_level", "area")
 
 
+# fixed values: kinds of places below a town, the least area of a county that is like a city, and how much larger a county may be than a locality that it replaces
+DETAIL = ("microhood", "neighborhood", "macrohood", "borough")
+CITY_COUNTY, ENGLISH_TIMES, LOCAL_TIMES = 0.005, 4, (10, 40)
+
+
+def _known(name: Column) -> Column:
+    return F.coalesce(name != "", F.lit(False))
+
+
 def resolve(points: DataFrame, cells: DataFrame, localities: DataFrame, mode: str = "smart", key: str = "file_id") -> DataFrame:
     """(key, place): the locality of each point, null where none holds it or coordinates are invalid.
 
-    `smallest` takes the least area. `smart` starts from the largest named locality (subtype other than
-    country, region and county); only if that has no English name, a county of admin level 2 of at
-    least four times its area with an English name, or of ten to forty times with another local name, may take its
-    place, the smallest such one. Without a locality: the largest admin-2 county if there is no region or its area is at
-    least 0.005, else the largest region, else the smallest that is neither country nor neighbourhood.
+    `smallest` takes the least area. `smart` starts from the largest locality with an English name, else the largest locality; only
+    if that has no English name, a county of admin level 2 of at least four times its area with an English name, or of
+    ten to forty times with another local name, may take its place, the smallest such one. Without a locality: the largest admin-2
+    county if there is no region, its area is at least 0.005 or its name (three letters or more, without accents and case) is part of a
+    region's; else the largest region. Without such a county: the smallest that is neither country, region nor below a town, else
+    the largest region, else the smallest below a town. A country alone is no place. Among equal areas the smaller id counts.
     """
-    found = candidates(points, cells, localities.withColumnRenamed("country", "l_country"))
+    if mode not in ("smart", "smallest"):
+        raise ValueError(f"no such mode: {mode}")
+    own = localities if mode == "smallest" else localities.withColumn("_names", F.when(F.col("subtype").isin("county", "region"), F.array(plain_name(F.col("local_name")), plain_name(F.col("english_name")))))
+    found = candidates(points, cells, own.withColumnRenamed("country", "l_country"))
     if mode == "smallest":
         best = found.groupBy(key).agg(smallest().alias("place"))
         return points.select(key).join(best, key, "left")
-    kind = F.col("subtype")
-    county = (kind == "county") & (F.col("admin_level") == 2)
-    local = kind == "locality"
-    first = lambda cond, order: F.max_by(F.when(cond, _place()), F.when(cond, order))
+    kind = F.coalesce("subtype", F.lit(""))
+    county = (kind == "county") & F.coalesce(F.col("admin_level") == 2, F.lit(False))
+    local, region, detail = kind == "locality", kind == "region", kind.isin(*DETAIL)
+    first = lambda cond, order, what=None: F.max_by(F.when(cond, _place() if what is None else what), F.when(cond, order))
     large, small = F.struct("area", -F.col("locality_id")), F.struct(-F.col("area"), -F.col("locality_id"))
     per = found.groupBy(key).agg(
-        first(local & (_named("english_name") | _named("local_name")), large).alias("base"),
+        first(local & _known(F.col("english_name")), large).alias("named"),
+        first(local, large).alias("local"),
         F.collect_list(F.when(county, _place())).alias("counties"),
         first(county, large).alias("county"),
-        first(kind == "region", large).alias("region"),
-        first(~kind.isin("country", "region", "neighborhood", "neighbourhood", "microhood", "macrohood"), small).alias("rest"),
-    )
-    english = lambda p: p["english_name"].isNotNull() & (F.trim(p["english_name"]) != "")
-    ratio = lambda p: p["area"] / F.col("base.area")
-    over = F.filter("counties", lambda p: ((ratio(p) >= 4) & english(p)) | (ratio(p).between(10, 40) & F.coalesce(p["local_name"] != F.col("base.local_name"), F.lit(False))))
+        first(county, large, F.col("_names")).alias("county_names"),
+        first(region, large).alias("region"),
+        F.flatten(F.collect_list(F.when(region, F.col("_names")))).alias("region_names"),
+        first((kind != "country") & ~region & ~county & ~detail, small).alias("rest"),
+        first(detail, small).alias("detail"),
+    ).withColumn("base", F.coalesce("named", "local"))
+    base = F.col("base")
+    times = lambda p, n: p["area"] >= base["area"] * n
+    other = lambda p: _known(p["local_name"]) & ~p["local_name"].eqNullSafe(base["local_name"])
+    over = F.filter("counties", lambda p: (_known(p["english_name"]) & times(p, ENGLISH_TIMES)) | (other(p) & times(p, LOCAL_TIMES[0]) & (p["area"] <= base["area"] * LOCAL_TIMES[1])))
     over = F.array_sort(F.transform(over, lambda p: F.struct(p["area"].alias("a"), p["locality_id"].alias("i"), p.alias("p"))))
-    override = F.when(~F.coalesce(english(F.col("base")), F.lit(False)) & (F.size(over) > 0), F.get(over, F.lit(0))["p"])
-    fallback = F.when(F.col("county").isNotNull() & (F.col("region").isNull() | (F.col("county.area") >= 0.005)), F.col("county")).otherwise(F.coalesce("region", "rest"))
-    place = F.when(F.col("base").isNotNull(), F.coalesce(override, F.col("base"))).otherwise(fallback)
+    replaced = F.when(~_known(base["english_name"]), F.get(over, F.lit(0))["p"])
+    called = F.exists("county_names", lambda c: (F.length(c) >= 3) & F.exists("region_names", lambda r: F.contains(r, c)))
+    as_county = F.when(F.col("region").isNull() | (F.col("county")["area"] >= CITY_COUNTY) | F.coalesce(called, F.lit(False)), F.col("county")).otherwise(F.col("region"))
+    without = F.when(F.col("county").isNotNull(), as_county).otherwise(F.coalesce("rest", "region", "detail"))
+    place = F.when(base.isNotNull(), F.coalesce(replaced, base)).otherwise(without)
     return points.select(key).join(per.select(key, place.alias("place")), key, "left")
 
 

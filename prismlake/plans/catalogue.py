@@ -342,12 +342,50 @@ def geocode_smallest(spark, d):
     return places.resolve(_points(spark, d), places.cells_of(loc), loc, "smallest").select("file_id", F.col("place.locality_id").alias("locality_id"))
 
 
-@query(_geocode("area DESC, l.id"))
+#: Six localities on each spot, of all kinds, levels, sizes and names.
+_KINDS = """loc AS (SELECT k AS id, CASE k % 5 WHEN 1 THEN 'Pâulo' WHEN 2 THEN 'Groß-São Paulo' WHEN 3 THEN 'Ab' WHEN 4 THEN 'Name ' || CAST(k % 3 AS VARCHAR) END AS local_name, CASE k % 4 WHEN 0 THEN 'English ' || CAST(k AS VARCHAR) WHEN 1 THEN '' END AS english_name,
+['locality', 'county', 'region', 'localadmin', 'neighborhood', 'country', 'borough', 'county', 'region', 'macrohood', NULL][CAST(1 + (k * 7 + k // 6 * 5) % 11 AS INTEGER)] AS subtype, CASE WHEN k % 7 = 6 THEN 3 ELSE 2 END AS admin_level, [0.001, 0.004, 0.005, 0.02, 0.05, 0.2, 1.0][CAST(1 + (k * 5 + k // 7) % 7 AS INTEGER)] AS area,
+CAST((k // 6 * 29) % 340 AS DOUBLE) - 170 AS min_lon, CAST((k // 6 * 29) % 340 AS DOUBLE) - 167 + k // 6 % 7 AS max_lon, CAST((k // 6 * 17) % 160 AS DOUBLE) - 80 AS min_lat, CAST((k // 6 * 17) % 160 AS DOUBLE) - 78 + k // 6 % 5 AS max_lat FROM (SELECT s_suppkey AS k FROM supplier))"""
+_PLAIN = "trim(regexp_replace(lower(strip_accents(coalesce({}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+_SMART = over_files(
+    """SELECT t.id AS file_id, CASE WHEN base IS NOT NULL THEN coalesce(CASE WHEN coalesce(base.english_name, '') = '' THEN list_sort(list_transform(list_filter(counties, lambda p: (coalesce(p.english_name, '') <> '' AND p.area >= base.area * 4) OR (coalesce(p.local_name, '') <> '' AND p.local_name IS DISTINCT FROM base.local_name AND p.area >= base.area * 10 AND p.area <= base.area * 40)), lambda p: {'a': p.area, 'i': p.id}))[1].i END, base.id)
+WHEN county IS NOT NULL THEN CASE WHEN region IS NULL OR county.area >= 0.005 OR len(list_filter([county.m, county.f], lambda c: length(c) >= 3 AND len(list_filter(names, lambda r: contains(r, c))) > 0)) > 0 THEN county.id ELSE region.id END ELSE coalesce(rest.id, region.id, detail.id) END AS locality_id FROM t LEFT JOIN g ON g.file_id = t.id""",
+    _KINDS,
+    f"c AS (SELECT t.id AS file_id, l.*, {_PLAIN.format('local_name')} AS m, {_PLAIN.format('english_name')} AS f, l.subtype = 'county' AND admin_level = 2 AS big, coalesce(l.subtype, '') AS kind FROM t JOIN loc AS l ON t.latitude + 0.05 BETWEEN -90 AND 90 AND t.longitude + 0.05 BETWEEN -180 AND 180 AND t.latitude + 0.05 BETWEEN min_lat AND max_lat AND t.longitude + 0.05 BETWEEN min_lon AND max_lon)",
+    """g AS (SELECT file_id, coalesce(arg_max(c, {'a': area, 'i': -id}) FILTER (kind = 'locality' AND english_name <> ''), arg_max(c, {'a': area, 'i': -id}) FILTER (kind = 'locality')) AS base, list(c) FILTER (big) AS counties, arg_max(c, {'a': area, 'i': -id}) FILTER (big) AS county,
+arg_max(c, {'a': area, 'i': -id}) FILTER (kind = 'region') AS region, list_concat(list(m) FILTER (kind = 'region'), list(f) FILTER (kind = 'region')) AS names, arg_min(c, {'a': area, 'i': id}) FILTER (kind NOT IN ('country', 'region', 'microhood', 'neighborhood', 'macrohood', 'borough') AND NOT coalesce(big, false)) AS rest, arg_min(c, {'a': area, 'i': id}) FILTER (kind IN ('microhood', 'neighborhood', 'macrohood', 'borough')) AS detail FROM c GROUP BY file_id)""",
+)
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    spot = F.floor(k / 6)
+    lon, lat = ((spot * 29) % 340).cast("double") - 170, ((spot * 17) % 160).cast("double") - 80
+    w, h = 3 + spot % 7, 2 + spot % 5
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    p = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    local = F.when(k % 5 == 1, "Pâulo").when(k % 5 == 2, "Groß-São Paulo").when(k % 5 == 3, "Ab").when(k % 5 == 4, F.concat(F.lit("Name "), (k % 3).cast("string")))
+    kind = pick(["locality", "county", "region", "localadmin", "neighborhood", "country", "borough", "county", "region", "macrohood", None], (k * 7 + spot * 5) % 11)
+    return table(spark, d, "supplier").select(
+        k.alias("id"), local.alias("local_name"), F.when(k % 4 == 0, F.concat(F.lit("English "), k.cast("string"))).when(k % 4 == 1, "").alias("english_name"), F.lit("XX").alias("country"), F.lit(None).cast("string").alias("region"),
+        kind.alias("subtype"), F.when(k % 7 == 6, 3).otherwise(2).alias("admin_level"), pick([0.001, 0.004, 0.005, 0.02, 0.05, 0.2, 1.0], (k * 5 + F.floor(k / 7)) % 7).alias("area"),
+        lon.alias("min_lon"), (lon + w).alias("max_lon"), lat.alias("min_lat"), (lat + h).alias("max_lat"), F.array(F.array(F.array(p(lon, lat), p(lon + w, lat), p(lon + w, lat + h), p(lon, lat + h)))).alias("geometry"),
+    )
+
+
+@query(_SMART)
 def geocode_smart(spark, d):
-    loc = _localities(spark, d)
+    loc = _kinds(spark, d)
     return places.resolve(_points(spark, d), places.cells_of(loc), loc).select("file_id", F.col("place.locality_id").alias("locality_id"))
 
 
+@query(_SMART)
+def geocode_packed(spark, d):
+    loc = _kinds(spark, d)
+    grid, packed = places.packed_tables(places.cells_of(loc), loc)
+    return places.resolve(_points(spark, d), grid, packed).select("file_id", F.col("place.locality_id").alias("locality_id"))
+
+
 # --- search -------------------------------------------------------------------------------------
 
 _COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
