@@ -50,6 +50,18 @@ def index_words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def phrase_terms(query: str) -> list[str]:
+    """What each word of the index is compared with: letters and digits of the query's terms."""
+    return [t for q in query_terms(query) for t in re.findall(r"[^\W_]+", q.lower())]
+
+
+def word_begins(term: str) -> Column:
+    """Whether `word` begins like a term; a constant prefix, which prunes row groups of a table sorted by word."""
+    from prismlake.operators.filters import folded
+
+    return F.startswith("word", folded(F.lit(term)))
+
+
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word, tf, len): one row for each word of each text."""
     words = rows.select(key, index_words(F.col(text)).alias("_w")).withColumn("len", F.size("_w"))
@@ -72,22 +84,20 @@ def bm25_stored(stored: DataFrame, sizes: DataFrame, query: str, key: str = "fil
 
     Only postings of words in a term's range are read, so a table sorted by word is pruned; no text is looked at.
     """
-    from prismlake.operators.filters import folded
-
-    terms = [t for q in query_terms(query) for t in re.findall(r"[^\W_]+", q.lower())]
+    terms = phrase_terms(query)
     if not terms:
         return stored.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    begins = [F.startswith("word", folded(F.lit(t))) for t in terms]
+    begins = [word_begins(t) for t in terms]
     some = begins[0]
     for b in begins[1:]:
         some = some | b
     hit = stored.where(some).groupBy(key, "len").agg(*[F.sum(F.when(b, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, b in enumerate(begins)])
     figures = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = hit.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    return _bm25_scores(hit.crossJoin(F.broadcast(figures.crossJoin(df))), key, len(terms))  # one row of figures
+    return bm25_scores(hit.crossJoin(F.broadcast(figures.crossJoin(df))), key, len(terms))  # one row of figures
 
 
-def _bm25_scores(hit: DataFrame, key: str, terms: int) -> DataFrame:
+def bm25_scores(hit: DataFrame, key: str, terms: int) -> DataFrame:
     score = F.lit(0.0)
     for i in range(terms):
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
@@ -102,7 +112,7 @@ def bm25(rows: DataFrame, query: str, key: str = "file_id", text: str = "text")
     given, so filter the result, not the input. One pass counts phrases by row; the corpus figures
     are one aggregate over the same rows.
     """
-    terms = [t for q in query_terms(query) for t in re.findall(r"[^\W_]+", q.lower())]
+    terms = phrase_terms(query)
     if not terms:
         return rows.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     from prismlake.operators.filters import folded
@@ -113,7 +123,7 @@ def bm25(rows: DataFrame, query: str, key: str = "file_id", text: str = "text")
     counted = words.select(key, F.size("_w").alias("len"), *tf)
     figures = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(figures))
-    return _bm25_scores(hit, key, len(terms))
+    return bm25_scores(hit, key, len(terms))
 
 
 def substring_hits(rows: DataFrame, query: str, key: str = "file_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from prismlake.plans import standins
 from prismlake.plans.standins import CODES, DATED, FILES, TAGS, TS
 from prismlake.sources.tables import shared_folder, table
 from prismlake.sources.tablesets import TableSet
+from prismlake.sources.text_index import TextIndex
 from prismlake.streaming import faces as faces_stream, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,9 +427,15 @@ def text_bm25_prefix(spark, d):
 
 @query(_bm25(["license", "idiot"]) + " SELECT doc_id, round(score, 6) AS score FROM b")
 def text_bm25_stored(spark, d):
-    rows = table(spark, d, "documents")
-    stored, sizes = search.postings(rows, "doc_id", "text"), search.lengths(rows, "doc_id", "text")
-    return search.bm25_stored(stored, sizes, "License idiot", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(TableSet(spark, f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"), "doc_id")
+    index.update(rows.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, "license idiot").otherwise(F.col("text"))), batch=0)
+    index.update(rows.where("doc_id % 3 = 0 OR doc_id % 5 = 0"), gone=rows.where("doc_id % 7 = 0"), batch=1)
+    index.update(rows.where("doc_id % 7 = 0"), batch=2)
+    index.compact()
+    out = clustering.cut(index.search("License idiot").select("doc_id", F.round("score", 6).alias("score")))
+    index.tables.drop()
+    return out
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'general public')")

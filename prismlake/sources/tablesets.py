@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +69,11 @@ class TableSet:
         m = self._manifest(version)
         return Snapshot(self.spark, self.root, version, m["tables"], m["notes"])
 
-    def commit(self, base: Snapshot, changed: dict[str, DataFrame], removed: tuple[str, ...] = (), notes: dict | None = None) -> Snapshot:
+    def commit(self, base: Snapshot, changed: dict[str, DataFrame], removed: tuple[str, ...] = (), notes: dict | Callable[[Snapshot], dict] | None = None, options: dict[str, str] | None = None) -> Snapshot:
         """Write changed tables and make them, all others of base but the removed ones, and the notes the next version.
 
-        Changed tables may read from base. Raises ConflictError if base isn't the latest version, before anything is written or, where another
+        Changed tables may read from base. Notes may be told from the written tables, by a function that takes the new version before it is
+        visible. `options` go to the Parquet writer. Raises ConflictError if base isn't the latest version, before anything is written or, where another
         writer is faster, after it; what was written then goes.
         """
         if self.versions()[-1:] not in ([base.version], [] if base.version == 0 else None):
@@ -79,9 +81,10 @@ class TableSet:
         version, run, tables = base.version + 1, uuid.uuid4().hex, {n: t for n, t in base.tables.items() if n not in removed}
         for name, df in changed.items():
             folder = f"{name}/{version:09d}-{run}"
-            df.write.parquet(f"{self.root}/data/{folder}")
+            df.write.options(**(options or {})).parquet(f"{self.root}/data/{folder}")
             tables[name] = {"folder": folder, "schema": df.schema.jsonValue()}
-        manifest = {"tables": tables, "notes": {**base.notes, **(notes or {})}}
+        more = notes(Snapshot(self.spark, self.root, version, tables, base.notes)) if callable(notes) else notes or {}
+        manifest = {"tables": tables, "notes": {**base.notes, **more}}
         if not self._publish(version, run, json.dumps(manifest)):
             for name in changed:
                 self._fs.delete(self._path(f"data/{tables[name]['folder']}"), True)
