@@ -144,6 +144,12 @@ def ocr_boxes(boxes: Column | str, text: Column | str) -> Column:
     return F.transform(col(boxes), lambda b, i: F.struct(F.array(*[point(b, j) for j in range(4)]).alias("points"), F.coalesce(F.get(lines, i), F.lit("")).alias("text")))
 
 
+def box_values(boxes: Column | str) -> Column:
+    """The other way: points of unit size of each box as eight whole values of 0 to 65535; what lies outside goes to the edge."""
+    value = lambda v: F.round(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 65535).cast("int")
+    return F.transform(col(boxes), lambda b: F.flatten(F.transform(b["points"], lambda p: F.array(value(p["x"]), value(p["y"])))))
+
+
 def avatar_crop(left: Column, top: Column, width: Column, height: Column, image_w: Column, image_h: Column, orientation: Column) -> Column:
     """A square of 1.75 times the face's longer side around its middle, inside the upright image."""
     turned = F.coalesce(orientation.between(5, 8), F.lit(False))

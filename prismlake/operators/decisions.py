@@ -15,7 +15,8 @@ class State:
 
     people (id, name, cover_face_id, hidden boolean), assignments (face_id, person_id, assigned_by), groups (id, name,
     avatar_face_id), members (manual_person_id, face_id), hidden_groups (manual_person_id) and
-    exclusions (left_manual_person_id, right_manual_person_id). Groups hold faces together whatever clustering finds.
+    exclusions (left_manual_person_id, right_manual_person_id). Groups hold faces together whatever clustering finds. items
+    (manual_person_id, file_id) are files that users gave to a group by hand; None where there is no such table.
     """
 
     people: DataFrame
@@ -24,6 +25,7 @@ class State:
     members: DataFrame
     hidden_groups: DataFrame
     exclusions: DataFrame
+    items: DataFrame | None = None
 
 
 def _next(table: DataFrame) -> int:
@@ -67,7 +69,8 @@ def with_merged(state: State, ids: list[int]) -> State:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
     one = state.groups.where(gone).agg(F.min("id").alias("id"), first("name"), first("avatar_face_id"))
     hide = F.when(F.col("manual_person_id").isin(ids), F.lit(ids[0])).otherwise(F.col("manual_person_id")).cast("long").alias("manual_person_id")
-    return replace(state, members=members, exclusions=apart, groups=state.groups.where(~gone).union(one), hidden_groups=state.hidden_groups.select(hide).distinct())
+    items = None if state.items is None else state.items.select(hide, "file_id").distinct()
+    return replace(state, items=items, members=members, exclusions=apart, groups=state.groups.where(~gone).union(one), hidden_groups=state.hidden_groups.select(hide).distinct())
 
 
 def renamed(state: State, person: int, name: str) -> State:
@@ -172,6 +175,52 @@ def _without_empty(state: State) -> State:
     return replace(state, people=state.people.join(state.assignments.select(F.col("person_id").alias("id")), "id", "left_semi").select(*state.people.columns))
 
 
+def _ordered(state: State, ids: list[int], name: str) -> DataFrame:
+    """Asked ids with their place, each once; a list that somebody has chosen."""
+    spark = state.people.sparkSession
+    return spark.createDataFrame([(int(i), k) for k, i in enumerate(dict.fromkeys(ids))], f"{name} long, place long")
+
+
+def with_items(state: State, faces: DataFrame, files: DataFrame, person: int, file_ids: list[int], face_ids: list[int] = ()) -> State:
+    """Files given to a person by hand, some of them by a face (faces: id, file_id) that is then theirs; files: id.
+
+    A face of a file that is the person's already is left alone, as is a second face of a file; asked files without such a face become items of
+    the person's group, unless they don't exist or are theirs already. People who lose their last face go.
+    """
+    state, group = with_group(state, person)
+    own = people_files(state, faces).where(F.col("person_id") == person).select("file_id").distinct()
+    asked = _ordered(state, face_ids, "face_id").join(faces.select(F.col("id").alias("face_id"), "file_id"), "face_id").join(state.assignments.select("face_id", "person_id"), "face_id")
+    asked = asked.join(own, "file_id", "left_anti")
+    chosen = asked.groupBy("file_id").agg(F.min_by(F.struct("face_id", "person_id"), "place").alias("f")).select("file_id", "f.face_id", "f.person_id")
+    new = chosen.where(F.col("person_id") != person).select("face_id", F.lit(True).alias("_new"))
+    both = state.assignments.join(F.broadcast(new), "face_id", "left")  # at most the faces asked for
+    assignments = both.select(*[F.when(F.col("_new"), v).otherwise(F.col(c)).alias(c) if (v := {"person_id": F.lit(person), "assigned_by": F.lit("manual")}.get(c)) is not None else F.col(c) for c in state.assignments.columns])
+    members = state.members.join(new, "face_id", "left_anti").select("manual_person_id", "face_id").union(new.select(F.lit(group).cast("long"), "face_id"))
+    lost = state.groups.join(new.select(F.col("face_id").alias("avatar_face_id"), "_new"), "avatar_face_id", "left")
+    groups = lost.select(*[F.when(F.col("_new"), None).otherwise(F.col(c)).alias(c) if c == "avatar_face_id" else F.col(c) for c in state.groups.columns])
+    more = _ordered(state, file_ids, "file_id").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id")
+    more = more.join(own.union(chosen.select("file_id")), "file_id", "left_anti")
+    items = more.select(F.lit(group).cast("long").alias("manual_person_id"), "file_id")
+    items = items if state.items is None else state.items.select("manual_person_id", "file_id").union(items).distinct()
+    return _without_empty(replace(state, assignments=assignments, members=members, groups=groups, items=items))
+
+
+def without_items(state: State, person: int, file_ids: list[int]) -> State:
+    """Files that were given to any group of a person by hand, taken back; files with a face of theirs stay theirs."""
+    if state.items is None:
+        return state
+    groups = state.members.join(faces_of(state, person), "face_id", "left_semi").select("manual_person_id").distinct()
+    gone = state.items.join(groups, "manual_person_id", "left_semi").where(F.col("file_id").isin([int(i) for i in file_ids]))
+    return replace(state, items=state.items.join(gone, ["manual_person_id", "file_id"], "left_anti"))
+
+
+def people_files(state: State, faces: DataFrame) -> DataFrame:
+    """(person_id, file_id): files with a face of the person, and those given to their groups by hand."""
+    from prismlake.operators.people import person_files
+
+    return person_files(state.assignments.select("face_id", "person_id"), faces, state.items, None if state.items is None else state.members)
+
+
 def replaced_faces(faces: DataFrame, scans: DataFrame, new_faces: DataFrame, new_scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Faces and scans with all that is known of newly scanned files replaced; a scan without faces removes the old ones."""
     done = new_scans.select("file_id").distinct()

@@ -42,36 +42,31 @@ SHOT_SOFTWARE = r"screenshot|snipping tool"
 RECORD_SOFTWARE = r"screen recording|screen recorder|screenrecord"
 
 
-def capture_type(columns: list[str]) -> Column:
-    """`screenshot`, `screen_recording`, `camera` or `unknown` of rows with these columns; tags that aren't among them are unknown.
+def reclassified(files: DataFrame) -> DataFrame:
+    """files with capture_type anew: `screenshot`, `screen_recording`, `camera` or `unknown`; tags that aren't among the columns are unknown.
 
     Path, format, software and tags give points for a screen and for a camera; more for the screen make a
     screenshot or recording, else two for the camera make a camera. A folder for both camera and
-    screenshots is a weak sign only.
+    screenshots is a weak sign only. The path is read once: its form and the points are columns of their own before they are used.
     """
-    video, image = F.col("file_type") == "video", F.col("file_type") == "image"
+    columns, video, image = files.columns, F.col("file_type") == "video", F.col("file_type") == "image"
     place = F.coalesce(F.col("path"), F.lit(""))
     source = F.regexp_replace(F.lower(F.concat(place, F.lit(" "), F.regexp_extract(place, r"([^/\\]*)$", 1))), r"[\\/_&-]+", " ")
-    says = lambda *terms: F.greatest(*[F.contains(source, F.lit(t)).cast("int") for t in terms], F.lit(0)) == 1
+    rows = files.withColumns({"_source": source, "_end": extension(place)})
+    source, end = F.col("_source"), F.col("_end")
     points = lambda n, c: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
-    of_screen = says(*RECORDING_NAMES) | (image & says("screenshot"))
+    of_screen = source.rlike("|".join(RECORDING_NAMES)) | (image & F.contains(source, F.lit("screenshot")))
     mixed = source.rlike(r"\bcamera\s+(and\s+)?screenshots?\b")
-    end = extension(place)
-    screen = points(SOURCE, of_screen & ~mixed) + points(MIXED, of_screen & mixed) + points(FORMAT, image & (end == "png"))
+    screen = F.when(F.coalesce(of_screen, F.lit(False)), F.when(mixed, MIXED).otherwise(SOURCE)).otherwise(0) + points(FORMAT, image & (end == "png"))
     camera = points(CAMERA_SOURCE, source.rlike(r"\b(dcim|camera)\b")) + points(PHOTO, image & end.isin(*PHOTO_FORMATS))
     known = lambda names: sum(points(1, F.col(c).cast("string") != "") for c in names if c in columns) + F.lit(0)
-    tags = lambda names: F.when(known(names) >= 2, TAGS).otherwise(known(names))
-    camera = camera + F.when(video, tags(VIDEO_SIGNALS)).otherwise(tags(IMAGE_SIGNALS))
     if "software" in columns:
         by = F.lower("software")
         screen = screen + points(SOFTWARE, F.when(video, by.rlike(RECORD_SOFTWARE)).otherwise(by.rlike(SHOT_SOFTWARE)))
-    kind = F.when(screen > camera, F.when(video, "screen_recording").otherwise("screenshot")).when(camera >= 2, "camera").otherwise("unknown")
-    return F.when(video | image, kind).otherwise("unknown")
-
-
-def reclassified(files: DataFrame) -> DataFrame:
-    """files with capture_type anew."""
-    return files.withColumn("capture_type", capture_type(files.columns))
+    rows = rows.withColumns({"_screen": screen, "_camera": camera, "_tags": F.when(video, known(VIDEO_SIGNALS)).otherwise(known(IMAGE_SIGNALS))})
+    rows = rows.withColumn("_camera", F.col("_camera") + F.when(F.col("_tags") >= 2, TAGS).otherwise(F.col("_tags")))
+    kind = F.when(F.col("_screen") > F.col("_camera"), F.when(video, "screen_recording").otherwise("screenshot")).when(F.col("_camera") >= 2, "camera").otherwise("unknown")
+    return rows.withColumn("capture_type", F.when(video | image, kind).otherwise("unknown")).drop("_source", "_end", "_screen", "_camera", "_tags")
 
 
 def capture_counts(files: DataFrame) -> DataFrame:

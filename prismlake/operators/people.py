@@ -99,20 +99,37 @@ def covers(people: DataFrame, assignments: DataFrame, faces: DataFrame) -> DataF
     return out.select(*[c for c in people.columns if c != "cover_face_id"], F.when(F.col("f").isNotNull(), F.col("cover_face_id")).otherwise(F.col("best")).alias("cover_face_id"))
 
 
+#: Target faces that one row holds.
+TARGETS = 1024
+
+
 def best_by_file(candidates: DataFrame, targets: DataFrame, least: float = 0.58, min_targets: int = 2) -> DataFrame:
     """(file_id, face_id, score, suggested): each file's face that is most like any target face.
 
-    candidates: (file_id, face_id, embedding); targets: (face_id, embedding) of one person's representatives, a short list.
+    candidates: (file_id, face_id, embedding); targets: (face_id, embedding) of one person. Targets are dealt to rows of about a thousand
+    faces. One such row is broadcast; more of them meet the candidates in a shuffle, each row all of them.
     """
     from prismlake.functions.columns import dot
 
     n = targets.count()
-    t = F.broadcast(targets.select(F.col("embedding").alias("target")))
-    scored = candidates.crossJoin(t).groupBy("file_id", "face_id").agg(F.max(dot(F.col("embedding"), F.col("target"))).alias("score"))
+    parts = max(1, -(-n // TARGETS))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    rows = targets.groupBy(part("face_id").alias("_part")).agg(F.collect_list("embedding").alias("_targets"))
+    asked = candidates.select("file_id", "face_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    met = asked.join(F.broadcast(rows) if parts == 1 else rows, "_part")
+    scored = met.select("file_id", "face_id", F.array_max(F.transform("_targets", lambda t: dot(F.col("embedding"), t))).alias("score"))
     best = scored.groupBy("file_id").agg(F.max_by("face_id", F.struct("score", -F.col("face_id"))).alias("face_id"), F.max("score").alias("score"))
     return best.withColumn("suggested", (F.col("score") >= least) & F.lit(n >= min_targets))
 
 
+def addable(own: DataFrame, files: DataFrame, faces: DataFrame) -> DataFrame:
+    """(file_id, kind) of files that somebody asks to add to a person: `already` theirs (own: file_id), `faces` to choose from, or `no_face`."""
+    seen = faces.select("file_id", F.lit(True).alias("_face")).distinct()
+    mine = own.select("file_id", F.lit(True).alias("_own")).distinct()
+    kind = F.when(F.col("_own"), "already").when(F.col("_face"), "faces").otherwise("no_face")
+    return files.select("file_id").distinct().join(seen, "file_id", "left").join(mine, "file_id", "left").select("file_id", kind.alias("kind"))
+
+
 _BOX = ("box_left", "box_top", "box_width", "box_height")
 
 

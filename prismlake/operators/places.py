@@ -179,11 +179,29 @@ def english_part(name: Column) -> Column:
     return F.when(inner != "", inner).otherwise(name)
 
 
-def map_grid(files: DataFrame, zoom: int, pixels: int = 90) -> DataFrame:
-    """(x, y, n, latitude, longitude): files in cells of so many pixels of a Web Mercator map at a zoom."""
+def _pixels(zoom: int) -> tuple[Column, Column]:
+    """Where a file is on a Web Mercator map at a zoom."""
     lat = F.least(F.greatest(F.col("latitude"), F.lit(-85.05112878)), F.lit(85.05112878))
     world = 256 * 2**zoom
-    px = (F.col("longitude") + 180) / 360 * world
     rad = F.radians(lat)
-    py = (1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / 3.141592653589793) / 2 * world
+    return (F.col("longitude") + 180) / 360 * world, (1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / 3.141592653589793) / 2 * world
+
+
+def map_grid(files: DataFrame, zoom: int, pixels: int = 90) -> DataFrame:
+    """(x, y, n, latitude, longitude): files in cells of so many pixels of a Web Mercator map at a zoom."""
+    px, py = _pixels(zoom)
     return files.where(valid_coordinates()).groupBy(F.floor(px / pixels).alias("x"), F.floor(py / pixels).alias("y")).agg(F.count("*").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+
+
+def map_pyramid(files: DataFrame, finest: int = 16, coarsest: int = 0, pixels: int = 90) -> DataFrame:
+    """(zoom, x, y, n, latitude, longitude): the cells of `map_grid` for all zooms, from the finest upwards.
+
+    Files are read once, for the finest cells; each cell then counts, with its sums, in the one above it of every zoom, so that
+    counts agree on all levels. Levels are one aggregation over cells, of which there are no more than files.
+    """
+    px, py = _pixels(finest)
+    cells = files.where(valid_coordinates()).groupBy(F.floor(px / pixels).alias("x"), F.floor(py / pixels).alias("y")).agg(F.count("*").alias("n"), F.sum("latitude").alias("a"), F.sum("longitude").alias("o"))
+    every = cells.select("*", F.explode(F.sequence(F.lit(coarsest), F.lit(finest))).alias("zoom"))
+    up = lambda c: F.expr(f"shiftright({c}, {finest} - zoom)").alias(c)
+    levels = every.select("zoom", up("x"), up("y"), "n", "a", "o").groupBy("zoom", "x", "y").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("o").alias("o"))
+    return levels.select("zoom", "x", "y", "n", (F.col("a") / F.col("n")).alias("latitude"), (F.col("o") / F.col("n")).alias("longitude"))

@@ -1,9 +1,8 @@
-"""Queries over the driver's tables: name to query, and name to the SQL that DuckDB checks it with."""
+"""Queries over the driver's tables, each with the SQL that DuckDB checks it with."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -11,33 +10,13 @@ from prismlake.functions import columns as C
 from prismlake.operators import clustering, curation, decisions, lookups, media, ordering, people, places, search, sessions, stats
 from prismlake.operators.filters import FilterSpec, Related, ViewOptions, apply_filters, tagged, without_flights
 from prismlake.plans import standins
-from prismlake.plans.standins import CODES, DATED, FILES, TAGS, TS
+from prismlake.plans.registry import ORACLE, QUERIES, over_files, query
+from prismlake.plans.standins import CODES, DATED, TAGS, TS
 from prismlake.sources.tables import shared_folder, table
 from prismlake.sources.tablesets import TableSet
 from prismlake.sources.text_index import TextIndex
 from prismlake.streaming import faces as faces_stream, incremental
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL for it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def over_files(select: str, *more: str) -> str:
-    return f"WITH {', '.join([FILES, f't AS (SELECT *, {TS} AS ts FROM files)', *more])} {select}"
-
-
 DAY = "CAST(ts AS DATE)"
 YEAR = "CAST(year(ts) AS INTEGER)"
 SCORE = "(CASE WHEN camera_make IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN camera_model IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN lens_model IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN focal_length IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN iso IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN aperture IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN longitude IS NOT NULL THEN 2 ELSE 0 END)"
@@ -558,10 +537,10 @@ def queue_pending(spark, d):
     return incremental.pending(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), done, version="R")
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R') AS done")
+@query("SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R') AS done, CAST(round((SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R') / (SELECT count(*) FROM orders) * 100) AS INTEGER) AS percent")
 def queue_progress(spark, d):
     done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("model_version"))
-    return stats.progress(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), done, version="R").select("total", "done")
+    return stats.progress(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), done, version="R").select("total", "done", "percent")
 
 
 @query(over_files("SELECT id, row_number() OVER (ORDER BY coalesce(create_date, CASE WHEN created IS NOT NULL AND modified IS NOT NULL THEN least(created, modified) END) NULLS FIRST, id) AS media_id FROM t"))

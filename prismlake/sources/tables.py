@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(path, modificationTime, length) of all files below a folder; contents aren't read."""
+    """(path, modificationTime, length) of all files below a folder that aren't empty; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root).drop("content")
 

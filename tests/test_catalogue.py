@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from prismlake.plans import catalogue
+from prismlake.plans import catalogue, upkeep  # noqa: F401 (adds its queries)
 
 
 @pytest.fixture(scope="module")
