@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -113,6 +114,13 @@ def utf8_rows(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
             yield bytes(view[at[i] : at[i + 1]]) if valid[i] else None
 
 
+def trim() -> None:
+    """Give memory that a batch has left unused back to the system; workers are kept between stages, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cased words: runs of ASCII letters, digits and non-ASCII characters."""
     return text.translate(WORD_BYTES).split()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismlake.llm._links import Bag, classes as connected
-from prismlake.llm._shared import WordHash, discard, in_mask, mask_of, materialize, mixed, shingle_hashes, utf8_rows, word_hashes
+from prismlake.llm._shared import WordHash, discard, in_mask, mask_of, materialize, mixed, shingle_hashes, trim, utf8_rows, word_hashes
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.998.
 BANDS, ROWS = 12, 4
@@ -45,6 +45,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 row = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(20), sizes)
                 key = np.unique(row | (h & np.uint64(BUCKETS - 1)))
                 total += np.bincount((key & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            trim()
         hit = np.flatnonzero(total)
         for a in range(0, len(hit), 1 << 16):
             some = hit[a : a + (1 << 16)]
@@ -164,6 +165,7 @@ def _payloads(docs: DataFrame, wanted: DataFrame, width: int, idf) -> DataFrame:
                 total = np.bincount(np.repeat(np.arange(len(per)), per), weights(tf, code), len(per))
                 rest = some.slice(first, len(per))
                 yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("md5"), pa.array(blobs, pa.binary()), pa.array(total)], names=["doc_id", "md5", "blob", "total"])
+            trim()
 
     own = docs.where("md5 IS NOT NULL").select("doc_id", "md5", h, "text").mapInArrow(build, "doc_id long, md5 string, blob binary, total double").alias("d")
     match = (F.col("d.md5") == F.col("w.md5")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -203,6 +205,7 @@ def _classes(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = B
                     own[i] = keys[j]
                 rest = b.slice(first, len(per))
                 yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("uid", "doc_id", "md5")), pa.array(own, pa.list_(pa.int64()))], names=["uid", "doc_id", "md5", "bands"])
+            trim()
 
     md5 = F.md5(F.col("text").cast("binary")).alias("md5")
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), md5, "text")

@@ -68,7 +68,10 @@ def best_fit(runs: list[tuple[int, int]], capacity: int, most: int | None = None
 
 
 def fewest(runs: list[tuple[int, int]], bins: int) -> list[tuple[int, int]]:
-    """The packing of the least capacity, found by halving, that needs no more than so many bins."""
+    """A packing that needs no more than so many bins, of a capacity found by halving.
+
+    Best fit may need more bins with a larger capacity, so a smaller capacity than the one found can do now and then; the fullest bin is then a little fuller.
+    """
     total = sum(s * c for s, c in runs)
     low = -(-total // bins)
     high = low + max((s for s, _ in runs), default=0)  # with so much room no bin can be missing
@@ -87,7 +90,7 @@ def pack(docs: DataFrame, group: Column, size: Column, shards: int | None = None
     """docs with `shard` int and `slot` long (from 0 without gaps within the shard).
 
     Rows of equal `group` stay together. Groups go by size, largest first, each to the shard with the least
-    room that still holds it. With `shards`, the least capacity that needs no more shards is sought, so that
+    room that still holds it. With `shards`, a capacity that needs no more shards is sought by halving, so that
     shards come out nearly equal; with `capacity`, so many shards are opened as best fit needs. A
     group above the capacity gets a shard for itself.
 
@@ -99,7 +102,7 @@ def pack(docs: DataFrame, group: Column, size: Column, shards: int | None = None
     """
     kept = [docs[f"`{c}`"] for c in docs.columns if c not in ("shard", "slot")]
     own = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0).cast("long"))
-    base = materialize(docs.select(F.struct(*kept).alias("d"), F.coalesce(F.md5(group.cast("binary")), F.lit("")).alias("g"), own.alias("b")), "sized")
+    base = materialize(docs.select(F.struct(*kept).alias("d"), F.coalesce(F.md5(group.cast("binary")), F.lit("")).alias("g"), own.alias("b"), F.monotonically_increasing_id().alias("uid")), "sized")
     groups = base.groupBy("g").agg((-F.sum("b")).alias("less"), F.count("*").alias("n"))
     placed = ranked(groups, "less", "g")
     sizes = placed.groupBy("less").agg(F.count("*").alias("c")).orderBy("less").toArrow()
@@ -118,21 +121,34 @@ def pack(docs: DataFrame, group: Column, size: Column, shards: int | None = None
     last = F.last("shard", True).over(W.partitionBy("block").orderBy("place", "g").rowsBetween(W.unboundedPreceding, 0))
     of = materialize(both.withColumn("shard", last).where("g <> ''").select(F.substring("g", 2, 32).alias("g"), "shard"), "placed")
     n = base.count()
-    return slotted(base.join(of, "g").select("d", "shard"), n)
+    return slotted(base.join(of, "g").select("d", "uid", "shard"), n)
 
 
 def slotted(rows: DataFrame, n: int, per_task: int = 100_000) -> DataFrame:
-    """d.*, shard and slot of rows (d, shard): numbered from 0 in (shard, salt), after the rows of lower salts."""
+    """d.*, shard and slot of rows (d, uid, shard): numbered from 0 in (shard, salt), after the rows of lower salts; salts are of uid, so equal rows are spread too."""
     salts = max(1, -(-n // per_task))
-    rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(salts)).cast("int")), "dealt")
+    rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int")), "dealt")
     counts = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inner = W.partitionBy("shard", "salt").orderBy(F.col("d").asc_nulls_last())
+    inner = W.partitionBy("shard", "salt").orderBy("uid")
     out = rows.withColumn("r", F.row_number().over(inner)).join(offsets, ["shard", "salt"])
     return out.select("d.*", "shard", (F.col("from") + F.col("r") - 1).cast("long").alias("slot"))
 
 
+def sharded(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard: shards of nearly equal bytes, equal texts together, and so null texts.
+
+    A size is the text's UTF-8 bytes plus 16. Columns of docs with such names are replaced, all others are kept, of whatever type.
+    """
+    new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    own = docs[f"`{text}`"]
+    size = (F.coalesce(F.octet_length(own), F.lit(0)) + 16).cast("long")
+    slim = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in new], size.alias("size"), F.crc32(own.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"))
+    out = pack(slim, F.col(f"`{text}`"), F.col("size"), shards=shards)
+    return out.withColumn("grown_shard", F.lit(None).cast(T.IntegerType()))
+
+
 def op9_bin_packing(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Contract of op9: all documents in shards of nearly equal bytes; equal texts stay together, and so do null texts."""
     slim = docs.select(

@@ -1,4 +1,4 @@
-"""Toxicity of texts from their nearest labelled examples by exact TF-IDF cosine."""
+"""Toxicity of texts from their nearest labelled examples by exact cosine of TF-IDF vectors, in which terms that tell the labels apart weigh more."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismlake.llm._shared import discard, materialize, utf8_rows, word_pieces
+from prismlake.llm._shared import discard, materialize, trim, utf8_rows, word_pieces
 
 #: Labelled rows that are learnt from, at most: those of the least hashes.
 EXAMPLES = 8_192
@@ -127,6 +127,7 @@ def document_frequencies(docs: DataFrame, terms) -> np.ndarray:
             for t in utf8_rows(b.column("text")):
                 if t:
                     total[space.count(t)[0]] += 1
+            trim()
         hit = np.flatnonzero(total)
         for a in range(0, len(hit), 1 << 16):
             some = hit[a : a + (1 << 16)]
@@ -371,6 +372,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in found]
             new = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*b.select(left).columns, *new], names=[*left, "score", "predicted", "evidence"])
+            trim()
 
     new_fields = T.StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>").fields
     own = docs.select(*[F.col(f"`{n}`") for n in names])

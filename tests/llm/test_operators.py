@@ -691,6 +691,8 @@ def test_shards_odd_rows(spark):
     filled = sharding.pack(odd(spark), F.col("text"), F.lit(10), capacity=30)
     assert filled.groupBy("shard").count().agg(F.max("count")).first()[0] <= 3 and set(odd(spark).columns) <= set(filled.columns) | {"shard"}
     assert {(r["_p"], r["size"], r["node"], r["leaf"]) for r in filled.collect()} == {("x",) * 4}
+    mapped = odd(spark).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert sharding.pack(mapped, F.col("text"), F.lit(1), shards=3).select("m").count() == mapped.count()
     none = sharding.pack(odd(spark), F.col("text"), F.lit(None).cast("int"), shards=3)
     assert none.count() == 10 and none.where("shard IS NULL").count() == 0
 
@@ -795,7 +797,14 @@ def test_pipeline_stages(spark, sf):
     mixed = materialize(p.mix_sources(spark, before, sf), "mix", swept=False)
     want = {r["doc_id"]: r["copies"] for r in mixture.copies(before).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in want.items() if v})
-    assert p.shard(spark, mixed, sf).count() == mixed.count()
+    last = materialize(p.shard(spark, mixed, sf), "last", swept=False)
+    assert last.columns[: len(mixed.columns)] == mixed.columns and last.columns[len(mixed.columns) :] == ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in last.collect()) == Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    packed = Counter((r["doc_id"], r["size"], r["shard"]) for r in sharding.op9_bin_packing(mixed).collect())
+    assert Counter((r["doc_id"], r["size"], r["shard"]) for r in last.collect()) == packed
+    for k in range(40):
+        slots = sorted(r["slot"] for r in last.where(F.col("shard") == k).collect())
+        assert slots == list(range(len(slots)))
 
 
 def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
@@ -815,6 +824,7 @@ def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
     every = Counter((r["doc_id"], r["text"]) for r in df.collect())
     assert left["toxicity"] <= every and left["toxicity"][4, None] == left["toxicity"][None, None] == 1
     assert left["near_dedup"] == Counter(every.keys())
+    assert left["sharding"] == every
     assert left["decontamination"] == every - Counter({(None, "some text"): 1})
     assert all(n <= 2 * every[k] for k, n in left["mixing"].items()) and not any((t or "").strip() == "" for _, t in left["mixing"])
     assert sum(left["sharding"].values()) == 10
