@@ -83,9 +83,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes, as op9 gives them; copies of a text stay together.
 
-    Null texts are one group, and so are empty ones; repeated rows get a slot each. An empty table stays empty.
+    Null texts are one group, and so are empty ones; repeated rows get a slot each. An empty table stays empty. All columns are
+    kept, but for those named as one that is added: size, text_crc32, law, shard, slot, grown_shard.
     """
-    return sharding.op9_bin_packing(docs)
+    return sharding.sharded(docs)
 
 
 STAGES = [
