@@ -830,7 +830,7 @@ def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
     assert sum(left["sharding"].values()) == 10
 
 
-@pytest.mark.parametrize("name", ["op1_vp_tree", "op10_fm_index"])
+@pytest.mark.parametrize("name", ["op1_vp_tree", "op10_fm_index", "op11_block_max_wand", "op12_warc_captures", "op13_repair"])
 def test_queries_equal_sql(spark, sf, name):
     import oracle
 
@@ -886,7 +886,7 @@ def _grouped(rows, key, value):
     return out
 
 
-@pytest.mark.parametrize("name", ["op1_vp_tree", "op10_fm_index"])
+@pytest.mark.parametrize("name", ["op1_vp_tree", "op10_fm_index", "op11_block_max_wand", "op12_warc_captures", "op13_repair"])
 def test_queries_are_registered(name):
     import __spark_entry__ as e
 
