@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from prismlake.functions import varints
@@ -60,7 +61,7 @@ def ids_of(column: pa.Array) -> pa.Array:
     run = np.cumsum(values)
     before = np.concatenate([[0], run])[start]
     # a row that isn't null but has no values is broken, unless it has no bytes
-    broken = ~_whole(column) | ((size == 0) & (np.array(pa.compute.binary_length(column).fill_null(0)) > 0))
+    broken = ~_whole(column) | ((size == 0) & (np.array(pc.binary_length(column).fill_null(0)) > 0))
     return _lists(pa.array(run - np.repeat(before, size)), size, broken)
 
 
@@ -110,11 +111,18 @@ def geometry_of(column: pa.Array) -> pa.Array:
 
 
 def packed_ids(column: pa.Array) -> pa.Array:
-    out = []
-    for ids in column.to_pylist():
-        v = None if ids is None else np.unique(np.array(ids, np.int64))
-        out.append(None if v is None else varints.encode(np.diff(v, prepend=0))[0].tobytes())
-    return pa.array(out, pa.binary())
+    size = np.array(pc.list_value_length(column).fill_null(0)).astype(np.int64) if len(column) else np.zeros(0, np.int64)
+    ids, row = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), size)
+    order = np.lexsort((ids, row))
+    ids, row = ids[order], row[order]
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    new = first | np.concatenate([[True], ids[1:] != ids[:-1]]) if len(row) else first
+    ids, row, first = ids[new], row[new], first[new]
+    data, used = varints.encode(np.where(first, ids, np.diff(ids, prepend=0)))
+    ends = np.cumsum(np.bincount(row, used, len(column)).astype(np.int64))
+    offsets, null = np.concatenate([[0], ends]).astype(np.int32), pc.invert(column.is_valid()).to_numpy(zero_copy_only=False)
+    validity = None if not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(column), [validity, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def packed_geometry(column: pa.Array) -> pa.Array:

@@ -51,7 +51,7 @@ def reclassified(files: DataFrame) -> DataFrame:
     """
     columns, video, image = files.columns, F.col("file_type") == "video", F.col("file_type") == "image"
     place = F.coalesce(F.col("path"), F.lit(""))
-    source = F.regexp_replace(F.lower(F.concat(place, F.lit(" "), F.regexp_extract(place, r"([^/\\]*)$", 1))), r"[\\/_&-]+", " ")
+    source = F.regexp_replace(F.lower(F.concat(place, F.lit(" "), F.regexp_replace(place, r"(?s)^.*[/\\]", ""))), r"[\\/_&-]+", " ")
     rows = files.withColumns({"_source": source, "_end": extension(place)})
     source, end = F.col("_source"), F.col("_end")
     points = lambda n, c: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from prismlake.operators.clustering import cut
 from prismlake.operators.search import bm25_scores, index_words, phrase_terms, word_begins
 from prismlake.sources.tablesets import Snapshot, TableSet
 
@@ -56,7 +57,8 @@ class TextIndex:
         if batch is not None and s.notes.get("batch", -1) >= batch:
             return s
         number = s.notes.get("last", -1) + 1
-        rows = rows.where(F.col(self.key).isNotNull()).select(self.key, index_words(F.col(text)).alias("_words"))
+        # texts are cut into words once, for all that follows
+        rows = cut(rows.where(F.col(self.key).isNotNull()).select(self.key, index_words(F.col(text)).alias("_words")))
         changed = rows.select(self.key) if gone is None else rows.select(self.key).union(gone.select(self.key))
         lengths = rows.where("_words IS NOT NULL").select(self.key, F.size("_words").alias("len"))
         words = rows.select(self.key, F.size("_words").alias("len"), F.explode("_words").alias("word")).groupBy(self.key, "word", "len").agg(F.count("*").alias("tf"))
