@@ -43,11 +43,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array([c[t] for t in some], pa.int64()) for c in seen)], names=["term", "n0", "n1"])
 
 
-def learn_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
+def learn_terms(examples: DataFrame, telling: float = TELLING) -> tuple[list[bytes], np.ndarray]:
     """The terms of the vector space and how much more each weighs: all words of the examples, and word beginnings that tell the labels apart.
 
     A term tells if its odds differ at least fourfold between the labels and a likelihood-ratio test
-    finds that beyond doubt (G2 >= 25, at least 5 texts); it weighs 1 + 4 |ln odds| times as much as others.
+    finds that beyond doubt (G2 >= 25, at least 5 texts); it weighs 1 + telling * |ln odds| times as much as others.
+    With telling 0 the space is that of the words, all weighing alike: plain TF-IDF.
     """
     n0, n1 = (examples.where(F.col("toxic") == y).count() for y in (0, 1))
     c = examples.select("text", "toxic").mapInArrow(_counts, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
@@ -57,8 +58,9 @@ def learn_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
     g2 = 2 * sum(part(o, e) for o, e in ((a, (a + b) * n0 / n), (b, (a + b) * n1 / n), (n0 - a, (n - a - b) * n0 / n), (n1 - b, (n - a - b) * n1 / n)))
     tells = (a + b >= 5) & (a + b < n) & ((odds >= 4) | (odds <= 0.25)) & (g2 >= 25) if n0 and n1 else F.lit(False)
     c = c.select("term", F.when(tells, F.abs(F.log(odds))).otherwise(F.lit(0.0)).alias("o"))
-    found = c.where((F.col("o") > 0) | (F.substring("term", -1, 1) != F.lit(b"*"))).orderBy("term").toArrow()  # bounded by the examples
-    return found.column("term").to_pylist(), 1 + TELLING * found.column("o").to_numpy()
+    chosen = (F.lit(telling > 0) & (F.col("o") > 0)) | (F.substring("term", -1, 1) != F.lit(b"*"))
+    found = c.where(chosen).orderBy("term").toArrow()  # bounded by the examples
+    return found.column("term").to_pylist(), 1 + telling * found.column("o").to_numpy()
 
 
 class Terms:
@@ -311,7 +313,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS):
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, telling: float = TELLING):
     """A broadcast model of at most `examples` labelled rows outside the held-out third; equal texts of one label once."""
     spark = docs.sparkSession
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("toxic"))
@@ -319,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id")
     first = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("m"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("d"))
     kept = materialize(first.select("d.doc_id", "d.text", "toxic"), "examples")
-    terms, more = learn_terms(kept)
+    terms, more = learn_terms(kept, telling)
     space = Terms(terms)
     sent = spark.sparkContext.broadcast(space)
     n, df = docs.count(), document_frequencies(docs, sent)
@@ -341,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     return spark.sparkContext.broadcast(model)
 
 
-def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = 0.7, keep_text: bool = False, telling: float = TELLING) -> DataFrame:
     """docs, without the text unless asked for, with score, predicted and evidence.
 
     At most `examples` labelled rows outside the held-out third are learnt from. All their words span
@@ -355,7 +357,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
     labels of both kinds in equal number isn't learnt from; without usable labels every score is 0. An empty
     table gives no rows. Columns of docs named score, predicted or evidence are replaced; others are kept.
     """
-    shared = fit(docs, labels, examples, k)
+    shared = fit(docs, labels, examples, k, telling)
     names = [c for c in docs.columns if c not in ("score", "predicted", "evidence")]
     left = [c for c in names if keep_text or c != "text"]
 

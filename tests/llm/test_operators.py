@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and their odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from prismlake.llm import _links, ann, decontam, licences, line_dedup, mixture, near_dedup, quality, quoting, sharding, toxicity
@@ -150,6 +152,55 @@ def test_rounding_keeps_sums_and_chances():
     assert np.abs(n / trials - p).max() < 0.05
 
 
+def test_taken_rows_equal_a_loop(spark, sf, monkeypatch):
+    """The same leaves and tree in plain loops take the same rows; words are traded as masses."""
+    monkeypatch.setattr(mixture, "LEAF", 48)
+    monkeypatch.setattr(mixture, "FAN_IN", 3)
+    d = table(spark, sf, "documents").withColumn("source", F.when(F.col("source") != "src3", F.col("source")))
+    rows = [r.asDict() for r in mixture.copies(d).collect()]
+    per = Counter()
+    for r in rows:
+        r["class"] = math.floor(math.log2(r["size"] + 1) * 4)
+        per[r["source"], r["class"]] += 1
+        rate = r["target"] / r["source_size"] if r["source_size"] else 0.0
+        r["whole"], r["mass"] = math.floor(rate), (rate - math.floor(rate)) * r["size"]
+
+    def hashed(schema, values, *columns):
+        out = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], f"i int, {schema}").select("i", F.xxhash64(*columns).alias("h"))
+        return [r["h"] for r in out.orderBy("i").collect()]
+
+    salt = hashed("k string, c int", [(r["key"], 5) for r in rows], "k", "c")
+    salt = [h % -(-per[r["source"], r["class"]] // 48) for h, r in zip(salt, rows, strict=True)]
+    for h, r in zip(hashed("s string, n boolean, c int, p long", [(r["source"] or "", r["source"] is None, r["class"], p) for r, p in zip(rows, salt, strict=True)], "s", "n", "c", "p"), rows, strict=True):
+        r["leaf"] = h
+
+    def decide(group, level):
+        """Settle all rows of a node but one, which is returned."""
+        last = None
+        for r in sorted(group, key=lambda r: (-r["size"], r["key"])):
+            if r["size"] and 1e-9 < r["mass"] / r["size"] < 1 - 1e-9:
+                if last:
+                    up, down = min(r["mass"], last["size"] - last["mass"]), min(last["mass"], r["size"] - r["mass"])
+                    moved = up if xxhash.xxh64_intdigest(r["key"], seed=level) / 2**64 * (up + down) < down else -down
+                    last["mass"], r["mass"] = last["mass"] + moved, r["mass"] - moved
+                both = [x for x in (last, r) if x and 1e-9 < x["mass"] / x["size"] < 1 - 1e-9]
+                last = both[0] if both else None
+        return [last] if last else []
+
+    nodes, level = defaultdict(list), 0
+    for r in rows:
+        nodes[r["leaf"]].append(r)
+    left = [r for own in nodes.values() for r in decide(own, 0)]
+    while max((many := Counter(r["source"] for r in left)).values(), default=0) > 1:
+        level, nodes = level + 1, defaultdict(list)
+        for h, r in zip(hashed("l long, c int", [(r["leaf"], level) for r in left], "l", "c"), left, strict=True):
+            nodes[r["source"], h % -(-many[r["source"]] // 3)].append(r)
+        left = [r for own in nodes.values() for r in decide(own, level)]
+    assert level >= 2
+    want = Counter((r["key"], r["whole"] + (r["mass"] / r["size"] >= 0.5) if r["size"] else 0) for r in rows)
+    assert want == Counter((r["key"], r["copies"]) for r in rows)
+
+
 def test_mix_odd_rows(spark):
     rows = mixture.op2_pivotal_mix(odd(spark)).collect()
     assert len(rows) == 10 and sum(r["size"] for r in rows if r["doc_id"] == 4) == 0
@@ -325,6 +376,14 @@ def test_toxicity_neighbours_equal_brute_force(spark, sf):
     assert none <= 0.05 * 120
 
 
+def test_plain_cosine_on_request(spark, sf):
+    d, own = table(spark, sf, "documents"), table(spark, sf, "labels")
+    m, n = toxicity.fit(d, own, telling=0.0).value, d.count()
+    df = toxicity.document_frequencies(d, spark.sparkContext.broadcast(m.terms))
+    assert not any(t.endswith(b"*") for t in m.terms.terms) and np.allclose(m.idf, np.log((n + 1) / (df + 1)) + 1)
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(d, own, telling=0.0).collect())
+
+
 def test_toxicity_odd_rows(spark):
     rows = toxicity.op4_toxicity_knn(odd(spark), labels(spark, [(1, 1, 0), (5, 1, None), (None, 1, 1)])).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
