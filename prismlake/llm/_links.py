@@ -73,14 +73,15 @@ def overlaps(bags: list[Bag]) -> Callable[[int], np.ndarray]:
     return match
 
 
-def _met(members: DataFrame) -> DataFrame:
-    """(bucket, node) of members (node, buckets array<long>) that share a bucket with another.
+def _met(members: DataFrame, total: int | None = None) -> DataFrame:
+    """(bucket, node) of members (node, buckets array<long>) that share a bucket with another; total: their entries, counted if not given.
 
     Entries are dealt to parts of about ENTRIES by a hash of the bucket, and travel as one block of bytes for each
     batch and part, so the engine moves few rows. A part is sorted in memory; a bucket that grows hot
     in it is given away at once, and whatever else comes for it, so no task holds a hot bucket as a whole.
     """
-    total = members.agg(F.coalesce(F.sum(F.greatest(F.size("buckets"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    if total is None:
+        total = members.agg(F.coalesce(F.sum(F.greatest(F.size("buckets"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
     parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-total // ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +233,11 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return asking.union(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "node", "root", "asks")
 
 
-def classes(members: Iterable[DataFrame], payloads: Callable[[DataFrame], DataFrame], bags: Bags, least: float) -> DataFrame:
+def classes(members: Iterable[DataFrame | tuple[DataFrame, int]], payloads: Callable[[DataFrame], DataFrame], bags: Bags, least: float) -> DataFrame:
     """(node, root) of nodes in a class of several: connected as all pairs that share a bucket and are similar by `least` or more.
 
-    members: tables (node long, buckets array<long>) of disjoint sets of buckets, each node once; they are looked at
-    one after another. payloads gives (node, blob, total) for a table of nodes, total being the weight of all its tokens.
+    members: tables (node long, buckets array<long>) of disjoint sets of buckets, each node once, alone or with
+    the number of their entries; they are looked at one after another. payloads gives (node, blob, total) for a table of nodes, total being the weight of all its tokens.
 
     1. In each bucket all nodes are compared with one: the one whose buckets hold the most nodes, which is the
        centre of a family of variants. The work is linear. Links so found give classes.
@@ -248,7 +249,7 @@ def classes(members: Iterable[DataFrame], payloads: Callable[[DataFrame], DataFr
     Every pair of a bucket is thus compared, or in one class already; size decides only where. Work is
     quadratic in the nodes of one bucket only as far as they stay unlike each other.
     """
-    met = [_met(m) for m in members]
+    met = [_met(*m) if isinstance(m, tuple) else _met(m) for m in members]
     rows = met[0]
     for m in met[1:]:
         rows = rows.union(m)

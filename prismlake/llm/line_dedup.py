@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from prismlake.llm._links import Bag, classes
-from prismlake.llm._shared import discard, in_mask, mask_of, materialize, mixed, utf8_rows
+from prismlake.llm._shared import discard, materialize, mixed, utf8_rows
 
 #: Bands of rows: a pair of similarity 0.8 meets in a band with probability 0.9997.
 #: Fewer rows would let many lines of one language meet by chance.
@@ -56,8 +56,8 @@ def _factors(bands: int, rows: int, level: int = 0) -> np.ndarray:
     return np.random.default_rng([7, level]).integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.ndarray:
-    """For each line its bucket in each band: a hash of `rows` least values under random permutations of 32-bit shingle hashes."""
+def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray, first: int = 0) -> np.ndarray:
+    """For each line its bucket in each of some bands from the first on: a hash of `rows` least values under random permutations of 32-bit shingle hashes."""
     s, per = shingles(lines)
     h = (mixed(s) >> np.uint64(32)).astype(np.uint32)
     start = np.cumsum(per) - per
@@ -67,7 +67,7 @@ def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray) -> np.nd
         np.multiply(h, factor, out=turned)
         np.minimum.reduceat(turned, start, out=least[k])
     with np.errstate(over="ignore"):
-        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), 1)
+        key = np.repeat(np.arange(first + 1, first + bands + 1, dtype=np.uint64)[:, None], len(lines), 1)
         for r in range(rows):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[r::rows])
     return key.T.view(np.int64)
@@ -79,35 +79,30 @@ def bags(lines: list[bytes]) -> list[Bag]:
     return [(np.unique(x), None) for x in np.split(values, np.cumsum(per)[:-1])] if lines else []
 
 
-def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every line of every text: (uid, doc_id, line, hi, lo, bands); hi and lo are a line's digest, and null for blank lines.
+def lines(docs: DataFrame) -> DataFrame:
+    """Every line of every text: (uid, doc_id, line, hi, lo, body); hi and lo are a line's digest, and null for blank lines.
 
-    bands is given once for each digest, as far as a task remembers. Of a bucket's hash 32 bits are kept in
-    each band: others that meet so are told apart when they are compared.
+    body, the normalised line, is given once for each digest, as far as a task remembers.
     """
-    names = ["uid", "doc_id", "line", "hi", "lo", "bands"]
+    names = ["uid", "doc_id", "line", "hi", "lo", "body"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd, seen = _factors(bands, rows), set()
+        seen: set[bytes] = set()
 
         def out(place: list[tuple], norms: list[bytes]) -> pa.RecordBatch:
             digests = [xxhash.xxh3_128_digest(x) for x in norms]
-            blank = np.array([not x for x in norms], bool)
             key = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-            new = []
-            for i, (x, d) in enumerate(zip(norms, digests, strict=True)):
-                if x and d not in seen:
+            blank = np.array([not x for x in norms], bool)
+            bodies: list[bytes | None] = []
+            for x, d in zip(norms, digests, strict=True):
+                new = bool(x) and d not in seen
+                if new:
                     seen.add(d)
-                    new.append(i)
+                bodies.append(x if new else None)
             if len(seen) > 500_000:
                 seen.clear()
-            per = np.zeros(len(norms), bool)
-            per[new] = True
-            flat = (buckets([norms[i] for i in new], bands, rows, odd) >> 32).astype(np.int32).ravel() if new else np.zeros(0, np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(per) * bands]).astype(np.int32), mask=np.append(~per, False))
-            own = pa.ListArray.from_arrays(offsets, pa.array(flat))
             columns = [pa.array([p[k] for p in place], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(key[:, 0], mask=blank), pa.array(key[:, 1], mask=blank), own], names=names)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(key[:, 0], mask=blank), pa.array(key[:, 1], mask=blank), pa.array(bodies, pa.binary())], names=names)
 
         for b in batches:
             place, norms, size = [], [], 0
@@ -119,57 +114,52 @@ def lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     place.append((uid, doc, i))
                     norms.append(norm)
                     size += len(norm) + 16
-                    if size >= AT_ONCE:
+                    if size >= 16 * AT_ONCE:
                         yield out(place, norms)
                         place, norms, size = [], [], 0
             if place:
                 yield out(place, norms)
 
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return own.mapInArrow(split, "uid long, doc_id long, line int, hi long, lo long, bands array<int>")
+    return own.mapInArrow(split, "uid long, doc_id long, line int, hi long, lo long, body binary")
 
 
-def _payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, blob, total): normalised lines of wanted (node, hi, lo) and their numbers of shingles, from a second look at docs.
+def _cut(b: pa.RecordBatch, least: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch whose bodies have so many bytes or more, but for the last, and these bodies."""
+    at, held, size = 0, [], 0
+    for i, body in enumerate(b.column("body")):
+        held.append(body.as_py())
+        size += len(held[-1])
+        if size >= least:
+            yield b.slice(at, i + 1 - at), held
+            at, held, size = i + 1, [], 0
+    if held:
+        yield b.slice(at), held
 
-    A bitmap of fixed size tells nearly all other lines apart, a task gives a line once as far as it remembers,
-    and the join and a grouping decide; however full the bitmap gets, the result is the same.
-    """
-    mask = mask_of(wanted.select(F.col("lo").alias("h")))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+def _members(texts: DataFrame, first: int, bands: int, rows: int, odd: np.ndarray) -> DataFrame:
+    """(node, buckets) of texts (node, body) in some bands from the first on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, own in _cut(b, AT_ONCE):
+                flat = pa.array(buckets(own, bands, rows, odd, first).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), flat)
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "buckets"])
+
+    return texts.select("node", "body").mapInArrow(run, "node long, buckets array<long>")
 
-        def out(norms: list[bytes]) -> pa.RecordBatch:
-            digests = [xxhash.xxh3_128_digest(x) for x in norms]
-            key = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-            at = []
-            for i in np.flatnonzero(in_mask(key[:, 1], mask.value)).tolist():
-                if digests[i] not in seen:
-                    seen.add(digests[i])
-                    at.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            own = [norms[i] for i in at]
-            total = pa.array([float(len(x)) for x, _ in bags(own)], pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(key[at, 0]), pa.array(key[at, 1]), pa.array(own, pa.binary()), total], names=["hi", "lo", "blob", "total"])
 
+def _payloads(texts: DataFrame) -> DataFrame:
+    """(node, blob, total): normalised lines of texts (node, body) and their numbers of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            norms, size = [], 0
-            for t in utf8_rows(b.column("text")):
-                for line in t.split(b"\n") if t else ():
-                    if norm := normal(line):
-                        norms.append(norm)
-                        size += len(norm)
-                if size >= 16 * AT_ONCE:
-                    yield out(norms)
-                    norms, size = [], 0
-            if norms:
-                yield out(norms)
-
-    found = docs.select("text").mapInArrow(build, "hi long, lo long, blob binary, total double")
-    found = found.join(wanted.hint("merge"), ["hi", "lo"]).select("node", "blob", "total")
-    return found.groupBy("node").agg(F.any_value("blob").alias("blob"), F.any_value("total").alias("total"))
+            for part, own in _cut(b, 16 * AT_ONCE):
+                total = pa.array([float(len(x)) for x, _ in bags(own)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, total], names=["node", "blob", "total"])
+
+    return texts.select("node", "body").mapInArrow(run, "node long, blob binary, total double")
 
 
 def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,18 +174,19 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: i
     Blank lines are always kept and stand for themselves. A null text has no lines, an empty one has one
     blank line; a line may be as long as its text. An empty table gives no rows. Other columns are not read.
     """
-    every = materialize(lines(docs, bands, rows), "lines")
+    every = materialize(lines(docs), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line", "uid"))
-    texts = every.where("hi IS NOT NULL").groupBy("hi", "lo").agg(first.alias("f"), F.count("*").alias("n"), F.any_value("bands", F.lit(True)).alias("bands"))
+    texts = every.where("hi IS NOT NULL").groupBy("hi", "lo").agg(first.alias("f"), F.count("*").alias("n"), F.any_value("body", F.lit(True)).alias("body"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
+    n, odd = texts.count(), _factors(bands, rows)
+
     def payloads(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(texts.select("node", "hi", "lo").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
-        return _payloads(docs, wanted)
+        return _payloads(texts.select("node", "body").join(nodes.hint("merge"), "node", "left_semi"))
 
-    def members(at: int) -> DataFrame:
-        some = F.transform(F.slice("bands", at + 1, BANDS_AT_ONCE), lambda h, i: (i + at).cast("long") * (1 << 32) + h)
-        return texts.select("node", some.alias("buckets"))
+    def members(at: int) -> tuple[DataFrame, int]:
+        some = min(BANDS_AT_ONCE, bands - at)
+        return _members(texts, at, some, rows, odd[at * rows : (at + some) * rows]), n * some
 
     # some bands after others, so that their rows needn't be on disk together
     root = classes((members(at) for at in range(0, bands, BANDS_AT_ONCE)), payloads, bags, least)
