@@ -73,10 +73,26 @@ def buckets(lines: list[bytes], bands: int, rows: int, odd: np.ndarray, first: i
     return key.T.view(np.int64)
 
 
-def bags(lines: list[bytes]) -> list[Bag]:
-    """The set of shingles of each normalised line."""
+def _distinct(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each normalised line, sorted, one line after another, and where each line's begin and the last ends."""
     values, per = shingles(lines)
-    return [(np.unique(x), None) for x in np.split(values, np.cumsum(per)[:-1])] if lines else []
+    ends = np.cumsum(per)
+    for i, j in zip((ends - per).tolist(), ends.tolist(), strict=True):
+        values[i:j].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[(ends - per)[per > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)[ends - 1]])
+
+
+def bags(lines: list[bytes]) -> list[Bag]:
+    """The set of shingles of each normalised line; lines given several times, as the centre of a bucket is, are cut once."""
+    own = {x: i for i, x in enumerate(dict.fromkeys(lines))}
+    if not own:
+        return []
+    values, at = _distinct(list(own))
+    cut = [(values[i:j], None) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [cut[own[x]] for x in lines]
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -156,7 +172,7 @@ def _payloads(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, own in _cut(b, 16 * AT_ONCE):
-                total = pa.array([float(len(x)) for x, _ in bags(own)], pa.float64())
+                total = pa.array(np.diff(_distinct(own)[1]).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns, total], names=["node", "blob", "total"])
 
     return texts.select("node", "body").mapInArrow(run, "node long, blob binary, total double")
