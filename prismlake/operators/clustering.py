@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismlake.sources.tables import shared_folder
+from prismlake.sources.tables import cut
 
 # fixed values: when a face joins a person
 ALONE, BEST, SECOND, SUGGEST, KEPT = 0.70, 0.64, 0.54, 0.58, 6
@@ -17,14 +17,6 @@ SCHEMA = "face_id long, leader long, score double, suggested long, suggested_sco
 BLOCK = 4096
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, which ends its lineage."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def _matrix(vectors: pd.Series, width: int = 0) -> np.ndarray:
     """Vectors as rows, filled up with zeros, so that a dot product is one over the shorter length."""
     x = np.zeros((len(vectors), max([width, *map(len, vectors)])))

@@ -122,6 +122,33 @@ def removed(files: DataFrame, gone: DataFrame, lists: dict[str, DataFrame], deri
     return out
 
 
+def faces_removed(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Tables of faces and people after files (gone: id) are removed, in one cascade; tables that aren't given are left out.
+
+    faces (id, file_id, recognition_quality) and what hangs on them go: assignments, representatives, members and ignored (face_id), suggestions
+    (face_id, candidate_face_id) on either side, scans and items (file_id). Of people (id, cover_face_id) those without
+    an assigned face go; a cover that is null or no face any more becomes the person's face of best quality (null last), then least id.
+    """
+    ids = gone.select(F.col("id").alias("file_id")).distinct()
+    lost = tables["faces"].join(ids, "file_id", "left_semi").select("id").distinct()
+    without = lambda t, c: t.join(lost.select(F.col("id").alias(c)), c, "left_anti").select(*t.columns)
+    out = {n: without(tables[n], "id" if n == "faces" else "face_id") for n in ("faces", "assignments", "representatives", "members", "ignored", "suggestions") if n in tables}
+    if "suggestions" in out:
+        out["suggestions"] = without(out["suggestions"], "candidate_face_id")
+    out |= {n: tables[n].join(ids, "file_id", "left_anti").select(*tables[n].columns) for n in ("scans", "items") if n in tables}
+    if "people" in tables:
+        faces, people = out["faces"], tables["people"]
+        own = out["assignments"].select("face_id", F.col("person_id").alias("_person")).join(faces.select(F.col("id").alias("face_id"), F.col("recognition_quality").alias("_quality"), F.lit(True).alias("_known")), "face_id", "left")
+        # an assignment whose face is unknown keeps its person, but is no cover
+        best = F.max_by(F.when(F.col("_known"), F.col("face_id")), F.when(F.col("_known"), F.struct("_quality", -F.col("face_id"))))
+        own = own.groupBy("_person").agg(best.alias("_best"))
+        there = faces.select(F.col("id").alias("cover_face_id"), F.lit(True).alias("_there"))
+        both = people.join(own, F.col("id") == F.col("_person")).join(there, "cover_face_id", "left")
+        cover = F.when(F.col("_there"), F.col("cover_face_id")).otherwise(F.col("_best")).alias("cover_face_id")
+        out["people"] = both.select(*[cover if c == "cover_face_id" else F.col(c) for c in people.columns])
+    return out
+
+
 def folder_files(files: DataFrame, folder: str) -> DataFrame:
     """(id) of files in a folder or below."""
     return files.where((F.col("folder_path") == folder) | F.col("folder_path").startswith(folder.rstrip("/") + "/")).select("id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prismlake.functions.columns import filename_datetime, least2
+from prismlake.operators.sessions import even_runs
 
 # Endings by kind.
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff", "heic", "heif", "avif", "dng", "cr2", "nef", "arw")
@@ -77,15 +78,14 @@ def capture_counts(files: DataFrame) -> DataFrame:
 def renumbered(files: DataFrame) -> DataFrame:
     """(id, media_id): numbers from 1 without gaps by capture time (unknown first), then id.
 
-    Rows are numbered within their day, after the rows of earlier days, so no task sorts them all. Rows
-    without a time are cut by a million ids instead, before all days.
+    Rows are numbered within runs of a range sort, after the rows of earlier runs, so no task sorts them all, however
+    many share a day or have no time.
     """
-    at = F.coalesce(F.col("create_date"), least2("created", "modified"))
-    rows = files.select("id", at.alias("at")).withColumn("day", F.coalesce(F.floor(F.col("at") / 86400), F.floor(F.col("id") / 1_000_000) - (1 << 50)))
-    counts = rows.groupBy("day").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(W.partitionBy("day").orderBy(F.col("at").asc_nulls_first(), "id"))
-    return rows.withColumn("own", own).join(counts.withColumn("before", before).drop("n"), "day").select("id", (F.col("before") + F.col("own")).alias("media_id"))
+    rows = even_runs(files.select(F.coalesce(F.col("create_date"), least2("created", "modified")).alias("at"), "id"), ["at", "id"])
+    counts = rows.groupBy("_run").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("_run").orderBy("at", "id"))
+    return rows.withColumn("own", own).join(counts.withColumn("before", before).drop("n"), "_run").select("id", (F.col("before") + F.col("own")).alias("media_id"))
 
 
 def next_number(files: DataFrame, column: str = "media_id") -> DataFrame:

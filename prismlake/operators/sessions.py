@@ -7,17 +7,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prismlake.functions.columns import capture_ts, countries, haversine, to_epoch
+from prismlake.sources.tables import cut
 
 
-def carried(rows: DataFrame, order: list[str], columns: dict[str, Column], bucket: Column) -> DataFrame:
+def even_runs(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `_run`, which grows with the order (nulls first), in runs of about equal size.
+
+    A range sort by the whole order cuts the rows, so a day or a second that holds a third of them is spread over many
+    runs as long as the last column of the order tells its rows apart. The sorted rows are written, as runs must not change afterwards.
+    """
+    return cut(rows.sort(*order).withColumn("_run", F.spark_partition_id()))
+
+
+def carried(rows: DataFrame, order: list[str], columns: dict[str, Column], bucket: Column | None = None) -> DataFrame:
     """rows with the value that each column had in the row before, without one task that sees all rows.
 
-    Rows are cut into runs of `bucket` (which grows with the order); within a run the previous row is
+    Rows are cut into runs of `bucket` (which grows with the order), or of equal size without it; within a run the previous row is
     found by a window, and the first row of a run takes what the last row of an earlier run had, from a
     table with one row for each run.
     """
     own = W.partitionBy("_run").orderBy(*order)
-    out = rows.withColumn("_run", bucket)
+    out = even_runs(rows, order) if bucket is None else rows.withColumn("_run", bucket)
     for name, value in columns.items():
         out = out.withColumn(f"_v_{name}", value)
     named = F.struct(*[F.col(f"_v_{n}").alias(n) for n in columns])
@@ -40,10 +50,13 @@ def running(rows: DataFrame, order: list[str], flag: Column, out: str) -> DataFr
     return rows.withColumn("_own", F.sum("_flag").over(own)).join(starts, "_run").withColumn(out, F.col("_own") + F.col("_base")).drop("_flag", "_own", "_base")
 
 
-def gap_sessions(events: DataFrame, time: str, gap_seconds: float, tie: str, run_seconds: int = 86400 * 30) -> DataFrame:
-    """events with `session`, numbered from 1: a new one begins more than the gap after the event before. time is epoch seconds."""
+def gap_sessions(events: DataFrame, time: str, gap_seconds: float, tie: str, run_seconds: int | None = None) -> DataFrame:
+    """events with `session`, numbered from 1: a new one begins more than the gap after the event before. time is epoch seconds.
+
+    Runs are of equal size, or of so many seconds, which saves writing the sorted events where no such span is crowded.
+    """
     order = [time, tie]
-    rows = carried(events.where(F.col(time).isNotNull()), order, {"t": F.col(time)}, F.floor(F.col(time) / run_seconds))
+    rows = carried(events.where(F.col(time).isNotNull()), order, {"t": F.col(time)}, None if run_seconds is None else F.floor(F.col(time) / run_seconds))
     new = F.col("prev_t").isNull() | ((F.col(time) - F.col("prev_t")) > gap_seconds)
     return running(rows, order, new, "session").drop("_run", "prev_t")
 
@@ -61,7 +74,7 @@ def home_country(files: DataFrame) -> DataFrame:
     return files.where("country IS NOT NULL AND country <> ''").groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(1).select("country")
 
 
-def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "UTC", run_seconds: int = 86400 * 30) -> DataFrame:
+def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "UTC", run_seconds: int | None = None) -> DataFrame:
     """Trips abroad: sessions of files whose country string isn't home's, with enough files in few main countries.
 
     (trip_id, first_ts, last_ts, n, main_countries, title), latest first.
@@ -72,7 +85,8 @@ def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "U
     # stretches without a gap within a run, with their counts by country: small, and the only thing that outlives one pass over files
     own = W.partitionBy("run").orderBy("epoch", "id")
     broken = F.coalesce((F.col("epoch") - F.lag("epoch").over(own)) > gap, F.lit(True))
-    rows = timed.withColumn("run", F.floor(F.col("epoch") / run_seconds)).withColumn("broken", broken.cast("int"))
+    runs = even_runs(timed, ["epoch", "id"]).withColumnRenamed("_run", "run") if run_seconds is None else timed.withColumn("run", F.floor(F.col("epoch") / run_seconds))
+    rows = runs.withColumn("broken", broken.cast("int"))
     rows = rows.withColumn("part", F.sum("broken").over(own.rowsBetween(W.unboundedPreceding, 0)))
     one = rows.select("run", "part", "ts", "epoch", F.explode(F.array_append("codes", F.lit("").cast("string"))).alias("code"))
     per = one.groupBy("run", "part", "code").agg(F.count("*").alias("c"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("epoch").alias("a"), F.max("epoch").alias("b"))
@@ -95,11 +109,11 @@ def trips(files: DataFrame, options: TripOptions = TripOptions(), zone: str = "U
     return out.select(F.concat_ws("-", label("first_ts"), label("last_ts")).alias("trip_id"), "first_ts", "last_ts", "n", "main_countries", title.alias("title")).orderBy(F.desc("first_ts"))
 
 
-def visits(rows: DataFrame, places: Column, order: list[str], run: Column) -> DataFrame:
+def visits(rows: DataFrame, places: Column, order: list[str], run: Column | None = None) -> DataFrame:
     """(place, segment, n, first, last): stretches of consecutive rows at a place.
 
     A place goes on if the row just before had it too; rows at several places keep several stretches
-    open. run is a value that grows with the order and cuts rows into parts for the tasks.
+    open. run is a value that grows with the order and cuts rows into parts for the tasks; without it parts are of equal size.
     """
     here = F.array_distinct(places)
     before = carried(rows, order, {"places": here}, run)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from prismlake.functions.columns import age_on, aspect_distance, capture_date, capture_ts, countries, thumbnail_score
+from prismlake.functions.columns import age_on, aspect_distance, capture_date, capture_ts, countries, dated, thumbnail_score, to_epoch
+from prismlake.operators.filters import milestone_capture
 from prismlake.operators.ordering import top_per_group
 
 WEEK = 7 * 86400
@@ -119,11 +120,13 @@ def streaks(days: DataFrame) -> DataFrame:
     return runs.groupBy("island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("length")).drop("island").orderBy(F.desc("length"), "first_day")
 
 
+# fixed values: the first milestones
+FIRST_STEPS = [1_000, 10_000, 25_000, 50_000, 75_000, 100_000, 150_000]
+
+
 def ladder(n: int) -> list[int]:
     """Milestones: the fixed first ones, then every 50,000 to a million and every 100,000 to three times n, at least to two million."""
-    # fixed values
-    first = [1_000, 10_000, 25_000, 50_000, 75_000, 100_000, 150_000]
-    return [*first, *range(200_000, 1_000_001, 50_000), *range(1_100_000, max(3 * n, 2_000_000) + 1, 100_000)]
+    return [*FIRST_STEPS, *range(200_000, 1_000_001, 50_000), *range(1_100_000, max(3 * n, 2_000_000) + 1, 100_000)]
 
 
 def milestones(files: DataFrame, steps: list[int] | None = None) -> DataFrame:
@@ -153,10 +156,10 @@ def milestones(files: DataFrame, steps: list[int] | None = None) -> DataFrame:
 
 
 def weekly(times: DataFrame, now: int) -> DataFrame:
-    """(week, n): events in each seven days since 1970, with empty weeks, from the first to now. times has `epoch`."""
+    """(week, n): events in each seven days since 1970, with empty weeks, from the first to now or the last, if that is later. times has `epoch`."""
     seen = times.where(F.col("epoch").isNotNull()).groupBy(F.floor(F.col("epoch") / WEEK).alias("week")).agg(F.count("*").alias("n"))
-    first = seen.agg(F.min("week").alias("a"))
-    every = first.where("a IS NOT NULL").select(F.explode(F.sequence("a", F.greatest(F.lit(now // WEEK).cast("bigint"), "a"))).alias("week"))
+    ends = seen.agg(F.min("week").alias("a"), F.max("week").alias("b"))
+    every = ends.where("a IS NOT NULL").select(F.explode(F.sequence("a", F.greatest(F.lit(now // WEEK).cast("bigint"), "b"))).alias("week"))
     return every.join(seen, "week", "left").select("week", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -176,6 +179,36 @@ def upcoming(n: int, daily: float | None, now: int, many: int = 8) -> list[tuple
     return [(m, None if not daily else int(now + (m - n) / daily * 86400)) for m in ladder(n) if m > n][:many]
 
 
+def milestone_report(files: DataFrame, now: int, skip_screens: bool = False, ahead: int = 8, zone: str = "UTC") -> DataFrame:
+    """(milestone, base, reached, id, ts, predicted): milestones behind, with the file that reached each, and the next ones with the second at which growth reaches them.
+
+    base is the greatest media_id, and a milestone's file the one that has it as media_id (none, if it is gone; of several the least id). With
+    `skip_screens` only camera files and those of unknown kind count: base is their number, a milestone's file is the one at that place by media_id
+    (files without one have no place). predicted is null where growth is under 0.02 files a day or fewer than two files are dated. No rows where base is 0.
+    """
+    own = files.where(milestone_capture()) if skip_screens else files
+    size = F.count("*") if skip_screens else F.coalesce(F.max("media_id"), F.lit(0)).cast("bigint")
+    known = own.agg(size.alias("base"), F.count_if(dated()).alias("dated")).where("base > 0")
+    longs = lambda *x: [F.lit(v).cast("bigint") for v in x]
+    middle = F.sequence(*longs(200_000, 1_000_000, 50_000))
+    high = F.sequence(*longs(1_100_000), F.greatest(3 * F.col("base"), *longs(2_000_000)), *longs(100_000))
+    steps = known.select("base", "dated", F.explode(F.concat(F.array(*longs(*FIRST_STEPS)), middle, high)).alias("milestone"))
+    behind = steps.where("milestone <= base").select("milestone", "base")
+    dates = own.select("id", "media_id", capture_ts(zone).alias("ts"))
+    if skip_screens:
+        item = milestones(own).join(dates.drop("media_id"), "id").select("milestone", "id", "ts")
+    else:
+        at = dates.join(behind.select(F.col("milestone").alias("media_id")), "media_id")
+        item = at.groupBy(F.col("media_id").alias("milestone")).agg(F.min("id").alias("id"), F.min_by("ts", "id").alias("ts"))
+    behind = behind.join(item, "milestone", "left").select("milestone", "base", F.lit(True).alias("reached"), "id", "ts", F.lit(None).cast("bigint").alias("predicted"))
+    daily = growth(weekly(dates.select(to_epoch("ts").alias("epoch")), now)).select("daily")
+    days = (F.col("milestone") - F.col("base")) / F.when(F.col("dated") > 1, F.col("daily"))
+    coming = steps.where("milestone > base").orderBy("milestone").limit(ahead).crossJoin(F.broadcast(daily))  # one row
+    none = F.lit(None)
+    coming = coming.select("milestone", "base", F.lit(False).alias("reached"), none.cast("bigint").alias("id"), none.cast("timestamp_ntz").alias("ts"), F.floor(now + days * 86400).alias("predicted"))
+    return behind.unionByName(coming)
+
+
 def progress(total: DataFrame, done: DataFrame, key: str = "id", done_key: str = "file_id", version: str | None = None) -> DataFrame:
     """(total, done, percent): rows of total with a row of done, of the current version if one is given."""
     from prismlake.functions.columns import percent

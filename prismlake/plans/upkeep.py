@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismlake.functions import columns as C
-from prismlake.operators import clustering, curation, detector, ingest, media, people, places, search, stats
+from prismlake.operators import clustering, curation, detector, ingest, media, people, places, search, sessions, stats
 from prismlake.plans import standins
-from prismlake.plans.catalogue import _people
+from prismlake.plans.catalogue import _bm25, _people
 from prismlake.plans.registry import over_files, query
 from prismlake.sources.tables import code_names, shared_folder, table
 from prismlake.sources.tablesets import TableSet
@@ -282,3 +282,77 @@ def memories_reordered(spark, d):
     k = F.col("n_nationkey")
     memories = table(spark, d, "nation").select(k.cast("bigint").alias("id"), F.when(k % 3 != 0, k.cast("int")).alias("sort_order"), F.lit(0).alias("created"))
     return curation.memories_in_order(curation.reordered(memories, [4, 2, 9])).select("id", "sort_order")
+
+
+# --- milestones, removal, crowded times, typos -----------------------------------------------------
+
+NOW = 2826 * 604800 + 5
+_LADDER = "steps AS (SELECT unnest([1000, 10000, 25000, 50000, 75000, 100000, 150000]) AS milestone UNION ALL SELECT unnest(range(200000, 1000001, 50000)) UNION ALL SELECT unnest(range(1100000, 2000001, 100000)))"
+_RATE = f"w AS (SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS n FROM own WHERE ts IS NOT NULL GROUP BY 1), o AS (SELECT g.week, CAST(coalesce(n, 0) AS DOUBLE) AS n, row_number() OVER (ORDER BY g.week) AS i FROM (SELECT unnest(range((SELECT min(week) FROM w), greatest({NOW // 604800}, (SELECT max(week) FROM w)) + 1)) AS week) AS g LEFT JOIN w ON w.week = g.week), f AS (SELECT i, n AS m FROM o WHERE i = 1 UNION ALL SELECT o.i, f.m * 0.8 + 0.2 * CASE WHEN f.m > 0 THEN least(o.n, f.m * 3) ELSE o.n END FROM f JOIN o ON o.i = f.i + 1), r AS (SELECT CASE WHEN max_by(m, i) / 7 >= 0.02 THEN max_by(m, i) / 7 END AS daily FROM f)"
+
+
+def _milestones(own: str, base: str, item: str) -> str:
+    """SQL of a report: base is never above a third of two million in these tables."""
+    head = over_files("", f"own AS ({own})", f"b AS (SELECT CAST({base} AS BIGINT) AS base FROM own)", _LADDER, _RATE, f"it AS ({item})").replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + """SELECT milestone, base, true AS reached, it.id, it.ts, CAST(NULL AS DOUBLE) AS days FROM steps JOIN b ON milestone <= base LEFT JOIN it USING (milestone)
+UNION ALL SELECT * FROM (SELECT milestone, base, false, NULL, NULL, round((milestone - base) / daily, 1) FROM steps JOIN b ON milestone > base, r ORDER BY milestone LIMIT 8)"""
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    """Days from now instead of the second, which two engines' sums may put a second apart."""
+    return rows.withColumn("days", F.round((F.col("predicted") - NOW) / 86400.0, 1)).drop("predicted")
+
+
+@query(_milestones("SELECT * FROM t", "max(media_id)", "SELECT media_id AS milestone, id, ts FROM own"))
+def milestone_report(spark, d):
+    return _report(stats.milestone_report(standins.files(spark, d), NOW))
+
+
+@query(_milestones("SELECT * FROM t WHERE coalesce(nullif(trim(capture_type), ''), 'unknown') IN ('camera', 'unknown')", "count(*)", "SELECT row_number() OVER (ORDER BY media_id, id) AS milestone, id, ts FROM own"))
+def milestone_report_camera(spark, d):
+    return _report(stats.milestone_report(standins.files(spark, d), NOW, skip_screens=True))
+
+
+_GONE = "gone AS (SELECT DISTINCT c_custkey % 500 AS file_id FROM customer WHERE c_nationkey = 5 OR c_custkey % 4 = 1), c AS (SELECT *, c_custkey % 500 IN (SELECT file_id FROM gone) AS lost FROM customer)"
+
+
+@query(f"""WITH {_GONE}, cover AS (SELECT c_nationkey AS n, min(c_custkey) AS k FROM c GROUP BY 1)
+SELECT 'people' AS name, CAST(c_nationkey AS BIGINT) AS id, CASE WHEN k IN (SELECT c_custkey FROM c WHERE NOT lost) THEN k ELSE max_by(c_custkey, (c_acctbal, -c_custkey)) END AS other FROM c JOIN cover ON n = c_nationkey WHERE NOT lost GROUP BY c_nationkey, k
+UNION ALL SELECT 'assignments', c_custkey, CAST(c_nationkey AS BIGINT) FROM c WHERE NOT lost
+UNION ALL SELECT 'suggestions', c_custkey, c_custkey + 1 FROM c WHERE NOT lost AND c_custkey + 1 NOT IN (SELECT c_custkey FROM c WHERE lost)
+UNION ALL SELECT 'scans', file_id, NULL FROM (SELECT DISTINCT c_custkey % 500 AS file_id FROM customer) WHERE file_id NOT IN (SELECT file_id FROM gone)""")
+def faces_removed(spark, d):
+    names, faces, assigned = _people(spark, d)
+    covers = assigned.groupBy(F.col("person_id").alias("id")).agg(F.min("face_id").alias("cover_face_id"))
+    tables = {
+        "faces": faces, "assignments": assigned, "people": names.drop("cover_face_id").join(covers, "id", "left"),
+        "suggestions": faces.select(F.col("id").alias("face_id"), (F.col("id") + 1).alias("candidate_face_id")), "scans": faces.select("file_id").distinct(),
+    }
+    gone = faces.join(assigned, faces["id"] == assigned["face_id"]).where("person_id = 5 OR face_id % 4 = 1").select(F.col("file_id").alias("id"))
+    left = curation.faces_removed(tables, gone)
+    part = lambda name, a, b: left[name].select(F.lit(name).alias("name"), F.col(a).alias("id"), (F.col(b) if b else F.lit(None).cast("bigint")).alias("other"))
+    return part("people", "id", "cover_face_id").union(part("assignments", "face_id", "person_id")).union(part("suggestions", "face_id", "candidate_face_id")).union(part("scans", "file_id", None))
+
+
+@query("WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS epoch FROM events), g AS (SELECT *, CASE WHEN epoch - lag(epoch) OVER (ORDER BY epoch, event_id) <= 300 THEN 0 ELSE 1 END AS f FROM e) SELECT event_id, CAST(sum(f) OVER (ORDER BY epoch, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g")
+def gap_sessions_reset_clock(spark, d):
+    """A third of the events come from a clock that stands at 1970."""
+    rows = standins.events(spark, d).select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("epoch")).alias("epoch"))
+    return sessions.gap_sessions(rows, "epoch", 300, "event_id").select("event_id", "session")
+
+
+@query("WITH e AS (SELECT event_type AS place, row_number() OVER (ORDER BY CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) END, event_id) AS rn FROM events), i AS (SELECT *, rn - row_number() OVER (PARTITION BY place ORDER BY rn) AS g FROM e), s AS (SELECT place, g, count(*) AS n, min(rn) AS a FROM i GROUP BY 1, 2) SELECT place, row_number() OVER (PARTITION BY place ORDER BY a) AS segment, n FROM s")
+def place_visits_reset_clock(spark, d):
+    rows = standins.events(spark, d).select("event_id", "event_type", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("epoch")).alias("epoch"))
+    return sessions.visits(rows, F.array("event_type"), ["epoch", "event_id"]).select("place", "segment", "n")
+
+
+@query(
+    _bm25(["license"]) + ", s AS (SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'license')), u AS (SELECT doc_id, min(score) AS score FROM (SELECT doc_id, score FROM b UNION ALL SELECT doc_id, score FROM s) GROUP BY 1), "
+    "x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents WHERE contains(lower(text), 'lic') OR contains(lower(text), 'cen') OR contains(lower(text), 'nse')), "
+    "v AS (SELECT DISTINCT doc_id FROM x WHERE regexp_full_match(word, '[a-z0-9_]+') AND levenshtein(word, 'license') <= 1 AND doc_id NOT IN (SELECT doc_id FROM u)), "
+    "z AS (SELECT doc_id, score, CASE WHEN score < 0 THEN 'Text match' ELSE 'Contains query' END AS label FROM u UNION ALL SELECT doc_id, 1.0, 'Similar text' FROM v) SELECT doc_id, round(score, 6) AS score, label FROM z ORDER BY z.score, doc_id LIMIT 5000"
+)
+def text_with_typos(spark, d):
+    """Exact hits first, then documents that only have a word one edit away."""
+    return search.search_with_typos(table(spark, d, "documents"), "License", 5000, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "label")
