@@ -666,6 +666,65 @@ def test_licence_lines_of_documents(spark):
     assert licences.op8_licence_scan(odd(spark)).count() == 10 and licences.op8_licence_scan(d.limit(0)).count() == 0
 
 
+def test_licences_equal_brute_force(spark, sf):
+    # every range of consecutive lines of every text against every template, as plain dictionaries; directories by walking upwards
+    cut = re.compile(rb"[0-9a-z\x80-\xff]+")
+    terms = lambda own: Counter(own) + Counter(zip(own, own[1:], strict=False))
+    texts = [(name, cut.findall(t.encode().lower())) for name, ts in licences.TEMPLATES.items() for t in ts]
+    df = Counter(t for _, w in texts for t in terms(w))
+    rare = math.log(len(texts) + 1) + 0.1
+    idf = lambda t: math.log((len(texts) + 1) / df[t]) + 0.1 if t in df else rare if isinstance(t, bytes) else rare / 2
+    vector = lambda own: {t: n * idf(t) for t, n in terms(own).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, v, norm(v)) for name, w in texts for v in [vector(w)]]
+    vocabulary = {t for t in df if isinstance(t, bytes)}
+
+    def nearest(text):
+        lines = [cut.findall(x) for x in text.encode().lower().split(b"\n")]
+        best, k = None, 0
+        mostly = [bool(w) and 2 * sum(x in vocabulary for x in w) >= len(w) for w in lines]
+        while k < len(lines):
+            end = k
+            while end < len(lines) and mostly[end]:
+                end += 1
+            for i in range(k, end):
+                for j in range(i + 1, end + 1):
+                    v = vector([w for x in lines[i:j] for w in x])
+                    size = norm(v)
+                    for name, t, n in templates:
+                        c = sum(x * t.get(y, 0) for y, x in v.items()) / size / n
+                        if c >= licences.LEAST and (best is None or c > best[1] + 1e-9):
+                            best = (name, c, i)
+            k = max(end, k + 1)
+        return best
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    extra = [
+        (10**6 + i, text, "xx", "made")
+        for i, text in enumerate([*[t for ts in licences.TEMPLATES.values() for t in ts], "Header\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files\nand so on", "no licence at all", "", None])
+    ]
+    every = docs.union(spark.createDataFrame(extra, docs.schema))
+    rows = every.collect()
+    want = {r["doc_id"]: nearest(r["text"]) if r["text"] else None for r in rows}
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    got = {r["doc_id"]: r for r in licences.scan(every, path).collect()}
+    assert len(got) == len(rows) and sum(w is not None for w in want.values()) > 50
+    for k, w in want.items():
+        r = got[k]
+        assert (r["licence"] is None) == (w is None), (k, w, r)
+        if w:
+            assert r["licence"] in (w[0], *[a for a, b in licences.HOLDS.items() if b == w[0]]) and abs(r["cosine"] - w[1]) < 1e-6, (k, w, r)
+    holders = {}
+    for r in sorted(got.values(), key=lambda r: (-round(r["cosine"] or 0, 9), r["licence"] or "")):
+        if r["is_file"]:
+            holders.setdefault(r["path"].rpartition("/")[0], r["licence"])
+    for r in licences.licensed(every, path).collect():
+        own, up = got[r["doc_id"]], r["path"].rpartition("/")[0]
+        while own["licence"] is None and up and up not in holders:
+            up = up.rpartition("/")[0]
+        assert (r["licence"], r["from_dir"]) == ((own["licence"], None) if own["licence"] else (holders.get(up), up if up in holders else None))
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
