@@ -28,24 +28,40 @@ THRESHOLD, LEAST_PIXELS, LEAST_SPAN, PAD = 0.3, 8, 2, 2
 
 
 def _regions(values: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(left, top, right, bottom) of each 4-connected area of a map at or above the threshold that is large enough, padded."""
+    """(left, top, right, bottom) of each 4-connected area of a map at or above the threshold that is large enough, padded.
+
+    Areas are unions of horizontal stretches that touch from row to row, so the work grows with their number however they wind.
+    """
     h, w = values.shape
-    on = values >= THRESHOLD
-    label = np.where(on, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # every pixel takes the largest number among its neighbours until none changes
-        near = np.pad(label, 1)
-        new = np.where(on, np.max([near[1:-1, 1:-1], near[:-2, 1:-1], near[2:, 1:-1], near[1:-1, :-2], near[1:-1, 2:]], axis=0), 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    y, x = np.nonzero(label)
-    own = label[y, x]
-    for k in np.unique(own):
-        px, py = x[own == k], y[own == k]
-        if len(px) >= LEAST_PIXELS and np.ptp(px) >= LEAST_SPAN and np.ptp(py) >= LEAST_SPAN:
-            out.append((max(px.min() - PAD, 0), max(py.min() - PAD, 0), min(px.max() + PAD, w - 1), min(py.max() + PAD, h - 1)))
-    return out
+    edge = np.diff(np.pad(values >= THRESHOLD, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, left = np.nonzero(edge == 1)
+    right = np.nonzero(edge == -1)[1] - 1
+    # the stretches of the next row that lie under each one
+    below = (row + 1) * (w + 1)
+    first = np.searchsorted(row * (w + 1) + right, below + left)
+    last = np.searchsorted(row * (w + 1) + left, below + right, "right")
+    up = list(range(len(row)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for other in range(a, b):
+            x, y = top(k), top(other)
+            up[max(x, y)] = min(x, y)
+    own = np.unique([top(k) for k in up], return_inverse=True)[1] if up else np.zeros(0, int)
+    n = int(own.max()) + 1 if up else 0
+    pixels = np.bincount(own, right - left + 1, n)
+    bounds = [np.full(n, big) for big in (w, h, -1, -1)]
+    for out, fold, x in zip(bounds, (np.minimum, np.minimum, np.maximum, np.maximum), (left, row, right, row), strict=True):
+        fold.at(out, own, x)
+    x0, y0, x1, y1 = bounds
+    large = (pixels >= LEAST_PIXELS) & (x1 - x0 >= LEAST_SPAN) & (y1 - y0 >= LEAST_SPAN)
+    box = np.stack([np.maximum(x0 - PAD, 0), np.maximum(y0 - PAD, 0), np.minimum(x1 + PAD, w - 1), np.minimum(y1 + PAD, h - 1)], 1)
+    return [tuple(b) for b in box[large].tolist()]
 
 
 def text_regions(maps: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismlake.functions import columns as C
-from prismlake.operators import clustering, curation, detector, ingest, media, people, places, search, sessions, stats
+from prismlake.operators import clustering, curation, detector, ingest, media, people, places, recognition, search, sessions, stats
+from prismlake.operators.filters import FilterSpec, apply_filters
 from prismlake.plans import standins
 from prismlake.plans.catalogue import _bm25, _people
 from prismlake.plans.registry import over_files, query
@@ -356,3 +357,48 @@ def place_visits_reset_clock(spark, d):
 def text_with_typos(spark, d):
     """Exact hits first, then documents that only have a word one edit away."""
     return search.search_with_typos(table(spark, d, "documents"), "License", 5000, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "label")
+
+
+# --- filters, tags, removal of files, recognised lines ----------------------------------------------
+
+
+@query(over_files("SELECT id FROM t WHERE media_id = 35"))
+def filter_media_id(spark, d):
+    return apply_filters(standins.files(spark, d), FilterSpec(search_by="media_id", search_term="35")).select("id")
+
+
+@query(f"WITH {standins.TAGS}, u AS (SELECT id, CAST(media_ids AS BIGINT[]) AS a FROM tags) SELECT id, to_json(CASE id WHEN 2 THEN CASE WHEN list_contains(a, -5) THEN a ELSE list_append(a, -5) END WHEN 3 THEN list_filter(a, lambda x: x <> least) WHEN 4 THEN [9, 8, 9] ELSE a END)::VARCHAR AS media_ids FROM u, (SELECT min(p_partkey) AS least FROM part)")
+def tags_edited(spark, d):
+    least = table(spark, d, "part").agg(F.min("p_partkey")).first()[0]
+    out = curation.with_item(curation.with_item(standins.tags(spark, d), 2, -5), 2, -5)
+    return curation.with_items(curation.without_item(out, 3, least), 4, [9, 8, 9]).select("id", "media_ids")
+
+
+@query(over_files("""SELECT 'files' AS name, id, CAST(NULL AS VARCHAR) AS value FROM t WHERE folder_path <> '/lib/1-URGENT' UNION ALL SELECT 'tombstones', NULL, path FROM t WHERE folder_path = '/lib/1-URGENT'
+UNION ALL SELECT 'tags', id, '[' || coalesce(array_to_string(list_filter(CAST(media_ids AS BIGINT[]), lambda x: NOT list_contains(gone, x)), ','), '') || ']' FROM tags, (SELECT list(id) AS gone FROM t WHERE folder_path = '/lib/1-URGENT')
+UNION ALL SELECT 'lines', l_orderkey, CAST(count(*) AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM t WHERE folder_path = '/lib/1-URGENT') GROUP BY l_orderkey""", standins.TAGS))
+def folder_removed(spark, d):
+    files = standins.files(spark, d)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"))
+    left = curation.removed(files, curation.folder_files(files, "/lib/1-URGENT"), {"tags": standins.tags(spark, d)}, {"lines": lines})
+    none = F.lit(None)
+    out = left["files"].select(F.lit("files").alias("name"), "id", none.cast("string").alias("value"))
+    out = out.union(left["tombstones"].select(F.lit("tombstones"), none.cast("bigint"), "path"))
+    out = out.union(left["tags"].select(F.lit("tags"), "id", "media_ids"))
+    return out.union(left["lines"].groupBy("file_id").agg(F.count("*").cast("string").alias("n")).select(F.lit("lines"), "file_id", "n"))
+
+
+@query(over_files("SELECT '/thumbs/' || id AS path FROM t WHERE id % 4 = 0"))
+def stale_thumbnails(spark, d):
+    files = standins.files(spark, d)
+    return media.stale_thumbnails(files.select(F.concat(F.lit("/thumbs/"), F.col("id").cast("string")).alias("path")), files)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, j, (o_orderkey * j + j // 2) % 5 AS c, 0.5 + ((o_orderkey + j) % 7) / 20.0::DOUBLE AS s FROM orders, range(12) AS r(j)), g AS (SELECT *, c <> 0 AND c IS DISTINCT FROM lag(c) OVER (PARTITION BY k ORDER BY j) AS given FROM s)
+SELECT k AS id, trim(coalesce(string_agg(CASE c WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN ' ' ELSE '' END, '' ORDER BY j) FILTER (given), '')) AS text, round(coalesce(avg(s) FILTER (given), 0), 9) AS confidence FROM g GROUP BY k""")
+def lines_decoded(spark, d):
+    k, steps = F.col("o_orderkey"), F.sequence(F.lit(0), F.lit(11))
+    classes = F.transform(steps, lambda j: ((k * j + F.floor(j / 2)) % 5).cast("int"))
+    scores = F.transform(steps, lambda j: F.lit(0.5) + (k + j) % 7 / 20.0)
+    out = table(spark, d, "orders").select(k.alias("id"), recognition.ctc_text(classes, scores, ["a", "b", " "]).alias("t"))
+    return out.select("id", "t.text", F.round("t.confidence", 9).alias("confidence"))

@@ -1,9 +1,10 @@
-"""Runs of equal size under a hot time, milestones as a report, the removal of faces in one cascade."""
+"""Runs of equal size under a hot time, milestones as a report, the removal of faces in one cascade, regions of a map."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake.operators import curation, media, sessions, stats
+from prismlake.operators import curation, media, recognition, sessions, stats
 
 WEEK = 7 * 86400
 
@@ -101,3 +102,39 @@ def test_faces_go_with_all_that_hangs_on_them(spark):
     # nothing removed: covers that are null are still filled
     same = curation.faces_removed({k: tables[k] for k in ("faces", "assignments", "people")}, t([], "id long"))
     assert set(same) == {"faces", "assignments", "people"} and sorted(map(tuple, same["people"].collect())) == [(1, "a", 1), (2, "b", 2), (3, "c", 5)]
+
+
+def _flooded(values):
+    """Regions by a plain flood fill."""
+    h, w = values.shape
+    seen, out = set(), []
+    for y0 in range(h):
+        for x0 in range(w):
+            if values[y0, x0] < 0.3 or (y0, x0) in seen:
+                continue
+            seen.add((y0, x0))
+            area = [(y0, x0)]
+            for y, x in area:
+                for a, b in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if 0 <= a < h and 0 <= b < w and values[a, b] >= 0.3 and (a, b) not in seen:
+                        seen.add((a, b))
+                        area.append((a, b))
+            ys, xs = [p[0] for p in area], [p[1] for p in area]
+            if len(area) >= 8 and max(xs) - min(xs) >= 2 and max(ys) - min(ys) >= 2:
+                out.append((max(min(xs) - 2, 0), max(min(ys) - 2, 0), min(max(xs) + 2, w - 1), min(max(ys) + 2, h - 1)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.62, 0.9, 1.0])
+def test_regions_equal_a_flood_fill(share):
+    draw = np.random.default_rng(int(share * 100))
+    for h, w in ((1, 1), (1, 40), (40, 1), (3, 3), (25, 31), (60, 44)):
+        values = (draw.random((h, w)) < share).astype(float)
+        assert sorted(recognition._regions(values)) == _flooded(values)
+
+
+def test_a_winding_region_is_one():
+    values = np.zeros((41, 41))
+    values[::2] = 1
+    values[1::4, -1] = values[3::4, 0] = 1  # a snake through all rows
+    assert recognition._regions(values) == _flooded(values) == [(0, 0, 40, 40)]
