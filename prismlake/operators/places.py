@@ -62,19 +62,34 @@ def candidates(points: DataFrame, cells: DataFrame, localities: DataFrame) -> Da
 
     cells: (cell_id, locality_id), or (cell_id, locality_ids) packed; geometries may be packed, and are unpacked after the boxes.
     """
-    cells = unpacked_cells(cells) if "locality_ids" in cells.columns else cells
     lat, lon = F.col("latitude"), F.col("longitude")
-    at = points.where(valid_coordinates()).withColumn("cell_id", grid_cell(lat, lon)).join(cells, "cell_id")
-    box = at.join(localities, F.col("locality_id") == localities["id"]).where(lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")))
+    at = points.where(valid_coordinates()).withColumn("cell_id", grid_cell(lat, lon))
+    if "locality_ids" in cells.columns:
+        cells = unpacked_cells(cells.join(at.select("cell_id").distinct(), "cell_id", "left_semi"))
+    # estimates of exploded cells and of geometries are far too low, so that without hints they would be broadcast
+    at = at.join(cells.hint("merge"), "cell_id")
+    box = at.join(localities.hint("merge"), F.col("locality_id") == localities["id"]).where(lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")))
     inside = F.pandas_udf(in_packed if dict(localities.dtypes)["geometry"] == "binary" else in_polygons, "boolean")
     return box.where(inside(lon, lat, F.col("locality_id"), F.col("geometry"))).drop("geometry", "cell_id")
 
 
+def _spots(points: DataFrame) -> DataFrame:
+    """(latitude, longitude) of points with valid coordinates, each once: however many points lie on a spot, it is looked up once."""
+    return points.where(valid_coordinates()).select("latitude", "longitude").distinct()
+
+
+def _of_spots(points: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column) of all points from found (latitude, longitude, column); points without valid coordinates are dealt by key, not to one task."""
+    at = F.when(valid_coordinates(), F.col("latitude")).otherwise(F.pmod(F.xxhash64(key), F.lit(1 << 40)) + 1000.0)
+    own = points.select(key, at.alias("_lat"), F.col("longitude").alias("_lon"))
+    return own.join(found, (F.col("_lat") == F.col("latitude")) & (F.col("_lon") == F.col("longitude")), "left").select(key, column)
+
+
 def countries_at(points: DataFrame, cells: DataFrame, localities: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, country): the codes of all countries that hold a point, sorted, with commas between; null where there is none."""
-    found = candidates(points, cells, localities.withColumnRenamed("country", "code")).where("trim(code) <> ''")
-    per = found.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.upper(F.trim("code")))), ", ").alias("country"))
-    return points.select(key).join(per, key, "left")
+    found = candidates(_spots(points), cells, localities.withColumnRenamed("country", "code")).where("trim(code) <> ''")
+    per = found.groupBy("latitude", "longitude").agg(F.array_join(F.sort_array(F.collect_set(F.upper(F.trim("code")))), ", ").alias("country"))
+    return _of_spots(points, per, key, "country")
 
 
 def smallest() -> Column:
@@ -108,16 +123,15 @@ def resolve(points: DataFrame, cells: DataFrame, localities: DataFrame, mode: st
     if mode not in ("smart", "smallest"):
         raise ValueError(f"no such mode: {mode}")
     own = localities if mode == "smallest" else localities.withColumn("_names", F.when(F.col("subtype").isin("county", "region"), F.array(plain_name(F.col("local_name")), plain_name(F.col("english_name")))))
-    found = candidates(points, cells, own.withColumnRenamed("country", "l_country"))
+    found = candidates(_spots(points), cells, own.withColumnRenamed("country", "l_country"))
     if mode == "smallest":
-        best = found.groupBy(key).agg(smallest().alias("place"))
-        return points.select(key).join(best, key, "left")
+        return _of_spots(points, found.groupBy("latitude", "longitude").agg(smallest().alias("place")), key, "place")
     kind = F.coalesce("subtype", F.lit(""))
     county = (kind == "county") & F.coalesce(F.col("admin_level") == 2, F.lit(False))
     local, region, detail = kind == "locality", kind == "region", kind.isin(*DETAIL)
     first = lambda cond, order, what=None: F.max_by(F.when(cond, _place() if what is None else what), F.when(cond, order))
     large, small = F.struct("area", -F.col("locality_id")), F.struct(-F.col("area"), -F.col("locality_id"))
-    per = found.groupBy(key).agg(
+    per = found.groupBy("latitude", "longitude").agg(
         first(local & _known(F.col("english_name")), large).alias("named"),
         first(local, large).alias("local"),
         F.collect_list(F.when(county, _place())).alias("counties"),
@@ -138,13 +152,30 @@ def resolve(points: DataFrame, cells: DataFrame, localities: DataFrame, mode: st
     as_county = F.when(F.col("region").isNull() | (F.col("county")["area"] >= CITY_COUNTY) | F.coalesce(called, F.lit(False)), F.col("county")).otherwise(F.col("region"))
     without = F.when(F.col("county").isNotNull(), as_county).otherwise(F.coalesce("rest", "region", "detail"))
     place = F.when(base.isNotNull(), F.coalesce(replaced, base)).otherwise(without)
-    return points.select(key).join(per.select(key, place.alias("place")), key, "left")
+    return _of_spots(points, per.select("latitude", "longitude", place.alias("place")), key, "place")
 
 
-def cells_of(localities: DataFrame) -> DataFrame:
-    """(cell_id, locality_id): every grid cell that a locality's bounding box touches."""
-    x = F.sequence(F.floor((F.col("min_lon") + 180) * 10), F.least(F.floor((F.col("max_lon") + 180) * 10), F.lit(3599)))
-    y = F.sequence(F.floor((F.col("min_lat") + 90) * 10), F.least(F.floor((F.col("max_lat") + 90) * 10), F.lit(1799)))
+#: Cells on a side of a block, by which boxes meet the cells of points.
+BLOCK = 16
+
+
+def cells_of(localities: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(cell_id, locality_id): every grid cell that a locality's bounding box touches; with points only cells that hold one.
+
+    A box of several degrees touches thousands of cells. With points it is laid on blocks of cells instead, which it meets
+    the points' cells in.
+    """
+    x1, x2 = F.floor((F.col("min_lon") + 180) * 10), F.least(F.floor((F.col("max_lon") + 180) * 10), F.lit(3599))
+    y1, y2 = F.floor((F.col("min_lat") + 90) * 10), F.least(F.floor((F.col("max_lat") + 90) * 10), F.lit(1799))
+    if points is not None:
+        of = lambda c: F.floor(c / BLOCK)
+        asked = points.where(valid_coordinates()).select(grid_cell(F.col("latitude"), F.col("longitude")).alias("cell_id")).distinct()
+        asked = asked.withColumns({"x": F.col("cell_id") % 3600, "y": F.floor(F.col("cell_id") / 3600)}).withColumns({"bx": of(F.col("x")), "by": of(F.col("y"))})
+        boxes = localities.select(F.col("id").alias("locality_id"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"))
+        boxes = boxes.select("*", F.explode(F.sequence(of(F.col("x1")), of(F.col("x2")))).alias("bx")).select("*", F.explode(F.sequence(of(F.col("y1")), of(F.col("y2")))).alias("by"))
+        both = asked.join(boxes.hint("merge"), ["bx", "by"])
+        return both.where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))).select("cell_id", "locality_id")
+    x, y = F.sequence(x1, x2), F.sequence(y1, y2)
     return localities.select(F.col("id").alias("locality_id"), F.explode(x).alias("x"), y.alias("ys")).select("locality_id", "x", F.explode("ys").alias("y")).select((F.col("y") * 3600 + F.col("x")).alias("cell_id"), "locality_id")
 
 

@@ -113,3 +113,25 @@ def test_forms_equal_the_standard_library_over_all_code_points(spark, form):
 def test_plain_names(spark):
     rows = [("São Pâulo",), ("  İzmir--X ",), ("Groß",), (None,), ("Ångström",)]
     assert [r[0] for r in spark.createDataFrame(rows, "n string").select(plain_name(F.col("n"))).collect()] == ["sao paulo", "izmir x", "gro", "", "angstrom"]
+
+
+def test_cells_of_points_and_spots(spark):
+    """Cells with points only are those of the whole grid that hold one; points of one spot, also under one key, get the same place, others none."""
+    from prismlake.functions.columns import grid_cell
+
+    ring = lambda x, y, w, h: [[[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]]]
+    boxes = [(1, 0.0, 0.0, 40.0, 30.0), (2, 1.55, 1.55, 0.2, 0.2), (3, 170.0, 80.0, 10.0, 10.0), (4, -180.0, -90.0, 3.2, 1.6)]
+    loc = spark.createDataFrame([(i, f"c{i}", w * h, x, x + w, y, y + h, ring(x, y, w, h)) for i, x, y, w, h in boxes], "id long, country string, area double, min_lon double, max_lon double, min_lat double, max_lat double, geometry array<array<array<struct<lon: double, lat: double>>>>")
+    loc = loc.selectExpr("*", "'n' AS local_name", "CAST(NULL AS STRING) AS english_name", "CAST(NULL AS STRING) AS region", "'locality' AS subtype", "3 AS admin_level")
+    spots = [(1.61, 1.61), (1.61, 1.61), (20.0, 20.0), (89.99, 179.99), (90.0, 180.0), (-89.0, -179.0), (50.0, -50.0), (0.0, 0.0), (-0.0, 0.0), (None, 1.0), (95.0, 1.0), (float("nan"), 1.0)]
+    points = spark.createDataFrame([(k, *at) for k, at in enumerate(spots)], "file_id long, latitude double, longitude double")
+    few = {tuple(r) for r in places.cells_of(loc, points).select("cell_id", "locality_id").collect()}
+    held = {r[0] for r in points.where("latitude BETWEEN -90 AND 90").select(grid_cell(F.col("latitude"), F.col("longitude"))).collect()}
+    assert few == {tuple(r) for r in places.cells_of(loc).select("cell_id", "locality_id").collect() if r[0] in held}
+    plain = places.resolve(points, places.cells_of(loc), loc, "smallest")
+    got = {r["file_id"]: r["i"] for r in places.resolve(points, places.cells_of(loc, points), loc, "smallest").select("file_id", F.col("place.locality_id").alias("i")).collect()}
+    assert got == {r["file_id"]: r["i"] for r in plain.select("file_id", F.col("place.locality_id").alias("i")).collect()}
+    assert [got[k] for k in (0, 1, 2, 3, 5, 6, 9, 10, 11)] == [2, 2, 1, 3, 4, None, None, None, None] and len(got) == len(spots)
+    assert got[7] == got[8]
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell_id" in plan and "BroadcastHashJoin [cell_id" not in plan
