@@ -17,7 +17,8 @@ def due(rows: DataFrame, attempts: DataFrame, version: str, now: int, key: str =
     """Rows that have never been tried in this version, or failed or were offline and whose next time has come."""
     mine = attempts.where(F.col("model_version") == version).select(F.col("file_id").alias(key), "state", "next_at")
     waiting = F.col("state").isin("done", "given_up") | (F.col("next_at") > now)
-    return rows.join(mine.where(waiting), key, "left_anti")
+    # attempts are small on disk and large in memory, so their size must not decide on a broadcast; so below
+    return rows.join(mine.where(waiting).hint("merge"), key, "left_anti")
 
 
 def recorded(attempts: DataFrame, results: DataFrame, version: str, now: int, most: int = 3, delay: int = 60, defer: int = 600) -> DataFrame:
@@ -29,12 +30,12 @@ def recorded(attempts: DataFrame, results: DataFrame, version: str, now: int, mo
     rank = F.when(F.col("outcome") == "ok", 0).when(F.col("outcome") == "permanent", 2).when(F.col("outcome") == "offline", 3).otherwise(1)
     new = results.groupBy("file_id").agg(F.min_by(F.struct(rank.alias("rank"), "error"), F.struct(rank, "error")).alias("r"))
     old = attempts.where(F.col("model_version") == version).select("file_id", F.col("attempts").alias("before"))
-    tried = new.join(old, "file_id", "left").withColumn("n", F.coalesce("before", F.lit(0)) + F.when(F.col("r.rank") == 3, 0).otherwise(1))
+    tried = new.join(old.hint("merge"), "file_id", "left").withColumn("n", F.coalesce("before", F.lit(0)) + F.when(F.col("r.rank") == 3, 0).otherwise(1))
     state = F.when(F.col("r.rank") == 0, "done").when(F.col("r.rank") == 3, "offline").when((F.col("r.rank") == 2) | (F.col("n") >= most), "given_up").otherwise("failed")
     rows = tried.withColumn("state", state)
     wait = F.when(F.col("state") == "failed", F.lit(delay) * F.pow(F.lit(2), F.least(F.col("n") - 1, F.lit(20)))).when(F.col("state") == "offline", F.lit(defer))
     rows = rows.select("file_id", F.lit(version).alias("model_version"), "state", F.col("n").cast("int").alias("attempts"), F.when(F.col("state") != "done", F.col("r.error")).alias("error"), (F.lit(now) + wait).cast("long").alias("next_at"))
-    kept = attempts.join(rows.select("file_id", "model_version"), ["file_id", "model_version"], "left_anti").select(*rows.columns)
+    kept = attempts.join(rows.select("file_id", "model_version").hint("merge"), ["file_id", "model_version"], "left_anti").select(*rows.columns)
     return kept.unionByName(rows)
 
 
@@ -52,8 +53,8 @@ def work_once(tables: TableSet, rows: DataFrame, work: Callable[[DataFrame], Dat
     # written first, so that the work is done once for both tables
     got = tables.commit(base, {"tried": work(todo).withColumn("_version", F.lit(version))}, notes={"tried_from": base.version})
     tried = got.table("tried")
-    silent = todo.select(F.col(key).alias("file_id")).join(tried.select("file_id"), "file_id", "left_anti").select("file_id", F.lit("failed").alias("outcome"), F.lit("no result").alias("error"))
+    silent = todo.select(F.col(key).alias("file_id")).join(tried.select("file_id").hint("merge"), "file_id", "left_anti").select("file_id", F.lit("failed").alias("outcome"), F.lit("no result").alias("error"))
     new = recorded(attempts, tried.select("file_id", "outcome", "error").unionByName(silent), version, now, **limits)
     good = tried.where("outcome = 'ok'").drop("outcome", "error").withColumnRenamed("_version", "model_version")
-    old = base.table(result).join(good.select("file_id"), "file_id", "left_anti").unionByName(good, allowMissingColumns=True) if result in base else good
+    old = base.table(result).join(good.select("file_id").hint("merge"), "file_id", "left_anti").unionByName(good, allowMissingColumns=True) if result in base else good
     return tables.commit(got, {"attempts": new, result: old}, removed=("tried",))
