@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from prismlake.operators.clustering import _matrix as matrix
 from prismlake.operators.filters import person_query
 
 
@@ -99,25 +102,68 @@ def covers(people: DataFrame, assignments: DataFrame, faces: DataFrame) -> DataF
     return out.select(*[c for c in people.columns if c != "cover_face_id"], F.when(F.col("f").isNotNull(), F.col("cover_face_id")).otherwise(F.col("best")).alias("cover_face_id"))
 
 
-#: Target faces that one row holds.
-TARGETS = 1024
+#: Most candidates and most targets that one task holds, and how many pairs of blocks are wanted at least.
+BLOCK, PAIRS = 32768, 64
 
 
-def best_by_file(candidates: DataFrame, targets: DataFrame, least: float = 0.58, min_targets: int = 2) -> DataFrame:
-    """(file_id, face_id, score, suggested): each file's face that is most like any target face.
+def _best_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(file_id, face_id, score): the best face of each file among a block's candidates against its targets.
 
-    candidates: (file_id, face_id, embedding); targets: (face_id, embedding) of one person. Targets are dealt to rows of about a thousand
-    faces. One such row is broadcast; more of them meet the candidates in a shuffle, each row all of them.
+    A matrix product finds which pairs come within rounding of a file's best; these are summed again term by term, so that
+    scores and ties don't hang on how a product is cut into tiles. Equal vectors are compared once.
     """
-    from prismlake.functions.columns import dot
-
-    n = targets.count()
-    parts = max(1, -(-n // TARGETS))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    rows = targets.groupBy(part("face_id").alias("_part")).agg(F.collect_list("embedding").alias("_targets"))
-    asked = candidates.select("file_id", "face_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    met = asked.join(F.broadcast(rows) if parts == 1 else rows, "_part")
-    scored = met.select("file_id", "face_id", F.array_max(F.transform("_targets", lambda t: dot(F.col("embedding"), t))).alias("score"))
+    out = pd.DataFrame({"file_id": pd.Series(dtype="int64"), "face_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+    pdf = pdf.sort_values("face_id", ignore_index=True)
+    x, is_target = matrix(pdf["embedding"]) + 0.0, pdf["target"].to_numpy(bool)
+    if is_target.all() or not is_target.any():
+        return out
+    text = pd.Series([v.tobytes() for v in x])
+    y = x[is_target][~text[is_target].duplicated().to_numpy()]
+    own = pdf[~is_target].assign(text=text[~is_target]).drop_duplicates(["file_id", "text"])
+    x, (file, names) = x[own.index], pd.factorize(own["file_id"])
+    rows = range(0, len(x), max(1, 4_000_000 // len(y)))
+    step = rows.step
+    best = np.full(len(names), -np.inf)
+    high = np.empty(len(x))
+    with np.errstate(all="ignore"):
+        for a in rows:
+            high[a : a + step] = (x[a : a + step] @ y.T).max(1)
+        high[np.isnan(high)] = np.inf
+        np.maximum.at(best, file, high)
+        room = 1e-12 * np.sqrt((x * x).sum(1).max() * (y * y).sum(1).max())
+        room = room if np.isfinite(room) else np.inf
+        least = np.where(np.isfinite(best), best - room, best)
+        near = np.flatnonzero(high >= least[file])
+        score = np.full(len(near), -np.inf)
+        for k, i in enumerate(near.tolist()):
+            s = y @ x[i]
+            some = y[(s >= high[i] - room) | ~np.isfinite(s)] if np.isfinite(high[i]) else y
+            total = np.zeros(len(some))
+            for j in range(x.shape[1]):
+                total += some[:, j] * x[i, j]
+            score[k] = np.nan if np.isnan(total).any() else total.max()
+    got = pd.DataFrame({"file": file[near], "face_id": own["face_id"].to_numpy()[near], "score": score, "nan": np.isnan(score)})
+    got = got.sort_values(["file", "nan", "score", "face_id"], ascending=[True, False, False, True]).drop_duplicates("file")
+    return pd.DataFrame({"file_id": np.asarray(names)[got["file"]], "face_id": got["face_id"].to_numpy(), "score": got["score"].to_numpy()})
+
+
+def best_by_file(candidates: DataFrame, targets: DataFrame, least: float = 0.58, min_targets: int = 2, block: int | None = None) -> DataFrame:
+    """(file_id, face_id, score, suggested): each file's face that is most like any target face, the least of equally like ones.
+
+    candidates: (file_id, face_id, embedding); targets: (face_id, embedding) of one person. Both are dealt to blocks by hash, and each pair of
+    blocks is one task, which gives one row for a file. Each candidate is compared with each target, so work grows with both.
+    """
+    n, m = targets.count(), candidates.count()
+    size = block or int(min(BLOCK, max(1024, (n * m / PAIRS) ** 0.5)))
+    deal = lambda k: F.pmod(F.xxhash64("face_id"), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left, right = max(1, -(-m // size)), max(1, -(-n // size))
+    ids = [F.col(c).cast("long").alias(c) for c in ("file_id", "face_id")]
+    asked = candidates.where("embedding IS NOT NULL").select(*ids, "embedding", F.lit(False).alias("target"), deal(left).alias("i"), all_of(right).alias("j"))
+    sought = targets.where("embedding IS NOT NULL").select(F.lit(None).cast("long").alias("file_id"), ids[1], "embedding", F.lit(True).alias("target"), deal(right).alias("j"), all_of(left).alias("i"))
+    scored = asked.unionByName(sought).groupBy("i", "j").applyInPandas(_best_of_block, "file_id long, face_id long, score double")
+    # files whose faces have no vector are there too
+    scored = scored.unionByName(candidates.where(F.lit(n > 0)).select(*ids, F.lit(None).cast("double").alias("score")))
     best = scored.groupBy("file_id").agg(F.max_by("face_id", F.struct("score", -F.col("face_id"))).alias("face_id"), F.max("score").alias("score"))
     return best.withColumn("suggested", (F.col("score") >= least) & F.lit(n >= min_targets))
 

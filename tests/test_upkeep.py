@@ -1,5 +1,6 @@
 """Items by hand, listings, code tables, searches with an embedder, seeded order."""
 
+import functools
 import os
 
 import numpy as np
@@ -137,3 +138,22 @@ def test_retries_broadcast_no_attempts(spark):
     for df in (retries.due(spark.range(3), attempts, "v", 0), retries.recorded(attempts, results, "v", 0)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r["id"] for r in retries.due(spark.range(3), attempts, "v", 0).collect()} == {0, 2}
+
+
+def test_best_face_by_file_in_many_blocks(spark):
+    """Blocks of few faces give what one loop over all pairs does: copies, faces of other lengths, without a vector or with no number in it."""
+    rng = np.random.default_rng(3)
+    vectors = [*rng.normal(size=(60, 7)).tolist(), *[[1.0, 0.5] * 3] * 25, [2.0, 1.0], None, [float("nan"), 0.0]]
+    faces = [(200 - k, k % 9 if v and v[0] == v[0] else 20 + k % 2, v) for k, v in enumerate(vectors)]
+    want: dict = {}
+    targets = [(i, v) for i, _, v in faces if i % 3 == 1]
+    for i, file, v in faces:
+        scores = [functools.reduce(lambda s, p: s + p[0] * p[1], zip(v, w), 0.0) for _, w in targets if v and w]
+        key = (1, 0.0) if scores and scores[0] != scores[0] else (0, max(scores)) if scores else (-1, 0.0)
+        want[file] = max(want.get(file, ((-2, 0.0), 0)), (key, -i))
+    df = spark.createDataFrame(faces, "face_id long, file_id long, embedding array<double>")
+    for block in (10, None):
+        got = {r["file_id"]: r for r in people.best_by_file(df, df.where("face_id % 3 = 1"), block=block).collect()}
+        assert {f: r["face_id"] for f, r in got.items()} == {f: -i for f, (_, i) in want.items()}
+        assert all(got[f]["score"] == key[1] for f, (key, _) in want.items() if key[0] == 0)
+    assert people.best_by_file(df, df.where("false")).count() == 0
