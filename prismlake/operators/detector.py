@@ -64,12 +64,13 @@ def similarity(landmarks: Column) -> Column:
     Null if there aren't five points, all are one, or the map would shrink everything to a point.
     """
     points = [(F.get(landmarks, F.lit(k))["x"].cast("double"), F.get(landmarks, F.lit(k))["y"].cast("double"), *TARGET[k]) for k in range(5)]
-    mx, my = (sum(p[k] for p in points) / 5 for k in (0, 1))
-    mu, mv = (sum(t[k] for t in TARGET) / 5 for k in (0, 1))
-    off = [(x - mx, y - my, u - mu, v - mv) for x, y, u, v in points]
-    spread = sum(x * x + y * y for x, y, _, _ in off)
-    a, b = sum(x * u + y * v for x, y, u, v in off) / spread, sum(x * v - y * u for x, y, u, v in off) / spread
-    out = F.struct(a.alias("a"), b.alias("b"), (mu - a * mx + b * my).alias("tx"), (mv - b * mx - a * my).alias("ty"))
+    x, y, u, v = (sum(p[k] for p in points) for k in range(4))
+    square, along, across = sum(x * x + y * y for x, y, _, _ in points), sum(x * u + y * v for x, y, u, v in points), sum(x * v - y * u for x, y, u, v in points)
+    # whether points are apart is told from the middle, where nothing cancels; the map's sums are plain ones in the order of the points, as SQL has them
+    spread = sum((p[0] - x / 5) * (p[0] - x / 5) + (p[1] - y / 5) * (p[1] - y / 5) for p in points)
+    below = square - (x * x + y * y) / 5
+    a, b = (along - (x * u + y * v) / 5) / below, (across - (x * v - y * u) / 5) / below
+    out = F.struct(a.alias("a"), b.alias("b"), ((F.lit(u) - a * x + b * y) / 5).alias("tx"), ((F.lit(v) - b * x - a * y) / 5).alias("ty"))
     return F.when((F.size(landmarks) >= 5) & (spread >= LEAST_DETERMINANT), F.when(a * a + b * b >= LEAST_DETERMINANT, out))
 
 

@@ -167,3 +167,19 @@ def test_numbers_of_no_rows_and_of_empty_partitions(spark):
     assert ingest.numbered(spark.range(0), 5).count() == 0
     rows = spark.range(100).repartition(16).where("id % 9 = 0")
     assert sorted(r["media_id"] for r in ingest.numbered(rows, 5).collect()) == list(range(6, 18))
+
+
+def test_alignment_has_the_sums_of_sql(spark, sf):
+    """Not only after rounding: sums are taken in the same order, so that no value lies on the other side of a half."""
+    import oracle
+
+    from prismlake.plans import upkeep
+
+    sql = upkeep.query.__globals__["ORACLE"]["face_alignment"]
+    for c in ("a", "b"):
+        sql = sql.replace(f"round({c}, 6)", c)
+    sql = sql.replace("round((u - a * x + b * y) / 5, 4)", "(u - a * x + b * y) / 5").replace("round((v - b * x - a * y) / 5, 4)", "(v - b * x - a * y) / 5")
+    assert "round(a," not in sql and "/ 5, 4)" not in sql
+    want = {(r[0], r[1]): tuple(r[2:]) for r in oracle.connect(sf).execute(sql).fetchall()}
+    found = detector.decoded(upkeep._heads(spark, sf)).select("file_id", "box_id", detector.similarity(F.col("landmarks")).alias("t")).collect()
+    assert len(found) == len(want) and all(want[r["file_id"], r["box_id"]] == tuple(r["t"]) for r in found)
