@@ -106,16 +106,24 @@ def resolved(files: DataFrame, selections: list[Selection], zone: str = "UTC") -
     return files.where(any_).select("id").distinct()
 
 
+#: Places of a list that are put together at once.
+STRETCH = 4096
+
+
 def removed(files: DataFrame, gone: DataFrame, lists: dict[str, DataFrame], derived: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables after files (gone: id) are removed: `files`, new `tombstones`, lists without their ids, derived tables without their rows.
 
-    lists have media_ids in JSON; ids are taken out by exploding them, so however many files go, no list of them is a literal.
+    lists have media_ids in JSON; ids are taken out by exploding them, so however many files go, no list of them is a literal. What is
+    left of a list is put together in stretches of its places, so that a task holds texts of lists and not all their items.
     """
     out = {"files": files.join(gone, "id", "left_anti"), "tombstones": files.join(gone, "id", "left_semi").select("path", "folder_path")}
     for name, t in lists.items():
         items = t.select("id", F.posexplode(id_array("media_ids")).alias("at", "item"))
-        kept = items.join(gone.select(F.col("id").alias("item")), "item", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("k"))
-        kept = kept.select("id", F.to_json(F.transform("k", lambda x: x["item"])).alias("_kept"))
+        kept = items.join(gone.select(F.col("id").alias("item")), "item", "left_anti")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: F.coalesce(x["item"].cast("string"), F.lit("null"))), ",")
+        kept = kept.groupBy("id", F.floor(F.col("at") / STRETCH).alias("stretch")).agg(text.alias("text"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "text"))), lambda x: x["text"]), ",")
+        kept = kept.groupBy("id").agg(F.concat(F.lit("["), text, F.lit("]")).alias("_kept"))
         out[name] = t.join(kept, "id", "left").withColumn("media_ids", F.coalesce("_kept", F.lit("[]"))).drop("_kept").select(*t.columns)
     for name, t in derived.items():
         out[name] = t.join(gone.select(F.col("id").alias("file_id")), "file_id", "left_anti")

@@ -1,6 +1,7 @@
 """Items by hand, listings, code tables, searches with an embedder, seeded order."""
 
 import functools
+import json
 import os
 
 import numpy as np
@@ -157,3 +158,16 @@ def test_best_face_by_file_in_many_blocks(spark):
         assert {f: r["face_id"] for f, r in got.items()} == {f: -i for f, (_, i) in want.items()}
         assert all(got[f]["score"] == key[1] for f, (key, _) in want.items() if key[0] == 0)
     assert people.best_by_file(df, df.where("false")).count() == 0
+
+
+def test_lists_are_put_together_in_stretches(spark):
+    """A long list keeps its order, repeats and nulls, and no aggregation gathers a whole list's items."""
+    from prismlake.operators import curation
+
+    n = curation.STRETCH * 2 + 7
+    ids = [(k * 7919) % n for k in range(n)] + [None, 3, 3]
+    lists = spark.createDataFrame([(1, json.dumps(ids)), (2, "[5]"), (3, "[]"), (4, "x")], "id long, media_ids string")
+    files = spark.range(n).selectExpr("id", "'p' AS path", "'f' AS folder_path")
+    left = curation.removed(files, files.where("id % 5 = 0").select("id"), {"tags": lists}, {})["tags"]
+    kept = [k for k in ids if k is None or k % 5]
+    assert {r["id"]: r["media_ids"] for r in left.collect()} == {1: json.dumps(kept, separators=(",", ":")), 2: "[]", 3: "[]", 4: "[]"}
