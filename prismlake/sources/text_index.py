@@ -16,6 +16,15 @@ GROUP_BYTES = 1 << 22
 FILE_ROWS = 20_000_000
 
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """(key, word, tf, len) of rows (key, _words): a row's words are sorted and counted by themselves, so nothing is shuffled."""
+    own = rows.where(F.size("_words") > 0).select(key, F.sort_array("_words").alias("w"), F.size("_words").alias("len"))
+    last = lambda i: (i == F.col("len")) | (F.get("w", i - 1) != F.get("w", i))
+    own = own.withColumn("ends", F.filter(F.sequence(F.lit(1), F.col("len")), last))
+    runs = F.transform("ends", lambda e, k: F.struct(F.get("w", e - 1).alias("word"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("long").alias("tf")))
+    return own.select(key, "len", F.explode(runs).alias("r")).select(key, "r.word", "len", "r.tf")
+
+
 class TextIndex:
     """Postings (key, word, tf, len) and lengths (key, len) of texts in numbered segments, of which a table set holds all.
 
@@ -61,7 +70,7 @@ class TextIndex:
         rows = cut(rows.where(F.col(self.key).isNotNull()).select(self.key, index_words(F.col(text)).alias("_words")))
         changed = rows.select(self.key) if gone is None else rows.select(self.key).union(gone.select(self.key))
         lengths = rows.where("_words IS NOT NULL").select(self.key, F.size("_words").alias("len"))
-        words = rows.select(self.key, F.size("_words").alias("len"), F.explode("_words").alias("word")).groupBy(self.key, "word", "len").agg(F.count("*").alias("tf"))
+        words = _counted(rows, self.key)
         old = self._live(s, "lengths", self.segments(s))
         out = {f"lengths_{number}": lengths, f"postings_{number}": self._sorted(words, words.count()).select(self.key, "word", "tf", "len")}
         lost = (0, 0)

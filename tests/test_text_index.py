@@ -69,3 +69,12 @@ def test_a_prefix_reads_the_row_groups_of_its_range_only(spark, tmp_path):
     spans = spark.read.parquet(folder).selectExpr("word", "input_file_name() AS f").groupBy("f").agg({"word": "min"}).count()
     assert spans == 5
     assert scores(index.search("wa3")) == scores(search.bm25(rows, "wa3"))
+
+
+def test_words_of_a_text_are_counted_without_a_shuffle(spark):
+    from prismlake.sources.text_index import _counted
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "é", "b"]), (2, []), (3, None), (4, ["x"])], "doc_id long, _words array<string>")
+    got = _counted(rows, "doc_id")
+    assert sorted(tuple(r) for r in got.select("doc_id", "word", "tf", "len").collect()) == [(1, "a", 1, 5), (1, "b", 3, 5), (1, "é", 1, 5), (4, "x", 1, 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
