@@ -139,3 +139,14 @@ def test_known_faces_are_not_compared_with_each_other_and_hidden_groups_take_no_
     known = spark.createDataFrame([(2**60 + 1, 2**60 + 1, 0, [0.0, 1.0]), (2**60 + 2, 2**60 + 2, 0, [0.0, 1.0])], "person_id long, face_id long, place int, embedding array<double>")
     got = [tuple(r) for r in clustering.leaders(df.where("face_id = 3"), known).collect()]
     assert got == [(3, 2**60 + 1, 1.0, None, None, 1)]
+
+
+def test_links_of_large_components_do_not_grow_with_blocks(spark):
+    g = np.random.default_rng(6)
+    x = np.eye(3, 12)[np.arange(900) % 3] * 2 + g.normal(size=(900, 12)) * 0.4
+    x[890:] = g.normal(size=(10, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "face_id long, embedding array<double>")
+    roots = lambda e: {r["node"]: r["root"] for r in clustering.components(e.select("a", "b")).collect()}
+    links = clustering.similar_links(df, block=64)
+    assert roots(links) == roots(clustering.similar_pairs(df, block=64)) and links.count() < 2 * 900
