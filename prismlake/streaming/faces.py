@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prismlake.operators.clustering import leaders
+from prismlake.sources.tables import cut
 from prismlake.sources.tablesets import Snapshot, TableSet
 
 # fixed values: the tables of people and their columns
@@ -32,7 +33,7 @@ def assigned(tables: dict[str, DataFrame], faces: DataFrame, ignored: DataFrame
     people, done, known, suggested = (tables[n] for n in TABLES)
     fresh = faces.join(done.select("face_id"), "face_id", "left_anti").dropDuplicates(["face_id"]).withColumn("group_id", F.lit(None).cast("long"))
     shown = known.join(people.where("hidden").select("person_id"), "person_id", "left_anti")
-    got = leaders(fresh, shown, ignored, order=order or [F.col("face_id")])
+    got = cut(leaders(fresh, shown, ignored, order=order or [F.col("face_id")]))  # four tables read it
     new = got.join(faces.select(F.col("face_id").cast("long").alias("face_id"), F.col("quality").cast("double").alias("quality"), F.col("embedding").cast("array<double>").alias("embedding"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order or [])], "face_id").alias("at")).dropDuplicates(["face_id"]), "face_id")
     opened = new.where("leader = face_id")
     best = new.groupBy(F.col("leader").alias("person_id")).agg(F.min_by("face_id", F.struct(-F.coalesce("quality", F.lit(-1.0)), "at")).alias("face"), F.max("quality").alias("quality"))

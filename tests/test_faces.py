@@ -150,3 +150,16 @@ def test_links_of_large_components_do_not_grow_with_blocks(spark):
     roots = lambda e: {r["node"]: r["root"] for r in clustering.components(e.select("a", "b")).collect()}
     links = clustering.similar_links(df, block=64)
     assert roots(links) == roots(clustering.similar_pairs(df, block=64)) and links.count() < 2 * 900
+
+
+def test_a_component_is_one_stream_however_shuffles_are_read(spark, tmp_path):
+    rows = sorted(random_faces(160, 7))
+    tables, name = TableSet(spark, f"file://{tmp_path}/t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # as with large tables, whose shuffles have many partitions
+    try:
+        for k in range(2):
+            S.assign_batch(tables, spark.createDataFrame(rows[80 * k : 80 * k + 80], SCHEMA).repartition(3), k)
+        assert found(tables) == plain(rows)
+    finally:
+        spark.conf.set(name, before)
