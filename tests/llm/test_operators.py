@@ -1009,3 +1009,37 @@ def test_queries_are_registered(name):
     import __spark_entry__ as e
 
     assert name in e.queries() and "pipeline" in e.queries()
+
+
+def test_repeated_members_count_once(spark):
+    rows = [(1, [10, 20]), (1, [10, 20]), (2, [10, 30]), (3, [10, 30]), (4, [40]), (4, [40])]
+    seen = _links._met(spark.createDataFrame(rows, "node long, buckets array<long>")).collect()
+    assert sorted((r["bucket"], r["node"], r["n"]) for r in seen) == [(10, 1, 3), (10, 2, 3), (10, 3, 3), (30, 2, 2), (30, 3, 2)]
+    assert [(r["node"], r["other"]) for r in seen if r["other"] is not None] == [(2, 3)]
+
+
+def test_lines_are_told_apart_by_their_whole_digest(spark, monkeypatch):
+    """Lines whose digests agree in one half are different lines still, also if they repeat in other tasks."""
+    texts = ["alpha beta gamma delta\nsomething else entirely", "alpha beta gamma delta", "one two three four five six seven eight nine", "one two three four five six seven eight ninE!"]
+    df = docs(spark, *texts).repartition(4)
+    want = sorted(map(tuple, line_dedup.op6_fuzzy_lines(df).collect()))
+    whole = line_dedup._texts(line_dedup.lines(df).where("n IS NOT NULL"), "hi", "lo").count()
+    same = line_dedup.lines(df).withColumn("lo", F.when(F.col("lo").isNotNull(), F.lit(7)).cast("long"))
+    monkeypatch.setattr(line_dedup, "lines", lambda _: same)
+    assert whole == 4
+    assert sorted(map(tuple, line_dedup.op6_fuzzy_lines(df).collect())) == want
+    assert len({x[2:4] for x in want}) == 3
+
+
+def test_lines_are_written_and_dealt_once(spark, monkeypatch):
+    """The bodies of lines that meet no other are in one work table only."""
+    tables = {}
+
+    def spy(df, tag, *how):
+        tables[tag] = df
+        return materialize(df, tag, *how)
+
+    monkeypatch.setattr(line_dedup, "materialize", spy)
+    d = docs(spark, "alpha beta gamma delta", "something else entirely\nalpha  beta gamma delta")
+    assert line_dedup.op6_fuzzy_lines(d).where("keep").count() == 2
+    assert [t for t, df in tables.items() if "body" in df.columns] == ["lines"]
