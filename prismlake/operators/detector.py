@@ -58,10 +58,11 @@ def detected(heads: DataFrame) -> DataFrame:
     return boxes.join(kept, ["file_id", "box_id"], "left_semi").withColumn("quality", recognition_quality())
 
 
-def similarity(landmarks: Column) -> Column:
+def similarity(landmarks: Column, whole: bool = False) -> Column:
     """(a, b, tx, ty) of the least-squares map x' = a x - b y + tx, y' = b x + a y + ty of five points to their places in an aligned face.
 
-    Null if there aren't five points, all are one, or the map would shrink everything to a point.
+    Null if there aren't five points, all are one, or the map would shrink everything to a point. With `whole` none of them is null: each
+    map is as its sums give it, infinite or not a number where all points are one.
     """
     points = [(F.get(landmarks, F.lit(k))["x"].cast("double"), F.get(landmarks, F.lit(k))["y"].cast("double"), *TARGET[k]) for k in range(5)]
     x, y, u, v = (sum(p[k] for p in points) for k in range(4))
@@ -69,8 +70,11 @@ def similarity(landmarks: Column) -> Column:
     # whether points are apart is told from the middle, where nothing cancels; the map's sums are plain ones in the order of the points, as SQL has them
     spread = sum((p[0] - x / 5) * (p[0] - x / 5) + (p[1] - y / 5) * (p[1] - y / 5) for p in points)
     below = square - (x * x + y * y) / 5
-    a, b = (along - (x * u + y * v) / 5) / below, (across - (x * v - y * u) / 5) / below
+    over = lambda c: F.when(below != 0, c / below).otherwise(c * float("inf"))  # noqa: E731 (Spark's own division by zero is an error)
+    a, b = over(along - (x * u + y * v) / 5), over(across - (x * v - y * u) / 5)
     out = F.struct(a.alias("a"), b.alias("b"), ((F.lit(u) - a * x + b * y) / 5).alias("tx"), ((F.lit(v) - b * x - a * y) / 5).alias("ty"))
+    if whole:
+        return out
     return F.when((F.size(landmarks) >= 5) & (spread >= LEAST_DETERMINANT), F.when(a * a + b * b >= LEAST_DETERMINANT, out))
 
 

@@ -127,6 +127,25 @@ def test_camera_milestones_by_given_steps(spark, sf):
     assert [m for m in upkeep.STEPS if m > 1_000_000] == list(range(1_100_000, 2_000_001, 100_000))
 
 
+def test_alignment_is_that_of_sql_where_points_are_one_and_zeros_have_a_sign(spark, sf, tmp_path):
+    """A vector of equal numbers puts all points of a box at one place; the last one has a box whose a lies just below zero."""
+    v = np.random.default_rng(18750).normal(size=64)
+    rows = [(1, [0.2] * 64), (2, [0.125] * 64), (3, [1.0] * 64), (18750, (v / np.linalg.norm(v)).astype("float32").tolist())]
+    vectors = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<float>, label int")
+    folder = _with_table(spark, sf, tmp_path, "embeddings", vectors)
+    names, want = oracle.rows_of_duck(oracle.connect(folder), registry.ORACLE["face_alignment"])
+    got = registry.QUERIES["face_alignment"](spark, folder)
+    assert names == sorted(got.columns) and any("-0.0" in repr(r) for r in want) and any("inf" in repr(r) for r in want)
+    assert repr(oracle.rows_of_spark(got)) == repr(want)
+
+
+def test_rounding_is_that_of_sql(spark):
+    values = [-1e-9, 1e-9, -0.0, 0.0, -4.9e-7, -5e-7, 5e-7, 0.0000015, -0.0000025, 1.0000005, -2.5, 123456.7890125, 1e12 / 3, float("inf"), float("-inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(upkeep._rounded(F.col("x"), 6)).collect()]
+    want = [oracle.duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+    assert [repr(x) for x in got] == [repr(x) for x in want] and repr(got[0]) == "-0.0"
+
+
 def test_sessions_by_whole_seconds(spark, sf, tmp_path):
     rows = [(1, 1, "2024-01-01 00:00:00.2"), (2, 1, "2024-01-01 01:00:00.9"), (3, 1, "2024-01-01 02:00:00.1"), (4, 1, "2024-01-01 03:00:01.0"), (5, 2, "2024-01-01 00:00:00.9"), (6, 2, "2024-01-01 01:00:01.0")]
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
