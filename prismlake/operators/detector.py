@@ -61,12 +61,17 @@ def detected(heads: DataFrame) -> DataFrame:
 def similarity(landmarks: Column, whole: bool = False) -> Column:
     """(a, b, tx, ty) of the least-squares map x' = a x - b y + tx, y' = b x + a y + ty of five points to their places in an aligned face.
 
-    Null if there aren't five points, all are one, or the map would shrink everything to a point. With `whole` none of them is null: each
-    map is as its sums give it, infinite or not a number where all points are one.
+    Null if there aren't five points, all are one, or the map would shrink everything to a point. With `whole` each map is as its sums
+    give it: infinite or not a number where all points are one, and of the coordinates that are there where some are null.
     """
     points = [(F.get(landmarks, F.lit(k))["x"].cast("double"), F.get(landmarks, F.lit(k))["y"].cast("double"), *TARGET[k]) for k in range(5)]
-    x, y, u, v = (sum(p[k] for p in points) for k in range(4))
-    square, along, across = sum(x * x + y * y for x, y, _, _ in points), sum(x * u + y * v for x, y, u, v in points), sum(x * v - y * u for x, y, u, v in points)
+
+    def total(terms: list[Column]) -> Column:
+        """Their sum; with `whole` of those that aren't null, as SQL's sum() has it."""
+        return F.when(F.coalesce(*terms).isNotNull(), sum(F.coalesce(c, F.lit(0.0)) for c in terms)) if whole else sum(terms)
+
+    (x, y), (u, v) = (total([p[k] for p in points]) for k in (0, 1)), (sum(t[k] for t in TARGET) for k in (0, 1))
+    square, along, across = total([x * x + y * y for x, y, _, _ in points]), total([x * u + y * v for x, y, u, v in points]), total([x * v - y * u for x, y, u, v in points])
     # whether points are apart is told from the middle, where nothing cancels; the map's sums are plain ones in the order of the points, as SQL has them
     spread = sum((p[0] - x / 5) * (p[0] - x / 5) + (p[1] - y / 5) * (p[1] - y / 5) for p in points)
     below = square - (x * x + y * y) / 5

@@ -139,6 +139,14 @@ def test_alignment_is_that_of_sql_where_points_are_one_and_zeros_have_a_sign(spa
     assert repr(oracle.rows_of_spark(got)) == repr(want)
 
 
+def test_alignment_is_that_of_sql_where_numbers_are_missing(spark, sf, tmp_path):
+    """Sums are of the coordinates that are there; none is left where a vector has only its first numbers, and no box where it has none."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=64) / 8], 0) for i in range(1, 9)]
+    rows = [(i, [None if i < 6 and k in (i, i * 7 % 64) else x for k, x in enumerate(v)][: 64 if i < 7 else 40 - 5 * (i - 7)], 0) for i, v, _ in rows] + [(9, None, 0), (10, [], 0), (11, [None] * 64, 0)]
+    folder = _with_table(spark, sf, tmp_path, "embeddings", spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    _same_as_sql(spark, folder, "face_alignment")
+
+
 def test_rounding_is_that_of_sql(spark):
     values = [-1e-9, 1e-9, -0.0, 0.0, -4.9e-7, -5e-7, 5e-7, 0.0000015, -0.0000025, 1.0000005, -2.5, 123456.7890125, 1e12 / 3, float("inf"), float("-inf"), float("nan")]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(upkeep._rounded(F.col("x"), 6)).collect()]
