@@ -120,6 +120,14 @@ def test_milestone_report_beyond_two_million(spark, sf, tmp_path):
     _same_as_sql(spark, _with_table(spark, sf, tmp_path, "orders", far), "milestone_report")
 
 
+def test_milestone_report_goes_on_beyond_two_million(spark, sf, tmp_path):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 200")
+    folder = _with_table(spark, sf, tmp_path, "orders", orders.withColumn("o_orderkey", F.col("o_orderkey") + 2_600_000))
+    got = [(r["milestone"], r["reached"]) for r in registry.QUERIES["milestone_report"](spark, folder).orderBy("milestone").collect()]
+    assert got[-16:] == [(m, m <= 2_600_000) for m in range(1_900_000, 3_400_001, 100_000)]
+    _same_as_sql(spark, folder, "milestone_report")
+
+
 def test_camera_milestones_by_given_steps(spark, sf):
     files = standins.files(spark, sf)
     got = stats.milestone_report(files, upkeep.NOW, skip_screens=True, steps=[10, 20, 30, 10**7]).orderBy("milestone").collect()
