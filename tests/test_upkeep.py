@@ -128,6 +128,22 @@ def test_milestone_report_goes_on_beyond_two_million(spark, sf, tmp_path):
     _same_as_sql(spark, folder, "milestone_report")
 
 
+def test_camera_milestones_go_on_beyond_two_million(spark, sf, tmp_path):
+    """11 of 13 files count; each key is one file."""
+    one = spark.read.parquet(f"{sf}/orders.parquet").limit(1)
+    folder = _with_table(spark, sf, tmp_path, "orders", one.drop("o_orderkey").crossJoin(spark.range(2_600_000).withColumnRenamed("id", "o_orderkey")))
+    got = [(r["milestone"], r["reached"]) for r in registry.QUERIES["milestone_report_camera"](spark, folder).orderBy("milestone").collect()]
+    assert got[-11:] == [(m, m <= 2_200_000) for m in range(2_000_000, 3_000_001, 100_000)]
+    _same_as_sql(spark, folder, "milestone_report_camera")
+
+
+def test_as_many_milestones_as_asked_for_lie_ahead(spark, sf):
+    for n in (0, 999, 1_000_000, 2_000_000):
+        assert len(stats.upcoming(n, None, 0, 60)) == 60 and stats.upcoming(n, None, 0) == [(m, None) for m in stats.ladder(n) if m > n][:8]
+    got = stats.milestone_report(standins.files(spark, sf), upkeep.NOW, ahead=60).where("NOT reached")
+    assert got.count() == 60
+
+
 def test_camera_milestones_by_given_steps(spark, sf):
     files = standins.files(spark, sf)
     got = stats.milestone_report(files, upkeep.NOW, skip_screens=True, steps=[10, 20, 30, 10**7]).orderBy("milestone").collect()
